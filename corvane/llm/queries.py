@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.llm.decontamination import decontaminate
 from corvane.llm.exact_dedup import exact_dedup
 from corvane.llm.line_dedup import line_dedup
 from corvane.llm.mixing import mix_to_targets
+from corvane.llm.ngram_join import ngram_components
+from corvane.llm.quality import quality_scores
+from corvane.llm.toxicity import toxicity_scores
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,17 +25,45 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate(docs, _table(spark, sf_dir, "benchmark"), rewrite=False)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def _fold(folds: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), learn=_fold(5) != 0)
+    return out.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_to_targets(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(_table(spark, sf_dir, "documents"), width=3, similarity=(90, 100))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), learn=_fold(4) != 2)
+    return out.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_toxicity": op4_toxicity,
     "op5_mix_sources": op5_mix_sources,
+    "op6_ngram_join": op6_ngram_join,
+    "op7_quality": op7_quality,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
@@ -48,6 +80,19 @@ judged AS (SELECT k.*, c.key IS NOT NULL AND k.doc_id <> c.last_id AS gone FROM
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
+""",
+    "op3_decontaminate": rf"""
+WITH doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS l, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
+        FROM item, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS r(i) WHERE len(w) > 0),
+gram AS (SELECT doc_id, i, l, array_to_string(w[i:i + l - 1], ' ') AS g FROM doc, (SELECT DISTINCT l FROM win) AS ls, unnest(range(1, len(w) - l + 2)) AS r(i)),
+hit AS (SELECT doc_id, i, l, item_id FROM gram JOIN win USING (g, l)),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hit, unnest(range(i, i + l)) AS r(p) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
+SELECT doc.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN pos ON pos.doc_id = doc.doc_id LEFT JOIN its ON its.doc_id = doc.doc_id
 """,
     "op5_mix_sources": r"""
 WITH RECURSIVE sized AS (
@@ -72,6 +117,19 @@ run AS (
 SELECT doc_id, size, source_size, target,
        (size * (whole + CASE WHEN budget > 0 AND (upto <= budget OR (upto - own <= budget AND upto - budget < budget - (upto - own))) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM run
+""",
+    "op6_ngram_join": rf"""
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x20\x09-\x0D]+') AS w FROM documents),
+gram AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + least(len(w), 3) - 1], ' ')) AS g
+         FROM doc, unnest(range(1, len(w) - least(len(w), 3) + 2)) AS r(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM gram a JOIN gram b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 90 * (x.n + y.n - common)),
+way AS (SELECT a AS u, b AS v FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT u, v FROM way UNION SELECT r.u, w.v FROM reach r JOIN way w ON r.v = w.u),
+low AS (SELECT u, least(u, min(v)) AS c FROM reach GROUP BY u)
+SELECT doc.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(low.c, doc.doc_id) AS component_id
+FROM doc LEFT JOIN n ON n.doc_id = doc.doc_id LEFT JOIN low ON low.u = doc.doc_id
 """,
     "op9_exact_dedup": """
 WITH hashed AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
