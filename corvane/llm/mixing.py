@@ -45,8 +45,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     rest = F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     level = (budget - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / rest
     staged = base.withColumns({"level": level, "ratio": F.col("cap") / F.col("weight")})
-    first = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(whole)
-    found = staged.withColumn("level", first["level"])
+    # the first source that stays below its cap; of equal ratios the first has the highest level
+    first = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", (-F.col("level")).alias("fall")))).over(whole)
+    found = staged.withColumn("level", -first["fall"])
     target = F.least(F.col("cap"), F.col("weight") * F.coalesce("level", F.lit(float("inf"))))
     return found.select("source", "source_size", F.round(target, 6).alias("target"))
 

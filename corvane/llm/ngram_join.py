@@ -20,6 +20,7 @@ document too; what a block can't tie to it is looked up in the other blocks.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ from corvane.llm.shared import bounded_batches, join_groups, written
 WIDTH = 5
 SIMILARITY = (80, 100)
 BAND_RATIO = 1.5
+#: The keys are matched in so many rounds, a range of hashes in each; what a round shuffles is gone before the next.
+ROUNDS = 4
 #: Most tokens of a block of a neighbourhood.
 BLOCK_TOKENS = 1_000_000
 #: Groups of a matrix: one bit each.
@@ -74,10 +77,23 @@ class Parts:
             last = int(self.edges[-1])
             self.edges = np.append(self.edges, max(last + 1, int(last * BAND_RATIO)))
         difference = (self.edges[1:] - 1) * (self.of - self.share) // self.share
-        #: Parts that may be empty in a set before their keys are needed.
-        self.spare = 2 + difference // 32
+        #: Parts that may be empty in a set before the keys of empty parts are needed as well.
+        self.spare = np.array([self._spare(int(low), int(d)) for low, d in zip(self.edges[:-1], difference, strict=True)])
         self.parts = difference + 1 + self.spare
 
+    @staticmethod
+    def _spare(low: int, difference: int) -> int:
+        """Enough that few of the band's smallest sets have more empty parts: the mean and two deviations."""
+        spare = 0
+        while difference and spare < difference + 2:
+            parts = difference + 1 + spare
+            share = np.exp(-low / parts)
+            deviation = np.sqrt(parts * max(0.0, share - (1 + low / parts) * share * share))
+            if parts * share + 2 * deviation <= spare:
+                break
+            spare += 1
+        return spare
+
     def keys(self, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(keys, keys of each row). A row uses the bands of all sizes that a smaller linked set can have."""
         self._reach(int(sizes.max(initial=1)))
@@ -110,11 +126,11 @@ class Parts:
         name = part * _PART + (band[of] + 1).astype(np.uint64) * _BAND
         keys = W.mix(total + name)
         empty = count - np.bincount(of, minlength=len(sizes))
+        many = [(keys, of)]
         for r in np.flatnonzero(chosen & (empty > self.spare[np.maximum(band, 0)])):
             missing = np.setdiff1d(np.arange(count[r], dtype=np.uint64), part[of == r])
-            keys = np.concatenate([keys, W.mix(missing * _PART + np.uint64(band[r] + 1) * _BAND)])
-            of = np.concatenate([of, np.full(len(missing), r)])
-        return keys, of
+            many.append((W.mix(missing * _PART + band[r : r + 1].astype(np.uint64) * _BAND + _BAND), np.full(len(missing), r)))
+        return np.concatenate([k for k, _ in many]), np.concatenate([r for _, r in many])
 
 
 def _sets(docs: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
@@ -126,7 +142,7 @@ def _sets(docs: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame
         parts = Parts(similarity)
         for batch in batches:
             tokens, sizes = token_sets(batch.column(1), width)
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens), np.zeros(0, np.uint64)])
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens)])
             other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(W.mix(tokens))])
             ends = np.cumsum(sizes)
             one, two = total[ends] - total[ends - sizes], other[ends] - other[ends - sizes]
@@ -273,9 +289,12 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     bounded_batches(spark)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sets = written(_sets(slim, width, similarity), "sets")
-    keyed = sets.where(F.size("keys") > 0).select("id", F.explode("keys").alias("key"))
-    live = written(keyed.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1"), "keys")
-    near = written(join_groups(keyed, live, "key", "n").select("leader", "id").distinct(), "near")
+    rounds = []
+    for k in range(ROUNDS):
+        keyed = sets.where(F.size("keys") > 0).select("id", F.explode("keys").alias("key")).where(F.pmod("key", F.lit(ROUNDS)) == k)
+        live = written(keyed.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1"), "keys")
+        rounds.append(written(join_groups(keyed, live, "key", "n").select("leader", "id").distinct(), "near"))
+    near = written(reduce(DataFrame.union, rounds).distinct(), "near")
     asked = written(near.select("id").distinct(), "asked")
     few = asked.count() <= BROADCAST_IDS
     tokens = written(_token_table(slim.join(F.broadcast(asked) if few else asked, "id", "left_semi"), width).dropDuplicates(["id", "tokens"]), "tokens")

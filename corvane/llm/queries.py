@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from corvane.llm.decontamination import decontaminate
 from corvane.llm.exact_dedup import exact_dedup
+from corvane.llm.html_extraction import extract_main_text
+from corvane.llm.license_scan import scan_licenses
 from corvane.llm.line_dedup import line_dedup
 from corvane.llm.mixing import mix_to_targets
 from corvane.llm.ngram_join import ngram_components
 from corvane.llm.quality import quality_scores
 from corvane.llm.toxicity import toxicity_scores
+from corvane.llm.warc import header_text, page_records, resolve_revisits
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +28,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resolve_revisits(page_records(_table(spark, sf_dir, "pages")))
+    return out.select(F.col("record_id").alias("page_id"), "canonical_url", F.coalesce("response_id", F.lit(-1)).alias("response_id"), "status", header_text(F.col("headers")).alias("headers"), "payload_digest")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate(docs, _table(spark, sf_dir, "benchmark"), rewrite=False)
@@ -53,18 +61,31 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    families = F.array_join(F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["family"]))), ",")
+    return out.select("doc_id", "n_paragraphs", F.size("licenses").cast("long").alias("n_licenses"), families.alias("families"), F.coalesce(F.array_max(F.transform("licenses", lambda x: x["probability"])), F.lit(0.0)).alias("best_probability"), F.exists("licenses", lambda x: x["confirmed"]).alias("confirmed"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_revisits": op2_revisits,
     "op3_decontaminate": op3_decontaminate,
     "op4_toxicity": op4_toxicity,
     "op5_mix_sources": op5_mix_sources,
     "op6_ngram_join": op6_ngram_join,
     "op7_quality": op7_quality,
+    "op8_main_text": op8_main_text,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_license_scan": op10_license_scan,
 }
 
 _BLANKS = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
@@ -80,6 +101,38 @@ judged AS (SELECT k.*, c.key IS NOT NULL AND k.doc_id <> c.last_id AS gone FROM
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
+""",
+    "op2_revisits": r"""
+WITH cut AS (
+  SELECT page_id, html, trim(url, ' ') AS raw FROM pages),
+part AS (
+  SELECT page_id, html, raw,
+         regexp_extract(raw, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?', ['host', 'port', 'path', 'query']) AS u FROM cut),
+page AS (
+  SELECT page_id, sha256(coalesce(html, '')) AS digest, page_id * 60 AS ts,
+         CASE WHEN raw = '' THEN NULL ELSE
+           regexp_replace(lower(u.host), '^www\.', '') || CASE WHEN u.port IN ('', '80', '443') THEN '' ELSE ':' || u.port END
+           || CASE WHEN u.path = '' THEN '/' ELSE u.path END
+           || coalesce('?' || nullif(array_to_string(list_sort([x FOR x IN string_split(u.query, '&')
+                IF x <> '' AND NOT regexp_matches(lower(x), '^(utm_[a-z]*|gclid|fbclid|msclkid|sessionid|phpsessid|jsessionid|ref)=')]), '&'), ''), '') END AS canonical_url
+  FROM part),
+response AS (SELECT page_id, canonical_url, digest, ts, substr(digest, 1, 16) AS etag, 'day ' || (ts // 86400) AS day FROM page),
+revisit AS (
+  SELECT page_id, canonical_url, CASE WHEN page_id % 5 = 4 THEN ts - 86400 ELSE ts + 7 * 86400 + 1 END AS ts, 'day ' || (ts // 86400) AS last_modified,
+         CASE page_id % 4 WHEN 0 THEN substr(digest, 1, 16) WHEN 2 THEN 'W/' || substr(digest, 1, 16) WHEN 3 THEN 'changed' END AS etag
+  FROM page),
+met AS (
+  SELECT v.*, r.page_id AS response_id, r.digest, r.etag AS r_etag, r.day AS r_day
+  FROM revisit v ASOF LEFT JOIN response r ON v.canonical_url = r.canonical_url AND v.ts > r.ts),
+judged AS (
+  SELECT *, CASE WHEN response_id IS NULL THEN 'no_response'
+                 WHEN etag IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^W/', '') = r_etag THEN 'resolved' ELSE 'mismatch' END
+                 WHEN last_modified = r_day THEN 'resolved' ELSE 'mismatch' END AS status FROM met)
+SELECT page_id, canonical_url, coalesce(response_id, -1) AS response_id, status,
+       CASE WHEN status = 'resolved' THEN 'cache-control: max-age=60' || chr(10) || 'content-type: text/html' || chr(10)
+         || 'date: day ' || floor(ts / 86400.0)::BIGINT || chr(10) || 'etag: ' || r_etag END AS headers,
+       CASE WHEN status = 'resolved' THEN digest END AS payload_digest
+FROM judged
 """,
     "op3_decontaminate": rf"""
 WITH doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

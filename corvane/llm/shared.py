@@ -41,7 +41,13 @@ def written(df: DataFrame, hint: str = "table") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, and outlives executors. Removed when the driver exits."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/corvane/{hint}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # shuffle files go with the write that made them
+    before = spark.conf.get(clean, "false")
+    spark.conf.set(clean, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(clean, before)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
