@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import join_groups, written
+from corvane.llm.shared import SPLITS_PER_FILE, join_groups, written
 
 BLOCK_BITS = 32768  # what one bitmap of bitmap_construct_agg holds
 BITS_PER_ROW = 16
@@ -51,7 +51,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whatever their names.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = written(docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(normalise(text) if normalise else text, 256)).alias("fp")), "fingerprints")
+    rows = written(docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(normalise(text) if normalise else text, 256)).alias("fp")), "fingerprints", SPLITS_PER_FILE)
     tested = possible_repeats(rows, "fp")
     alone = tested.where(~F.col("repeated")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "fp")
     copies = tested.where("repeated").groupBy("fp", "id").agg(F.count("*").alias("copies"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import BLANKS, join_groups, lower_ascii, written
+from corvane.llm.shared import BLANKS, SPLITS_PER_FILE, join_groups, lower_ascii, written
 
 LEAST_CHARS = 20
 LEAST_DOCUMENTS = 3
@@ -38,7 +38,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tag"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
     keyed = slim.select("id", "tag", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= least_chars)
-    lines = written(keyed.select("id", "tag", "pos", F.unhex(F.md5("key")).alias("key")), "lines")
+    lines = written(keyed.select("id", "tag", "pos", F.unhex(F.md5("key")).alias("key")), "lines", SPLITS_PER_FILE)
     common = lines.select("key", "id").distinct().groupBy("key").agg(F.count("*").alias("documents"), F.max("id").alias("last_id")).where(F.col("documents") >= least_documents)
     dropped = join_groups(lines, written(common, "common"), "key", "documents").where(~F.col("id").eqNullSafe(F.col("last_id")))
     gone = dropped.groupBy(F.col("id").alias("_id"), F.col("tag").alias("_tag")).agg(F.collect_set("pos").alias("_gone"))

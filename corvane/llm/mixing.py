@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import written
+from corvane.llm.shared import SPLITS_PER_FILE, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 HASH_BITS = 60
@@ -52,27 +52,17 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return found.select("source", "source_size", F.round(target, 6).alias("target"))
 
 
-def mix_to_targets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most_repeats: float = MOST_REPEATS) -> DataFrame:
-    """id, source, size, source_size, target, repeats (int), taken: how often the mix takes each row of ``docs``.
-
-    Size is the number of words (null and empty text: 0).  Null is a source of
-    its own, and comes last.  Rows with the same id and source are taken
-    alike.  A null id hashes like any other value.  Sources without words have
-    target 0.  An empty table gives an empty result.  Other columns are ignored.
-    """
-    sized = written(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"), hash60(F.col(id_col)).alias("h")),
-        "sized",
-    )
+def source_bounds(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most_repeats: float = MOST_REPEATS) -> DataFrame:
+    """(source, source_size, target, whole, last) from (source, size, h): how often each source is taken whole, and the last hash that is taken once more."""
     sources = written(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most_repeats), "sources")
-    light = (lambda df: F.broadcast(df)) if sources.count() <= BROADCAST_SOURCES else (lambda df: df)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     budgets = sources.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
     # the bucket in which each source's budget ends: its prefix of the hash, and the words before it
     edge = budgets.where("budget > 0").select(F.col("source").alias("_s"), F.lit(0).cast("long").alias("_prefix"), F.lit(0).cast("long").alias("_before"), F.col("budget").alias("_budget"))
+    few = sources.count() <= BROADCAST_SOURCES
     shift = HASH_BITS
     while shift > 0:
-        inside = sized.join(light(edge), sized["source"].eqNullSafe(F.col("_s")) & (F.shiftright("h", shift) == F.col("_prefix")))
+        inside = sized.join(F.broadcast(edge) if few else edge, sized["source"].eqNullSafe(F.col("_s")) & (F.shiftright("h", shift) == F.col("_prefix")))
         shift -= LEVEL_BITS
         bars = inside.groupBy("_s", "_before", "_budget", F.shiftright("h", shift).alias("_prefix")).agg(F.sum("size").alias("words"))
         order = Window.partitionBy("_s").orderBy("_prefix")
@@ -83,14 +73,35 @@ def mix_to_targets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             edge = written(edge.drop("_upto"), "edge")
     last = F.when(F.col("_upto") - F.col("_budget") < F.col("_budget") - F.col("_before"), F.col("_prefix")).otherwise(F.col("_prefix") - 1)
     bounds = written(edge.select("_s", last.alias("_last")), "bounds")
-    table = budgets.join(light(bounds), F.col("source").eqNullSafe(F.col("_s")), "left").select(F.col("source").alias("_source"), "source_size", "target", "whole", F.coalesce("_last", F.lit(-1).cast("long")).alias("_last"))
-    joined = sized.join(light(table), sized["source"].eqNullSafe(F.col("_source")))
-    repeats = (F.col("whole") + (F.col("h") <= F.col("_last")).cast("int")).alias("repeats")
+    table = budgets.join(F.broadcast(bounds) if few else bounds, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "source_size", "target", "whole", F.coalesce("_last", F.lit(-1).cast("long")).alias("last"))
+    return F.broadcast(table) if few else table
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
+    return written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), hash60(F.col(id_col)).alias("h")), "sized", SPLITS_PER_FILE)
+
+
+def mix_to_targets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
+    """id, source, size, source_size, target, repeats (int), taken: how often the mix takes each row of ``docs``.
+
+    Size is the number of words (null and empty text: 0).  Null is a source of
+    its own, and comes last.  Rows with the same id and source are taken
+    alike.  A null id hashes like any other value.  Sources without words have
+    target 0.  An empty table gives an empty result.  Other columns are ignored.
+    ``settings``: weights, share and most_repeats, as source_targets has them.
+    """
+    sized = _sized(docs, id_col, text_col, source_col)
+    bounds = source_bounds(sized, **settings).withColumnRenamed("source", "_source")
+    joined = sized.join(bounds, sized["source"].eqNullSafe(F.col("_source")))
+    repeats = (F.col("whole") + (F.col("h") <= F.col("last")).cast("int")).alias("repeats")
     return joined.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", repeats).withColumn("taken", F.col("size") * F.col("repeats"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, with a column repeats (1 or more)."""
-    plan = mix_to_targets(docs, id_col, text_col, source_col, **settings).where("repeats > 0").select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col("repeats").alias("_repeats")).distinct()
-    joined = docs.join(plan, docs[id_col].eqNullSafe(F.col("_id")) & docs[source_col].eqNullSafe(F.col("_source")))
-    return joined.withColumn("repeats", F.col("_repeats")).drop("_id", "_source", "_repeats")
+    """The rows of ``docs`` that the mix takes, with a column repeats (1 or more). Texts don't shuffle."""
+    bounds = source_bounds(_sized(docs, id_col, text_col, source_col), **settings)
+    table = bounds.select(F.col("source").alias("_source"), F.col("whole").alias("_whole"), F.col("last").alias("_last"))
+    joined = docs.join(table, docs[source_col].eqNullSafe(F.col("_source")))
+    repeats = F.col("_whole") + (hash60(F.col(id_col)) <= F.col("_last")).cast("int")
+    return joined.withColumn("repeats", repeats).where("repeats > 0").drop("_source", "_whole", "_last")

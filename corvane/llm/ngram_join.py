@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from corvane.llm import words as W
 from corvane.llm.components import connected_components
-from corvane.llm.shared import bounded_batches, join_groups, written
+from corvane.llm.shared import SPLITS_PER_FILE, bounded_batches, join_groups, written
 
 WIDTH = 5
 SIMILARITY = (80, 100)
@@ -94,22 +94,28 @@ class Parts:
             spare += 1
         return spare
 
-    def keys(self, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(keys, keys of each row). A row uses the bands of all sizes that a smaller linked set can have."""
+    def keys(self, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, keys of each row, keys that each row has in common with any linked set at least).
+
+        A row uses the bands of all sizes that a smaller linked set can have.
+        Linked sets differ in fewer parts than there are by 1 + spare; of those
+        only the ones that are empty in both have no key.
+        """
         self._reach(int(sizes.max(initial=1)))
         own = np.searchsorted(self.edges, sizes, "right") - 1
         least = np.searchsorted(self.edges, -(-sizes * self.share // self.of), "right") - 1
         out, rows = [], []
+        need = np.full(len(sizes), np.iinfo(np.int32).max, dtype=np.int64)
         for back in range(int((own - least).max(initial=0)) + 1):
             chosen = (sizes > 0) & (own - back >= least)
-            got, row = self._band(tokens, sizes, chosen, own - back)
+            got, row = self._band(tokens, sizes, chosen, own - back, need)
             out.append(got)
             rows.append(row)
         keys, row = np.concatenate(out), np.concatenate(rows)
         by = np.argsort(row.astype(np.uint16) if len(sizes) < 1 << 16 else row, kind="stable")
-        return keys[by], np.bincount(row, minlength=len(sizes))
+        return keys[by], np.bincount(row, minlength=len(sizes)), need
 
-    def _band(self, tokens: np.ndarray, sizes: np.ndarray, chosen: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _band(self, tokens: np.ndarray, sizes: np.ndarray, chosen: np.ndarray, band: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         row = np.repeat(np.arange(len(sizes)), sizes)
         if not chosen.all():
             inside = chosen[row]
@@ -127,15 +133,17 @@ class Parts:
         keys = W.mix(total + name)
         empty = count - np.bincount(of, minlength=len(sizes))
         many = [(keys, of)]
-        for r in np.flatnonzero(chosen & (empty > self.spare[np.maximum(band, 0)])):
+        spare = self.spare[np.maximum(band, 0)]
+        np.minimum(need, np.where(chosen, np.maximum(1, 1 + spare - empty), need), out=need)
+        for r in np.flatnonzero(chosen & (empty > spare)):
             missing = np.setdiff1d(np.arange(count[r], dtype=np.uint64), part[of == r])
             many.append((W.mix(missing * _PART + band[r : r + 1].astype(np.uint64) * _BAND + _BAND), np.full(len(missing), r)))
         return np.concatenate([k for k, _ in many]), np.concatenate([r for _, r in many])
 
 
 def _sets(docs: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
-    """(id, n, rep, keys): keys only in the first document of each set that a task has seen; rep is that document."""
-    schema = T.StructType([docs.schema["id"], T.StructField("n", T.LongType()), T.StructField("rep", docs.schema["id"].dataType), T.StructField("keys", T.ArrayType(T.LongType()))])
+    """(id, n, rep, need, keys): keys only in the first document of each set that a task has seen; rep is that document."""
+    schema = T.StructType([docs.schema["id"], T.StructField("n", T.LongType()), T.StructField("rep", docs.schema["id"].dataType), T.StructField("need", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int, int], object] = {}
@@ -147,29 +155,40 @@ def _sets(docs: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame
             ends = np.cumsum(sizes)
             one, two = total[ends] - total[ends - sizes], other[ends] - other[ends - sizes]
             ids = batch.column(0).to_pylist()
-            reps = []
-            for i, x in zip(ids, zip(sizes.tolist(), one.tolist(), two.tolist(), strict=True), strict=True):
-                reps.append(i if i is None or not x[0] else seen.setdefault(x, i))
-            first = np.array([i is not None and i == r for i, r in zip(ids, reps, strict=True)], dtype=np.bool_)
-            first &= sizes > 0
-            keys, counts = parts.keys(tokens[np.repeat(first, sizes)], np.where(first, sizes, 0))
+            reps, first = [], np.zeros(len(ids), dtype=np.bool_)
+            for k, (i, x) in enumerate(zip(ids, zip(sizes.tolist(), one.tolist(), two.tolist(), strict=True), strict=True)):
+                if i is None or not x[0]:
+                    reps.append(i)
+                    continue
+                first[k] = x not in seen
+                reps.append(seen.setdefault(x, i))
+            keys, counts, need = parts.keys(tokens[np.repeat(first, sizes)], np.where(first, sizes, 0))
             where = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             lists = pa.ListArray.from_arrays(where, pa.array(keys.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(reps, batch.column(0).type), lists], names=["id", "n", "rep", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(reps, batch.column(0).type), pa.array(need, pa.int64()), lists], names=["id", "n", "rep", "need", "keys"])
 
     return docs.mapInArrow(run, schema)
 
 
 def _token_table(docs: DataFrame, width: int) -> DataFrame:
-    """(id, tokens): the sorted tokens as little-endian bytes."""
+    """(id, tokens): the sorted tokens as little-endian bytes; of repeated rows a task gives one."""
     schema = T.StructType([docs.schema["id"], T.StructField("tokens", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[object, int]] = set()
         for batch in batches:
             tokens, sizes = token_sets(batch.column(1), width)
-            where = np.concatenate([[0], np.cumsum(sizes * 8)])
+            where = np.concatenate([[0], np.cumsum(sizes * 8)]).tolist()
             raw = tokens.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([raw[a:b] for a, b in zip(where[:-1].tolist(), where[1:].tolist(), strict=True)], pa.binary())], names=["id", "tokens"])
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(W.mix(tokens))])
+            ends = np.cumsum(sizes)
+            names, sets = [], []
+            for k, x in enumerate(zip(batch.column(0).to_pylist(), (total[ends] - total[ends - sizes]).tolist(), strict=True)):
+                if sizes[k] and x not in seen:
+                    seen.add(x)
+                    names.append(x[0])
+                    sets.append(raw[where[k] : where[k + 1]])
+            yield pa.RecordBatch.from_arrays([pa.array(names, batch.column(0).type), pa.array(sets, pa.binary())], names=["id", "tokens"])
 
     return docs.mapInArrow(run, schema)
 
@@ -246,9 +265,9 @@ class Neighbourhood:
 
 
 def _search_blocks(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Links within each (leader, block) of members (leader, block, id, asks, tokens).
+    """Links within each (leader, block) of members (leader, block, id, anchor, asks, tokens).
 
-    Returns (u, v, leader, block): links, and for sets without a known tie to the leader a row with v null.
+    Returns (u, v, leader, block): links, and for sets without a known tie to the anchor a row with v null.
     With ``asks`` set in some rows, only those are looked up, and there are no rows with v null.
     """
     of_id = members.schema["id"].dataType
@@ -264,7 +283,7 @@ def _search_blocks(members: DataFrame, similarity: tuple[int, int]) -> DataFrame
             for i in np.flatnonzero([asks[k] for k in near.order]).tolist():
                 near.tie(i)
         else:
-            head = name.index(leader)
+            head = name.index(table.column("anchor")[0].as_py())
             near.tie_all(head)
             rows = [(name[i], None) for i in range(len(name)) if near.root(i) != near.root(head)]
         rows += [(name[i], name[j]) for i, j in near.links]
@@ -288,33 +307,39 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     bounded_batches(spark)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sets = written(_sets(slim, width, similarity), "sets")
+    sets = written(_sets(slim, width, similarity), "sets", SPLITS_PER_FILE)
     rounds = []
     for k in range(ROUNDS):
         keyed = sets.where(F.size("keys") > 0).select("id", F.explode("keys").alias("key")).where(F.pmod("key", F.lit(ROUNDS)) == k)
         live = written(keyed.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1"), "keys")
-        rounds.append(written(join_groups(keyed, live, "key", "n").select("leader", "id").distinct(), "near"))
-    near = written(reduce(DataFrame.union, rounds).distinct(), "near")
-    asked = written(near.select("id").distinct(), "asked")
+        rounds.append(written(join_groups(keyed, live, "key", "n").groupBy("leader", "id").agg(F.count("*").alias("common")), "near"))
+    shared = written(reduce(DataFrame.union, rounds).groupBy("leader", "id").agg(F.sum("common").alias("common")), "near")
+    # a document with fewer shared keys than a link needs has none
+    need = sets.where(F.size("keys") > 0).groupBy("id").agg(F.min("need").alias("need"))
+    enough = shared.groupBy("id").agg(F.sum("common").alias("have")).join(need, "id").where("have >= need").select("id")
+    asked = written(enough, "asked")
     few = asked.count() <= BROADCAST_IDS
-    tokens = written(_token_table(slim.join(F.broadcast(asked) if few else asked, "id", "left_semi"), width).dropDuplicates(["id", "tokens"]), "tokens")
-    # blocks: a neighbourhood is cut by the tokens in it; every block holds the leader
+    some = F.broadcast(asked) if few else asked
+    left = shared.join(some, "id", "left_semi")
+    groups = left.groupBy("leader").agg(F.min("id").alias("anchor"), F.count("*").alias("n")).where("n > 1")
+    near = written(join_groups(left.select("leader", "id"), written(groups, "groups"), "leader", "n").select("leader", "id", "anchor"), "near")
+    tokens = written(_token_table(slim.join(some, "id", "left_semi"), width), "tokens", SPLITS_PER_FILE)
+    # blocks: a neighbourhood is cut by the tokens in it; every block holds the anchor, its least document
     weight = near.join(tokens.groupBy("id").agg(F.sum(F.octet_length("tokens") / 8).alias("w")), "id")
     cuts = written(weight.groupBy("leader").agg(F.ceil(F.sum("w") / BLOCK_TOKENS).cast("int").alias("blocks"), F.sum("w").alias("w")), "cuts")
     dealt = join_groups(near, cuts, "leader", "w")
-    block = F.when(F.col("id") == F.col("leader"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
-    placed = written(dealt.select("leader", "blocks", "id", F.explode(block).alias("block")), "placed")
-    members = placed.join(tokens, "id").select("leader", "block", "id", F.lit(False).alias("asks"), "tokens")
+    block = F.when(F.col("id") == F.col("anchor"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    placed = written(dealt.select("leader", "blocks", "id", "anchor", F.explode(block).alias("block")), "placed")
+    members = placed.join(tokens, "id").select("leader", "block", "id", "anchor", F.lit(False).alias("asks"), "tokens")
     first = written(_search_blocks(members, similarity), "links")
-    # sets of cut neighbourhoods that their own block doesn't tie to the leader ask all other blocks
-    cut = placed.where("blocks > 1")
+    # sets of cut neighbourhoods that their own block doesn't tie to the anchor ask all other blocks
     loose = first.where("v is null").select("leader", F.col("u").alias("id"), F.col("block").alias("own")).join(cuts.where("blocks > 1").select("leader", "blocks"), "leader")
-    asking = loose.select("leader", "id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).where("block <> own")
     links = first.where("v is not null").select("u", "v")
     if not loose.isEmpty():
-        open_blocks = asking.select("leader", "block").distinct()
-        rows = asking.select("leader", "block", "id", F.lit(True).alias("asks")).unionByName(cut.join(open_blocks, ["leader", "block"], "left_semi").select("leader", "block", "id", F.lit(False).alias("asks")))
-        links = links.union(_search_blocks(rows.join(tokens, "id").select("leader", "block", "id", "asks", "tokens"), similarity).where("v is not null").select("u", "v"))
+        asking = loose.select("leader", "id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).where("block <> own")
+        there = placed.where("blocks > 1").join(asking.select("leader", "block").distinct(), ["leader", "block"], "left_semi")
+        rows = asking.select("leader", "block", "id", F.col("id").alias("anchor"), F.lit(True).alias("asks")).unionByName(there.select("leader", "block", "id", "anchor", F.lit(False).alias("asks")))
+        links = links.union(_search_blocks(rows.join(tokens, "id").select("leader", "block", "id", "anchor", "asks", "tokens"), similarity).where("v is not null").select("u", "v"))
     parts = written(connected_components(links), "components")
     lowest = sets.where("n > 0 and id is not null").groupBy("rep").agg(F.min("id").alias("low"))
     named = lowest.join(parts, F.col("rep") == F.col("node"), "left").select("rep", "low", F.coalesce("component", "rep").alias("component"))
@@ -327,5 +352,11 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The rows of ``docs`` that are the least document of their component; of repeated rows one."""
     found = ngram_components(docs, id_col, text_col, **settings)
-    kept = found.where(F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
-    return docs.dropDuplicates([id_col, text_col]).join(kept, docs[id_col].eqNullSafe(F.col("_id")), "left_semi")
+    same = F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id"))
+    kept = written(found.where(same).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_rows")), "kept")
+    few = kept.count() <= BROADCAST_IDS
+    out = docs.join(F.broadcast(kept) if few else kept, docs[id_col].eqNullSafe(F.col("_id")))
+    once = out.where("_rows = 1").drop("_id", "_rows")
+    if kept.where("_rows > 1").isEmpty():
+        return once
+    return once.unionByName(out.where("_rows > 1").drop("_id", "_rows").dropDuplicates([id_col, text_col]))

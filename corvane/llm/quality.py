@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm import words as W
-from corvane.llm.shared import bounded_batches, written
+from corvane.llm.shared import SPLITS_PER_FILE, bounded_batches, written
 
 FOURIER_FEATURES = 256
 KERNEL_WIDTH = 4.0
@@ -217,12 +217,12 @@ def fit_quality(table: DataFrame, labels: DataFrame, id_col: str = "doc_id", lab
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn: Column | None = None) -> DataFrame:
     """(id, score) for every row of ``docs``, null and empty texts too. Other columns are never read."""
     bounded_batches(docs.sparkSession)
-    table = written(statistics_table(docs, id_col, text_col), "statistics")
+    table = written(statistics_table(docs, id_col, text_col), "statistics", SPLITS_PER_FILE)
     return fit_quality(table, labels, id_col, label_col, learn).score_table(table).select(F.col("id").alias(id_col), "score")
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn: Column | None = None, accept: float = ACCEPT) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, unchanged."""
     bounded_batches(docs.sparkSession)
-    table = written(statistics_table(docs, id_col, text_col), "statistics")
+    table = written(statistics_table(docs, id_col, text_col), "statistics", SPLITS_PER_FILE)
     return fit_quality(table, labels, id_col, label_col, learn).accepted(docs, text_col, accept)

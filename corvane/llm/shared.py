@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: Groups that are joined by broadcast because they may be hot. Any other group
 #: holds less than 1/HOT_GROUPS of the rows, so no task of a shuffle gets more.
 HOT_GROUPS = 1024
+#: Input splits whose rows go to one file of a table that is much smaller than its input.
+SPLITS_PER_FILE = 4
 #: Most bytes of text in one Arrow batch sent to Python.
 BATCH_BYTES = 8 << 20
 
@@ -37,9 +39,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def written(df: DataFrame, hint: str = "table") -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage, and outlives executors. Removed when the driver exits."""
+def written(df: DataFrame, hint: str = "table", merge: int = 1) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts lineage, and outlives executors. Removed when the driver exits.
+
+    ``merge``: for frames without a shuffle, the input splits that one task
+    (and file) takes; their rows are much smaller than what they are made of.
+    """
     spark = df.sparkSession
+    if merge > 1 and "Exchange" not in df._jdf.queryExecution().executedPlan().toString():
+        df = df.coalesce(max(1, -(-df.rdd.getNumPartitions() // merge)))
     path = f"{shared_folder(spark)}/corvane/{hint}-{uuid.uuid4().hex}"
     clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # shuffle files go with the write that made them
     before = spark.conf.get(clean, "false")

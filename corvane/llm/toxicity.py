@@ -1,7 +1,8 @@
 """Toxicity: FTRL-proximal logistic regression over hashed n-grams and skip-grams.
 
-Features are the distinct words, word pairs and pairs with one word between
-them, hashed to FEATURE_BITS bits.  The learner keeps a rate of its own for
+Features are the distinct words, the stems of words (their first STEM_BYTES
+bytes, so that inflected forms meet), word pairs and pairs with one word
+between them, hashed to FEATURE_BITS bits.  The learner keeps a rate of its own for
 every coordinate and an L1 penalty that leaves most weights at zero, so the
 weights that every executor gets are a few thousand numbers.
 """
@@ -22,10 +23,11 @@ from corvane.llm.mixing import HASH_BITS, hash60
 from corvane.llm.shared import bounded_batches, written
 
 FEATURE_BITS = 20
+STEM_BYTES = 6
 #: Most labelled rows (about) that are learned from; the bound of the training task.
-SAMPLE_ROWS = 12_000
-EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.0, 0.1
+SAMPLE_ROWS = 16_000
+EPOCHS = 6
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.1
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
@@ -35,7 +37,8 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     starts, ends, counts = W.word_bounds(data, offsets, W.ALNUM)
     word = W.word_hashes(data, starts, ends)
     row = np.repeat(np.arange(len(counts)), counts)
-    values, rows = [word], [row]
+    stem = W.word_hashes(data, starts, np.minimum(ends, starts + STEM_BYTES))
+    values, rows = [word, W.mix(stem)], [row, row]
     for gap, salt in ((1, 0x632BE59BD9B4E019), (2, 0x8CB92BA72F3D8DD7)):
         pair = W.mix(word[:-gap] * np.uint64(salt) + word[gap:])
         whole = row[:-gap] == row[gap:]
