@@ -1 +1 @@
-
+"""Column expressions over text, URLs and instant tools."""

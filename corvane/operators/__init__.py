@@ -1 +1 @@
-
+"""Index, ranking, fusion, metrics and chunking operators."""

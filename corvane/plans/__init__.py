@@ -1 +1 @@
-
+"""Whole search plans and the registered queries."""

@@ -1 +1 @@
-
+"""Files, payloads of web sources, and the snapshot store."""
