@@ -196,8 +196,8 @@ def unescape_html(text: Column) -> Column:
 
     def numeric(piece: Column) -> Column:
         code = F.when(piece.rlike("^&#[xX]"), F.conv(F.regexp_extract(piece, "^&#[xX]([0-9a-fA-F]{1,4});", 1), 16, 10)).otherwise(F.regexp_extract(piece, "^&#([0-9]{1,5});", 1)).cast("int")
-        high, low = F.shiftright(code, 8), code.bitwiseAND(255)
-        return F.decode(F.unhex(F.lpad(F.hex(high * 256 + low), 4, "0")), "UTF-16BE")
+        no_character = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0xFFFF)
+        return F.decode(F.unhex(F.lpad(F.hex(F.when(no_character, 0xFFFD).otherwise(code)), 4, "0")), "UTF-16BE")
 
     pieces = F.split(text, r"(?=&#(?:[0-9]{1,5}|[xX][0-9a-fA-F]{1,4});)", -1)
     head = r"^&#(?:[0-9]{1,5}|[xX][0-9a-fA-F]{1,4});"

@@ -235,7 +235,7 @@ _PATTERN = "'[a-zA-Z0-9]+(?:[_\\-][a-zA-Z0-9]+)*'"
 
 
 def _tokens(name: str, table: str, key: str, where: str = "true") -> str:
-    return f"{name} AS (SELECT {key} AS id, term FROM (SELECT {key}, lower(unnest(regexp_extract_all(coalesce(text, ''), {_PATTERN}))) AS term FROM {table} WHERE {where}) WHERE term NOT IN ({_STOP}))"
+    return f"{name} AS (SELECT id, term FROM (SELECT {key} AS id, lower(unnest(regexp_extract_all(coalesce(text, ''), {_PATTERN}))) AS term FROM {table} WHERE {where}) WHERE term NOT IN ({_STOP}))"
 
 
 _BM25 = """
@@ -332,7 +332,7 @@ cleaned AS (
   FROM kept)
 """
 _TITLE = "trim(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '<[^>]+>', '', 'g'))"
-_REFERENCES = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_REFERENCES = """replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"""
 
 SQL: dict[str, str] = {
     "token_frequencies": f"WITH {_tokens('tok', 'documents', 'doc_id')} SELECT term, count(*) AS n FROM tok GROUP BY term ORDER BY n DESC, term LIMIT 100",

@@ -24,7 +24,7 @@ def wanted(path: Column, root: str = "") -> Column:
 def with_text(files: DataFrame) -> DataFrame:
     """(file_path, file_name, file_hash, file_size, text) from path and content; bytes that aren't UTF-8 become U+FFFD."""
     content = F.coalesce("content", F.lit(b""))
-    return files.select(F.col("path").alias("file_path"), F.element_at(F.split("path", "/"), -1).alias("file_name"), F.sha2(content, 256).alias("file_hash"), F.octet_length(content).cast("long").alias("file_size"), F.make_valid_utf8(F.decode(content, "UTF-8")).alias("text"))
+    return files.select(F.col("path").alias("file_path"), F.element_at(F.split("path", "/"), -1).alias("file_name"), F.sha2(content, 256).alias("file_hash"), F.octet_length(content).cast("long").alias("file_size"), F.make_valid_utf8(content.cast("string")).alias("text"))
 
 
 def read_directory(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:

@@ -34,9 +34,9 @@ def test_bm25_scores_by_the_formula(spark, docs):
     got = hits(index, spark, "neural search neural", explain=True)
     assert [g.doc_id for g in got] == [2] and got[0].matched_terms == ["neural", "search"]
     stats = index.corpus_stats.first()
-    assert (stats.n_docs, stats.total_terms) == (4, 18) and stats.avg_doc_len == 4.5
+    assert (stats.n_docs, stats.total_terms) == (4, 19) and stats.avg_doc_len == 4.75
     idf = math.log(1 + 3.5 / 1.5)
-    norm = 1.5 * (0.25 + 0.75 * 8 / 4.5)
+    norm = 1.5 * (0.25 + 0.75 * 8 / 4.75)
     want = {"neural": idf * 2 * 2.5 / (2 + norm), "search": idf * 2.5 / (1 + norm)}
     assert got[0].term_contributions == {k: round(v, 4) for k, v in want.items()} and got[0].score == round(sum(want.values()), 4)
     assert hits(index, spark, "") == [] and hits(index, spark, "nowhere") == []
@@ -163,7 +163,7 @@ def test_engine_modes(spark, docs):
     assert engine.without(spark.createDataFrame([(2,)], "doc_id long")).search(asked, "bm25", 2).where("query_id = 0").count() == 0
     assert engine.plus(spark.createDataFrame([(8, "fox fox fox")], "doc_id long, content string")).search(asked, "bm25", 1).where("query_id = 1").first().doc_id == 8
     stats = engine.stats().first()
-    assert (stats.total_docs, stats.total_vectors, stats.vocabulary_size) == (4, 3, 17)
+    assert (stats.total_docs, stats.total_vectors, stats.vocabulary_size) == (4, 3, 18)
     assert '<mark class="highlight">fox</mark>' in with_snippets(engine.search(asked, "bm25", 1)).where("query_id = 1").first().snippet
     with pytest.raises(ValueError, match="mode"):
         engine.search(asked, "other")

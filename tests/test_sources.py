@@ -91,6 +91,7 @@ def _folder(path):
     (path / "a.md").write_text("# Title\n\nalpha beta\n")
     (path / "notes" / "b.txt").write_bytes(b"gamma \xff delta")
     (path / "notes" / "empty.txt").write_text("")
+    (path / "notes" / "blank.md").write_text("  \n")
     (path / "notes" / "c.db").write_text("no")
     (path / ".git" / "d.md").write_text("no")
 
@@ -100,9 +101,9 @@ def test_store_ingests_what_is_new(spark, tmp_path):
     _folder(root)
     store = Store(spark, str(tmp_path / "store"))
     files = read_directory(spark, str(root))
-    assert sorted(r.file_name for r in files.collect()) == ["a.md", "b.txt", "empty.txt"]
+    assert sorted(r.file_name for r in files.collect()) == ["a.md", "b.txt", "blank.md"]  # Spark leaves out files without a byte
     status = {r.file_path.rsplit("/", 1)[1]: (r.status, r.chunks) for r in store.ingest(files).collect()}
-    assert status == {"a.md": ("indexed", 1), "b.txt": ("indexed", 1), "empty.txt": ("skipped", 0)}
+    assert status == {"a.md": ("indexed", 1), "b.txt": ("indexed", 1), "blank.md": ("skipped", 0)}
     assert {r.status for r in store.ingest(read_directory(spark, str(root))).collect()} == {"skipped"}
     assert store.stats().first().total_documents == 2
     (root / "a.md").write_text("# Title\n\nchanged\n")
