@@ -13,7 +13,7 @@ from corvane.operators.metrics import markdown_table, metric_means, retrieval_me
 from corvane.operators.vectors import cosine, cosine_top_k, mean_pooled, normalised
 from corvane.plans.search import SearchEngine, evaluate, instant_answers, rank_web, with_snippets
 
-CORPUS = [(1, "The quick brown fox jumps over the lazy dog", "fox"), (2, "Neural search engines use vector embeddings for neural ranking", "neural"), (3, "Cooking pasta takes boiling water", "pasta"), (4, "", None)]
+CORPUS = [(1, "The quick brown fox jumps over the lazy dog", "fox"), (2, "Solar panel fields use mirror arrays for solar heating", "solar"), (3, "Cooking pasta takes boiling water", "pasta"), (4, "", None)]
 
 
 @pytest.fixture(scope="module")
@@ -31,13 +31,13 @@ def hits(index, spark, query, **settings):
 
 def test_bm25_scores_by_the_formula(spark, docs):
     index = build_index(docs, text_col="content")
-    got = hits(index, spark, "neural search neural", explain=True)
-    assert [g.doc_id for g in got] == [2] and got[0].matched_terms == ["neural", "search"]
+    got = hits(index, spark, "solar panel solar", explain=True)
+    assert [g.doc_id for g in got] == [2] and got[0].matched_terms == ["panel", "solar"]
     stats = index.corpus_stats.first()
     assert (stats.n_docs, stats.total_terms) == (4, 19) and stats.avg_doc_len == 4.75
     idf = math.log(1 + 3.5 / 1.5)
     norm = 1.5 * (0.25 + 0.75 * 8 / 4.75)
-    want = {"neural": idf * 2 * 2.5 / (2 + norm), "search": idf * 2.5 / (1 + norm)}
+    want = {"solar": idf * 2 * 2.5 / (2 + norm), "panel": idf * 2.5 / (1 + norm)}
     assert got[0].term_contributions == {k: round(v, 4) for k, v in want.items()} and got[0].score == round(sum(want.values()), 4)
     assert hits(index, spark, "") == [] and hits(index, spark, "nowhere") == []
 
@@ -56,12 +56,12 @@ def test_bm25_tf_length_ties_and_removal(spark):
 
 def test_index_positions_save_and_suggest(spark, docs, tmp_path):
     index = build_index(docs, text_col="content")
-    row = index.postings.where("term = 'neural'").first()
+    row = index.postings.where("term = 'solar'").first()
     assert (row.term_freq, row.positions, row.doc_len) == (2, [0, 6], 8)
     index.save(str(tmp_path / "index"))
     again = LexicalIndex.load(spark, str(tmp_path / "index"))
     assert [h.doc_id for h in hits(again, spark, "fox")] == [1]
-    assert [r.term for r in suggestions(again, "ne").collect()] == ["neural"] and suggestions(again, " ").count() == 0
+    assert [r.term for r in suggestions(again, "so").collect()] == ["solar"] and suggestions(again, " ").count() == 0
 
 
 def test_cosine(spark):
@@ -156,10 +156,10 @@ def test_engine_modes(spark, docs):
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.7, 0.7])], "doc_id long, embedding array<double>")
     encode = lambda asked: asked.select("query_id", F.array(F.lit(0.0), F.lit(1.0)).alias("embedding"))
     engine = SearchEngine.of(docs, vectors, encode, lexical_overlap)
-    asked = ask(spark, "neural search", "fox")
+    asked = ask(spark, "solar panels", "fox")
     for mode in ("bm25", "dense", "hybrid", "relative"):
         got = engine.search(asked, mode, 2).where("query_id = 0").orderBy("rank").collect()
-        assert got[0].doc_id == 2 and got[0].title == "neural" and got[0].provenance.mode == mode
+        assert got[0].doc_id == 2 and got[0].title == "solar" and got[0].provenance.mode == mode
     assert engine.without(spark.createDataFrame([(2,)], "doc_id long")).search(asked, "bm25", 2).where("query_id = 0").count() == 0
     assert engine.plus(spark.createDataFrame([(8, "fox fox fox")], "doc_id long, content string")).search(asked, "bm25", 1).where("query_id = 1").first().doc_id == 8
     stats = engine.stats().first()
