@@ -87,6 +87,9 @@ def test_repeated_ids_and_rows_and_clashing_names(spark):
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in J.ngram_components(docs).collect())
     assert got == [(1, 2, 1), (1, 2, 1), (2, 1, 1), (2, 2, 1)]
     assert sorted((r.doc_id, r.id) for r in J.one_of_each(docs).collect()) == [(1, 7)]
+    more = docs.union(spark.createDataFrame([(3, "other words than those above", 9, "k"), (4, "other words than those below", 9, "k")], docs.schema)).repartition(6)
+    linked = {r.doc_id: r.component_id for r in J.ngram_components(more, width=1, similarity=(60, 100)).collect()}
+    assert linked == {1: 1, 2: 1, 3: 1, 4: 1}
     empty = docs.limit(0)
     assert J.ngram_components(empty).count() == 0 and J.one_of_each(empty).count() == 0
 
