@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from corvane.llm import words as W
 from corvane.llm.components import connected_components
-from corvane.llm.shared import SPLITS_PER_FILE, bounded_batches, join_groups, written
+from corvane.llm.shared import SPLITS_PER_FILE, bounded_batches, discard, join_groups, possible_matches, written
 
 WIDTH = 5
 SIMILARITY = (80, 100)
@@ -142,8 +142,11 @@ class Parts:
 
 
 def _sets(docs: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
-    """(id, n, rep, need, keys): keys only in the first document of each set that a task has seen; rep is that document."""
-    schema = T.StructType([docs.schema["id"], T.StructField("n", T.LongType()), T.StructField("rep", docs.schema["id"].dataType), T.StructField("need", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    """(id, n, rep, one, two, need, keys): keys only in the first document of each set that a task has seen; rep is that document.
+
+    one and two are hashes of the whole set.
+    """
+    schema = T.StructType([docs.schema["id"], T.StructField("n", T.LongType()), T.StructField("rep", docs.schema["id"].dataType), *[T.StructField(c, T.LongType()) for c in ("one", "two", "need")], T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int, int], object] = {}
@@ -165,7 +168,7 @@ def _sets(docs: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame
             keys, counts, need = parts.keys(tokens[np.repeat(first, sizes)], np.where(first, sizes, 0))
             where = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             lists = pa.ListArray.from_arrays(where, pa.array(keys.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(reps, batch.column(0).type), pa.array(need, pa.int64()), lists], names=["id", "n", "rep", "need", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(reps, batch.column(0).type), *[pa.array(x.view(np.int64)) for x in (one, two, need)], lists], names=["id", "n", "rep", "one", "two", "need", "keys"])
 
     return docs.mapInArrow(run, schema)
 
@@ -308,14 +311,19 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     bounded_batches(spark)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sets = written(_sets(slim, width, similarity), "sets", SPLITS_PER_FILE)
+    # equal sets of different tasks: a link to the least document of the set, and no part in the search
+    firsts = sets.where(F.size("keys") > 0)
+    equal = firsts.groupBy("n", "one", "two").agg(F.min("id").alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")
+    copies = written(firsts.select("id", "n", "one", "two").join(equal, ["n", "one", "two"]).where("id <> least").select("id", "one", "two", "least"), "copies")
+    searched = firsts.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, ["id", "one", "two"], "left_anti")
     rounds = []
     for k in range(ROUNDS):
-        keyed = sets.where(F.size("keys") > 0).select("id", F.explode("keys").alias("key")).where(F.pmod("key", F.lit(ROUNDS)) == k)
+        keyed = searched.select("id", F.explode("keys").alias("key")).where(F.pmod("key", F.lit(ROUNDS)) == k)
         live = written(keyed.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1"), "keys")
-        rounds.append(written(join_groups(keyed, live, "key", "n").groupBy("leader", "id").agg(F.count("*").alias("common")), "near"))
+        rounds.append(written(join_groups(possible_matches(keyed, live, "key"), live, "key", "n").groupBy("leader", "id").agg(F.count("*").alias("common")), "near"))
     shared = written(reduce(DataFrame.union, rounds).groupBy("leader", "id").agg(F.sum("common").alias("common")), "near")
     # a document with fewer shared keys than a link needs has none
-    need = sets.where(F.size("keys") > 0).groupBy("id").agg(F.min("need").alias("need"))
+    need = firsts.groupBy("id").agg(F.min("need").alias("need"))
     enough = shared.groupBy("id").agg(F.sum("common").alias("have")).join(need, "id").where("have >= need").select("id")
     asked = written(enough, "asked")
     few = asked.count() <= BROADCAST_IDS
@@ -323,6 +331,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     left = shared.join(some, "id", "left_semi")
     groups = left.groupBy("leader").agg(F.min("id").alias("anchor"), F.count("*").alias("n")).where("n > 1")
     near = written(join_groups(left.select("leader", "id"), written(groups, "groups"), "leader", "n").select("leader", "id", "anchor"), "near")
+    slim_sets = written(sets.select("id", "n", "rep"), "sizes")
+    discard(sets)  # the keys are matched
     tokens = written(_token_table(slim.join(some, "id", "left_semi"), width), "tokens", SPLITS_PER_FILE)
     # blocks: a neighbourhood is cut by the tokens in it; every block holds the anchor, its least document
     weight = near.join(tokens.groupBy("id").agg(F.sum(F.octet_length("tokens") / 8).alias("w")), "id")
@@ -340,12 +350,12 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         there = placed.where("blocks > 1").join(asking.select("leader", "block").distinct(), ["leader", "block"], "left_semi")
         rows = asking.select("leader", "block", "id", F.col("id").alias("anchor"), F.lit(True).alias("asks")).unionByName(there.select("leader", "block", "id", "anchor", F.lit(False).alias("asks")))
         links = links.union(_search_blocks(rows.join(tokens, "id").select("leader", "block", "id", "anchor", "asks", "tokens"), similarity).where("v is not null").select("u", "v"))
-    parts = written(connected_components(links), "components")
-    lowest = sets.where("n > 0 and id is not null").groupBy("rep").agg(F.min("id").alias("low"))
+    parts = written(connected_components(links.union(copies.select("id", "least"))), "components")
+    lowest = slim_sets.where("n > 0 and id is not null").groupBy("rep").agg(F.min("id").alias("low"))
     named = lowest.join(parts, F.col("rep") == F.col("node"), "left").select("rep", "low", F.coalesce("component", "rep").alias("component"))
     labels = named.groupBy("component").agg(F.min("low").alias("label"), F.count("*").alias("n"))
     by_rep = join_groups(named.select("rep", "component"), written(labels, "labels"), "component", "n").select(F.col("rep").alias("_rep"), "label")
-    out = sets.join(by_rep, (F.col("rep") == F.col("_rep")) & (F.col("n") > 0), "left")
+    out = slim_sets.join(by_rep, (F.col("rep") == F.col("_rep")) & (F.col("n") > 0), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))
 
 

@@ -59,7 +59,14 @@ def written(df: DataFrame, hint: str = "table", merge: int = 1) -> DataFrame:
     finally:
         spark.conf.set(clean, before)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Remove the files of a written table that nothing reads any more."""
+    _remove(table.sparkSession, table._scratch)
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -74,6 +81,31 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+#: Of the bitmaps of a Bloom filter: bits in each, bits of the filter for each key, and most bitmaps (32 MB, what is broadcast).
+BITMAP_BITS = 32768
+BITS_PER_KEY = 16
+MOST_BITMAPS = 8192
+
+
+def bit_set(bitmap: Column, position: Column) -> Column:
+    """Whether a bit of a bitmap made by bitmap_construct_agg is set."""
+    byte = F.conv(F.hex(F.substring(bitmap, F.shiftright(position, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return byte.bitwiseAND(F.pow(F.lit(2), F.pmod(position, F.lit(8))).cast("int")) > 0
+
+
+def possible_matches(rows: DataFrame, keys: DataFrame, key: str, hashes: int = 2) -> DataFrame:
+    """The rows whose key may be among ``keys``, and few others: a blocked Bloom filter of bounded size, broadcast."""
+    blocks = max(1, min(MOST_BITMAPS, -(-keys.count() * BITS_PER_KEY // BITMAP_BITS)))
+    block = F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).cast("int")
+    bit = lambda i: F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(BITMAP_BITS)).cast("int")
+    marked = keys.select(block.alias("_block"), F.explode(F.array(*[bit(i) for i in range(hashes)])).alias("_bit"))
+    bitmaps = marked.groupBy("_block").agg(F.bitmap_construct_agg("_bit").alias("_bitmap"))
+    joined = rows.withColumn("_block", block).join(F.broadcast(bitmaps), "_block")
+    for i in range(hashes):
+        joined = joined.where(bit_set(F.col("_bitmap"), bit(i)))
+    return joined.select(*rows.columns)
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, weight: str) -> DataFrame:
     """Inner join of ``rows`` with ``groups`` (one row per ``key``), whatever share of the rows one key has.
 
