@@ -16,7 +16,7 @@ HOT_GROUPS = 1024
 #: Input splits whose rows go to one file of a table that is much smaller than its input.
 SPLITS_PER_FILE = 4
 #: Most bytes of text in one Arrow batch sent to Python.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

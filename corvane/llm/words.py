@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes whose hashes are worked out at once; bounds the scratch memory.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 18
 
 
 def byte_table(is_word) -> np.ndarray:
