@@ -45,21 +45,28 @@ def _hadoop(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
-def _drop_at_end(spark: SparkSession, path: str) -> None:
-    """Remove ``path`` before the session stops, or else when its JVM ends."""
-    system, where = _hadoop(spark, path)
+def _drop_at_end(spark: SparkSession, folder: str) -> None:
+    """Make a folder that is removed before the session stops, or else when its JVM ends."""
+    system, where = _hadoop(spark, folder)
+    system.mkdirs(where)
     system.deleteOnExit(where)
-    if not hasattr(spark, "_scratch"):
-        spark._scratch, stop = {}, spark.stop
+    stop = spark.stop
 
-        def stop_clean() -> None:
-            for one, at in spark._scratch.values():
-                one.delete(at, True)
-            spark._scratch.clear()
-            stop()
+    def stop_clean() -> None:
+        if spark.sparkContext._jsc is not None:
+            system.delete(where, True)
+        stop()
 
-        spark.stop = stop_clean
-    spark._scratch[path] = (system, where)
+    spark.stop = stop_clean
+
+
+def new_folder(spark: SparkSession, hint: str) -> str:
+    """A path in the shared folder for files that go with the session."""
+    own = getattr(spark, "_scratch_folder", None)
+    if own is None:
+        own = spark._scratch_folder = f"{shared_folder(spark)}/corvane-{uuid.uuid4().hex}"
+        _drop_at_end(spark, own)
+    return f"{own}/{hint}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, hint: str = "table", merge: int = 1) -> DataFrame:
@@ -71,8 +78,7 @@ def written(df: DataFrame, hint: str = "table", merge: int = 1) -> DataFrame:
     spark = df.sparkSession
     if merge > 1 and "Exchange" not in df._jdf.queryExecution().executedPlan().toString():
         df = df.coalesce(max(1, -(-df.rdd.getNumPartitions() // merge)))
-    path = f"{shared_folder(spark)}/corvane/{hint}-{uuid.uuid4().hex}"
-    _drop_at_end(spark, path)
+    path = new_folder(spark, hint)
     clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # shuffle files go with the write that made them
     before = spark.conf.get(clean, "false")
     spark.conf.set(clean, "true")
@@ -87,10 +93,8 @@ def written(df: DataFrame, hint: str = "table", merge: int = 1) -> DataFrame:
 
 def discard(table: DataFrame) -> None:
     """Remove the files of a written table that nothing reads any more."""
-    spark = table.sparkSession
-    system, where = spark._scratch.pop(table._scratch)
+    system, where = _hadoop(table.sparkSession, table._scratch)
     system.delete(where, True)
-    system.cancelDeleteOnExit(where)
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, weight: str) -> DataFrame:
