@@ -1,16 +1,20 @@
 """Text expressions: tokens, stemming, word counts, HTML escaping, highlights and snippets.
 
-Everything here is a Column expression, so it runs inside the JVM and can be
-pushed, pruned and fused by the optimizer.
+All but the decoding of references is a Column expression, so it runs inside
+the JVM and can be pushed, pruned and fused by the optimizer.
 """
 
 from __future__ import annotations
 
-import re
+import html
 from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from corvane.scratch import join_groups, unused, written
 
 #: ASCII letters and digits, in runs that single hyphens and underscores may join.
 TOKEN = r"[a-zA-Z0-9]+(?:[_\-][a-zA-Z0-9]+)*"
@@ -130,17 +134,22 @@ def stem(word: Column) -> Column:
     return F.when(F.char_length(word) <= 2, F.lower(word)).otherwise(out)
 
 
-def exploded_tokens(docs: DataFrame, id_col: str, text_col: str, stopwords: Iterable[str] = STOPWORDS, stemming: bool = True) -> DataFrame:
-    """(id, position, normalized, stemmed) for every token that isn't a stopword.
+def with_stems(rows: DataFrame, word_col: str, stem_col: str) -> DataFrame:
+    """``rows`` with the stem of a word, worked out once for each distinct word.
 
-    The stem is worked out once per distinct word and joined back, so the long
-    expression doesn't run for every occurrence.
+    The vocabulary is written with the rows of each word; the commonest words
+    are joined by broadcast, so no task gets all rows of one.
     """
+    (n,) = unused([word_col, stem_col], "n")
+    counted = rows.groupBy(word_col).agg(F.count("*").alias(n))
+    vocabulary = written(counted.withColumn(stem_col, stem(F.col(word_col))), "vocabulary")
+    return join_groups(rows, vocabulary, word_col, n).drop(n)
+
+
+def exploded_tokens(docs: DataFrame, id_col: str, text_col: str, stopwords: Iterable[str] = STOPWORDS, stemming: bool = True) -> DataFrame:
+    """(id, position, normalized, stemmed) for every token that isn't a stopword."""
     each = docs.select(F.col(id_col), F.posexplode(terms(F.col(text_col), stopwords)).alias("position", "normalized"))
-    if not stemming:
-        return each.withColumn("stemmed", F.col("normalized"))
-    vocabulary = each.select("normalized").distinct().withColumn("stemmed", stem(F.col("normalized")))
-    return each.join(vocabulary, "normalized").select(id_col, "position", "normalized", "stemmed")
+    return with_stems(each, "normalized", "stemmed") if stemming else each.withColumn("stemmed", F.col("normalized"))
 
 
 def token_offsets(docs: DataFrame, id_col: str, text_col: str, stopwords: Iterable[str] = STOPWORDS, stemming: bool = True) -> DataFrame:
@@ -149,16 +158,15 @@ def token_offsets(docs: DataFrame, id_col: str, text_col: str, stopwords: Iterab
     Offsets are running sums of the lengths of the tokens and of what stands
     between them; positions count tokens that aren't stopwords.
     """
-    from pyspark.sql import Window
-
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text, stop = F.coalesce(F.col(text_col), F.lit("")), list(stopwords)
     parts = F.arrays_zip(matches(text).alias("raw"), F.slice(F.split(text, TOKEN, -1), F.lit(1), F.size(matches(text))).alias("gap"))
     each = docs.select(F.col(id_col), F.posexplode(parts).alias("i", "p")).select(id_col, "i", F.col("p.raw").alias("raw"), F.char_length("p.gap").alias("gap"))
     order = Window.partitionBy(id_col).orderBy("i")
     ends = each.withColumn("end_char", F.sum(F.col("gap") + F.char_length("raw")).over(order).cast("int"))
-    kept = ends.withColumn("normalized", F.lower("raw")).where(~F.col("normalized").isin(list(stopwords)) if list(stopwords) else F.lit(True))
-    named = kept.withColumns({"position": F.row_number().over(order) - 1, "start_char": F.col("end_char") - F.char_length("raw"), "stemmed": stem(F.col("normalized")) if stemming else F.col("normalized")})
-    return named.select(id_col, "position", "raw", "normalized", "stemmed", "start_char", "end_char")
+    kept = ends.withColumn("normalized", F.lower("raw")).where(~F.col("normalized").isin(stop) if stop else F.lit(True))
+    named = kept.withColumns({"position": F.row_number().over(order) - 1, "start_char": F.col("end_char") - F.char_length("raw")})
+    stemmed = with_stems(named, "normalized", "stemmed") if stemming else named.withColumn("stemmed", F.col("normalized"))
+    return stemmed.select(id_col, "position", "raw", "normalized", "stemmed", "start_char", "end_char")
 
 
 # --- words and HTML ---------------------------------------------------------------------------------------------
@@ -181,30 +189,26 @@ def escape_html(text: Column) -> Column:
 
 def strip_tags(text: Column) -> Column:
     """The text without tags and blanks around it."""
-    return F.regexp_replace(F.regexp_replace(text, "<[^>]+>", ""), r"(?U)^\s+|\s+$", "")
+    return stripped(F.regexp_replace(text, "<[^>]+>", ""))
 
 
-# The named references that pages use most.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&bull;", "•"), ("&euro;", "€"), ("&eacute;", "é"), ("&egrave;", "è"), ("&agrave;", "à"), ("&ccedil;", "ç"), ("&uuml;", "ü"), ("&ouml;", "ö"), ("&auml;", "ä"), ("&szlig;", "ß"), ("&ntilde;", "ñ"))
+@F.pandas_udf(T.StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
 
 
 def unescape_html(text: Column) -> Column:
-    """References decoded: numeric ones (decimal and hexadecimal, of characters up to U+FFFF) and the common names.
+    """All references of HTML decoded, named and numeric, each once and as browsers do it.
 
-    Only texts that have a reference do the work.
+    An Arrow UDF, since the names are a table of two thousand; only texts that
+    have an ampersand are sent to it.
     """
+    return F.coalesce(_unescaped(F.when(F.contains(text, F.lit("&")), text)), text)
 
-    def numeric(piece: Column) -> Column:
-        code = F.when(piece.rlike("^&#[xX]"), F.conv(F.regexp_extract(piece, "^&#[xX]([0-9a-fA-F]{1,4});", 1), 16, 10)).otherwise(F.regexp_extract(piece, "^&#([0-9]{1,5});", 1)).cast("int")
-        no_character = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0xFFFF)
-        return F.decode(F.unhex(F.lpad(F.hex(F.when(no_character, 0xFFFD).otherwise(code)), 4, "0")), "UTF-16BE")
 
-    pieces = F.split(text, r"(?=&#(?:[0-9]{1,5}|[xX][0-9a-fA-F]{1,4});)", -1)
-    head = r"^&#(?:[0-9]{1,5}|[xX][0-9a-fA-F]{1,4});"
-    decoded = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(head), F.concat(numeric(p), F.regexp_replace(p, head, ""))).otherwise(p)), "")
-    for name, plain in ENTITIES:
-        decoded = F.replace(decoded, F.lit(name), F.lit(plain))
-    return F.when(text.contains("&"), F.replace(decoded, F.lit("&amp;"), F.lit("&"))).otherwise(text)
+def stripped(text: Column) -> Column:
+    """The text without white space at both ends, as str.strip() gives it."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def highlight(text: Column, query_terms: Column) -> Column:
@@ -242,8 +246,3 @@ def snippet(text: Column, query_terms: Column, window: int = 40, step: int = 5)
         return F.when(n <= window, text).otherwise(let(start, around))
 
     return F.when(F.coalesce(text, F.lit("")) == "", "").otherwise(highlight(let(words(text), cut), query_terms))
-
-
-def escape_pattern(text: str) -> str:
-    """A literal for use in a pattern."""
-    return re.escape(text)
