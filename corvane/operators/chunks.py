@@ -47,14 +47,28 @@ def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ti
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("text"),
         (F.min("i") + 1).alias("start_line"), (F.max("i") + 1).alias("end_line"), F.max("level").alias("level"), F.max("name").alias("name"),
     )
-    stripped = joined.withColumn("text", F.regexp_replace("text", r"(?U)^\s+|\s+$", ""))
-    # the stack of headings: a fold over the headings so far
-    so_far = Window.partitionBy(id_col).orderBy("section").rowsBetween(Window.unboundedPreceding, 0)
-    steps = F.filter(F.collect_list(F.struct("level", "name")).over(so_far), lambda s: s["name"].isNotNull())
-    start = F.when(F.col("title").isNotNull() & (F.col("title") != ""), F.array("title")).otherwise(F.array().cast("array<string>"))
-    less = F.when(F.col("title").isNotNull() & (F.col("title") != ""), 1).otherwise(0)
-    stacked = stripped.withColumn("steps", steps).withColumn("headings", F.aggregate("steps", start, lambda a, s: F.concat(F.slice(a, F.lit(1), F.greatest(s["level"] - less, F.lit(0))), F.array(s["name"]))))
-    return stacked.where("text <> ''").select(id_col, "start_line", "end_line", "headings", "text")
+    stripped_sections = joined.withColumn("text", F.regexp_replace("text", r"(?U)^\s+|\s+$", ""))
+    return _stacked(stripped_sections, id_col).where("text <> ''").select(id_col, "start_line", "end_line", "headings", "text")
+
+
+def _stacked(parts: DataFrame, id_col: str) -> DataFrame:
+    """``parts`` (title, section, level, name) with ``headings``: the headings above and of each section.
+
+    A heading of level n stands at place min(places before it, n - 1) + 1, the
+    title (if there is one) at place 1 of a document.  So its place is a
+    running minimum, and the heading at a place is the last one that stood
+    there: nothing is folded, and a document of many headings costs no more
+    for each.
+    """
+    up_to = Window.partitionBy(id_col).orderBy("section")
+    titled = F.coalesce(F.col("title") != "", F.lit(False)).cast("int")
+    head = F.col("level").isNotNull()
+    order = F.sum(head.cast("int")).over(up_to)  # headings so far
+    least = F.min(F.when(head, F.greatest(F.col("level") - titled, F.lit(0)) + 1 - F.col("order"))).over(up_to)
+    placed = parts.withColumn("order", order).withColumn("place", F.col("order") + F.least(titled, F.coalesce(least, titled)))
+    at = lambda k: F.last(F.when(head & (F.col("place") == k), F.col("name")), ignorenulls=True).over(up_to)
+    first = F.coalesce(at(1), F.when(titled == 1, F.col("title")))
+    return placed.withColumn("headings", F.slice(F.array(first, *[at(k) for k in range(2, 8)]), F.lit(1), F.col("place").cast("int")))
 
 
 def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None, most: int = MAX_WORDS, least: int = MIN_WORDS, overlap: int = OVERLAP) -> DataFrame:

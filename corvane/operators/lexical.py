@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.text import STOPWORDS, exploded_tokens
+from corvane.functions.text import STOPWORDS, exploded_tokens, stem, terms
+from corvane.scratch import join_groups, new_folder, written
 
 K1, B = 1.5, 0.75
+#: Rows (query, term) that are broadcast at once; more queries are answered in blocks.
+BLOCK_TERMS = 500_000
 
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """postings(term, doc_id, term_freq, positions, doc_len), doc_stats(doc_id, doc_len), one row of corpus_stats."""
+    """postings(term, doc_id, term_freq, doc_len[, positions]), doc_stats(doc_id, doc_len), and optionally vocabulary(term, df).
+
+    A stored index is bucketed by document: all postings of a document are in
+    one bucket, sorted by term.  So a common term is spread over all buckets,
+    scores add up where the postings are read, and only the best documents of
+    each bucket move.
+    """
 
     postings: DataFrame
     doc_stats: DataFrame
+    counted: DataFrame | None = field(default=None)
 
     @property
     def corpus_stats(self) -> DataFrame:
@@ -28,7 +40,16 @@ class LexicalIndex:
     @property
     def vocabulary(self) -> DataFrame:
         """(term, df): the documents of each term."""
-        return self.postings.groupBy("term").agg(F.count("*").alias("df"))
+        return self.counted if self.counted is not None else self.postings.groupBy("term").agg(F.count("*").alias("df"))
+
+    @property
+    def doc_ids(self) -> DataFrame:
+        """(doc_id): the indexed documents."""
+        return self.doc_stats.select("doc_id")
+
+    def cleared(self) -> LexicalIndex:
+        """The index without any document."""
+        return LexicalIndex(self.postings.where(F.lit(False)), self.doc_stats.where(F.lit(False)))
 
     def without(self, removed: DataFrame, id_col: str = "doc_id") -> LexicalIndex:
         """The index without the documents whose ids are in ``removed``."""
@@ -40,28 +61,58 @@ class LexicalIndex:
         rest = self.without(added.doc_stats)
         return LexicalIndex(rest.postings.unionByName(added.postings), rest.doc_stats.unionByName(added.doc_stats))
 
-    def save(self, path: str) -> None:
-        """Write as Parquet, postings in the order of their terms so that a query's terms skip row groups."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
+    def save(self, path: str, buckets: int | None = None) -> LexicalIndex:
+        """Write as Parquet: postings bucketed by document, statistics, and the vocabulary. Returns the stored index."""
+        spark = self.postings.sparkSession
+        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        folder = path.rstrip("/")
+        name = f"corvane_postings_{uuid.uuid4().hex}"
+        dealt = self.postings.repartition(n, "doc_id")
+        dealt.write.mode("overwrite").bucketBy(n, "doc_id").sortBy("term", "doc_id").option("path", f"{folder}/postings").saveAsTable(name)
+        spark.sql(f"DROP TABLE {name}")  # the files stay
+        self.doc_stats.write.mode("overwrite").parquet(f"{folder}/doc_stats")
+        stored = spark.read.parquet(f"{folder}/postings")
+        stored.groupBy("term").agg(F.count("*").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/vocabulary")
+        spark.createDataFrame([(n,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/layout")
+        return LexicalIndex.load(spark, folder)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> LexicalIndex:
-        return LexicalIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_stats"))
+        """The index stored at ``path``; its postings are read as the buckets they were written in."""
+        folder = path.rstrip("/")
+        (n,) = spark.read.parquet(f"{folder}/layout").first()
+        plain = spark.read.parquet(f"{folder}/postings")
+        name = f"corvane_postings_{uuid.uuid4().hex}"
+        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet OPTIONS (path '{folder}/postings') CLUSTERED BY (doc_id) SORTED BY (term, doc_id) INTO {n} BUCKETS")
+        return LexicalIndex(spark.table(name), spark.read.parquet(f"{folder}/doc_stats"), spark.read.parquet(f"{folder}/vocabulary"))
+
+    def stored(self) -> LexicalIndex:
+        """The index written to the shared folder, for all queries of this session."""
+        return self.save(new_folder(self.postings.sparkSession, "index"))
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stopwords: Iterable[str] = STOPWORDS, stemming: bool = True, positions: bool = True) -> LexicalIndex:
-    """Index ``docs``. Documents without tokens count in the statistics with length 0.
+    """Index ``docs``, read once. Documents without tokens count in the statistics with length 0.
 
-    ``positions`` keeps where a term stands; scoring doesn't need it.
+    ``positions`` keeps where a term stands; scoring doesn't need it.  Tokens
+    are counted by document before they are stemmed, so a word is stemmed once
+    and joined to one row of each document; common words are spread.
     """
     renamed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    tokens = exploded_tokens(renamed, "doc_id", "text", stopwords, stemming)
-    counts = [F.count("*").cast("int").alias("term_freq"), *([F.sort_array(F.collect_list("position")).alias("positions")] if positions else [])]
-    found = tokens.groupBy(F.col("stemmed").alias("term"), "doc_id").agg(*counts)
-    lengths = found.groupBy("doc_id").agg(F.sum("term_freq").alias("doc_len"))
-    stats = renamed.select("doc_id").distinct().join(lengths, "doc_id", "left").select("doc_id", F.coalesce("doc_len", F.lit(0)).cast("long").alias("doc_len"))
-    return LexicalIndex(found.join(lengths, "doc_id"), stats)
+    tokens = renamed.select("doc_id", F.posexplode_outer(terms(F.col("text"), stopwords)).alias("position", "term"))
+    places = [F.collect_list("position").alias("positions")] if positions else []
+    # a document without tokens is a row without a term
+    words = written(tokens.groupBy("doc_id", "term").agg(F.count("position").cast("int").alias("term_freq"), *places), "words")
+    stats = words.groupBy("doc_id").agg(F.sum("term_freq").cast("long").alias("doc_len"))
+    found = words.where("term is not null")
+    if stemming:
+        vocabulary = written(found.groupBy("term").agg(F.count("*").alias("n")).withColumn("stem", stem(F.col("term"))), "vocabulary")
+        merged = join_groups(found, vocabulary, "term", "n").groupBy(F.col("stem").alias("term"), "doc_id")
+        found = merged.agg(F.sum("term_freq").cast("int").alias("term_freq"), *([F.flatten(F.collect_list("positions")).alias("positions")] if positions else []))
+    if positions:
+        found = found.withColumn("positions", F.sort_array("positions"))
+    return LexicalIndex(found.join(stats, "doc_id"), stats)
 
 
 def idf(df: Column, n_docs: Column) -> Column:
@@ -81,27 +132,36 @@ def bm25(index: LexicalIndex, terms: DataFrame, top_k: int = 50, k1: float = K1,
     ``terms``: (query_id, term).  With ``explain`` there are also
     matched_terms (sorted) and term_contributions (a map, 4 places).
 
-    Only postings of query terms are scored: Spark broadcasts the terms when
-    they are few, so postings don't shuffle on the term; the sums by (query,
-    document) are partly added up before their shuffle.
+    The weights of the asked terms are broadcast, in blocks of about
+    BLOCK_TERMS rows, and meet the postings where these are read.  On a stored
+    index scores are summed there too, and every bucket sends the best
+    ``top_k`` of each query; explanations are worked out for these alone.
     """
-    asked = terms.select("term").distinct()
-    live = index.postings.join(asked, "term", "left_semi")
-    df = live.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = terms.join(df, "term").crossJoin(F.broadcast(index.corpus_stats.select("n_docs", "avg_doc_len")))  # one row
-    weights = weighted.select("query_id", "term", idf(F.col("df"), F.col("n_docs")).alias("idf"), F.when(F.col("avg_doc_len") > 0, F.col("avg_doc_len")).otherwise(1.0).alias("avg_doc_len"))
+    totals = index.corpus_stats.select("n_docs", F.when(F.col("avg_doc_len") > 0, F.col("avg_doc_len")).otherwise(1.0).alias("avg_doc_len"))
+    weighted = terms.join(index.vocabulary, "term").crossJoin(F.broadcast(totals))  # one row
+    weights = written(weighted.select("query_id", "term", idf(F.col("df"), F.col("n_docs")).alias("idf"), "avg_doc_len").where("idf > 0"), "weights")
+    blocks = max(1, -(-weights.count() // BLOCK_TERMS))
     tf = F.col("term_freq")
     part = F.col("idf") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("doc_len") / F.col("avg_doc_len")))
-    scored = live.select("term", "doc_id", "term_freq", "doc_len").join(weights, "term").where("idf > 0").select("query_id", "doc_id", "term", part.alias("part"))
-    more = [F.sort_array(F.collect_list("term")).alias("matched_terms"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("term", F.round("part", 4))))).alias("term_contributions")] if explain else []
-    sums = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 9).alias("total"), *more)
+    live = index.postings.select("term", "doc_id", "term_freq", "doc_len")
     best = Window.partitionBy("query_id").orderBy(F.desc("total"), "doc_id")
-    ranked = sums.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
-    return ranked.select("query_id", "doc_id", "rank", F.round("total", 4).alias("score"), *[c for c in ("matched_terms", "term_contributions") if explain])
+
+    def block(k: int) -> DataFrame:
+        own = weights if blocks == 1 else weights.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+        sums = live.join(F.broadcast(own), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("total"))
+        return sums.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
+
+    ranked = reduce(DataFrame.union, [block(k) for k in range(blocks)])
+    columns = ["query_id", "doc_id", "rank", F.round("total", 4).alias("score")]
+    if not explain:
+        return ranked.select(*columns)
+    kept = written(ranked, "ranked")
+    parts = kept.join(weights, "query_id").join(live, ["doc_id", "term"]).select("query_id", "doc_id", "term", F.round(part, 4).alias("part"))
+    why = parts.groupBy("query_id", "doc_id").agg(F.sort_array(F.collect_list("term")).alias("matched_terms"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("term", "part")))).alias("term_contributions"))
+    return kept.join(why, ["query_id", "doc_id"]).select(*columns, "matched_terms", "term_contributions")
 
 
 def suggestions(index: LexicalIndex, prefix: str, top_k: int = 8) -> DataFrame:
     """(term, df): the commonest terms that begin with ``prefix``; none for a blank prefix."""
     clean = prefix.strip().lower()
-    found = index.postings.where(F.col("term").startswith(clean) if clean else F.lit(False)).groupBy("term").agg(F.count("*").alias("df"))
-    return found.orderBy(F.desc("df"), "term").limit(top_k)
+    return index.vocabulary.where(F.col("term").startswith(clean) if clean else F.lit(False)).orderBy(F.desc("df"), "term").limit(top_k)

@@ -46,14 +46,23 @@ def metric_means(per_query: DataFrame) -> DataFrame:
     return per_query.agg(F.count("*").alias("queries"), *[F.round(F.avg(c), 4).alias(c) for c in ("ndcg", "reciprocal_rank", "precision", "recall")])
 
 
-def upper_latency(values: Column, share: float = 0.95) -> Column:
-    """Element int(n x share) of the sorted values, counted from 0: the p95 of the evaluation tables."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.element_at(ordered, F.least(F.size(ordered), F.floor(F.size(ordered) * share).cast("int") + 1))
+def upper_latency(rows: DataFrame, value_col: str, by: list[str] | None = None, share: float = 0.95) -> DataFrame:
+    """(by..., value): element int(n x share) of the sorted values of each group, counted from 0: the p95 of the evaluation tables.
+
+    Values are counted before they are ordered, so what meets in a window is
+    one row for each distinct value.  Nulls are left out.
+    """
+    keys = by or []
+    counted = rows.where(F.col(value_col).isNotNull()).groupBy(*keys, value_col).agg(F.count("*").alias("n"))
+    order = Window.partitionBy(*keys).orderBy(value_col) if keys else Window.orderBy(value_col)
+    every = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    upto = counted.withColumns({"upto": F.sum("n").over(order), "all": F.sum("n").over(every)})
+    at = F.least(F.col("all") - 1, F.floor(F.col("all") * share))
+    return upto.where((F.col("upto") > at) & (F.col("upto") - F.col("n") <= at)).select(*keys, value_col)
 
 
 def markdown_table(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(line): a header, a rule, and a line for each row; for small result tables."""
+    """(line): a header, a rule, and a line for each row, in the order of the rows; for small result tables."""
     head = rows.sparkSession.createDataFrame([(0, "| " + " | ".join(columns) + " |"), (1, "|" + "---|" * len(columns))], "i long, line string")
-    body = rows.select(F.lit(2).cast("long").alias("i"), F.concat(F.lit("| "), F.concat_ws(" | ", *[F.col(c).cast("string") for c in columns]), F.lit(" |")).alias("line"))
-    return head.unionByName(body).orderBy("i", "line").select("line")
+    body = rows.select((F.monotonically_increasing_id() + 2).alias("i"), F.concat(F.lit("| "), F.concat_ws(" | ", *[F.col(c).cast("string") for c in columns]), F.lit(" |")).alias("line"))
+    return head.unionByName(body).orderBy("i").select("line")

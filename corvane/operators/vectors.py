@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.scratch import written
+
 SMALL_NORM = 1e-12
 #: Queries that are compared at once: the bound of what one broadcast holds.
 QUERY_BLOCK = 4096
@@ -36,46 +39,68 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return np.divide(rows, length, out=np.zeros_like(rows), where=length > SMALL_NORM)
 
 
+def _best(ids: np.ndarray, scores: np.ndarray, top_k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best ``top_k`` of every column of ``scores``, and their ids (one for each score); ties go to the least id."""
+    order = np.lexsort((ids, -scores), axis=0)[:top_k]
+    return np.take_along_axis(ids, order, axis=0), np.take_along_axis(scores, order, axis=0)
+
+
+def _near(vectors: DataFrame, asked: list, top_k: int, schema: T.StructType) -> DataFrame:
+    """(query_id, doc_id, total): of every partition of ``vectors`` (doc_id, v) the best of each query (query_id, q)."""
+    names = pa.array([r["query_id"] for r in asked])
+    rows = np.array([r["q"] for r in asked], dtype=np.float64)
+    length = np.linalg.norm(rows, axis=1, keepdims=True)
+    shared = vectors.sparkSession.sparkContext.broadcast(np.divide(rows, length, out=rows, where=length > SMALL_NORM))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = shared.value
+        kept: tuple[np.ndarray, np.ndarray] | None = None
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            scores = np.round(_matrix(batch.column(1), q.shape[1]) @ q.T, 9)
+            ids = np.broadcast_to(batch.column(0).to_numpy(zero_copy_only=False)[:, None], scores.shape)
+            if len(scores) > top_k:  # what can't be among the best goes before the sort
+                least = np.partition(scores, len(scores) - top_k, axis=0)[len(scores) - top_k]
+                some = (scores >= least).any(axis=1)
+                ids, scores = ids[some], scores[some]
+            both = (ids, scores) if kept is None else (np.concatenate([kept[0], ids]), np.concatenate([kept[1], scores]))
+            kept = _best(*both, top_k)
+        if kept is not None:
+            at = np.broadcast_to(np.arange(len(q))[None, :], kept[0].shape)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(at.ravel())), pa.array(kept[0].ravel(), kind), pa.array(kept[1].ravel())], names=["query_id", "doc_id", "total"])
+
+    return vectors.mapInArrow(run, schema)
+
+
 def cosine_top_k(queries: DataFrame, vectors: DataFrame, top_k: int = 50, query_id: str = "query_id", query_vector: str = "embedding", id_col: str = "doc_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, doc_id, rank, score (4 places): the nearest ``top_k`` vectors of every query; ties go to the least id.
 
-    Every partition of the vectors multiplies its batches with a block of the
-    queries and keeps its own best; only those meet in a shuffle by query.
-    Null vectors are left out; vectors of different sizes are an error.
+    Queries are taken in blocks of about QUERY_BLOCK, dealt by a hash of their
+    ids; the driver and the tasks hold one block at a time.  Every task
+    multiplies its batches of vectors with the block and carries the best
+    ``top_k`` of each query from batch to batch, so it sends so many rows of a
+    query and no more; these meet in a shuffle by query.  Null vectors are left
+    out; vectors of different sizes are an error.
     """
     spark = vectors.sparkSession
     asked = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("q"))
     slim = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(vector_col).alias("v"))
     schema = T.StructType([asked.schema["query_id"], slim.schema["doc_id"], T.StructField("total", T.DoubleType())])
-    found = None
-    block: list = []
-
-    def near(rows: list) -> DataFrame:
-        ids = pa.array([r["query_id"] for r in rows])
-        asked_matrix = np.array([r["q"] for r in rows], dtype=np.float64)
-        length = np.linalg.norm(asked_matrix, axis=1, keepdims=True)
-        asked_matrix = np.divide(asked_matrix, length, out=asked_matrix, where=length > SMALL_NORM)
-        shared = spark.sparkContext.broadcast(asked_matrix)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q = shared.value
-            for batch in batches:
-                scores = np.round(_matrix(batch.column(1), q.shape[1]) @ q.T, 9)
-                k = min(top_k, len(batch))
-                order = np.lexsort((np.broadcast_to(batch.column(0).to_numpy(zero_copy_only=False)[:, None], scores.shape), -scores), axis=0)[:k]
-                at = np.arange(len(q))[None, :].repeat(k, axis=0)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at.ravel())), batch.column(0).take(pa.array(order.ravel())), pa.array(scores[order, at].ravel())], names=["query_id", "doc_id", "total"])
-
-        return slim.mapInArrow(run, schema)
-
-    for row in asked.toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            found, block = (near(block) if found is None else found.union(near(block))), []
-    if block:
-        found = near(block) if found is None else found.union(near(block))
-    if found is None:
+    first = asked.take(QUERY_BLOCK + 1)
+    if not first:
         found = spark.createDataFrame([], schema)
+    elif len(first) <= QUERY_BLOCK:
+        found = _near(slim, first, top_k, schema)
+    else:
+        table = written(asked, "queries")
+        blocks = -(-table.count() // QUERY_BLOCK)
+        parts = []
+        for k in range(blocks):
+            block = table.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).collect()  # about QUERY_BLOCK rows
+            if block:
+                parts.append(written(_near(slim, block, top_k, schema), "near"))
+        found = reduce(DataFrame.union, parts)
     best = Window.partitionBy("query_id").orderBy(F.desc("total"), "doc_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k).select("query_id", "doc_id", "rank", F.round("total", 4).alias("score"))
 
