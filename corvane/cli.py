@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from corvane.operators.fusion import lexical_overlap
 from corvane.plans.search import SearchEngine, evaluate, with_snippets
-from corvane.sources.files import read_directory, read_file
-from corvane.sources.store import Store, chunk_numbers
+from corvane.sources.files import list_directory, read_directory, read_file
+from corvane.sources.store import Store, chunk_numbers, ingest_totals
 
 
 def engine_of(store: Store) -> SearchEngine:
@@ -42,8 +42,11 @@ def main(arguments: list[str] | None = None) -> DataFrame:
     store = Store(spark, args.store)
     match args.command:
         case "index":
-            files = read_file(spark, args.path) if args.file else read_directory(spark, args.path, not args.flat)
-            out = store.ingest(files)
+            if args.file:
+                out = store.ingest(read_file(spark, args.path))
+            else:
+                out = store.ingest(read_directory(spark, args.path, not args.flat, skip_unreadable=True), listed=list_directory(spark, args.path, not args.flat))
+            ingest_totals(out).show()
         case "search":
             asked = spark.createDataFrame([(0, args.query)], "query_id long, query string")
             out = with_snippets(engine_of(store).search(asked, args.mode, args.top_k, reranked=not args.no_rerank)).select("rank", "doc_id", "score", "title", "snippet").orderBy("rank")

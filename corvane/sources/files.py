@@ -27,11 +27,27 @@ def with_text(files: DataFrame) -> DataFrame:
     return files.select(F.col("path").alias("file_path"), F.element_at(F.split("path", "/"), -1).alias("file_name"), F.sha2(content, 256).alias("file_hash"), F.octet_length(content).cast("long").alias("file_size"), F.make_valid_utf8(content.cast("string")).alias("text"))
 
 
-def read_directory(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """All wanted files below ``root``. Only the files that pass the filter on their path are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
+def _below(files: DataFrame, root: str) -> DataFrame:
     plain = F.regexp_replace("path", r"^[a-z]+:/+", "/")
-    return with_text(files.where(wanted(plain, "/" + root.split(":")[-1].strip("/"))))
+    return files.where(wanted(plain, "/" + root.split(":")[-1].strip("/")))
+
+
+def list_directory(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+    """(file_path) of all wanted files below ``root``; no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
+    return _below(files, root).select(F.col("path").alias("file_path"))
+
+
+def read_directory(spark: SparkSession, root: str, recursive: bool = True, skip_unreadable: bool = False) -> DataFrame:
+    """All wanted files below ``root``. Only the files that pass the filter on their path are read.
+
+    An unreadable file is an error, or left out with ``skip_unreadable``; an
+    ingestion that gets list_directory besides reports it.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    if skip_unreadable:
+        reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    return with_text(_below(reader.load(root), root))
 
 
 def read_file(spark: SparkSession, path: str) -> DataFrame:

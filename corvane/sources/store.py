@@ -1,4 +1,4 @@
-"""Snapshots of documents, chunks and chunk vectors as Parquet tables."""
+"""A store of documents, chunks and chunk vectors as append-only Parquet tables."""
 
 from __future__ import annotations
 
@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.operators.chunks import chunk_documents
+from corvane.scratch import written
 
 DOCUMENTS = "file_path string, file_name string, file_hash string, file_size long, indexed_at timestamp"
 CHUNKS = "file_path string, chunk_id string, chunk_index int, content string, headings string, start_line int, end_line int, token_count int"
 VECTORS = "chunk_id string, embedding array<float>"
-TABLES = {"documents": DOCUMENTS, "chunks": CHUNKS, "vectors": VECTORS}
+#: What the log of a table has besides: the version of the document, and of documents whether it was removed.
+LOGS = {"documents": f"{DOCUMENTS}, version string, gone boolean", "chunks": f"{CHUNKS}, version string", "vectors": f"{VECTORS}, file_path string, version string"}
 
 
 @dataclass(frozen=True)
@@ -24,31 +26,45 @@ class Snapshot:
 
 
 class Store:
-    """A folder of snapshots. A write makes a new snapshot beside the old one and then names it current."""
+    """A folder with a log of each table.
+
+    A write appends what has changed, under a version of its own: first chunks
+    and vectors, then the documents that make them visible.  So a write costs
+    what it brings, a reader never sees half of one, and of two writers of one
+    document the later wins whole.  A reader takes the latest version of every
+    document and its chunks; ``compact`` drops the others.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _name(self) -> str | None:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
-        if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-            return None
-        row = self.spark.read.parquet(f"{self.path}/current").orderBy(F.desc("at")).first()
-        return row["name"] if row else None
+    def _there(self, folder: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
+
+    def _log(self, table: str) -> DataFrame:
+        system, where = self._there(f"{self.path}/{table}")
+        if not system.exists(where):
+            return self.spark.createDataFrame([], LOGS[table])
+        return self.spark.read.schema(LOGS[table]).parquet(f"{self.path}/{table}")
+
+    def _latest(self) -> DataFrame:
+        """The latest entry of every path; removed documents among them."""
+        log = self._log("documents")
+        latest = log.groupBy("file_path").agg(F.max_by(F.struct(*log.columns), F.struct("indexed_at", "version")).alias("d"))
+        return latest.select("d.*")
 
     def read(self) -> Snapshot:
-        """The current snapshot; empty tables if there is none."""
-        name = self._name()
-        if name is None:
-            return Snapshot(*[self.spark.createDataFrame([], schema) for schema in TABLES.values()])
-        return Snapshot(*[self.spark.read.schema(schema).parquet(f"{self.path}/{name}/{table}") for table, schema in TABLES.items()])
-
-    def write(self, snapshot: Snapshot) -> None:
-        name = f"snapshot-{uuid.uuid4().hex}"
-        for table in TABLES:
-            getattr(snapshot, table).write.parquet(f"{self.path}/{name}/{table}")
-        self.spark.range(1).select(F.lit(name).alias("name"), F.current_timestamp().alias("at")).write.mode("append").parquet(f"{self.path}/current")
+        """The documents that are there, with their chunks and vectors; empty tables if there are none."""
+        live = self._latest().where(~F.col("gone"))
+        key = live.select("file_path", "version")
+        own = lambda table: self._log(table).join(key, ["file_path", "version"], "left_semi")
+        names = lambda schema: [x.split()[0] for x in schema.split(", ")]
+        return Snapshot(live.select(*names(DOCUMENTS)), own("chunks").select(*names(CHUNKS)), own("vectors").select(*names(VECTORS)))
+
+    def _append(self, table: str, rows: DataFrame) -> None:
+        columns = [x.split()[0] for x in LOGS[table].split(", ")]
+        rows.select(*columns).write.mode("append").parquet(f"{self.path}/{table}")
 
     def document(self, file_path: str) -> DataFrame:
         """The document at a path; the filter reaches the Parquet scan."""
@@ -56,35 +72,50 @@ class Store:
 
     def delete(self, paths: DataFrame) -> None:
         """Remove documents (and their chunks and vectors) whose file_path is in ``paths``."""
-        now = self.read()
-        gone = paths.select("file_path").distinct()
-        chunks = now.chunks.join(gone, "file_path", "left_anti")
-        self.write(Snapshot(now.documents.join(gone, "file_path", "left_anti"), chunks, now.vectors.join(chunks.select("chunk_id"), "chunk_id", "left_semi")))
+        gone = self.read().documents.join(paths.select("file_path").distinct(), "file_path", "left_semi")
+        self._append("documents", gone.withColumns({"indexed_at": F.current_timestamp(), "version": F.lit(uuid.uuid4().hex), "gone": F.lit(True)}))
 
-    def ingest(self, files: DataFrame, vectors_of=None) -> DataFrame:
+    def ingest(self, files: DataFrame, vectors_of=None, listed: DataFrame | None = None) -> DataFrame:
         """Add or replace files (file_path, file_name, file_hash, file_size, text); returns (file_path, status, chunks).
 
         Files whose hash is known are skipped, and so are those without text.
-        ``vectors_of``: makes (chunk_id, embedding) from (chunk_id, content).
+        Of a path that occurs several times one row counts.  ``vectors_of``:
+        makes (chunk_id, embedding) from (chunk_id, content).  ``listed``:
+        (file_path) of files that should be among ``files``; those that aren't
+        could not be read and have the status error.
         """
-        now = self.read()
-        known = now.documents.select("file_path", "file_hash")
+        version = uuid.uuid4().hex
+        known = self.read().documents.select("file_path", "file_hash")
         fresh = files.dropDuplicates(["file_path"]).join(known, ["file_path", "file_hash"], "left_anti")
         cut = chunk_documents(fresh, "file_path", "text", "file_name")
-        chunks = cut.select("file_path", F.concat_ws("#", "file_path", "chunk_index").alias("chunk_id"), F.col("chunk_index").cast("int").alias("chunk_index"), "content", F.array_join("headings", " > ").alias("headings"), F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"), F.col("token_count").cast("int").alias("token_count"))
+        named = cut.select("file_path", F.concat_ws("#", "file_path", "chunk_index").alias("chunk_id"), F.col("chunk_index").cast("int").alias("chunk_index"), "content", F.array_join("headings", " > ").alias("headings"), F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"), F.col("token_count").cast("int").alias("token_count"))
+        chunks = written(named, "chunks")
         counts = chunks.groupBy("file_path").agg(F.count("*").alias("chunks"))
-        indexed = fresh.join(counts, "file_path").select("file_path", "file_name", "file_hash", "file_size", F.current_timestamp().alias("indexed_at"))
-        replaced = indexed.select("file_path")
-        old_chunks = now.chunks.join(replaced, "file_path", "left_anti")
-        vectors = vectors_of(chunks.select("chunk_id", "content")) if vectors_of else self.spark.createDataFrame([], VECTORS)
-        kept = now.vectors.join(old_chunks.select("chunk_id"), "chunk_id", "left_semi")
-        done = files.select("file_path").distinct().join(counts, "file_path", "left")
-        status = done.select("file_path", F.when(F.col("chunks").isNull(), "skipped").otherwise("indexed").alias("status"), F.coalesce("chunks", F.lit(0)).alias("chunks"))
-        self.write(Snapshot(now.documents.join(replaced, "file_path", "left_anti").unionByName(indexed), old_chunks.unionByName(chunks), kept.unionByName(vectors)))
-        return status
+        indexed = fresh.join(counts, "file_path").select("file_path", "file_name", "file_hash", "file_size", F.current_timestamp().alias("indexed_at"), F.lit(version).alias("version"), F.lit(False).alias("gone"))
+        every = files.select("file_path").distinct()
+        if listed is not None:
+            every = every.unionByName(listed.select("file_path").distinct().join(every, "file_path", "left_anti"))
+        done = every.join(counts, "file_path", "left").join(files.select("file_path", F.lit(True).alias("was_read")).distinct(), "file_path", "left")
+        status = F.when(F.col("was_read").isNull(), "error").when(F.col("chunks").isNull(), "skipped").otherwise("indexed")
+        out = written(done.select("file_path", status.alias("status"), F.coalesce("chunks", F.lit(0)).alias("chunks")), "statuses")
+        self._append("chunks", chunks.withColumn("version", F.lit(version)))
+        if vectors_of is not None:
+            made = vectors_of(chunks.select("chunk_id", "content")).join(chunks.select("chunk_id", "file_path"), "chunk_id")
+            self._append("vectors", made.withColumn("version", F.lit(version)))
+        self._append("documents", indexed)
+        return out
+
+    def compact(self) -> None:
+        """Keep only what ``read`` shows. For a store that nothing else writes to meanwhile."""
+        live = self._latest().where(~F.col("gone"))
+        key = live.select("file_path", "version")
+        tables = {"chunks": self._log("chunks").join(key, ["file_path", "version"], "left_semi"), "vectors": self._log("vectors").join(key, ["file_path", "version"], "left_semi"), "documents": live}
+        small = {name: written(rows, name) for name, rows in tables.items()}
+        for name, rows in small.items():
+            rows.select(*[x.split()[0] for x in LOGS[name].split(", ")]).write.mode("overwrite").parquet(f"{self.path}/{name}")
 
     def rehydrate(self) -> DataFrame:
-        """Documents with their chunks and vectors, numbered by path and chunk: one row per chunk that has a vector."""
+        """Documents with their chunks and vectors: one row per chunk that has a vector."""
         now = self.read()
         joined = now.documents.join(now.chunks, "file_path").join(now.vectors, "chunk_id")
         return joined.select("chunk_id", "file_path", "file_name", "chunk_index", "content", "headings", "start_line", "end_line", "embedding")
@@ -95,8 +126,22 @@ class Store:
         return now.documents.agg(F.count("*").alias("total_documents"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("total_bytes")).crossJoin(now.chunks.agg(F.count("*").alias("total_chunks")))
 
 
+def ingest_totals(statuses: DataFrame) -> DataFrame:
+    """One row for the statuses of an ingestion: indexed_files, skipped_files, total_chunks_created, errors."""
+    of = lambda name: F.coalesce(F.sum((F.col("status") == name).cast("int")), F.lit(0)).cast("long")
+    return statuses.agg(of("indexed").alias("indexed_files"), of("skipped").alias("skipped_files"), F.coalesce(F.sum("chunks"), F.lit(0)).cast("long").alias("total_chunks_created"), of("error").alias("errors"))
+
+
 def chunk_numbers(chunks: DataFrame) -> DataFrame:
-    """Chunks with a doc_id (long) in the order of path and chunk: equal for equal tables."""
+    """Chunks with a doc_id (long) in the order of path and chunk: equal for equal tables.
+
+    Paths are sorted over all partitions, and the chunks of the partitions
+    before are added to the running sum in each, so no task has all paths.
+    """
     files = chunks.groupBy("file_path").agg(F.count("*").alias("n"))
-    before = files.withColumn("base", F.sum("n").over(Window.orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)))
-    return chunks.join(before.select("file_path", F.coalesce("base", F.lit(0)).alias("base")), "file_path").withColumn("doc_id", (F.col("base") + F.col("chunk_index")).cast("long")).drop("base")
+    ordered = written(files.orderBy("file_path").withColumn("part", F.spark_partition_id()), "paths")
+    parts = ordered.groupBy("part").agg(F.sum("n").alias("all"))  # a row for each partition
+    earlier = parts.select("part", F.coalesce(F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    inside = ordered.withColumn("inside", F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = inside.join(F.broadcast(earlier), "part").select("file_path", (F.col("earlier") + F.col("inside")).alias("base"))
+    return chunks.join(before, "file_path").withColumn("doc_id", (F.col("base") + F.col("chunk_index")).cast("long")).drop("base")
