@@ -7,15 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.text import STOPWORDS, exploded_tokens, snippet, stem, strip_tags, terms, unescape_html, word_count
+from corvane.functions.text import exploded_tokens, snippet, stem, strip_tags, terms, unescape_html, word_count
 from corvane.functions.tools import conversion, formula, percentage
 from corvane.functions.url import clean_url, display_url, domain, is_sponsored
 from corvane.operators.chunks import chunk_windows
+from corvane.operators.containment import documents_holding
 from corvane.operators.fusion import lexical_overlap, reciprocal_rank_fusion, relative_score_fusion
 from corvane.operators.lexical import LexicalIndex, bm25, build_index, idf, query_terms, suggestions
 from corvane.operators.metrics import metric_means, retrieval_metrics
 from corvane.operators.vectors import cosine_top_k
+from corvane.plans import payload_queries, payload_sql
+from corvane.plans.payload_sql import STOP, escaped, marked
 from corvane.plans.search import SearchEngine
+from corvane.sources import evaluation
 from corvane.sources.payloads import page_card
 
 
@@ -23,8 +27,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Indices stored in the shared folder, by application, table (as its files are now) and stemming.
+_STORED: dict[tuple, LexicalIndex] = {}
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files of a table: what tells whether it has changed."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}*"))
+    return tuple((str(x.getPath()), x.getLen(), x.getModificationTime()) for x in found or [])
+
+
 def _index(spark: SparkSession, sf_dir: str, stemming: bool = False) -> LexicalIndex:
-    return build_index(_table(spark, sf_dir, "documents"), stemming=stemming, positions=False)
+    """The index of the documents: built and stored once in a session, and used by all queries after that."""
+    key = (spark.sparkContext.applicationId, sf_dir, stemming, _files(spark, f"{sf_dir}/documents.parquet"))
+    if key not in _STORED:
+        _STORED[key] = build_index(_table(spark, sf_dir, "documents"), stemming=stemming, positions=False).stored()
+    return _STORED[key]
 
 
 def _items(spark: SparkSession, sf_dir: str, stemming: bool = False) -> DataFrame:
@@ -77,7 +96,7 @@ def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = _table(spark, sf_dir, "conversations").where(F.col("role") == "user").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    turns = _table(spark, sf_dir, "conversations").where(F.col("role") == "user").select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), "text")
     return bm25(_index(spark, sf_dir), query_terms(turns, "query_id", "text", stemming=False), 3)
 
 
@@ -112,8 +131,8 @@ def hybrid_rsf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold an item's text: grade 2 if labelled of good quality, else 1."""
-    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
-    held = _table(spark, sf_dir, "documents").select("doc_id", "text").join(items, F.contains("text", "item"))
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    held = documents_holding(_table(spark, sf_dir, "documents"), items)
     labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
     return held.join(labels, "doc_id", "left").select("query_id", "doc_id", (1 + F.coalesce("quality", F.lit(0))).cast("double").alias("grade"))
 
@@ -188,11 +207,26 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole plan: fused, reranked by the stand-in scorer, with titles; the three best of every item."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), F.concat_ws(" ", "source", "lang").alias("title"))
     vectors = _vectors(spark, sf_dir).select("doc_id", "embedding")
-    engine = SearchEngine.of(docs, vectors, lambda asked: asked.join(_item_vectors(spark, sf_dir), "query_id").select("query_id", "embedding"), lexical_overlap, stemming=False)
+    engine = SearchEngine(docs, _index(spark, sf_dir), vectors, lambda asked: asked.join(_item_vectors(spark, sf_dir), "query_id").select("query_id", "embedding"), lexical_overlap, stemming=False)
     asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return engine.search(asked, "hybrid", 3).select("query_id", "rank", "doc_id", "score", "title", F.col("provenance.first_score").alias("fused_score"))
 
 
+def index_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary after every seventh document has gone and every fifth has been replaced."""
+    docs = _table(spark, sf_dir, "documents")
+    less = _index(spark, sf_dir).without(docs.where(F.col("doc_id") % 7 == 0))
+    new = docs.where((F.col("doc_id") % 5 == 1) & (F.col("doc_id") % 7 != 0)).select("doc_id", F.concat_ws(" ", F.lit("Replaced"), "lang", "source").alias("text"))
+    return less.plus(build_index(new, stemming=False, positions=False)).vocabulary
+
+
+def evaluation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluation set of six documents and six queries, ranked by BM25."""
+    docs, queries, judged = evaluation.evaluation_set(spark)
+    engine = SearchEngine.of(docs, stemming=False)
+    return retrieval_metrics(engine.search(queries, "bm25", 5, reranked=False), judged, 5)
+
+
 def event_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest event of each user and type: keep-first by an order."""
     order = Window.partitionBy("user_id", "event_type").orderBy(F.desc("ts"), F.desc("event_id"))
@@ -228,14 +262,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "formulas": formulas,
     "prefix_suggestions": prefix_suggestions,
     "latest_events": event_sources,
+    "index_updates": index_updates,
+    "evaluation_metrics": evaluation_metrics,
+    **payload_queries.QUERIES,
 }
 
-_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in STOPWORDS)
 _PATTERN = "'[a-zA-Z0-9]+(?:[_\\-][a-zA-Z0-9]+)*'"
 
 
 def _tokens(name: str, table: str, key: str, where: str = "true") -> str:
-    return f"{name} AS (SELECT id, term FROM (SELECT {key} AS id, lower(unnest(regexp_extract_all(coalesce(text, ''), {_PATTERN}))) AS term FROM {table} WHERE {where}) WHERE term NOT IN ({_STOP}))"
+    return f"{name} AS (SELECT id, term FROM (SELECT {key} AS id, lower(unnest(regexp_extract_all(coalesce(text, ''), {_PATTERN}))) AS term FROM {table} WHERE {where}) WHERE term NOT IN ({STOP}))"
 
 
 _BM25 = """
@@ -334,6 +370,16 @@ cleaned AS (
 _TITLE = "trim(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '<[^>]+>', '', 'g'))"
 _REFERENCES = """replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"""
 
+_RRF = """,
+fused AS (
+  SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.rank, 0) AS bm25_rank, coalesce(b.rank, 0) AS dense_rank,
+         round(coalesce(0.5 / (60 + a.rank), 0) + coalesce(0.5 / (60 + b.rank), 0), 9) AS total
+  FROM (SELECT * FROM lexical WHERE rank <= 30) a FULL JOIN (SELECT * FROM dense WHERE rank <= 30) b ON a.query_id = b.query_id AND a.doc_id = b.doc_id),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, doc_id) AS rank FROM fused)"""
+_NOT_WORD = r"[^\pL\pM\p{Nd}\p{Pc}]+"
+_LITERAL = "(VALUES " + ", ".join(f"({i}, '{text.replace(chr(39), chr(39) * 2)}')" for i, text, _ in evaluation.DOCUMENTS) + ") AS d(doc_id, text)"
+_ASKED = "(VALUES " + ", ".join(f"({i}, '{text}', {doc})" for i, (text, doc) in enumerate(evaluation.QUERIES)) + ") AS q(item_id, text, wanted)"
+
 SQL: dict[str, str] = {
     "token_frequencies": f"WITH {_tokens('tok', 'documents', 'doc_id')} SELECT term, count(*) AS n FROM tok GROUP BY term ORDER BY n DESC, term LIMIT 100",
     "corpus_statistics": f"""
@@ -353,17 +399,30 @@ SELECT query_id, doc_id, rank, string_agg(term, ' ' ORDER BY term) AS matched, s
 FROM lexical JOIN part USING (query_id, doc_id) WHERE rank <= 3 GROUP BY query_id, doc_id, rank""",
     "stems": f"WITH {_tokens('tok', 'documents', 'doc_id')}, vocabulary AS (SELECT DISTINCT term AS word FROM tok),{_STEMS} SELECT word, stem FROM stemmed",
     "conversation_search": f"""
-WITH {_tokens('doc_tok', 'documents', 'doc_id')}, {_tokens('query_tok', 'conversations', 'conv_id * 1000 + turn', "role = 'user'")},{_BM25}
+WITH {_tokens('doc_tok', 'documents', 'doc_id')}, {_tokens('query_tok', 'conversations', "conv_id || ':' || turn", "role = 'user'")},{_BM25}
 SELECT query_id, doc_id, rank, round(total, 4) AS score FROM lexical WHERE rank <= 3""",
     "cosine_top5": f"{_NEAREST} SELECT query_id, doc_id, rank, round(total, 4) AS score FROM best WHERE rank <= 5",
     "neighbour_labels": f"{_NEAREST} SELECT query_id, count(*) FILTER (label = own) AS same_label FROM best WHERE rank <= 10 GROUP BY query_id",
-    "hybrid_rrf": f"""{_SEARCH}{_DENSE},
-fused AS (
-  SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.rank, 0) AS bm25_rank, coalesce(b.rank, 0) AS dense_rank,
-         round(coalesce(0.5 / (60 + a.rank), 0) + coalesce(0.5 / (60 + b.rank), 0), 9) AS total
-  FROM (SELECT * FROM lexical WHERE rank <= 30) a FULL JOIN (SELECT * FROM dense WHERE rank <= 30) b ON a.query_id = b.query_id AND a.doc_id = b.doc_id),
-best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, doc_id) AS rank FROM fused)
-SELECT query_id, doc_id, rank, round(total, 5) AS score, bm25_rank, dense_rank FROM best WHERE rank <= 10""",
+    "hybrid_rrf": f"{_SEARCH}{_DENSE}{_RRF} SELECT query_id, doc_id, rank, round(total, 5) AS score, bm25_rank, dense_rank FROM best WHERE rank <= 10",
+    "hybrid_search": f"""{_SEARCH}{_DENSE}{_RRF},
+own AS (SELECT query_id, list(term) AS terms FROM ask GROUP BY query_id), held AS (SELECT id, list(DISTINCT term) AS terms FROM doc_tok GROUP BY id),
+pool AS (
+  SELECT b.query_id, b.doc_id, b.rank AS place, round(b.total, 5) AS fused_score, concat_ws(' ', d.source, d.lang) AS title,
+         CASE WHEN o.terms IS NULL THEN 0.0 ELSE len(list_intersect(o.terms, coalesce(h.terms, []))) / len(o.terms) END AS share
+  FROM best b JOIN documents d ON d.doc_id = b.doc_id LEFT JOIN own o ON o.query_id = b.query_id LEFT JOIN held h ON h.id = b.doc_id WHERE b.rank <= 30),
+scored AS (SELECT *, round(1 / (1 + exp(4 - 8.0 * share)), 4) AS score FROM pool)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place) AS rank, doc_id, score, title, fused_score FROM scored QUALIFY rank <= 3""",
+    "snippets": f"""{_SEARCH},
+best AS (SELECT query_id, doc_id FROM lexical WHERE rank = 1),
+own AS (SELECT id AS query_id, list(DISTINCT term) FILTER (length(term) > 1) AS terms, string_agg(term, '|') FILTER (length(term) > 1) AS p FROM query_tok GROUP BY id),
+cut AS (SELECT query_id, doc_id, text, terms, p, [x FOR x IN regexp_split_to_array(text, '\\s+') IF x <> ''] AS w FROM best JOIN own USING (query_id) JOIN documents USING (doc_id)),
+hit AS (SELECT *, [list_contains(terms, lower(regexp_replace(x, '{_NOT_WORD}', '', 'g')))::INT FOR x IN w] AS h FROM cut),
+start AS (SELECT query_id, doc_id, unnest(range(0, greatest(len(w) - 40, 0) + 1, 5)) AS i, h FROM hit),
+place AS (SELECT query_id, arg_min(i, struct_pack(a := -list_sum(h[i + 1:i + 40]), b := i)) AS i FROM start GROUP BY query_id),
+body AS (
+  SELECT query_id, doc_id, p, CASE WHEN len(w) <= 40 THEN text ELSE CASE WHEN i > 0 THEN '...' ELSE '' END || array_to_string(w[i + 1:i + 40], ' ') || CASE WHEN i + 40 < len(w) THEN '...' ELSE '' END END AS s FROM hit JOIN place USING (query_id)),
+plain AS (SELECT query_id, doc_id, p, {escaped('s')} AS e FROM body)
+SELECT query_id, doc_id, {marked('e', 'p')} AS snippet FROM plain""",
     "hybrid_rsf": f"""{_SEARCH}{_DENSE},
 a AS (SELECT query_id, doc_id, round(total, 4) AS s, max(round(total, 4)) OVER q AS hi, min(round(total, 4)) OVER q AS lo FROM lexical WHERE rank <= 30 WINDOW q AS (PARTITION BY query_id)),
 b AS (SELECT query_id, doc_id, round(total, 4) AS s, max(round(total, 4)) OVER q AS hi, min(round(total, 4)) OVER q AS lo FROM dense WHERE rank <= 30 WINDOW q AS (PARTITION BY query_id)),
@@ -397,5 +456,15 @@ SELECT conv_id, turn, sha256 FROM (SELECT conv_id, turn, sha256(coalesce(text, '
     "percentages": "SELECT o_orderkey, format('{:g}', 0.15::DOUBLE * printf('%.2f', o_totalprice)::DOUBLE) AS result FROM orders",
     "formulas": "SELECT p_partkey, format('{:g}', round(4 * (p_size + 8) / 7.0::DOUBLE, 8)) AS result FROM part",
     "prefix_suggestions": f"WITH {_tokens('tok', 'documents', 'doc_id')} SELECT term, count(DISTINCT id) AS df FROM tok WHERE starts_with(term, 'th') GROUP BY term ORDER BY df DESC, term LIMIT 8",
+    "conversation_stems": f"WITH vocabulary AS (SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce(text, '')), {_PATTERN})) AS word FROM conversations),{_STEMS} SELECT word, stem FROM stemmed",
+    "index_updates": f"""
+WITH now AS (SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN 'Replaced ' || lang || ' ' || source ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0), {_tokens('tok', 'now', 'doc_id')}
+SELECT term, count(DISTINCT id) AS df FROM tok GROUP BY term""",
+    "evaluation_metrics": f"""
+WITH documents AS (SELECT * FROM {_LITERAL}), benchmark AS (SELECT * FROM {_ASKED}), {_tokens('doc_tok', 'documents', 'doc_id')}, {_tokens('query_tok', 'benchmark', 'item_id')},{_BM25},
+found AS (SELECT query_id, rank FROM lexical JOIN benchmark ON item_id = query_id AND wanted = doc_id WHERE rank <= 5)
+SELECT item_id AS query_id, round(coalesce(1 / log2(rank + 1), 0), 4) AS ndcg, round(coalesce(1.0 / rank, 0), 4) AS reciprocal_rank, CASE WHEN rank IS NULL THEN 0.0 ELSE 0.2 END AS precision, CASE WHEN rank IS NULL THEN 0.0 ELSE 1.0 END AS recall
+FROM benchmark LEFT JOIN found ON item_id = query_id""",
     "latest_events": "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
+    **payload_sql.SQL,
 }
