@@ -1,4 +1,10 @@
-"""A corpus pipeline of five operators, each over all that the one before kept."""
+"""A corpus pipeline of five operators, each over all that the one before kept.
+
+Every stage takes documents with null ids, texts, languages and sources,
+repeated rows, texts of any length, tables without rows, and columns beside
+those of documents (which it drops, whatever their names).  What a stage does
+with nulls and repeats is said below; a stage without rows returns none.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +16,7 @@ from corvane.llm.line_dedup import line_dedup
 from corvane.llm.mixing import mixed_documents
 from corvane.llm.ngram_join import one_of_each
 from corvane.llm.quality import quality_filter
-from corvane.llm.shared import written
+from corvane.scratch import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -21,27 +27,33 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; those it rejects go."""
+    """Documents that the quality classifier accepts, unchanged; those it rejects go.
+
+    Null and empty texts are scored like any other; repeated rows share their fate.
+    """
     return quality_filter(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that recur in others."""
+    """Every document, without the lines that recur in others. A null text becomes empty; repeated rows count as one document."""
     return _columns(line_dedup(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity 0.8)."""
+    """One document of each group of near copies (five words, similarity 0.8), the one with the least id.
+
+    Documents without words or id are no copies and stay; of repeated rows one stays.
+    """
     return one_of_each(docs).select(*COLUMNS)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the passages of the benchmark cut from their texts."""
+    """Every document, with the passages of the benchmark cut from its text. A null text stays null."""
     return _columns(decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, and how often (repeats)."""
+    """Documents that the mix takes, and how often (repeats, 1 or 2). Null is a source of its own; repeated rows are taken alike."""
     return mixed_documents(docs).select(*COLUMNS, "repeats")
 
 

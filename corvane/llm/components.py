@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import join_groups, written
+from corvane.scratch import join_groups, written
 
 
 def _smallest_neighbours(both: DataFrame) -> DataFrame:

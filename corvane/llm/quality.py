@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm import words as W
-from corvane.llm.shared import SPLITS_PER_FILE, bounded_batches, written
+from corvane.llm.shared import bounded_batches
+from corvane.scratch import SPLITS_PER_FILE, written
 
 FOURIER_FEATURES = 256
 KERNEL_WIDTH = 4.0

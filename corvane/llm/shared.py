@@ -1,20 +1,12 @@
-"""Shared folders, written intermediate tables and skew-safe joins."""
+"""What the operators share: bounded Arrow batches, ASCII lower case, and Bloom filters of bounded size."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Groups that are joined by broadcast because they may be hot. Any other group
-#: holds less than 1/HOT_GROUPS of the rows, so no task of a shuffle gets more.
-HOT_GROUPS = 1024
-#: Input splits whose rows go to one file of a table that is much smaller than its input.
-SPLITS_PER_FILE = 4
+from corvane.scratch import unused
+
 #: Most bytes of text in one Arrow batch sent to Python.
 BATCH_BYTES = 2 << 20
 
@@ -22,53 +14,6 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one on a local master."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="corvane-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None:  # after stop() there is nothing to ask
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def written(df: DataFrame, hint: str = "table", merge: int = 1) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage, and outlives executors. Removed when the driver exits.
-
-    ``merge``: for frames without a shuffle, the input splits that one task
-    (and file) takes; their rows are much smaller than what they are made of.
-    """
-    spark = df.sparkSession
-    if merge > 1 and "Exchange" not in df._jdf.queryExecution().executedPlan().toString():
-        df = df.coalesce(max(1, -(-df.rdd.getNumPartitions() // merge)))
-    path = f"{shared_folder(spark)}/corvane/{hint}-{uuid.uuid4().hex}"
-    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # shuffle files go with the write that made them
-    before = spark.conf.get(clean, "false")
-    spark.conf.set(clean, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(clean, before)
-    atexit.register(_remove, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def discard(table: DataFrame) -> None:
-    """Remove the files of a written table that nothing reads any more."""
-    _remove(table.sparkSession, table._scratch)
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Bound the bytes of an Arrow batch, unless the session has a bound of its own."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -81,9 +26,10 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-#: Of the bitmaps of a Bloom filter: bits in each, bits of the filter for each key, and most bitmaps (32 MB, what is broadcast).
+#: Of a Bloom filter: bits in one of its bitmaps, bits for each key, bits set by each key, and most bitmaps (32 MB, what is broadcast).
 BITMAP_BITS = 32768
 BITS_PER_KEY = 16
+BIT_HASHES = 3
 MOST_BITMAPS = 8192
 
 
@@ -93,31 +39,36 @@ def bit_set(bitmap: Column, position: Column) -> Column:
     return byte.bitwiseAND(F.pow(F.lit(2), F.pmod(position, F.lit(8))).cast("int")) > 0
 
 
-def possible_matches(rows: DataFrame, keys: DataFrame, key: str, hashes: int = 2) -> DataFrame:
-    """The rows whose key may be among ``keys``, and few others: a blocked Bloom filter of bounded size, broadcast."""
-    blocks = max(1, min(MOST_BITMAPS, -(-keys.count() * BITS_PER_KEY // BITMAP_BITS)))
-    block = F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).cast("int")
-    bit = lambda i: F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(BITMAP_BITS)).cast("int")
-    marked = keys.select(block.alias("_block"), F.explode(F.array(*[bit(i) for i in range(hashes)])).alias("_bit"))
-    bitmaps = marked.groupBy("_block").agg(F.bitmap_construct_agg("_bit").alias("_bitmap"))
-    joined = rows.withColumn("_block", block).join(F.broadcast(bitmaps), "_block")
-    for i in range(hashes):
-        joined = joined.where(bit_set(F.col("_bitmap"), bit(i)))
-    return joined.select(*rows.columns)
+class Bloom:
+    """A blocked Bloom filter of the values of ``key`` in ``keys``, as a table of bitmaps that is broadcast.
 
-
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, weight: str) -> DataFrame:
-    """Inner join of ``rows`` with ``groups`` (one row per ``key``), whatever share of the rows one key has.
-
-    The HOT_GROUPS heaviest groups (by the column ``weight``) are broadcast, a
-    bounded table.  Their rows are spread over all partitions of the shuffle
-    join that serves the other keys.
+    It has at most MOST_BITMAPS bitmaps.  More keys than these hold
+    (MOST_BITMAPS * BITMAP_BITS / BITS_PER_KEY, 16.8 million) make it say yes
+    too often, but never no to a key it holds.
     """
-    values = [c for c in groups.columns if c != key]
-    packed = groups.select(F.col(key).alias("_key"), F.struct(*values).alias("_cold"), F.lit(0).alias("_slot"))
-    hot = groups.orderBy(F.desc(weight), key).limit(HOT_GROUPS).select(F.col(key).alias("_hot_key"), F.struct(*values).alias("_hot"))
-    spread = F.pmod(F.hash(*rows.columns), F.lit(1 << 20)) + 1
-    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left").withColumn("_at", F.when(F.col("_hot").isNull(), 0).otherwise(spread))
-    both = marked.join(packed, (F.col(key) == F.col("_key")) & (F.col("_at") == F.col("_slot")), "left")
-    found = both.withColumn("_found", F.coalesce("_hot", "_cold")).where(F.col("_found").isNotNull())
-    return found.select(*rows.columns, *[F.col(f"_found.{c}").alias(c) for c in values])
+
+    def __init__(self, keys: DataFrame, key: str):
+        self.blocks = max(1, min(MOST_BITMAPS, -(-keys.count() * BITS_PER_KEY // BITMAP_BITS)))
+        block, bits = self._places(F.col(key))
+        marked = keys.select(block.alias("block"), F.explode(F.array(*bits)).alias("bit"))
+        self.bitmaps = marked.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+
+    def _places(self, value: Column) -> tuple[Column, list[Column]]:
+        return F.pmod(F.xxhash64(value), F.lit(self.blocks)).cast("int"), [F.pmod(F.xxhash64(value, F.lit(i)), F.lit(BITMAP_BITS)).cast("int") for i in range(BIT_HASHES)]
+
+    def flagged(self, rows: DataFrame, value: Column, flag: str) -> DataFrame:
+        """``rows`` with a boolean ``flag``: whether ``value`` may be among the keys. No shuffle."""
+        place, bitmap = unused([*rows.columns, flag], "_block", "_bitmap")
+        block, bits = self._places(value)
+        table = self.bitmaps.select(F.col("block").alias(place), F.col("bitmap").alias(bitmap))
+        joined = rows.join(F.broadcast(table), block == F.col(place), "left")
+        hit = F.col(bitmap).isNotNull()
+        for bit in bits:
+            hit = hit & bit_set(F.col(bitmap), bit)
+        return joined.withColumn(flag, F.coalesce(hit, F.lit(False))).select(*rows.columns, flag)
+
+
+def possible_matches(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key may be among ``keys``, and few others."""
+    (flag,) = unused(rows.columns, "_maybe")
+    return Bloom(keys, key).flagged(rows, F.col(key), flag).where(flag).drop(flag)
