@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corvane.llm.exact_dedup import exact_dedup, kept_documents, possible_repeats
 from corvane.llm.line_dedup import line_dedup
 from corvane.llm.mixing import mix_to_targets, mixed_documents, source_targets
-from corvane.llm.shared import join_groups
+from corvane.scratch import join_groups
 from corvane.llm.warc import canonical_url, page_records, resolve_revisits
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -44,8 +44,8 @@ def test_bloom_filter_never_misses_a_repeat(spark):
     counts = Counter(x for (x,) in rows)
     assert all(by[k] == {True} for k, n in counts.items() if n > 1)
     assert sum(by[k] == {True} for k, n in counts.items() if n == 1) < 60
-    full = possible_repeats(spark.createDataFrame(rows, "fp string"), "fp", most_blocks=1)
-    assert all(r.repeated for r in full.collect() if counts[r.fp] > 1)
+    full = possible_repeats(spark.createDataFrame(rows, "fp string"), "fp", round_slots=100)  # several rounds
+    assert {(r.fp, r.repeated) for r in full.collect()} == {(k, n > 1) for k, n in counts.items()}
 
 
 def test_exact_dedup_with_a_normaliser(spark):
