@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import SPLITS_PER_FILE, written
+from corvane.scratch import SPLITS_PER_FILE, unused, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 HASH_BITS = 60
@@ -29,27 +29,43 @@ def hash60(id_column: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(id_column.cast("string"), F.lit("null"))), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
+def _places(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with ``place``: the number of sources before each, in code-point order, null last.
+
+    Sources are sorted over all partitions; a row's place is its place in its
+    partition and the rows of the partitions before, so no task has them all.
+    """
+    ordered = written(sizes.orderBy(F.col("source").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id()), "ordered")
+    part, within = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # a row for each partition
+    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return ordered.join(F.broadcast(before), part == F.col("part")).select(*sizes.columns, (F.col("before") + within).alias("place"))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most_repeats: float = MOST_REPEATS) -> DataFrame:
     """(source, source_size) -> with target: ``share`` of all sizes split by weight, at most ``most_repeats`` times each size, the excess reshared.
 
     Sources are put in code-point order, null last, and take the weights in
-    turn.  A source below its cap gets weight x level, so sources reach their
-    caps in the order of cap / weight; running sums in that order find the level.
+    turn.  A source below its cap gets weight x level.  The level rises in
+    steps, each one sum over the sources: those whose share exceeds their cap
+    stop there, and what they leave is shared by the rest, until none exceeds.
     """
-    in_turn = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(in_turn) - 1) % len(weights) + 1).cast("int"))
-    base = sizes.withColumns({"weight": turn, "cap": F.col("source_size") * most_repeats})
-    before = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    budget = F.sum("source_size").over(whole) * share
-    rest = F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    level = (budget - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / rest
-    staged = base.withColumns({"level": level, "ratio": F.col("cap") / F.col("weight")})
-    # the first source that stays below its cap; of equal ratios the first has the highest level
-    first = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", (-F.col("level")).alias("fall")))).over(whole)
-    found = staged.withColumn("level", -first["fall"])
-    target = F.least(F.col("cap"), F.col("weight") * F.coalesce("level", F.lit(float("inf"))))
-    return found.select("source", "source_size", F.round(target, 6).alias("target"))
+    turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    base = written(_places(sizes).select("source", "source_size", turn.alias("weight"), (F.col("source_size") * float(most_repeats)).alias("cap")), "weights")
+    level = 0.0
+    budget = (base.agg(F.sum("source_size")).first()[0] or 0) * share
+    while True:
+        full = F.col("weight") * level > F.col("cap")
+        spent, open_weight = base.agg(F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0))).first()
+        if not open_weight:
+            level = float("inf")
+            break
+        risen = (budget - spent) / open_weight
+        if risen <= level:
+            break
+        level = risen
+    target = F.least(F.col("cap"), F.col("weight") * F.lit(level))
+    return base.select("source", "source_size", F.round(target, 6).alias("target"))
 
 
 def source_bounds(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most_repeats: float = MOST_REPEATS) -> DataFrame:
@@ -90,6 +106,9 @@ def mix_to_targets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     alike.  A null id hashes like any other value.  Sources without words have
     target 0.  An empty table gives an empty result.  Other columns are ignored.
     ``settings``: weights, share and most_repeats, as source_targets has them.
+    most_repeats bounds what a source gives, in multiples of its size; where it
+    isn't whole, the documents of a source at its cap are taken either the
+    whole number below it or the one above, so that together they give it.
     """
     sized = _sized(docs, id_col, text_col, source_col)
     bounds = source_bounds(sized, **settings).withColumnRenamed("source", "_source")
@@ -99,9 +118,15 @@ def mix_to_targets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, with a column repeats (1 or more). Texts don't shuffle."""
+    """The rows of ``docs`` that the mix takes, with a column repeats (1 or more). Texts don't shuffle.
+
+    Nulls, repeated rows, empty tables and ``settings`` as in mix_to_targets;
+    a column repeats of the input is replaced, all others pass through,
+    whatever their names.
+    """
+    of, whole, last = unused([*docs.columns, "repeats"], "_source", "_whole", "_last")
     bounds = source_bounds(_sized(docs, id_col, text_col, source_col), **settings)
-    table = bounds.select(F.col("source").alias("_source"), F.col("whole").alias("_whole"), F.col("last").alias("_last"))
-    joined = docs.join(table, docs[source_col].eqNullSafe(F.col("_source")))
-    repeats = F.col("_whole") + (hash60(F.col(id_col)) <= F.col("_last")).cast("int")
-    return joined.withColumn("repeats", repeats).where("repeats > 0").drop("_source", "_whole", "_last")
+    table = bounds.select(F.col("source").alias(of), F.col("whole").alias(whole), F.col("last").alias(last))
+    joined = docs.join(table, docs[source_col].eqNullSafe(F.col(of)))
+    repeats = F.col(whole) + (hash60(docs[id_col]) <= F.col(last)).cast("int")
+    return joined.withColumn("repeats", repeats).where("repeats > 0").drop(of, whole, last)
