@@ -5,68 +5,76 @@ SHARD_WORDS words, with an overlap that no window outgrows).  Its words are
 numbered, its suffixes sorted, and the windows of the benchmark found by
 backward search; occurrences are located from sampled suffix positions and
 merged into spans of words.
+
+The benchmark is broadcast in blocks.  Up to PASS_BYTES of it take one pass
+over the documents.  A larger one takes several: each broadcasts its blocks,
+writes the few documents it hits with their spans, and frees the blocks; in
+the end the spans of each document are merged and cut.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm import words as W
 from corvane.llm.fm_index import FMIndex
 from corvane.llm.shared import bounded_batches
+from corvane.scratch import unused, written
 
 WINDOW = 10
 SHARD_WORDS = 2_000_000
-#: Benchmark text is broadcast in blocks of about this many bytes.
-BLOCK_BYTES = 8 << 20
-#: Occurrences located at once.
+#: Benchmark text of one block, and of one pass: what is broadcast at once. A block takes about 5 bytes for each byte of text.
+BLOCK_BYTES = 4 << 20
+PASS_BYTES = 16 << 20
+#: Windows searched, and occurrences located, at once.
+SEARCH_ROWS = 1 << 16
 LOCATE_ROWS = 1 << 20
 ADDED = {"n_words": T.LongType(), "n_hit": T.LongType(), "items": T.ArrayType(T.StringType()), "spans": T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))}
 
 
 class Block:
-    """The distinct windows of some benchmark items, by length, and the items of each window."""
+    """The words of some benchmark items, and by length the places where their windows begin and the item of each."""
 
-    def __init__(self, ids: list[str], texts: list[str | None], window: int):
+    def __init__(self, ids: list[str], texts: list[str], window: int):
         data, offsets = W.text_bytes(pa.array(texts, pa.large_string()))
         data = W.LOWER[data]
         starts, ends, counts = W.word_bounds(data, offsets, W.ALNUM)
-        hashes = W.word_hashes(data, starts, ends)
         self.ids = ids
-        self.by_length: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
-        found: dict[int, dict[bytes, set[int]]] = {}
-        at = 0
-        for item, n in enumerate(counts.tolist()):
-            own, at = hashes[at : at + n], at + n
-            length = min(n, window)
-            for k in range(n - length + 1 if n else 0):
-                found.setdefault(length, {}).setdefault(own[k : k + length].tobytes(), set()).add(item)
-        for length, windows in found.items():
-            self.by_length[length] = (np.frombuffer(b"".join(windows), dtype=np.uint64).reshape(-1, length), [sorted(x) for x in windows.values()])
-
-
-def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> Iterator[Block]:
-    """The benchmark in blocks of bounded size, read partition by partition."""
+        self.hashes = W.word_hashes(data, starts, ends)
+        length = np.minimum(counts, window)
+        n = np.where(counts > 0, counts - length + 1, 0)
+        item = np.repeat(np.arange(len(counts), dtype=np.int32), n)
+        at = np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(np.cumsum(counts) - counts, n)
+        self.by_length = {int(x): (at[length[item] == x].astype(np.int32), item[length[item] == x]) for x in np.unique(length[n > 0])}
+
+
+def benchmark_passes(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> Iterator[list[Block]]:
+    """The blocks of each pass, of bounded size together, read partition by partition. Items without id or text are left out."""
+    blocks: list[Block] = []
     ids: list[str] = []
-    texts: list[str | None] = []
-    size = 0
-    for item, text in benchmark.selectExpr(f"cast(`{id_col}` as string)", f"`{text_col}`").toLocalIterator():
-        if item is None or text is None:
-            continue
+    texts: list[str] = []
+    size = taken = 0
+    for item, text in benchmark.select(F.col(id_col).cast("string"), F.col(text_col)).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).toLocalIterator():
         ids.append(item)
         texts.append(text)
         size += len(text)
         if size >= BLOCK_BYTES:
-            yield Block(ids, texts, window)
-            ids, texts, size = [], [], 0
+            blocks.append(Block(ids, texts, window))
+            taken, size, ids, texts = taken + size, 0, [], []
+            if taken >= PASS_BYTES:
+                yield blocks
+                blocks, taken = [], 0
     if ids:
-        yield Block(ids, texts, window)
+        blocks.append(Block(ids, texts, window))
+    if blocks:
+        yield blocks
 
 
 def search_shard(hashes: np.ndarray, rows: np.ndarray, blocks: list[Block], covered: np.ndarray, at: int, items: dict[int, set[str]]) -> None:
@@ -81,31 +89,37 @@ def search_shard(hashes: np.ndarray, rows: np.ndarray, blocks: list[Block], cove
     word_of[place] = np.arange(len(number))
     index = FMIndex(seq, len(known))
     for block in blocks:
-        for length, (windows, owners) in block.by_length.items():
-            where = np.searchsorted(known, windows)
-            where[where == len(known)] = 0
-            there = np.flatnonzero((known[where] == windows).all(axis=1))
-            if not len(there):
-                continue
-            pattern, low, high = index.search(where[there] + 1)
-            counts = high - low
-            ends = np.cumsum(counts)
-            for first in range(0, int(ends[-1]) if len(ends) else 0, LOCATE_ROWS):
-                flat = np.arange(first, min(first + LOCATE_ROWS, int(ends[-1])))
-                of = np.searchsorted(ends, flat, "right")
-                position = word_of[index.locate(low[of] + flat - (ends[of] - counts[of]))]
-                np.add.at(covered, at + position, 1)
-                np.add.at(covered, at + position + length, -1)
-                pairs = np.unique(np.stack([rows[position], there[pattern[of]]]), axis=1)
-                for row, w in pairs.T.tolist():
-                    items.setdefault(row, set()).update(block.ids[i] for i in owners[w])
-
-
-def find_spans(column: pa.Array, blocks: list[Block], window: int) -> tuple[np.ndarray, np.ndarray, list[list[str]], list[list[tuple[int, int]]], np.ndarray, np.ndarray]:
-    """(words, hit words, items, spans of hit words) of each row, and the byte bounds of all words."""
+        word = np.searchsorted(known, block.hashes)
+        word[word == len(known)] = 0
+        strange = np.concatenate([[0], np.cumsum(known[word] != block.hashes)])
+        for length, (begins, owners) in block.by_length.items():
+            there = np.flatnonzero(strange[begins + length] == strange[begins])  # windows of words that the shard has
+            for some in np.split(there, range(SEARCH_ROWS, len(there), SEARCH_ROWS)):
+                if len(some):
+                    _mark(index, word[begins[some][:, None] + np.arange(length)] + 1, owners[some], block.ids, rows, word_of, covered, at, items)
+
+
+def _mark(index: FMIndex, patterns: np.ndarray, owners: np.ndarray, ids: list[str], rows: np.ndarray, word_of: np.ndarray, covered: np.ndarray, at: int, items: dict[int, set[str]]) -> None:
+    """Search ``patterns`` and mark the words of their occurrences."""
+    pattern, low, high = index.search(patterns)
+    counts = high - low
+    ends = np.cumsum(counts)
+    for first in range(0, int(ends[-1]) if len(ends) else 0, LOCATE_ROWS):
+        flat = np.arange(first, min(first + LOCATE_ROWS, int(ends[-1])))
+        of = np.searchsorted(ends, flat, "right")
+        position = word_of[index.locate(low[of] + flat - (ends[of] - counts[of]))]
+        np.add.at(covered, at + position, 1)
+        np.add.at(covered, at + position + patterns.shape[1], -1)
+        for row, owner in np.unique(np.stack([rows[position], owners[pattern[of]]]), axis=1).T.tolist():
+            items.setdefault(row, set()).add(ids[owner])
+
+
+def find_spans(column: pa.Array, blocks: list[Block], window: int) -> tuple[np.ndarray, list[list[str]], list[list[tuple[int, int]]]]:
+    """(words, items, spans of hit words as first and last word) of each row."""
     data, offsets = W.text_bytes(column)
-    starts, ends, counts = W.word_bounds(W.LOWER[data], offsets, W.ALNUM)
-    hashes = W.word_hashes(W.LOWER[data], starts, ends)
+    data = W.LOWER[data]
+    starts, ends, counts = W.word_bounds(data, offsets, W.ALNUM)
+    hashes = W.word_hashes(data, starts, ends)
     rows = np.repeat(np.arange(len(counts)), counts)
     covered = np.zeros(len(hashes) + 1, dtype=np.int64)
     items: dict[int, set[str]] = {}
@@ -113,7 +127,6 @@ def find_spans(column: pa.Array, blocks: list[Block], window: int) -> tuple[np.n
         last = min(len(hashes), first + SHARD_WORDS + window - 1)
         search_shard(hashes[first:last], rows[first:last], blocks, covered, first, items)
     hit = np.cumsum(covered[:-1]) > 0
-    n_hit = np.bincount(rows[hit], minlength=len(counts))
     spans: list[list[tuple[int, int]]] = [[] for _ in counts]
     if hit.any():
         base = np.cumsum(counts) - counts
@@ -123,13 +136,26 @@ def find_spans(column: pa.Array, blocks: list[Block], window: int) -> tuple[np.n
         end[:-1] &= ~hit[1:] | (rows[1:] != rows[:-1])
         for a, b in zip(np.flatnonzero(begin).tolist(), np.flatnonzero(end).tolist(), strict=True):
             spans[rows[a]].append((a - int(base[rows[a]]), b - int(base[rows[a]])))
-    return counts, n_hit, [sorted(items.get(i, ())) for i in range(len(counts))], spans, starts, ends
+    return counts, [sorted(items.get(i, ())) for i in range(len(counts))], spans
+
+
+def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans in order, those that touch or overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
-def _without(column: pa.Array, spans: list[list[tuple[int, int]]], counts: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+def _without(column: pa.Array, spans: list[list[tuple[int, int]]]) -> pa.Array:
+    """The texts with the spans of words cut out, and what stands between their words."""
+    data, offsets = W.text_bytes(column)
+    starts, ends, counts = W.word_bounds(W.LOWER[data], offsets, W.ALNUM)
     base = np.cumsum(counts) - counts
     out = column.to_pylist()
-    _, offsets = W.text_bytes(column)
     for i, own in enumerate(spans):
         if own:
             raw, keep, at = out[i].encode(), [], 0
@@ -137,7 +163,20 @@ def _without(column: pa.Array, spans: list[list[tuple[int, int]]], counts: np.nd
                 keep.append(raw[at : int(starts[base[i] + a] - offsets[i])])
                 at = int(ends[base[i] + b] - offsets[i])
             out[i] = b"".join([*keep, raw[at:]]).decode()
-    return pa.array(out, pa.string())
+    return pa.array(out, pa.string()).cast(column.type)
+
+
+SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+
+
+def _result(batch: pa.RecordBatch, at: int, counts: np.ndarray, items: list[list[str]], spans: list[list[tuple[int, int]]], rewrite: bool) -> pa.RecordBatch:
+    columns = list(batch.columns)
+    if rewrite and any(spans):
+        columns[at] = _without(batch.column(at), spans)
+    n_hit = [sum(b - a + 1 for a, b in x) for x in spans]
+    runs = [[{"first": a, "last": b} for a, b in x] for x in spans]
+    added = [pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(runs, SPANS)]
+    return pa.RecordBatch.from_arrays([*columns, *added], names=[*batch.schema.names, *ADDED])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, rewrite: bool = True) -> DataFrame:
@@ -147,34 +186,65 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     lower-cased.  An item's windows are its runs of ``window`` words, or all
     its words if it has fewer; words inside any occurrence of a window are hit
     and, with ``rewrite``, cut from the text together with what stands between
-    them.  Null texts have no words and stay null.  Items without text, words
-    or id match nothing.  Repeated rows get the same results.  Columns with
-    the names of those added are replaced; all others pass through.  Empty
-    tables give empty results, or no hits.
+    them.  Null texts have no words and stay null; texts of any length are
+    searched whole.  Items without text, words or id match nothing.  Repeated
+    rows get the same results.  Columns with the names of those added are
+    replaced; all others pass through, whatever their names.  Empty tables
+    give empty results, or no hits.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    shared = [spark.sparkContext.broadcast(b) for b in benchmark_blocks(benchmark, item_id, item_text, window)]
-    kept = docs.drop(*[c for c in docs.columns if c in ADDED])
-    schema = T.StructType([*kept.schema.fields, *[T.StructField(k, v) for k, v in ADDED.items()]])
+    gone = {c.lower() for c in ADDED}
+    kept = docs.select(*[docs[c] for c in docs.columns if c.lower() not in gone])
     at = kept.columns.index(text_col)
+    schema = T.StructType([*kept.schema.fields, *[T.StructField(k, v) for k, v in ADDED.items()]])
+    passes = benchmark_passes(benchmark, item_id, item_text, window)
+    blocks, more = next(passes, []), next(passes, None)
+    if more is None:
+        shared = spark.sparkContext.broadcast(blocks)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield _result(batch, at, *find_spans(batch.column(at), shared.value, window), rewrite)
+
+        return kept.mapInArrow(run, schema)
+    (row,) = unused(kept.columns, "_row")
+    numbered = written(kept.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = []
+    while blocks:
+        found.append(_hits(numbered.select(row, text_col), spark.sparkContext.broadcast(blocks), window))
+        blocks, more = more, next(passes, None)
+    return _merged(numbered, reduce(DataFrame.union, found), row, at, schema, rewrite)
+
+
+def _hits(texts: DataFrame, shared, window: int) -> DataFrame:
+    """(row, items, spans) of the documents that one pass hits, written; frees the broadcast blocks."""
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("items", ADDED["items"]), T.StructField("spans", ADDED["spans"])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [b.value for b in shared]
-        span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
         for batch in batches:
-            column = batch.column(at)
-            counts, n_hit, items, spans, starts, ends = find_spans(column, blocks, window)
-            columns = list(batch.columns)
-            if rewrite and n_hit.any():
-                columns[at] = _without(column, spans, counts, starts, ends).cast(column.type)
-            runs = [[{"first": a, "last": b} for a, b in x] for x in spans]
-            added = [pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(runs, span)]
-            yield pa.RecordBatch.from_arrays([*columns, *added], names=[*batch.schema.names, *ADDED])
+            _, items, spans = find_spans(batch.column(1), shared.value, window)
+            some = [i for i, x in enumerate(spans) if x]
+            runs = [[{"first": a, "last": b} for a, b in spans[i]] for i in some]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some, pa.int64())), pa.array([items[i] for i in some], pa.list_(pa.string())), pa.array(runs, SPANS)], names=["row", "items", "spans"])
+
+    out = written(texts.mapInArrow(run, schema), "hits")
+    shared.destroy()
+    return out
+
 
-    return kept.mapInArrow(run, schema)
+def _merged(numbered: DataFrame, hits: DataFrame, row: str, at: int, schema: T.StructType, rewrite: bool) -> DataFrame:
+    """The numbered documents with what all passes found in them."""
+    one, items, spans = unused(numbered.columns, "_one", "_items", "_spans")
+    every = hits.groupBy(F.col("row").alias(one)).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias(items), F.flatten(F.collect_list("spans")).alias(spans))
+    joined = numbered.join(every, F.col(row) == F.col(one), "left").drop(row, one)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [merged_spans([(s["first"], s["last"]) for s in x or ()]) for x in batch.column(len(batch.columns) - 1).to_pylist()]
+            names = [x or [] for x in batch.column(len(batch.columns) - 2).to_pylist()]
+            data, offsets = W.text_bytes(batch.column(at))
+            counts = W.word_bounds(W.LOWER[data], offsets, W.ALNUM)[2]
+            yield _result(batch.select(batch.schema.names[:-2]), at, counts, names, found, rewrite)
 
-def digest(items: list[str]) -> str:
-    """SHA-256 of comma-joined items, as op3 returns it."""
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+    return joined.mapInArrow(run, schema)
