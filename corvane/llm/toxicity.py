@@ -1,8 +1,8 @@
 """Toxicity: FTRL-proximal logistic regression over hashed n-grams and skip-grams.
 
-Features are the distinct words, the stems of words (their first STEM_BYTES
-bytes, so that inflected forms meet), word pairs and pairs with one word
-between them, hashed to FEATURE_BITS bits.  The learner keeps a rate of its own for
+Features are the distinct words, the beginnings of words (their first
+STEM_BYTES bytes, up to the end of a character, so that inflected forms meet),
+word pairs and pairs with one word between them, hashed to FEATURE_BITS bits.  The learner keeps a rate of its own for
 every coordinate and an L1 penalty that leaves most weights at zero, so the
 weights that every executor gets are a few thousand numbers.
 """
@@ -20,12 +20,17 @@ from pyspark.sql import types as T
 
 from corvane.llm import words as W
 from corvane.llm.mixing import HASH_BITS, hash60
-from corvane.llm.shared import bounded_batches, written
+from corvane.llm.shared import bounded_batches
+from corvane.scratch import written
 
 FEATURE_BITS = 20
 STEM_BYTES = 6
-#: Most labelled rows (about) that are learned from; the bound of the training task.
+#: Bounds of what the training task learns from: labelled rows (about), bytes of their texts, and bytes of one text.
 SAMPLE_ROWS = 16_000
+SAMPLE_BYTES = 64 << 20
+LONGEST_SAMPLE = 1 << 20
+#: Hash ranges whose bytes are counted to find the sample.
+SAMPLE_BITS = 12
 EPOCHS = 6
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.1
 
@@ -37,7 +42,10 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     starts, ends, counts = W.word_bounds(data, offsets, W.ALNUM)
     word = W.word_hashes(data, starts, ends)
     row = np.repeat(np.arange(len(counts)), counts)
-    stem = W.word_hashes(data, starts, np.minimum(ends, starts + STEM_BYTES))
+    cut = np.minimum(ends, starts + STEM_BYTES)
+    for _ in range(3):  # to the end of a character
+        cut += (cut < ends) & (data[np.minimum(cut, len(data) - 1)] & 0xC0 == 0x80)
+    stem = W.word_hashes(data, starts, cut)
     values, rows = [word, W.mix(stem)], [row, row]
     for gap, salt in ((1, 0x632BE59BD9B4E019), (2, 0x8CB92BA72F3D8DD7)):
         pair = W.mix(word[:-gap] * np.uint64(salt) + word[gap:])
@@ -75,9 +83,9 @@ class ToxicityModel:
     def score_documents(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(id, score) for every row. Null and empty texts score by the bias alone."""
         bounded_batches(docs.sparkSession)
-        slim = docs.select(id_col, F.col(text_col).alias("_text"))
+        slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         shared = docs.sparkSession.sparkContext.broadcast(self)
-        schema = T.StructType([slim.schema[id_col], T.StructField("score", T.DoubleType())])
+        schema = T.StructType([T.StructField(id_col, slim.schema["id"].dataType), T.StructField("score", T.DoubleType())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -111,21 +119,35 @@ def ftrl(examples: list[np.ndarray], truth: list[float], epochs: int = EPOCHS) -
     return w[:-1], float(w[-1])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn: Column | None = None, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
+def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int, sample_bytes: int) -> DataFrame:
+    """(h, y, text) of the labelled rows to learn from: those with the least hash of their id, within the bounds."""
+    truth = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.avg(F.col(label_col).cast("double")).alias("y"))
+    hashed = written(truth.withColumn("h", hash60(F.col("label_id"))), "labels")
+    under = int(min(1.0, sample_rows / max(hashed.count(), 1)) * (1 << HASH_BITS))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = texts.join(F.broadcast(hashed.where(F.col("h") < under)), F.col("id") == F.col("label_id")).select("h", "y", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST_SAMPLE)
+    shift = HASH_BITS - SAMPLE_BITS
+    sizes = sorted(rows.groupBy(F.shiftright("h", shift).alias("part")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size")).collect())  # at most 2**SAMPLE_BITS rows
+    total = 0
+    for part, size in sizes:
+        total += size
+        if total > sample_bytes:
+            return rows.where(F.col("h") < (part << shift))
+    return rows
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn: Column | None = None, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> ToxicityModel:
     """A model from a sample of the labelled rows; ``learn``: which labels may be used.
 
-    About ``sample_rows`` rows are taken, those with the least hash of their
-    id, so the choice depends on nothing but the ids.  Labels that are null or
-    whose id is null are ignored, several labels of one id are averaged.
-    With no labels every text scores one half.
+    About ``sample_rows`` rows and at most ``sample_bytes`` bytes of text are
+    taken, those with the least hash of their id, so the choice depends on
+    nothing but ids and sizes; texts over LONGEST_SAMPLE bytes are scored but
+    not learned from.  Labels that are null or whose id is null are ignored,
+    several labels of one id are averaged.  With no labels every text scores
+    one half.
     """
     bounded_batches(docs.sparkSession)
-    chosen = labels if learn is None else labels.where(learn)
-    truth = chosen.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.avg(F.col(label_col).cast("double")).alias("y"))
-    hashed = written(truth.withColumn("h", hash60(F.col("_id"))), "labels")
-    n = hashed.count()
-    sample = hashed.where(F.col("h") < int(min(1.0, sample_rows / max(n, 1)) * (1 << HASH_BITS)))
-    rows = docs.join(F.broadcast(sample), docs[id_col] == F.col("_id")).select("h", "y", F.col(text_col).alias("text"))
+    rows = _sample(docs, labels if learn is None else labels.where(learn), id_col, text_col, label_col, sample_rows, sample_bytes)
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
