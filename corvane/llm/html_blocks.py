@@ -1,9 +1,16 @@
-"""HTML to leaf blocks: runs of text between block boundaries, with their open ancestors."""
+"""HTML to leaf blocks: runs of text between block boundaries, with their open ancestors.
+
+Work and memory are in proportion to the page, however deep or broken its
+markup is: open elements are counted by tag, the elements that a tag may close
+are kept in stacks of their own, and a block knows only its innermost element.
+"""
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 #: Fixed values of HTML: elements that don't end a run of text, that have no end tag, whose content isn't markup, and whose text isn't shown.
@@ -16,7 +23,7 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 CLOSES_OWN = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
+    r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
     rf"|<({'|'.join(RAW)})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)",
@@ -26,21 +33,48 @@ _NAMING = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+#: By tag: the kind of element whose nearest open one it may close; and of each kind, the tags that are closed and those that bound the search.
+_KIND = {tag: own for tag, (own, _) in CLOSES_OWN.items()}
+_KINDS = {frozenset(own): (frozenset(own), frozenset(bound)) for own, bound in CLOSES_OWN.values()}
+_MARKED: dict[str, list[frozenset[str]]] = {}
+for _kind, (_own, _bound) in _KINDS.items():
+    for _tag in _own | _bound:
+        _MARKED.setdefault(_tag, []).append(_kind)
+
+
 @dataclass
 class Block:
+    """A run of text, the number of its innermost element (-1 if it has none), its block tag, and the share of it that is linked."""
+
     text: str
-    path: tuple[int, ...]
+    element: int
     tag: str
     link_share: float
 
 
 @dataclass
 class Page:
-    """The blocks of a page, and of each open element (by number) the names it gives to what stands inside."""
+    """The blocks of a page, and of each element its parent (-1 for none) and the names it adds to those of its ancestors."""
 
     blocks: list[Block] = field(default_factory=list)
+    parents: list[int] = field(default_factory=list)
     names: list[tuple[str, ...]] = field(default_factory=list)
 
+    def names_above(self, element: int) -> list[str]:
+        """The names that an element and its ancestors give to what stands inside."""
+        out: list[str] = []
+        while element >= 0:
+            out += self.names[element]
+            element = self.parents[element]
+        return out
+
+    def sums_above(self, weight: Callable[[str, float], float]) -> list[float]:
+        """Of each element, the weights of names_above added up."""
+        out: list[float] = []
+        for parent, names in zip(self.parents, self.names, strict=True):  # parents come first
+            out.append((out[parent] if parent >= 0 else 0.0) + sum(weight(x, 0.0) for x in names))
+        return out
+
 
 def element_names(tag: str, attributes: str) -> tuple[str, ...]:
     """'t:tag' and 'c:word' for each word in the class, id, role, property and label."""
@@ -50,13 +84,73 @@ def element_names(tag: str, attributes: str) -> tuple[str, ...]:
     return (f"t:{tag}", *dict.fromkeys(f"c:{x.lower()}" for x in found))
 
 
+class _Open:
+    """The open elements of a page: (tag, element, block tag around, place of a paragraph that a block start closes or -1)."""
+
+    def __init__(self, page: Page):
+        self.page = page
+        self.stack: list[tuple[str, int, str, int]] = []
+        self.tags: Counter[str] = Counter()
+        self.names: set[str] = set()
+        self.marks: dict[frozenset[str], list[int]] = {kind: [] for kind in _KINDS}
+        self.hidden = 0
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        page, above = self.page, self.stack[-1] if self.stack else ("", -1, "", -1)
+        page.parents.append(above[1])
+        known = self.names
+        new = tuple([x for x in names if x not in known])
+        known.update(new)
+        page.names.append(new)
+        inline = tag in INLINE
+        self.stack.append((tag, len(page.names) - 1, above[2] if inline else tag, len(self.stack) if tag == "p" else above[3] if inline else -1))
+        self.tags[tag] += 1
+        self.hidden += tag in HIDDEN
+        if tag in _MARKED:
+            for kind in _MARKED[tag]:
+                self.marks[kind].append(len(self.stack) - 1)
+
+    def pop_to(self, size: int) -> None:
+        for tag, element, _, _ in self.stack[size:]:
+            self.tags[tag] -= 1
+            self.hidden -= tag in HIDDEN
+            self.names.difference_update(self.page.names[element])
+            if tag in _MARKED:
+                for kind in _MARKED[tag]:
+                    self.marks[kind].pop()
+        del self.stack[size:]
+
+    def pop_tag(self, tag: str) -> None:
+        """Close the innermost element of the tag, and all in it, if one is open."""
+        if self.tags[tag]:
+            k = len(self.stack) - 1
+            while self.stack[k][0] != tag:
+                k -= 1
+            self.pop_to(k)
+
+    def make_room(self, tag: str) -> None:
+        """Close what a start tag closes."""
+        if tag in CLOSES_P:
+            if self.stack and self.stack[-1][3] >= 0:
+                self.pop_to(self.stack[-1][3])
+        elif tag in _KIND:
+            own, _ = _KINDS[frozenset(_KIND[tag])]
+            marks = self.marks[own]
+            while marks and self.stack[marks[-1]][0] in own:
+                self.pop_to(marks[-1])
+                if tag != "tr":
+                    break
+        if tag == "body":
+            self.pop_tag("head")
+
+
 def parse(source: str) -> Page:
     """All leaf blocks of ``source`` in page order. Hidden and raw text gives none."""
     page = Page()
-    stack: list[tuple[str, int]] = []
+    inside = _Open(page)
     pieces: list[str] = []
-    linked = hidden = links = 0
-    begun: tuple[tuple[int, ...], str] | None = None
+    linked = 0
+    begun: tuple[int, str] | None = None
 
     def flush() -> None:
         nonlocal pieces, linked, begun
@@ -66,23 +160,15 @@ def parse(source: str) -> Page:
                 page.blocks.append(Block(text, begun[0], begun[1], min(1.0, linked / max(1, len(text)))))
         pieces, linked, begun = [], 0, None
 
-    def pop_to(size: int) -> None:
-        nonlocal hidden, links
-        for tag, _ in stack[size:]:
-            hidden -= tag in HIDDEN
-            links -= tag == "a"
-        del stack[size:]
-
     def add(piece: str) -> None:
         nonlocal begun, linked
-        if hidden or not piece:
+        if inside.hidden or not piece:
             return
         pieces.append(piece)
-        if links:
+        if inside.tags["a"]:
             linked += len(piece)
         if begun is None and not piece.isspace():
-            outer = next((t for t, _ in reversed(stack) if t not in INLINE), "")
-            begun = tuple(n for _, n in stack), outer
+            begun = inside.stack[-1][1:3] if inside.stack else (-1, "")
 
     at = 0
     for m in _TOKEN.finditer(source):
@@ -97,34 +183,11 @@ def parse(source: str) -> Page:
         if tag not in INLINE:
             flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
+            inside.pop_tag(tag)
             continue
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    pop_to(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        elif tag in CLOSES_OWN:
-            own, bound = CLOSES_OWN[tag]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in bound:
-                    break
-                if stack[k][0] in own:
-                    pop_to(k)
-                    if tag != "tr":
-                        break
-        if tag == "body":
-            pop_to(next((k for k, x in enumerate(stack) if x[0] == "head"), len(stack)))
+        inside.make_room(tag)
         if tag not in VOID:
-            page.names.append(element_names(tag, m[4] or m[7] or ""))
-            stack.append((tag, len(page.names) - 1))
-            hidden += tag in HIDDEN
-            links += tag == "a"
+            inside.push(tag, element_names(tag, m[4] or m[7] or ""))
     add(source[at:])
     flush()
     return page
@@ -142,7 +205,6 @@ def block_features(block: Block) -> list[str]:
     out = ["bias", f"b:{block.tag}", f"size:{size}", f"link:{link}", f"end:{end}", f"size:{size},link:{link},end:{end}"]
     if "©" in block.text:
         out.append("copyright")
-    digits = sum(map(str.isdigit, block.text[:200]))
-    if digits > 20:
+    if 10 * sum(map(str.isdigit, block.text)) > len(block.text):
         out.append("digits")
     return out

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from corvane.llm.html_blocks import Page, block_features, parse
 from corvane.llm.shared import bounded_batches
+from corvane.scratch import unused
 
 TRAINING_PAGES = 600
 EPOCHS = 6
@@ -174,13 +175,7 @@ def labelled_page(pieces: list[tuple[str, int]]) -> tuple[Page, list[int]]:
 
 def page_features(page: Page) -> list[list[str]]:
     """Features of each block: names of all its ancestors, and its own."""
-    paths: dict[tuple[int, ...], list[str]] = {}
-    out = []
-    for b in page.blocks:
-        if b.path not in paths:
-            paths[b.path] = list(dict.fromkeys(x for n in b.path for x in page.names[n]))
-        out.append(paths[b.path] + block_features(b))
-    return out
+    return [page.names_above(b.element) + block_features(b) for b in page.blocks]
 
 
 class ChainModel:
@@ -191,13 +186,8 @@ class ChainModel:
 
     def emissions(self, page: Page) -> np.ndarray:
         get = self.weights.get
-        paths: dict[tuple[int, ...], float] = {}
-        out = []
-        for b in page.blocks:
-            if b.path not in paths:
-                paths[b.path] = sum(get(x, 0.0) for x in {x for n in b.path for x in page.names[n]})
-            out.append(paths[b.path] + sum(get(x, 0.0) for x in block_features(b)))
-        return np.array(out)
+        above = [*page.sums_above(get), 0.0]  # the last is for element -1
+        return np.array([above[b.element] + sum(get(x, 0.0) for x in block_features(b)) for b in page.blocks])
 
     def decode(self, scores: list[np.ndarray]) -> list[np.ndarray]:
         """Viterbi over many pages at once."""
@@ -290,15 +280,17 @@ def main_texts(model: ChainModel, sources: list[str | None]) -> list[str]:
 def extract_main_text(pages: DataFrame, html_col: str = "html", model: ChainModel | None = None) -> DataFrame:
     """All columns of ``pages`` except the html, and text (string, empty if none) and n_chars (long, its code points).
 
-    Null and empty pages give empty texts.  Repeated rows give the same
-    results; columns called text or n_chars are replaced; an empty table gives
-    an empty result.  No shuffle: each page is parsed where it is read.
+    Null and empty pages give empty texts.  Pages of any length and depth are
+    parsed whole, in time in proportion to their length.  Repeated rows give
+    the same results; columns called text or n_chars are replaced, all others
+    pass through, whatever their names; an empty table gives an empty result.
+    No shuffle: each page is parsed where it is read.
     """
     spark = pages.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model or trained_model())
-    others = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    slim = pages.select(*others, F.col(html_col).alias("_html"))
+    others = [c for c in pages.columns if c.lower() not in (html_col.lower(), "text", "n_chars")]
+    slim = pages.select(*others, F.col(html_col).alias(unused(others, "source")[0]))
     schema = T.StructType([*slim.schema.fields[:-1], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
