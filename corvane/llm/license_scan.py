@@ -2,10 +2,12 @@
 
 Paragraphs (lines) are classified into licence families, 'unknown' (a licence
 of no known family) and 'none' by multinomial logistic regression over sparse
-word n-grams.  A temperature fitted on examples left out of training makes
-the probabilities honest; a family whose probability stays under ACCEPT is
-reported as unknown.  A prediction counts as confirmed when the n-grams of
-the paragraph agree with one of the family's templates.
+word n-grams.  It learns from notices composed of frames and licence names,
+from defining sentences of licences, and from sentences that merely use their
+words.  A temperature, fitted on frames and names that training never saw,
+makes the probabilities honest for new wordings; a family whose probability
+stays under ACCEPT is reported as unknown.  A prediction counts as confirmed
+when the n-grams of the paragraph agree with one of the family's templates.
 """
 
 from __future__ import annotations
@@ -22,16 +24,23 @@ from pyspark.sql import types as T
 
 from corvane.llm import words as W
 from corvane.llm.shared import bounded_batches
+from corvane.scratch import unused
 
 WIDTHS = (1, 2, 3)
 ACCEPT = 0.8
 CONFIRM = 0.5
-EXAMPLES_PER_CLASS = 120
-ROUNDS = 150
+EXAMPLES_PER_CLASS = 200
+ROUNDS = 120
 SEED = 5
 
 # Notices and defining sentences of public licences, by family.
 TEMPLATES: dict[str, tuple[str, ...]] = {
+    "agpl": (
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+        "Licensed under the AGPL v3 or later.",
+    ),
     "apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
@@ -57,6 +66,10 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under CC BY-NC-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
     ),
+    "cc-by-nd": (
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    ),
     "cc-by-sa": (
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
@@ -67,6 +80,11 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
         "This work is dedicated to the public domain under the CC0 1.0 Universal Public Domain Dedication.",
     ),
+    "epl": (
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution.",
+    ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
@@ -74,6 +92,10 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under the GPL v2 or later.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
+    "isc": (
+        "Licensed under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
     "lgpl": (
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
         "Licensed under the GNU Lesser General Public License, version 2.1.",
@@ -91,35 +113,59 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
         "Licensed under the Mozilla Public License, version 2.0.",
     ),
+    "public-domain": (
+        "Released into the public domain.",
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "The author or authors of this software dedicate any and all copyright interest in the software to the public domain.",
+    ),
 }
-# Licence sentences of no family above, and sentences that merely use their words.
+# What notices call the licences.
+NAMES: dict[str, tuple[str, ...]] = {
+    "agpl": ("GNU Affero General Public License", "GNU Affero General Public License, version 3", "Affero GPL", "AGPL", "AGPLv3", "AGPL-3.0", "GNU AGPL v3"),
+    "apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 license", "Apache-2.0", "Apache License", "Apache Software License 2.0", "Apache 2"),
+    "bsd": ("BSD License", "BSD 3-Clause License", "BSD 2-Clause License", "2-clause BSD license", "New BSD License", "Simplified BSD License", "BSD-style license", "BSD-3-Clause", "modified BSD licence"),
+    "cc-by": ("Creative Commons Attribution License", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution 3.0 Unported License", "CC BY 4.0", "CC BY", "CC-BY-4.0", "CC BY 3.0 licence"),
+    "cc-by-nc": ("Creative Commons Attribution-NonCommercial License", "Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "CC BY-NC 4.0", "CC BY-NC", "CC BY-NC-SA 4.0", "CC BY-NC-ND 4.0"),
+    "cc-by-nd": ("Creative Commons Attribution-NoDerivatives License", "Creative Commons Attribution-NoDerivatives 4.0 International License", "CC BY-ND 4.0", "CC BY-ND", "CC BY-ND 3.0"),
+    "cc-by-sa": ("Creative Commons Attribution-ShareAlike License", "Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike 3.0 Unported License", "CC BY-SA 4.0", "CC BY-SA", "CC BY-SA 3.0"),
+    "cc0": ("CC0", "CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero", "Creative Commons CC0 1.0 Universal Public Domain Dedication", "CC0 waiver"),
+    "epl": ("Eclipse Public License", "Eclipse Public License, version 2.0", "Eclipse Public License v1.0", "EPL", "EPL-2.0", "EPL 1.0"),
+    "gpl": ("GNU General Public License", "GNU General Public License, version 2", "GNU General Public License, version 3", "GNU GPL", "GPL", "GPL v2", "GPLv3", "GPL-3.0", "GNU GPL version 2 or any later version"),
+    "isc": ("ISC License", "ISC licence", "ISC", "Internet Systems Consortium License"),
+    "lgpl": ("GNU Lesser General Public License", "GNU Lesser General Public License, version 2.1", "GNU Library General Public License", "LGPL", "LGPL v3", "LGPLv2.1", "GNU LGPL"),
+    "mit": ("MIT License", "MIT licence", "MIT/X11 license", "Expat License", "MIT", "MIT-style license"),
+    "mpl": ("Mozilla Public License", "Mozilla Public License, version 2.0", "Mozilla Public License, v. 2.0", "MPL", "MPL 2.0", "MPL-2.0"),
+    "public-domain": ("Unlicense", "The Unlicense", "public domain dedication", "public domain mark"),
+    "unknown": (
+        "vendor agreement", "commercial licence", "Artistic License 2.0", "Boost Software License, version 1.0", "zlib license", "Open Software License 3.0", "Microsoft Public License", "European Union Public Licence",
+        "SIL Open Font License", "Academic Free License", "Common Development and Distribution License", "Server Side Public License", "Business Source License", "end user license agreement", "Open Data Commons Attribution License",
+        "PHP License", "Python Software Foundation License", "Open Government Licence", "proprietary license", "site licence", "W3C Software Notice", "University licence",
+    ),
+}
+# Frames of notices; sentences of licences of no family above; sentences that merely use their words.
+FRAMES = (
+    "Licensed under the {}.", "Licensed under {}.", "Released under the {}.", "Released under {}.", "This work is licensed under a {}.", "This work is licensed under the {}.", "Distributed under the {}.",
+    "This software is distributed under the terms of the {}.", "This program is made available under the {}.", "This project is released under the terms of the {}, see LICENSE.", "The source code is licensed under the {}.",
+    "This file is subject to the terms and conditions of the {}.", "All content is published under {}.", "The text of this article is available under the {}; additional terms may apply.", "License: {}", "SPDX-License-Identifier: {}",
+    "You may use, copy and distribute this package under the terms of the {}.", "This library is covered by the {}.", "The data are provided under a {}.", "Except where noted, content on this site is licensed under a {}.",
+    "Copyright the authors, {}.", "The documentation is offered under the {}.", "The images are shared under the {} license.", "See the {} for details of the license.",
+)
 UNKNOWN = (
-    "Licensed under the terms of the vendor agreement.",
-    "This software is licensed under a commercial licence; see the accompanying agreement for terms.",
-    "Licensed under the Eclipse Public License, version 1.0.",
-    "Released under the Artistic License 2.0.",
-    "Licensed under the Boost Software License, version 1.0.",
-    "Use of this product is subject to the end user license agreement.",
-    "Distributed under the zlib license.",
-    "Released under the Open Software License 3.0.",
-    "All rights reserved.",
-    "Copyright the author. All rights reserved.",
-    "All rights reserved. No part of this work may be reproduced without written permission.",
-)
+    "All rights reserved.", "Copyright the author. All rights reserved.", "All rights reserved. No part of this work may be reproduced without written permission.", "Reproduction without the permission of the publisher is prohibited.",
+    "This software is licensed, not sold; see the accompanying agreement for terms.", "Use of this product is subject to the end user license agreement.", "You may not copy, modify or distribute this software without a licence from the vendor.",
+    "The licensee may install the software on one computer.", "Permission is granted to use this material for private study only.", "Redistribution is permitted only with the consent of the owner.",
+)
 NONE = (
-    "The driver showed a license to the officer at the station.",
-    "The general public was free to use the library under the new law.",
-    "She obtained a copy of the notice along with the documentation.",
-    "The institute of technology published a version of the report.",
-    "The work of the author is in the public library and may be read free of charge.",
-    "The following conditions were met on the way to the source of the river.",
-    "It is the law that any person may use the road without restriction.",
-    "This file is a copy of the list, and the list is in the form of a table.",
-    "The permission to sell copies of the book was granted by the court.",
-    "The apache helicopter is distributed to bases in version two of the plan.",
-    "A creative person may share work in common with others under the terms of the group.",
-    "All conditions of the agreement are required by law in writing.",
-)
+    "The driver showed a license to the officer at the station.", "The general public was free to use the library under the new law.", "She obtained a copy of the notice along with the documentation.",
+    "The institute of technology published a version of the report.", "The work of the author is in the public library and may be read free of charge.", "The following conditions were met on the way to the source of the river.",
+    "It is the law that any person may use the road without restriction.", "This file is a copy of the list, and the list is in the form of a table.", "The permission to sell copies of the book was granted by the court.",
+    "The apache helicopter is distributed to bases in version two of the plan.", "A creative person may share work in common with others under the terms of the group.", "All conditions of the agreement are required by law in writing.",
+    "He needs a fishing licence before the season opens.", "The album was released under a new name in the spring.", "The restaurant lost its liquor license after the hearing.", "Food was distributed under the bridge by volunteers.",
+    "Her rights were reserved for a later debate in the house.", "The software was sold to a large company for any purpose they liked.", "The treaty was made available to the public under the terms of the law.", "The eclipse was seen by the general public without any notice.",
+    "The plate on the car was covered by mud and the license could not be read.", "The artist kept the right to modify and publish her work.", "The boost in sales was provided by the new version.", "This program is about the history of the river.",
+)
+_NONE_NAMES = ("new law", "old bridge", "terms of the treaty", "name of the band", "supervision of the teacher", "new government", "weight of the snow", "pressure of time", "title of the first song", "protection of the crown")
 FAMILIES = tuple(TEMPLATES)
 CLASSES = (*FAMILIES, "unknown", "none")
 
@@ -199,14 +245,34 @@ class LicenseModel:
         return lines, matches
 
 
-def examples(seed: int, per_class: int = EXAMPLES_PER_CLASS) -> list[tuple[str, int]]:
-    """Labelled paragraphs: templates and other sentences, cut, joined, and with words dropped, changed or added."""
+def examples(seed: int, per_class: int = EXAMPLES_PER_CLASS, held_out: bool = False) -> list[tuple[str, int]]:
+    """Labelled paragraphs: notices made of frames and names, defining and other sentences, cut, joined, and with words dropped or added.
+
+    One frame in four, one name in five of unknown licences, and invented
+    names of other endings are only in the examples with ``held_out``, which
+    have notices in no other frame.
+    """
     r = random.Random(seed)
-    vocabulary = sorted({w for x in (*TEMPLATES.values(), UNKNOWN, NONE) for t in x for w in t.split()})
+    frames = [x for i, x in enumerate(FRAMES) if (i % 4 == 3) == held_out]
+    vocabulary = sorted({w for x in (*TEMPLATES.values(), FRAMES, UNKNOWN, NONE) for t in x for w in t.split() if "licen" not in w.lower() and w.islower()})
 
     def filler(n: int) -> list[str]:
         return ["".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(r.randint(1, 4))) for _ in range(n)]
 
+    def called(name: str) -> str:
+        if name != "unknown":
+            return r.choice(NAMES[name])
+        if r.random() < 0.6:
+            made = " ".join(w.capitalize() for w in filler(r.randint(1, 2)))
+            kinds = ["Free License", "Licence Agreement", "Content License"] if held_out else ["License", "Licence", "Public License", "Community License", "Source License", "Software License", "Open License", "Terms of Use"]
+            return f"{made} {r.choice(kinds)}{r.choice(['', '', ' 1.0', ', version 2', ' v3', ' Agreement'])}"
+        return r.choice([x for i, x in enumerate(NAMES[name]) if (i % 5 == 4) == held_out])
+
+    def loose(name: str) -> str:
+        """A name among words that say nothing."""
+        some = lambda: " ".join(r.choice(["the", "of", "and", "to", "under", "is", "this", "a", "by", "may", "be", "with", "in", "terms"]) if r.random() < 0.6 else filler(1)[0] for _ in range(r.randint(1, 8)))
+        return f"{some()} {r.choice(['the ', 'the ', 'a ', ''])}{called(name)}{r.choice(['', '.', ' ' + some()])}"
+
     def vary(text: str) -> str:
         words = text.split()
         if len(words) > 12 and r.random() < 0.4:
@@ -218,63 +284,78 @@ def examples(seed: int, per_class: int = EXAMPLES_PER_CLASS) -> list[tuple[str,
         if r.random() < 0.3:
             words = [*words, *filler(r.randint(1, 8))]
         text = " ".join(words)
+        if r.random() < 0.2:
+            text = text.replace("icense", "icence") if "icense" in text else text.replace("icence", "icense")
         return text.lower() if r.random() < 0.1 else text.upper() if r.random() < 0.05 else text
 
+    def plain() -> str:
+        kind = r.random()
+        if kind < 0.3:
+            return vary(r.choice(NONE))
+        if kind < 0.45:
+            return vary(" ".join([*filler(2), "was", r.choice(["released", "published", "distributed", "provided", "made available"]), r.choice(["under the", "under the terms of the"]), r.choice(_NONE_NAMES)]))
+        if kind < 0.75:
+            return " ".join(r.choice(vocabulary) if r.random() < 0.5 else filler(1)[0] for _ in range(r.randint(1, 25)))
+        return " ".join(w for _ in range(r.randint(4, 30)) for w in (r.choice(["the", "of", "and", "to", "in", "is", "this", "a", "as", "by", "or", "that", "be", "for", "with"]) if r.random() < 0.4 else filler(1)[0],))
+
     out = []
     for c, name in enumerate(CLASSES):
-        for _ in range(per_class if name != "none" else 5 * per_class):
-            if name == "none":
-                kind = r.random()
-                if kind < 0.35:
-                    text = vary(r.choice(NONE))
-                elif kind < 0.7:
-                    text = " ".join(r.choice(vocabulary) if r.random() < 0.5 else filler(1)[0] for _ in range(r.randint(1, 25)))
-                else:
-                    text = " ".join(w for _ in range(r.randint(4, 30)) for w in (r.choice(["the", "of", "and", "to", "in", "is", "this", "a", "as", "by", "or", "that", "be", "for", "with"]) if r.random() < 0.4 else filler(1)[0],))
-            else:
-                text = vary(r.choice(UNKNOWN if name == "unknown" else TEMPLATES[name]))
-            out.append((text, c))
+        if name == "none":
+            out += [(plain(), c) for _ in range(6 * per_class)]
+            continue
+        sentences = UNKNOWN if name == "unknown" else TEMPLATES[name]
+        for _ in range(per_class * (3 if name == "unknown" else 1)):
+            kind = 0.0 if held_out else r.random()
+            out.append((vary(r.choice(frames).format(called(name)) if kind < 0.45 else loose(name) if kind < 0.7 else r.choice(sentences)), c))
     r.shuffle(out)
     return out
 
 
-def train(labelled: list[tuple[str, int]], rounds: int = ROUNDS, penalty: float = 1e-3, rate: float = 0.5) -> LicenseModel:
-    """Softmax regression by AdaGrad over all n-grams of the licence examples; one in four examples fits the temperature."""
+def train(labelled: list[tuple[str, int]], unseen: list[tuple[str, int]], rounds: int = ROUNDS, penalty: float = 1e-3, rate: float = 0.5) -> LicenseModel:
+    """Softmax regression by AdaGrad over the n-grams of two or more licence examples; ``unseen`` fits the temperature."""
     value, row, _, _ = ngrams(pa.array([t.replace("\n", " ") for t, _ in labelled]))
     truth = np.array([c for _, c in labelled])
-    grams = np.unique(value[truth[row] < len(CLASSES) - 1])
-    model = LicenseModel(grams, np.zeros((len(grams), len(CLASSES))), np.zeros(len(CLASSES)), 1.0)
+    licence = truth[row] < len(CLASSES) - 1
+    grams, times = np.unique(value[licence], return_counts=True)
+    grams = grams[times > 1]
+    k = len(CLASSES)
+    model = LicenseModel(grams, np.zeros((len(grams), k)), np.zeros(k), 1.0)
     at, of = model.known(value, row)
-    held = np.arange(len(truth)) % 4 == 0
-    x = np.zeros((len(truth), len(grams)), dtype=np.float32)
-    x[of, at] = 1
-    goal = np.eye(len(CLASSES), dtype=np.float32)[truth]
-    w, b = np.zeros((len(grams), len(CLASSES)), np.float32), np.zeros(len(CLASSES), np.float32)
+    goal = np.eye(k, dtype=np.float32)[truth]
+    by = np.argsort(at, kind="stable")  # occurrences by n-gram
+    firsts = np.flatnonzero(np.append(True, at[by][1:] != at[by][:-1]))
+    seen = at[by][firsts]
+    w, b = np.zeros((len(grams), k), np.float32), np.zeros(k, np.float32)
     w_seen, b_seen = np.full_like(w, 1e-6), np.full_like(b, 1e-6)
-    fit_x, fit_goal = x[~held], goal[~held]
+    some, begins = np.unique(of, return_index=True)  # ``known`` gives occurrences by paragraph
     for _ in range(rounds):
-        s = fit_x @ w + b
+        s = np.tile(b, (len(truth), 1))
+        s[some] += np.add.reduceat(w[at], begins)
         p = np.exp(s - s.max(axis=1, keepdims=True))
-        slope = (fit_goal - p / p.sum(axis=1, keepdims=True)) / len(fit_x)
-        gw, gb = fit_x.T @ slope - penalty / len(fit_x) * w, slope.sum(axis=0)
+        slope = (goal - p / p.sum(axis=1, keepdims=True)) / len(truth)
+        gw, gb = -penalty / len(truth) * w, slope.sum(axis=0)
+        gw[seen] += np.add.reduceat(slope[of[by]], firsts)
         w_seen += gw * gw
         b_seen += gb * gb
         w += rate * gw / np.sqrt(w_seen)
         b += rate * gb / np.sqrt(b_seen)
-    s = x[held] @ w + b
+    model.weights, model.bias = w.astype(np.float64), b.astype(np.float64)
+    at, of = model.known(*ngrams(pa.array([t for t, _ in unseen]))[:2])
+    s = model.logits(at, of, len(unseen))
+    held = np.array([c for _, c in unseen])
 
     def loss(t: float) -> float:
         z = s / t
         z = z - z.max(axis=1, keepdims=True)
-        return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), truth[held]]).mean())
+        return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), held]).mean())
 
-    temperature = min((0.25 * 1.2**k for k in range(20)), key=loss)
-    return LicenseModel(grams, w.astype(np.float64), b.astype(np.float64), temperature)
+    model.temperature = min((0.25 * 1.15**j for j in range(40)), key=loss)
+    return model
 
 
 @lru_cache(maxsize=1)
 def trained_model() -> LicenseModel:
-    return train(examples(SEED))
+    return train(examples(SEED), examples(SEED + 1, EXAMPLES_PER_CLASS // 2, held_out=True))
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text", model: LicenseModel | None = None) -> DataFrame:
@@ -282,15 +363,16 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", model: LicenseModel |
 
     licenses: array of (paragraph, family, probability, agreement, confirmed);
     family 'unknown' stands for licences of no known family.  A paragraph is a
-    line.  Null and empty texts have one paragraph and no licences.  Repeated
-    rows give the same results; columns n_paragraphs and licenses are
-    replaced; an empty table gives an empty result.  No shuffle.
+    line.  Null and empty texts have one paragraph and no licences; of very
+    long texts every line is classified.  Repeated rows give the same results;
+    columns n_paragraphs and licenses are replaced, all others pass through,
+    whatever their names; an empty table gives an empty result.  No shuffle.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model or trained_model())
-    others = [c for c in docs.columns if c not in (text_col, "n_paragraphs", "licenses")]
-    slim = docs.select(*others, F.col(text_col).alias("_text"))
+    others = [c for c in docs.columns if c.lower() not in (text_col.lower(), "n_paragraphs", "licenses")]
+    slim = docs.select(*others, F.col(text_col).alias(unused(others, "paragraphs")[0]))
     item = T.StructType([T.StructField("paragraph", T.LongType()), T.StructField("family", T.StringType()), T.StructField("probability", T.DoubleType()), T.StructField("agreement", T.DoubleType()), T.StructField("confirmed", T.BooleanType())])
     schema = T.StructType([*slim.schema.fields[:-1], T.StructField("n_paragraphs", T.LongType()), T.StructField("licenses", T.ArrayType(item))])
     kind = pa.list_(pa.struct([("paragraph", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("agreement", pa.float64()), ("confirmed", pa.bool_())]))
