@@ -5,7 +5,8 @@
    linked documents have one part in common, and the hashes of the parts are
    keys that route documents, exactly, to the neighbourhoods they may have
    links in.  A neighbourhood is named by the least document of a key.
-2. In a neighbourhood similar documents are put into groups, and a matrix
+2. Neighbourhoods are packed into blocks of up to BLOCK_TOKENS tokens.  In a
+   block similar documents are put into groups of GROUP_SETS, and a matrix
    holds the union of the tokens of each group.  A query document's overlap
    with a union bounds its overlap with every member; only groups whose bound
    reaches the threshold are opened, and their members compared.
@@ -13,7 +14,7 @@
    component are not compared again; one pass for every document outside the
    largest component finds all others.
 
-Neighbourhoods with many tokens are cut into blocks that each hold the least
+A neighbourhood with more tokens is cut into blocks that each hold its least
 document too; what a block can't tie to it is looked up in the other blocks.
 """
 
@@ -30,17 +31,18 @@ from pyspark.sql import types as T
 
 from corvane.llm import words as W
 from corvane.llm.components import connected_components
-from corvane.llm.shared import SPLITS_PER_FILE, bounded_batches, discard, join_groups, possible_matches, written
+from corvane.llm.shared import bounded_batches, possible_matches
+from corvane.scratch import SPLITS_PER_FILE, discard, join_groups, unused, written
 
 WIDTH = 5
 SIMILARITY = (80, 100)
 BAND_RATIO = 1.5
 #: The keys are matched in so many rounds, a range of hashes in each; what a round shuffles is gone before the next.
 ROUNDS = 4
-#: Most tokens of a block of a neighbourhood.
-BLOCK_TOKENS = 1_000_000
-#: Groups of a matrix: one bit each.
-GROUPS = 64
+#: Most tokens of a block (but for a single longer document).
+BLOCK_TOKENS = 500_000
+#: Documents of a token group.
+GROUP_SETS = 8
 #: Most documents whose ids are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -196,116 +198,144 @@ def _token_table(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-class Neighbourhood:
-    """The token-group matrix of some sets, and the components found so far."""
+class TokenGroups:
+    """The token-group matrix of some sets, and the components found so far.
+
+    The matrix is stored sparse: for each token the groups whose union has it.
+    ``asked`` counts the groups that queries were bounded against, ``opened``
+    those whose members were compared.
+    """
 
     def __init__(self, sets: list[np.ndarray], similarity: tuple[int, int]):
         self.share, self.of = similarity
         m = len(sets)
-        order = sorted(range(m), key=lambda i: (int(sets[i][0]), len(sets[i])))  # like sets have the same least token
+        order = sorted(range(m), key=lambda i: (*sets[i][:3].tolist(), len(sets[i])))  # like sets have the same least tokens
         self.order = np.array(order)
         self.sizes = np.array([len(sets[i]) for i in order])
-        _, number = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
-        self.tokens = number
+        _, self.tokens = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
-        size = -(-m // GROUPS)
-        self.group = np.arange(m) // size
-        self.groups = int(self.group[-1]) + 1
-        self.first = np.arange(self.groups + 1) * size
-        self.first[-1] = m
-        self.matrix = np.zeros(int(number.max()) + 1, dtype=np.uint64)
-        for g in range(self.groups):
-            self.matrix[number[self.starts[self.first[g]] : self.ends[self.first[g + 1] - 1]]] |= np.uint64(1) << np.uint64(g)
-        self.mark = np.zeros(len(self.matrix), dtype=np.uint8)
-        self.parent = list(range(m))
+        self.groups = -(-m // GROUP_SETS)
+        self.least = np.minimum.reduceat(self.sizes, np.arange(self.groups) * GROUP_SETS)
+        cells = np.unique(self.tokens.astype(np.int64) * self.groups + np.repeat(np.arange(m) // GROUP_SETS, self.sizes))
+        self.columns = cells % self.groups
+        self.row_ends = np.cumsum(np.bincount(cells // self.groups))
+        self.row_starts = np.concatenate([[0], self.row_ends[:-1]])
+        self.mark = np.zeros(len(self.row_ends), dtype=np.uint8)
+        self.label = np.arange(m)
+        self.members = [[i] for i in range(m)]
         self.links: list[tuple[int, int]] = []
+        self.asked = self.opened = 0
 
-    def root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = i = self.parent[self.parent[i]]
-        return i
+    @staticmethod
+    def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """starts[0], starts[0] + 1, ... of all ranges, one after the other."""
+        return np.arange(int(sizes.sum())) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+
+    def overlaps(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(groups whose union has any of the tokens, how many of them it has)."""
+        start = self.row_starts[own]
+        columns = self.columns[self._ranges(start, self.row_ends[own] - start)]
+        if len(columns) < self.groups:
+            return np.unique(columns, return_counts=True)
+        bound = np.bincount(columns, minlength=self.groups)
+        some = np.flatnonzero(bound)
+        return some, bound[some]
 
     def look_up(self, i: int) -> np.ndarray:
-        """The sets linked with set ``i`` (positions in ``order``)."""
+        """The sets linked with set ``i`` that aren't known to be in its component (positions in ``order``)."""
         own, n = self.tokens[self.starts[i] : self.ends[i]], int(self.sizes[i])
-        low = -(-n * self.share // self.of)
-        high = n * self.of // self.share
-        bound = np.unpackbits(self.matrix[own].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)[: self.groups]
-        least = np.minimum.reduceat(self.sizes, self.first[:-1])
+        low, high = -(-n * self.share // self.of), n * self.of // self.share
+        group, bound = self.overlaps(own)
+        least = self.least[group]
         need = -(-self.share * (n + np.maximum(least, low)) // (self.share + self.of))
-        found = []
+        group = group[(bound >= need) & (least <= high)]
+        sets = (group[:, None] * GROUP_SETS + np.arange(GROUP_SETS)).ravel()
+        sets = sets[sets < len(self.sizes)]
+        size = self.sizes[sets]
+        sets = sets[(self.label[sets] != self.label[i]) & (size >= low) & (size <= high)]
+        self.asked += self.groups
+        self.opened += len(np.unique(sets // GROUP_SETS))
+        if not len(sets):
+            return sets
+        size = self.sizes[sets]
         self.mark[own] = 1
-        for g in np.flatnonzero(bound >= need).tolist():
-            a, b = int(self.first[g]), int(self.first[g + 1])
-            common = np.add.reduceat(self.mark[self.tokens[self.starts[a] : self.ends[b - 1]]], self.starts[a:b] - self.starts[a], dtype=np.int64)
-            size = self.sizes[a:b]
-            linked = (self.of * common >= self.share * (n + size - common)) & (size >= low) & (size <= high)
-            found.append(np.flatnonzero(linked) + a)
+        hit = self.mark[self.tokens[self._ranges(self.starts[sets], size)]]
         self.mark[own] = 0
-        return np.concatenate(found) if found else np.zeros(0, np.int64)
+        common = np.add.reduceat(hit, np.cumsum(size) - size, dtype=np.int64)
+        return sets[self.of * common >= self.share * (n + size - common)]
 
     def tie(self, i: int) -> None:
         for j in self.look_up(i).tolist():
-            a, b = self.root(i), self.root(j)
+            a, b = int(self.label[i]), int(self.label[j])
             if a != b:
-                self.parent[max(a, b)] = min(a, b)
+                if len(self.members[a]) < len(self.members[b]):
+                    a, b = b, a
+                self.label[self.members[b]] = a
+                self.members[a] += self.members[b]
+                self.members[b] = []
                 self.links.append((i, j))
 
-    def tie_all(self, first: int) -> None:
-        """Find all links that join components: look up ``first``, then every set outside the largest component."""
-        self.tie(first)
-        done = {first}
+    def tie_all(self) -> None:
+        """Find all links that join components: look up every set outside the largest component."""
+        done = np.zeros(len(self.label), dtype=np.bool_)
         while True:
-            roots = np.array([self.root(i) for i in range(len(self.parent))])
-            names, counts = np.unique(roots, return_counts=True)
-            rest = [i for i in np.flatnonzero(roots != names[counts.argmax()]).tolist() if i not in done]
+            largest = max(range(len(self.members)), key=lambda k: len(self.members[k]))
+            rest = np.flatnonzero(~done & (self.label != largest)).tolist()
             if not rest:
                 break
-            for i in rest[: max(1, len(rest) // 4)]:
+            for i in rest[: max(64, len(rest) // 4)]:
                 self.tie(i)
-                done.add(i)
+                done[i] = True
 
 
 def _search_blocks(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """Links within each (leader, block) of members (leader, block, id, anchor, asks, tokens).
 
-    Returns (u, v, leader, block): links, and for sets without a known tie to the anchor a row with v null.
-    With ``asks`` set in some rows, only those are looked up, and there are no rows with v null.
+    Returns (u, v, leader, block, asked, opened): links; for sets without a
+    known tie to the anchor, where there is one, a row with v null; and a row
+    without u with the counts of groups.  With ``asks`` set in some rows, only
+    those are looked up, and there are no rows with v null.
     """
     of_id = members.schema["id"].dataType
-    schema = T.StructType([T.StructField("u", of_id), T.StructField("v", of_id), T.StructField("leader", of_id), T.StructField("block", T.IntegerType())])
+    counts = [T.StructField(c, T.LongType()) for c in ("asked", "opened")]
+    schema = T.StructType([T.StructField("u", of_id), T.StructField("v", of_id), T.StructField("leader", of_id), T.StructField("block", T.IntegerType()), *counts])
 
     def run(table: pa.Table) -> pa.Table:
         ids, asks = table.column("id").to_pylist(), table.column("asks").to_pylist()
-        leader, block = table.column("leader")[0].as_py(), table.column("block")[0].as_py()
-        near = Neighbourhood([np.frombuffer(x, dtype=np.uint64) for x in table.column("tokens").to_pylist()], similarity)
+        leader, block, anchor = (table.column(c)[0].as_py() for c in ("leader", "block", "anchor"))
+        near = TokenGroups([np.frombuffer(x, dtype=np.uint64) for x in table.column("tokens").to_pylist()], similarity)
         name = [ids[i] for i in near.order]
         rows = []
         if any(asks):
             for i in np.flatnonzero([asks[k] for k in near.order]).tolist():
                 near.tie(i)
         else:
-            head = name.index(table.column("anchor")[0].as_py())
-            near.tie_all(head)
-            rows = [(name[i], None) for i in range(len(name)) if near.root(i) != near.root(head)]
+            near.tie_all()
+            if anchor is not None:
+                rows = [(name[i], None) for i in np.flatnonzero(near.label != near.label[name.index(anchor)]).tolist()]
         rows += [(name[i], name[j]) for i, j in near.links]
-        return pa.table({"u": pa.array([u for u, _ in rows], table.column("id").type), "v": pa.array([v for _, v in rows], table.column("id").type), "leader": pa.array([leader] * len(rows), table.column("leader").type), "block": pa.array([block] * len(rows), pa.int32())})
+        u, v = [u for u, _ in rows], [v for _, v in rows]
+        none = [None] * len(rows)
+        kind = table.column("id").type
+        return pa.table({"u": pa.array([*u, None], kind), "v": pa.array([*v, None], kind), "leader": pa.array([leader] * (len(rows) + 1), kind), "block": pa.array([block] * (len(rows) + 1), pa.int32()), "asked": pa.array([*none, near.asked], pa.int64()), "opened": pa.array([*none, near.opened], pa.int64())})
 
     return members.groupBy("leader", "block").applyInArrow(run, schema)
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY, report: dict[str, int] | None = None) -> DataFrame:
     """(id, n_shingles, component_id): one row per row of ``docs``.
 
     Words are runs of non-blanks with A-Z lower-cased; a document's set holds
     its distinct runs of ``width`` words, or all its words as one if it has
     fewer.  Two documents link when their sets' Jaccard similarity is at least
     similarity[0] / similarity[1]; the component is the least id reachable.
-    Null, empty and blank texts have an empty set and link with nothing.  Rows
-    with a null id get a null component and link nothing.  Rows that share an
-    id are one document with the links of either.  Other columns are ignored,
-    and an empty table gives an empty result.
+    Null, empty and blank texts have an empty set and link with nothing; of
+    very long texts the whole set is compared.  Rows with a null id get a null
+    component and link nothing.  Rows that share an id are one document with
+    the links of either.  Other columns are ignored, whatever their names, and
+    an empty table gives an empty result.  ``report`` gets the numbers of token
+    groups that queries were bounded against (asked) and that were opened.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -334,17 +364,22 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     slim_sets = written(sets.select("id", "n", "rep"), "sizes")
     discard(sets)  # the keys are matched
     tokens = written(_token_table(slim.join(some, "id", "left_semi"), width), "tokens", SPLITS_PER_FILE)
-    # blocks: a neighbourhood is cut by the tokens in it; every block holds the anchor, its least document
+    # neighbourhoods are packed into blocks; one with more tokens is cut, and each of its blocks holds the anchor, its least document
     weight = near.join(tokens.groupBy("id").agg(F.sum(F.octet_length("tokens") / 8).alias("w")), "id")
     cuts = written(weight.groupBy("leader").agg(F.ceil(F.sum("w") / BLOCK_TOKENS).cast("int").alias("blocks"), F.sum("w").alias("w")), "cuts")
-    dealt = join_groups(near, cuts, "leader", "w")
+    dealt = written(join_groups(near, cuts, "leader", "w"), "dealt")
+    packs = max(1, -(-int(cuts.where("blocks = 1").agg(F.sum("w")).first()[0] or 0) // BLOCK_TOKENS))
+    null = F.lit(None).cast(near.schema["id"].dataType)
+    packed = dealt.where("blocks = 1").select(null.alias("leader"), F.lit(1).alias("blocks"), "id", null.alias("anchor"), F.pmod(F.xxhash64("leader"), F.lit(packs)).cast("int").alias("block")).distinct()
     block = F.when(F.col("id") == F.col("anchor"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
-    placed = written(dealt.select("leader", "blocks", "id", "anchor", F.explode(block).alias("block")), "placed")
+    placed = written(packed.unionByName(dealt.where("blocks > 1").select("leader", "blocks", "id", "anchor", F.explode(block).alias("block"))), "placed")
     members = placed.join(tokens, "id").select("leader", "block", "id", "anchor", F.lit(False).alias("asks"), "tokens")
     first = written(_search_blocks(members, similarity), "links")
     # sets of cut neighbourhoods that their own block doesn't tie to the anchor ask all other blocks
-    loose = first.where("v is null").select("leader", F.col("u").alias("id"), F.col("block").alias("own")).join(cuts.where("blocks > 1").select("leader", "blocks"), "leader")
+    loose = first.where("u is not null and v is null").select("leader", F.col("u").alias("id"), F.col("block").alias("own")).join(cuts.where("blocks > 1").select("leader", "blocks"), "leader")
     links = first.where("v is not null").select("u", "v")
+    if report is not None:
+        report.update(first.agg(F.sum("asked").alias("asked"), F.sum("opened").alias("opened")).first().asDict())
     if not loose.isEmpty():
         asking = loose.select("leader", "id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).where("block <> own")
         there = placed.where("blocks > 1").join(asking.select("leader", "block").distinct(), ["leader", "block"], "left_semi")
@@ -354,19 +389,25 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     lowest = slim_sets.where("n > 0 and id is not null").groupBy("rep").agg(F.min("id").alias("low"))
     named = lowest.join(parts, F.col("rep") == F.col("node"), "left").select("rep", "low", F.coalesce("component", "rep").alias("component"))
     labels = named.groupBy("component").agg(F.min("low").alias("label"), F.count("*").alias("n"))
-    by_rep = join_groups(named.select("rep", "component"), written(labels, "labels"), "component", "n").select(F.col("rep").alias("_rep"), "label")
-    out = slim_sets.join(by_rep, (F.col("rep") == F.col("_rep")) & (F.col("n") > 0), "left")
+    by_rep = join_groups(named.select("rep", "component"), written(labels, "labels"), "component", "n").select(F.col("rep").alias("of_rep"), "label")
+    out = slim_sets.join(by_rep, (F.col("rep") == F.col("of_rep")) & (F.col("n") > 0), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of ``docs`` that are the least document of their component; of repeated rows one."""
+    """The rows of ``docs`` that are the least document of their component, all columns, whatever their names.
+
+    Rows with null ids and with texts without words stay; of repeated rows
+    (same id and text) one does.  Texts of any length are compared whole; an
+    empty table gives an empty result.
+    """
     found = ngram_components(docs, id_col, text_col, **settings)
+    one, rows = unused(docs.columns, "_id", "_rows")
     same = F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id"))
-    kept = written(found.where(same).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_rows")), "kept")
+    kept = written(found.where(same).groupBy(F.col(id_col).alias(one)).agg(F.count("*").alias(rows)), "kept")
     few = kept.count() <= BROADCAST_IDS
-    out = docs.join(F.broadcast(kept) if few else kept, docs[id_col].eqNullSafe(F.col("_id")))
-    once = out.where("_rows = 1").drop("_id", "_rows")
-    if kept.where("_rows > 1").isEmpty():
+    out = docs.join(F.broadcast(kept) if few else kept, docs[id_col].eqNullSafe(F.col(one)))
+    once = out.where(F.col(rows) == 1).drop(one, rows)
+    if kept.where(F.col(rows) > 1).isEmpty():
         return once
-    return once.unionByName(out.where("_rows > 1").drop("_id", "_rows").dropDuplicates([id_col, text_col]))
+    return once.unionByName(out.where(F.col(rows) > 1).drop(one, rows).dropDuplicates([id_col, text_col]))
