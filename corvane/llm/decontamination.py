@@ -1,7 +1,8 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-A shard is an Arrow batch of documents (cut further where it has more than
-SHARD_WORDS words, with an overlap that no window outgrows).  Its words are
+A shard is a run of documents of one partition, of about SHARD_BYTES (cut
+where it has more than SHARD_WORDS words, with an overlap that no window
+outgrows).  Its words are
 numbered, its suffixes sorted, and the windows of the benchmark found by
 backward search; occurrences are located from sampled suffix positions and
 merged into spans of words.
@@ -29,6 +30,7 @@ from corvane.llm.shared import bounded_batches
 from corvane.scratch import unused, written
 
 WINDOW = 10
+SHARD_BYTES = 8 << 20
 SHARD_WORDS = 2_000_000
 #: Benchmark text of one block, and of one pass: what is broadcast at once. A block takes about 5 bytes for each byte of text.
 BLOCK_BYTES = 4 << 20
@@ -139,6 +141,26 @@ def find_spans(column: pa.Array, blocks: list[Block], window: int) -> tuple[np.n
     return counts, [sorted(items.get(i, ())) for i in range(len(counts))], spans
 
 
+def find_in_shards(batches: Iterator[pa.RecordBatch], at: int, blocks: list[Block], window: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[list[str]], list[list[tuple[int, int]]]]]:
+    """Each batch with what find_spans gives for its column ``at``, worked out for a shard of batches at once."""
+    shard: list[pa.RecordBatch] = []
+
+    def searched() -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[list[str]], list[list[tuple[int, int]]]]]:
+        counts, items, spans = find_spans(pa.concat_arrays([b.column(at) for b in shard]), blocks, window)
+        first = 0
+        for batch in shard:
+            own = slice(first, first := first + len(batch))
+            yield batch, counts[own], items[own], spans[own]
+
+    for batch in batches:
+        shard.append(batch)
+        if sum(b.column(at).nbytes for b in shard) >= SHARD_BYTES:
+            yield from searched()
+            shard = []
+    if shard:
+        yield from searched()
+
+
 def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The spans in order, those that touch or overlap as one."""
     out: list[tuple[int, int]] = []
@@ -204,8 +226,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         shared = spark.sparkContext.broadcast(blocks)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield _result(batch, at, *find_spans(batch.column(at), shared.value, window), rewrite)
+            for batch, counts, items, spans in find_in_shards(batches, at, shared.value, window):
+                yield _result(batch, at, counts, items, spans, rewrite)
 
         return kept.mapInArrow(run, schema)
     (row,) = unused(kept.columns, "_row")
@@ -222,8 +244,7 @@ def _hits(texts: DataFrame, shared, window: int) -> DataFrame:
     schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("items", ADDED["items"]), T.StructField("spans", ADDED["spans"])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, items, spans = find_spans(batch.column(1), shared.value, window)
+        for batch, _, items, spans in find_in_shards(batches, 1, shared.value, window):
             some = [i for i, x in enumerate(spans) if x]
             runs = [[{"first": a, "last": b} for a, b in spans[i]] for i in some]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some, pa.int64())), pa.array([items[i] for i in some], pa.list_(pa.string())), pa.array(runs, SPANS)], names=["row", "items", "spans"])
