@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,13 +17,14 @@ from corvane.functions.tools import DATA, LENGTH, WEIGHT, conversion
 from corvane.functions.url import clean_url, display_url, domain, is_address
 from corvane.operators.chunks import chunk_documents
 from corvane.operators.metrics import markdown_table, upper_latency
+from corvane.operators.models import pooled, scorer, with_vectors
 from corvane.operators.vectors import mean_pooled
 from corvane.plans.responses import respond
 from corvane.plans.search import instant_answers, rank_web
 from corvane.scratch import new_folder
 from corvane.sources import payloads as P
 from corvane.sources.files import read_directory
-from corvane.sources.store import Store, ingest_totals
+from corvane.sources.store import Store, chunk_numbers, ingest_totals
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -322,6 +324,12 @@ def store_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy("file_path").agg(F.count("*").alias("chunks"), F.sum("token_count").alias("words"), F.min("start_line").alias("first_line"), F.max("headings").alias("headings"), F.round(F.sum(F.col("embedding")[0].cast("double")), 1).alias("vector_sum"))
 
 
+def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of every chunk of the store, in the order of paths and chunks."""
+    store, _ = _ingested(spark, sf_dir)
+    return chunk_numbers(store.read().chunks).select("file_path", "chunk_index", "doc_id")
+
+
 def store_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The totals of the second round, and what the store counts after it."""
     store, statuses = _ingested(spark, sf_dir)
@@ -345,10 +353,36 @@ def pooled_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pooled.select("label", F.posexplode("v").alias("dim", "value")).withColumn("value", F.round("value", 5))
 
 
+def _load_encoder():
+    """A model of two numbers, for the interface: the letters and the words of a text, one token each."""
+
+    def encode(texts: list[str]) -> np.ndarray:
+        hidden = np.array([[[len(t), 0.0], [0.0, 1.0 + len(t.split())], [9.0, 9.0]] for t in texts], dtype=np.float32)
+        return pooled(hidden, np.tile([1, 1, 0], (len(texts), 1)))
+
+    return encode
+
+
+def _load_scorer():
+    return lambda pairs: np.array([(len(q) - len(t)) / 4 for q, t in pairs])
+
+
+def encoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of whole texts by a model that each worker loads once."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ").alias("content"))
+    vectors = with_vectors(docs, _load_encoder, dimensions=2)
+    return vectors.select("doc_id", *[F.round(F.col("embedding")[i].cast("double"), 3).alias(f"v{i}") for i in range(2)])
+
+
+def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of pairs by a model that each worker loads once."""
+    return _table(spark, sf_dir, "part").select("p_partkey", scorer(_load_scorer)(F.col("p_name"), F.col("p_type")).alias("score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "url_hops": url_hops, "address_queries": address_queries, "serp_results": serp_results, "serp_counts": serp_counts, "serp_with_fallback": serp_with_fallback, "web_ranking": web_ranking,
     "record_results": record_results, "image_cards": image_cards, "video_cards": video_cards, "news_items": news_items, "json_responses": json_responses, "web_responses": web_responses, "shopping": shopping,
     "suggestion_lists": suggestion_lists, "summary_cards": summary_cards, "visual_matches": visual_matches, "card_descriptions": card_descriptions, "image_bytes": image_bytes,
     "tool_answers": tool_answers, "unit_table": unit_table, "unescaped_titles": unescaped_titles, "marked_texts": marked_texts, "token_places": token_places, "conversation_stems": stems, "heading_chunks": heading_chunks,
-    "file_scan": file_scan, "store_chunks": store_chunks, "store_totals": store_totals, "value_p95": value_p95, "nation_table": nation_table, "pooled_labels": pooled_labels,
+    "file_scan": file_scan, "store_chunks": store_chunks, "store_totals": store_totals, "chunk_ids": chunk_ids, "encoded_texts": encoded_texts, "pair_scores": pair_scores, "value_p95": value_p95, "nation_table": nation_table, "pooled_labels": pooled_labels,
 }

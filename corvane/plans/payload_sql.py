@@ -209,6 +209,13 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start_line, k) -
     "store_chunks": f"""
 WITH {_STORE}
 SELECT file_path, count(*) AS chunks, sum(n)::BIGINT AS words, 1 AS first_line, file_name AS headings, round(sum(length(file_name || chr(10) || chr(10) || body))::DOUBLE, 1) AS vector_sum FROM chunk WHERE doc_id % 17 <> 0 GROUP BY file_path, file_name""",
+    "chunk_ids": f"""
+WITH {_STORE} SELECT file_path, k AS chunk_index, row_number() OVER (ORDER BY file_path, k) - 1 AS doc_id FROM chunk WHERE doc_id % 17 <> 0""",
+    "encoded_texts": r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]+', ' ', 'g') AS t FROM documents),
+n AS (SELECT doc_id, length(t)::DOUBLE AS a, 1.0 + len([x FOR x IN string_split(t, ' ') IF x <> ''])::DOUBLE AS b FROM t)
+SELECT doc_id, round((a / sqrt(a * a + b * b))::FLOAT::DOUBLE, 3) AS v0, round((b / sqrt(a * a + b * b))::FLOAT::DOUBLE, 3) AS v1 FROM n""",
+    "pair_scores": "SELECT p_partkey, round(1 / (1 + exp(-(length(p_name) - length(p_type)) / 4.0::DOUBLE)), 4) AS score FROM part",
     "store_totals": f"""
 WITH {_STORE}, live AS (SELECT DISTINCT doc_id FROM chunk WHERE doc_id % 17 <> 0)
 SELECT (SELECT count(DISTINCT doc_id) FROM chunk WHERE doc_id % 10 = 0) AS indexed_files, (SELECT count(*) FROM file WHERE doc_id NOT IN (SELECT doc_id FROM chunk WHERE doc_id % 10 = 0)) AS skipped_files,

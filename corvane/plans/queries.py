@@ -203,13 +203,17 @@ def prefix_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suggestions(_index(spark, sf_dir), "th")
 
 
-def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole plan: fused, reranked by the stand-in scorer, with titles; the three best of every item."""
+def _engine(spark: SparkSession, sf_dir: str) -> SearchEngine:
+    """All documents with titles, their index and vectors, and the stand-in scorer."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), F.concat_ws(" ", "source", "lang").alias("title"))
     vectors = _vectors(spark, sf_dir).select("doc_id", "embedding")
-    engine = SearchEngine(docs, _index(spark, sf_dir), vectors, lambda asked: asked.join(_item_vectors(spark, sf_dir), "query_id").select("query_id", "embedding"), lexical_overlap, stemming=False)
+    return SearchEngine(docs, _index(spark, sf_dir), vectors, lambda asked: asked.join(_item_vectors(spark, sf_dir), "query_id").select("query_id", "embedding"), lexical_overlap, stemming=False)
+
+
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole plan: fused, reranked by the stand-in scorer, with titles; the three best of every item."""
     asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return engine.search(asked, "hybrid", 3).select("query_id", "rank", "doc_id", "score", "title", F.col("provenance.first_score").alias("fused_score"))
+    return _engine(spark, sf_dir).search(asked, "hybrid", 3).select("query_id", "rank", "doc_id", "score", "title", F.col("provenance.first_score").alias("fused_score"))
 
 
 def index_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,6 +224,31 @@ def index_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return less.plus(build_index(new, stemming=False, positions=False)).vocabulary
 
 
+def unfiltered_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary of the conversations with stopwords, unstemmed."""
+    turns = _table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
+    return build_index(turns, "id", "text", stopwords=(), stemming=False, positions=False).vocabulary
+
+
+def term_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each term stands in the benchmark items, and their lengths."""
+    postings = build_index(_table(spark, sf_dir, "benchmark"), "item_id", "text", stemming=False).postings
+    return postings.select("term", F.col("doc_id").alias("item_id"), "term_freq", "doc_len", F.array_join(F.transform("positions", lambda x: x.cast("string")), " ").alias("positions"))
+
+
+def engine_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The engine's fusion of scores; the ten best."""
+    asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return _engine(spark, sf_dir).ranked(asked, "relative").where("rank <= 10").select("query_id", "doc_id", "rank", "score")
+
+
+def engine_without_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What hybrid search gives where there are no vectors, no encoder and no scorer: the lexical hits."""
+    asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), F.lit(None).cast("string").alias("title"))
+    return SearchEngine(docs, _index(spark, sf_dir), stemming=False).search(asked, "hybrid", 3).select("query_id", "rank", "doc_id", "score", "title", F.md5("content").alias("content_md5"))
+
+
 def evaluation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evaluation set of six documents and six queries, ranked by BM25."""
     docs, queries, judged = evaluation.evaluation_set(spark)
@@ -264,6 +293,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "latest_events": event_sources,
     "index_updates": index_updates,
     "evaluation_metrics": evaluation_metrics,
+    "unfiltered_terms": unfiltered_terms,
+    "term_positions": term_positions,
+    "engine_relative": engine_relative,
+    "engine_without_vectors": engine_without_vectors,
     **payload_queries.QUERIES,
 }
 
@@ -457,6 +490,14 @@ SELECT conv_id, turn, sha256 FROM (SELECT conv_id, turn, sha256(coalesce(text, '
     "formulas": "SELECT p_partkey, format('{:g}', round(4 * (p_size + 8) / 7.0::DOUBLE, 8)) AS result FROM part",
     "prefix_suggestions": f"WITH {_tokens('tok', 'documents', 'doc_id')} SELECT term, count(DISTINCT id) AS df FROM tok WHERE starts_with(term, 'th') GROUP BY term ORDER BY df DESC, term LIMIT 8",
     "conversation_stems": f"WITH vocabulary AS (SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce(text, '')), {_PATTERN})) AS word FROM conversations),{_STEMS} SELECT word, stem FROM stemmed",
+    "unfiltered_terms": f"""
+SELECT term, count(*) AS df FROM (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(coalesce(text, '')), {_PATTERN})) AS term FROM conversations) GROUP BY term""",
+    "term_positions": f"""
+WITH each AS (SELECT item_id, unnest(regexp_extract_all(text, {_PATTERN})) AS raw, generate_subscripts(regexp_extract_all(text, {_PATTERN}), 1) AS i FROM benchmark),
+kept AS (SELECT item_id, lower(raw) AS term, row_number() OVER (PARTITION BY item_id ORDER BY i) - 1 AS position, count(*) OVER (PARTITION BY item_id) AS doc_len FROM each WHERE lower(raw) NOT IN ({STOP}))
+SELECT term, item_id, count(*) AS term_freq, max(doc_len) AS doc_len, string_agg(position::VARCHAR, ' ' ORDER BY position) AS positions FROM kept GROUP BY term, item_id""",
+    "engine_without_vectors": f"""{_SEARCH}
+SELECT query_id, rank, l.doc_id, round(total, 4) AS score, 'Doc ' || l.doc_id AS title, md5(coalesce(text, '')) AS content_md5 FROM lexical l JOIN documents d ON d.doc_id = l.doc_id WHERE rank <= 3""",
     "index_updates": f"""
 WITH now AS (SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN 'Replaced ' || lang || ' ' || source ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0), {_tokens('tok', 'now', 'doc_id')}
 SELECT term, count(DISTINCT id) AS df FROM tok GROUP BY term""",
@@ -468,3 +509,5 @@ FROM benchmark LEFT JOIN found ON item_id = query_id""",
     "latest_events": "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
     **payload_sql.SQL,
 }
+
+SQL["engine_relative"] = SQL["hybrid_rsf"]  # the engine must give what the operator gives
