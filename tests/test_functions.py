@@ -51,7 +51,8 @@ def test_word_counts_and_html(spark):
     assert value(spark, X.word_count(F.col("x")), " a b c\n", "", None) == [3, 0, 0]
     assert value(spark, X.escape_html(F.col("x")), "<a href='x'>&\"") == ["&lt;a href=&#x27;x&#x27;&gt;&amp;&quot;"]
     assert value(spark, X.strip_tags(F.col("x")), " <p>a <b>b</b></p> ") == ["a b"]
-    assert value(spark, X.unescape_html(F.col("x")), "a &amp;lt; &#233;&#xE9; &copy; x", "plain", None) == ["a &lt; éé © x", "plain", None]
+    raw = ["a &amp;lt; &#233;&#xE9; &copy; x", "plain", None, "&#128512;&#x000041;&Eacute;", "&#38;lt; &notit; &lt", "&#0;&#xD800;&nbsp;", ""]
+    assert value(spark, X.unescape_html(F.col("x")), *raw) == ["a &lt; éé © x", "plain", None, "😀AÉ", "&lt; ¬it; <", "\ufffd\ufffd\xa0", ""]
 
 
 def test_highlight_and_snippet(spark):
@@ -95,7 +96,7 @@ def test_domains_sponsors_and_addresses(spark):
     assert value(spark, url.display_url(F.col("x")), "https://e.org/a/b/", "https://e.org", "x") == ["e.org > a/b", "e.org", "web > x"]
     both = url.is_sponsored(F.col("x"), F.lit("text"))
     assert value(spark, both, "Sponsored: buy", "Ad • now", "python docs", None) == [True, True, False, False]
-    assert value(spark, url.is_address(F.col("x")), "example.com", "https://x", "two words", "ab.cd/c d", "a.b") == [True, True, False, True, False]
+    assert value(spark, url.is_address(F.col("x")), "example.com", "https://x", "two words", "ab.cd/c d", "a.b", " e.org:80/x ", "-a.org", "a-.org", "a..org", "x." + "y" * 64 + ".org", "e.org:x", None) == [True, True, False, True, False, True, False, False, False, False, False, None]
 
 
 @pytest.mark.parametrize(
@@ -111,6 +112,26 @@ def test_instant_tools(spark, query, result):
     assert (got and got.result) == result
 
 
+def test_formulas_like_python():
+    """Random formulas beside Python's own parser; what isn't arithmetic has no value."""
+    import ast
+    import math
+
+    names = {"sqrt": math.sqrt, "abs": abs, "ln": math.log, "round": round, "pi": math.pi, "e": math.e}
+    r, found = random.Random(7), 0
+    for _ in range(20000):
+        text = "".join(r.choice(["1", "2.5", ".5", "3", "(", ")", "+", "-", "*", "/", "//", "%", "**", " ", "sqrt(", "abs(", "pi", "1)", ",", "007"]) for _ in range(r.randint(1, 9)))
+        try:
+            got = eval(compile(ast.parse(text.strip(), mode="eval"), "", "eval"), {"__builtins__": {}}, names)  # noqa: S307
+            want = None if isinstance(got, (tuple, bool)) or callable(got) else f"{round(got, 8):g}"
+        except Exception:
+            want = None
+        want = want if any(x in text for x in tools.MARKS) else None
+        assert tools.formula_value(text) == want, text
+        found += want is not None
+    assert found > 150
+
+
 def test_general_format_is_that_of_c(spark):
     numbers = [0.0, 1.0, 0.1, 1e-5, 123456.0, 1234567.0, 0.00012345678, 99999.95, 999999.5, 1e20, 2.5, 100.0, 1 / 3, -4.25]
     assert value(spark, tools.general(F.col("x")), *numbers, schema="x double") == [f"{n:g}" for n in numbers]

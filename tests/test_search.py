@@ -1,17 +1,27 @@
 """Index, ranking, fusion, metrics, chunks, and whole search plans."""
 
+import json
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
-from corvane.operators.chunks import chunk_documents, chunk_windows
+from corvane import cli
+from corvane.operators import containment as C
+from corvane.operators import lexical as X
+from corvane.operators import models as M
+from corvane.operators import vectors as V
+from corvane.operators.chunks import chunk_documents, chunk_windows, sections
 from corvane.operators.fusion import lexical_overlap, reciprocal_rank_fusion, relative_score_fusion, rerank
 from corvane.operators.lexical import LexicalIndex, bm25, build_index, query_terms, suggestions
 from corvane.operators.metrics import markdown_table, metric_means, retrieval_metrics, upper_latency
 from corvane.operators.vectors import cosine, cosine_top_k, mean_pooled, normalised
+from corvane.plans.responses import respond, route
 from corvane.plans.search import SearchEngine, evaluate, instant_answers, rank_web, with_snippets
+from corvane.sources.evaluation import evaluation_set
 
 CORPUS = [(1, "The quick brown fox jumps over the lazy dog", "fox"), (2, "Solar panel fields use mirror arrays for solar heating", "solar"), (3, "Cooking pasta takes boiling water", "pasta"), (4, "", None)]
 
@@ -58,8 +68,9 @@ def test_index_positions_save_and_suggest(spark, docs, tmp_path):
     index = build_index(docs, text_col="content")
     row = index.postings.where("term = 'solar'").first()
     assert (row.term_freq, row.positions, row.doc_len) == (2, [0, 6], 8)
-    index.save(str(tmp_path / "index"))
+    index.save(str(tmp_path / "index"), buckets=3)
     again = LexicalIndex.load(spark, str(tmp_path / "index"))
+    assert sorted(r.doc_id for r in again.doc_ids.collect()) == [1, 2, 3, 4] and again.cleared().postings.count() == again.cleared().doc_ids.count() == 0
     assert [h.doc_id for h in hits(again, spark, "fox")] == [1]
     assert [r.term for r in suggestions(again, "so").collect()] == ["solar"] and suggestions(again, " ").count() == 0
 
@@ -81,6 +92,53 @@ def test_cosine(spark):
     assert pooled.select(mean_pooled(F.col("t"), F.col("m")).alias("p")).first().p == pytest.approx([0.6, 0.8])
 
 
+def test_cosine_in_blocks_and_batches(spark, monkeypatch):
+    """Many query blocks, many Arrow batches in a task, and ties: the same as one multiplication."""
+    r = np.random.RandomState(4)
+    rows = r.randint(-2, 3, (700, 3)).astype(float)  # many equal directions
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "doc_id long, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame([(i, rows[i].tolist()) for i in range(40)], "query_id long, embedding array<double>")
+    length = np.linalg.norm(rows, axis=1, keepdims=True)
+    unit = np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
+    scores = np.round(unit[:40] @ unit.T, 9)
+    want = {(q, int(d), k + 1) for q in range(40) for k, d in enumerate(np.lexsort((np.arange(700), -scores[q]))[:6])}
+    monkeypatch.setattr(V, "QUERY_BLOCK", 9)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        assert {(g.query_id, g.doc_id, g["rank"]) for g in cosine_top_k(queries, vectors, 6).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_bm25_in_blocks_and_from_buckets(spark, monkeypatch, tmp_path):
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choice(["apple", "pear", "plum", "kiwi", f"w{r.randint(0, 60)}"]) for _ in range(r.randint(0, 30)))) for i in range(200)]
+    index = build_index(spark.createDataFrame(rows, "doc_id long, text string"))
+    asked = ask(spark, *[" ".join(r.choice(["apple", "plum", f"w{k}"]) for _ in range(4)) for k in range(30)])
+    terms = query_terms(asked, "query_id", "query").cache()
+    plain = sorted(map(tuple, bm25(index, terms, 7).collect()))
+    stored = index.save(str(tmp_path / "index"), buckets=3)
+    assert sorted(map(tuple, bm25(stored, terms, 7).collect())) == plain
+    plan = bm25(stored, terms, 7)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(query_id") == 1 and "hashpartitioning(query_id#" in plan and "doc_id" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
+    monkeypatch.setattr(X, "BLOCK_TERMS", 20)
+    assert sorted(map(tuple, bm25(stored, terms, 7).collect())) == plain
+
+
+def test_documents_holding(spark, monkeypatch):
+    r = random.Random(5)
+    texts = [" ".join(r.choice("ab") * r.randint(1, 2) for _ in range(r.randint(0, 40))) + r.choice(["", "\n", " é"]) for _ in range(60)] + [None, "", "ab"]
+    items = [t[a : a + n] for t in texts[:40] for a, n in [(r.randint(0, 10), r.randint(0, 30))]] + ["", "a", "b a", None, "no such text at all, ever, in any of them"]
+    monkeypatch.setattr(C, "BLOCK_ITEMS", 7)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = C.documents_holding(docs, spark.createDataFrame(list(enumerate(items)), "query_id long, text string")).collect()
+    assert sorted((g.doc_id, g.query_id) for g in got) == [(i, k) for i, t in enumerate(texts) for k, x in enumerate(items) if t is not None and x is not None and x in t]
+    long = C.documents_holding(docs, spark.createDataFrame([(1, texts[3][2:])], "query_id long, text string"))
+    assert long.count() == sum(t is not None and texts[3][2:] in t for t in texts)
+    assert C.documents_holding(docs, docs.limit(0).withColumnRenamed("doc_id", "query_id")).count() == 0
+
+
 def _list(spark, *rows):
     return spark.createDataFrame([(1, d, s, i + 1) for i, (d, s) in enumerate(rows)], "query_id long, doc_id long, score double, rank int")
 
@@ -114,8 +172,12 @@ def test_metrics(spark):
     perfect = retrieval_metrics(spark.createDataFrame([(1, 11, 1), (1, 13, 2)], ranked.schema), qrels, 2).where("query_id = 1").first()
     assert perfect.ndcg == 1.0
     assert metric_means(retrieval_metrics(ranked, qrels, 2)).first().queries == 2
-    six = spark.createDataFrame([(float(i),) for i in (3, 1, 6, 2, 5, 4)], "v double").agg(upper_latency(F.col("v")).alias("p")).first()
-    assert six.p == 6.0
+    six = spark.createDataFrame([(i % 2, float(i)) for i in (3, 1, 6, 2, 5, 4)] + [(0, None)], "k int, v double")
+    assert upper_latency(six, "v").first().v == 6.0 and {(r.k, r.v) for r in upper_latency(six, "v", ["k"], 0.5).collect()} == {(0, 4.0), (1, 3.0)}
+    hundred = spark.range(1, 101).select(F.floor((F.col("id") + 1) / 2).cast("double").alias("v"))  # every value twice
+    assert upper_latency(hundred, "v").first().v == 48.0
+    ordered = markdown_table(spark.createDataFrame([("b", 2), ("a", 1), ("c", 3)], "s string, n long").orderBy(F.desc("n")), ["s"]).collect()
+    assert [r.line for r in ordered] == ["| s |", "|---|", "| c |", "| b |", "| a |"]
     assert [r.line for r in markdown_table(spark.createDataFrame([("a", 1)], "s string, n long"), ["s", "n"]).collect()] == ["| s | n |", "|---|---|", "| a | 1 |"]
 
 
@@ -152,6 +214,24 @@ def test_chunks_carry_their_headings(spark):
     assert [c.token_count for c in chunk_documents(long, most=50, least=10, overlap=40).orderBy("chunk_index").collect()][:2] == [50, 50]
 
 
+def test_headings_of_every_depth_like_a_plain_stack(spark):
+    r = random.Random(9)
+    rows = []
+    for i in range(30):
+        lines = ["start"] + [("#" * r.randint(1, 6) + f" h{k}") if r.random() < 0.6 else f"text {k}" for k in range(r.randint(0, 40))]
+        rows.append((i, "\n".join(lines), r.choice([None, "", "T"])))
+    got = {(s.doc_id, s.start_line): s.headings for s in sections(spark.createDataFrame(rows, "doc_id long, text string, title string"), title_col="title").collect()}
+    want = {}
+    for i, text, title in rows:
+        stack, less = ([title], 1) if title else ([], 0)
+        want[i, 1] = list(stack)
+        for n, line in enumerate(text.split("\n")[1:], 2):
+            if line.startswith("#"):
+                stack = [*stack[: max(len(line.split()[0]) - less, 0)], line.split()[1]]
+                want[i, n] = list(stack)
+    assert got == want
+
+
 def test_engine_modes(spark, docs):
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.7, 0.7])], "doc_id long, embedding array<double>")
     encode = lambda asked: asked.select("query_id", F.array(F.lit(0.0), F.lit(1.0)).alias("embedding"))
@@ -174,6 +254,93 @@ def test_engine_modes(spark, docs):
     qrels = spark.createDataFrame([(0, 2, 3.0), (1, 1, 3.0)], "query_id long, doc_id long, grade double")
     rows = evaluate(engine, asked, qrels).rows
     assert [r["strategy"] for r in rows] == ["bm25", "dense", "hybrid", "hybrid reranked"] and rows[0]["ndcg"] == 1.0
+    (timed,) = evaluate(plain, asked, qrels, timed=True).rows
+    assert timed["p95_latency_ms"] >= timed["mean_latency_ms"] > 0 and timed["precision_at_1"] == 1.0
+
+
+def test_the_evaluation_set(spark):
+    docs, queries, judged = evaluation_set(spark)
+    rows = evaluate(SearchEngine.of(docs, scorer=lexical_overlap), queries, judged).rows
+    assert (docs.count(), queries.count(), judged.count()) == (6, 6, 6) and rows[0]["queries"] == 6 and rows[0]["reciprocal_rank"] > 0.9
+
+
+class FakeTokenizer:
+    """Stands for a tokenizer: words are numbered by their length, cut and padded to four."""
+
+    def encode_batch(self, texts):
+        class Encoding:
+            def __init__(self, text):
+                words = (" ".join(text) if isinstance(text, tuple) else text).split()[:4]
+                self.ids = [len(w) for w in words] + [0] * (4 - len(words))
+                self.attention_mask = [1] * len(words) + [0] * (4 - len(words))
+                self.type_ids = [0, 1, 1, 1]
+
+        return [Encoding(t) for t in texts]
+
+
+def fake_encoder():
+    tokenizer = FakeTokenizer()
+
+    def encode(texts):
+        fed = M.model_inputs(tokenizer.encode_batch(texts), ["input_ids", "token_type_ids"], False)
+        assert not fed["token_type_ids"].any()
+        hidden = np.stack([fed["input_ids"], np.ones_like(fed["input_ids"])], axis=2).astype(np.float32)
+        return M.pooled(hidden, fed["attention_mask"])
+
+    return encode
+
+
+def fake_scorer():
+    return lambda pairs: np.array([float(len(set(q.split()) & set(t.split()))) for q, t in pairs])
+
+
+def test_encoders_and_scorers_see_batches(spark, docs):
+    many = fake_encoder()
+    assert M.encode_batch(many, [], 7).shape == (0, 7) and M.predict(fake_scorer(), []) == []
+    got = M.encode_batch(many, ["abc"] * 150 + ["ab abcd"])
+    assert got.shape == (151, 2) and got.dtype == np.float32 and np.allclose(np.linalg.norm(got, axis=1), 1) and np.allclose(got[0], np.array([3, 1]) / 10**0.5)
+    assert np.allclose(got[150], np.array([3, 1]) / 10**0.5)  # the mean of lengths 2 and 4, padding left out
+    assert M.predict(fake_scorer(), [("a b", "b a"), ("a", "c")]) == [0.8808, 0.5]
+    typed = M.model_inputs(FakeTokenizer().encode_batch([("a", "b")]), ["token_type_ids"], True)
+    assert typed["token_type_ids"].tolist() == [[0, 1, 1, 1]]
+    vectors = M.with_vectors(docs, fake_encoder, dimensions=2).select("doc_id", "embedding").where("doc_id < 4")
+    engine = SearchEngine.of(docs, vectors, lambda asked: asked.select("query_id", M.encoder(fake_encoder, 2)(F.col("query")).alias("embedding")), M.scorer(fake_scorer))
+    best = engine.search(ask(spark, "lazy dog fox"), "hybrid", 1).first()
+    assert best.doc_id == 1 and best.score == round(1 / (1 + math.exp(-3)), 4)
+    nulls = spark.createDataFrame([(None,), ("a",)], "x string").select(M.encoder(fake_encoder, 2)(F.col("x")).alias("v")).collect()
+    assert nulls[0].v is None and len(nulls[1].v) == 2
+
+
+def test_requests_go_where_they_belong(spark, docs):
+    assert [route(*x) for x in (("images", "local"), ("local", "web"), ("all", "local"), ("tech", "hybrid"), ("news",))] == ["images", "local", "local", "all", "news"]
+    engine = SearchEngine.of(docs, scorer=lexical_overlap)
+    got = {r.query_id: json.loads(r.response) for r in respond(ask(spark, " fox ", "  "), "local", "web", 2, engine=engine).collect()}
+    assert got[0]["query"] == "fox" and got[0]["category"] == "local" and got[0]["mode"] == "hybrid" and got[0]["total_hits"] == 1
+    assert got[0]["hits"][0]["type"] == "local" and got[0]["hits"][0]["title"] == "fox" and '<mark class="highlight">fox</mark>' in got[0]["hits"][0]["snippet"]
+    assert got[1] == {"query": "", "category": "local", "mode": "hybrid", "total_hits": 0, "hits": [], "instant_answer": None, "ads_blocked_count": 0, "trackers_purged_count": 0}
+    with pytest.raises(ValueError, match="engine"):
+        respond(ask(spark, "x"), "local")
+    pages = spark.createDataFrame([(0, 'm="{&quot;murl&quot;:&quot;https://i.org/a.png&quot;}"', "q")], "query_id long, html string, query string")
+    (image,) = respond(ask(spark, "q"), "images", sources={"images": pages}).collect()
+    assert json.loads(image.response)["hits"][0]["image_url"] == "https://i.org/a.png" and json.loads(image.response)["trackers_purged_count"] == 1
+    web = spark.createDataFrame([(0, '<li class="b_algo"><h2><a href="https://e.org/?utm_source=x">A fox</a></h2><p>the fox</p></li>')], "query_id long, html string")
+    (answer,) = respond(ask(spark, "fox 2+2"), sources={"web": web}).collect()
+    read = json.loads(answer.response)
+    assert read["total_hits"] == 1 and read["hits"][0]["url"] == "https://e.org/" and read["trackers_purged_count"] == 1 and read["hits"][0]["snippet"] == 'the <mark class="highlight">fox</mark>'
+
+
+def test_the_command_line(spark, tmp_path, capsys):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_text("the quick fox\n")
+    store = ["--store", str(tmp_path / "store")]
+    assert cli.main([*store, "index", str(tmp_path / "in")]).count() == 1
+    assert cli.main([*store, "search", "fox"]).first().title == "a.md"
+    assert [r.term for r in cli.main([*store, "suggest", "qu"]).collect()] == ["quick"]
+    assert cli.main([*store, "stats"]).first().total_chunks == 1
+    spark.createDataFrame([(0, "fox")], "query_id long, query string").write.parquet(str(tmp_path / "q"))
+    spark.createDataFrame([(0, 0, 1.0)], "query_id long, doc_id long, grade double").write.parquet(str(tmp_path / "r"))
+    assert cli.main([*store, "evaluate", str(tmp_path / "q"), str(tmp_path / "r")]).first().ndcg == 1.0
+    assert "indexed_files" in capsys.readouterr().out
 
 
 def test_web_ranking_pins_the_direct_card(spark):

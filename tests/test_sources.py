@@ -5,8 +5,8 @@ import struct
 from pyspark.sql import functions as F
 
 from corvane.sources import payloads as P
-from corvane.sources.files import read_directory
-from corvane.sources.store import Store, chunk_numbers
+from corvane.sources.files import list_directory, read_directory
+from corvane.sources.store import Store, chunk_numbers, ingest_totals
 from corvane.streaming.ingest import stream_directory
 
 ITEM = '<li class="b_algo" x><h2><a href="{href}" h="1">{title}</a></h2><p>{text}</p></li>'
@@ -85,6 +85,43 @@ def test_image_bytes(spark):
     assert [(m.title, m.domain) for m in found] == [("One", "i.org"), ("Visual Match 2", "j.org")]
 
 
+RECORDS = """<html><a class="result__a" href="/before">before</a><div class="results"><div class="result x"><h2><a rel='n' class='result__a' href="https://e.org/?a=1&amp;b=2">One <b>&amp; only</b></a></h2> no
+<a class="result__snippet y" href="/z">its <i>text</i></a> after</div><div class=result><a class="result__snippet">no title</a></div>
+<DIV CLASS="result"><A HREF=/three CLASS=result__a>Three</A><!-- <div class="result"> --></DIV><div class="result"><a class="result__a">no url</a></div></div>"""
+
+
+def test_record_pages(spark):
+    got = P.record_results(spark.createDataFrame([(1, RECORDS), (2, None), (3, "")], "query_id long, html string")).orderBy("position").collect()
+    assert [(g.query_id, g.position, g.title, g.url, g.snippet) for g in got] == [(1, 0, "One & only", "https://e.org/?a=1&b=2", "its text"), (1, 1, "Three", "/three", "")]
+
+
+def test_lost_files_and_totals(spark, tmp_path):
+    root = tmp_path / "in"
+    _folder(root)
+    store = Store(spark, str(tmp_path / "store"))
+    listed = list_directory(spark, str(root)).unionByName(spark.createDataFrame([("file:/gone.md",)], "file_path string"))
+    statuses = store.ingest(read_directory(spark, str(root), skip_unreadable=True), listed=listed)
+    assert ingest_totals(statuses).first().asDict() == {"indexed_files": 2, "skipped_files": 1, "total_chunks_created": 2, "errors": 1}
+    assert ingest_totals(statuses.limit(0)).first().errors == 0
+
+
+def test_store_appends_and_compacts(spark, tmp_path):
+    """A write brings new files and touches no old one; the last version counts; a removed document can come back."""
+    store = Store(spark, str(tmp_path / "store"))
+    row = lambda i, text: (f"p{i}", f"p{i}.md", text, len(text), text)
+    files = lambda *rows: spark.createDataFrame(list(rows), "file_path string, file_name string, file_hash string, file_size long, text string")
+    store.ingest(files(*[row(i, f"text {i}") for i in range(5)]))
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "store").rglob("*.parquet")}
+    store.ingest(files(row(1, "other words here")))
+    store.delete(spark.createDataFrame([("p2",), ("p9",)], "file_path string"))
+    assert all(p.stat().st_mtime_ns == t for p, t in before.items())
+    shown = lambda: sorted((c.file_path, c.content.split("\n")[-1]) for c in store.read().chunks.collect())
+    assert shown() == [("p0", "text 0"), ("p1", "other words here"), ("p3", "text 3"), ("p4", "text 4")]
+    store.compact()
+    assert shown() == [("p0", "text 0"), ("p1", "other words here"), ("p3", "text 3"), ("p4", "text 4")] and store.stats().first().total_documents == 4
+    assert store.ingest(files(row(2, "text 2"))).first().status == "indexed" and store.stats().first().total_documents == 5
+
+
 def _folder(path):
     (path / "notes").mkdir(parents=True)
     (path / ".git").mkdir()
