@@ -1,18 +1,18 @@
 """Text expressions: tokens, stemming, word counts, HTML escaping, highlights and snippets.
 
-All but the decoding of references is a Column expression, so it runs inside
-the JVM and can be pushed, pruned and fused by the optimizer.
+Everything here is a Column expression, so it runs inside the JVM and can be
+pushed, pruned and fused by the optimizer.
 """
 
 from __future__ import annotations
 
 import html
+import html.entities
+import json
 from collections.abc import Callable, Iterable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corvane.scratch import join_groups, unused, written
 
@@ -192,18 +192,50 @@ def strip_tags(text: Column) -> Column:
     return stripped(F.regexp_replace(text, "<[^>]+>", ""))
 
 
-@F.pandas_udf(T.StringType())
-def _unescaped(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
+#: A reference as browsers read one: numeric, or a name that need not end in a semicolon.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+#: Names with what they stand for, from the standard table; names that count without a semicolon; numbers that stand for other characters.
+_NAMED = json.dumps(html.entities.html5)
+_LEGACY = "^(?:" + "|".join(sorted((x for x in html.entities.html5 if not x.endswith(";")), key=len, reverse=True)) + ")"
+_MOVED = json.dumps({str(code): html.unescape(f"&#{code};") for code in (0, 13, *range(128, 160))})
+
+
+def _numbered(piece: Column) -> Column:
+    """The character of a numeric reference: U+FFFD for what is none, nothing for control characters and non-characters."""
+    hexadecimal = piece.rlike("^&#[xX]")
+    digits = F.regexp_replace(F.regexp_replace(piece, "^&#[xX]?0*|;$", ""), "^$", "0")
+    code = F.when(F.char_length(digits) > 8, F.lit(0x110000)).when(hexadecimal, F.conv(digits, 16, 10).cast("long")).otherwise(digits.cast("long"))
+
+    def character(c: Column) -> Column:
+        control = c.between(1, 8) | (c == 11) | c.between(14, 31) | (c == 127) | c.between(0xFDD0, 0xFDEF) | ((c % 0x10000) >= 0xFFFE)
+        plain = F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")
+        moved = F.try_element_at(F.from_json(F.lit(_MOVED), "map<string, string>"), c.cast("string"))
+        return F.when(c.between(0xD800, 0xDFFF) | (c > 0x10FFFF), "\ufffd").when(moved.isNotNull(), moved).when(control, "").otherwise(plain)
+
+    return let(code, character)
+
+
+def _named(piece: Column) -> Column:
+    """What a named reference stands for; the longest known name that it begins with, if there is one."""
+    name = F.substring(piece, F.lit(2), F.char_length(piece))
+    names = F.from_json(F.lit(_NAMED), "map<string, string>")
+    known = F.regexp_extract(name, _LEGACY, 0)
+    rest = F.substring(name, F.char_length(known) + 1, F.char_length(name))
+    return F.coalesce(F.try_element_at(names, name), F.when(known != "", F.concat(F.try_element_at(names, known), rest)), piece)
 
 
 def unescape_html(text: Column) -> Column:
     """All references of HTML decoded, named and numeric, each once and as browsers do it.
 
-    An Arrow UDF, since the names are a table of two thousand; only texts that
-    have an ampersand are sent to it.
+    The text is split at its references and put together again; only texts
+    that have an ampersand do the work.
     """
-    return F.coalesce(_unescaped(F.when(F.contains(text, F.lit("&")), text)), text)
+
+    def decoded(whole: Column) -> Column:
+        pieces = F.transform(F.regexp_extract_all(whole, F.lit(REFERENCE), F.lit(0)), lambda p: F.when(p.startswith("&#"), _numbered(p)).otherwise(_named(p)))
+        return F.array_join(F.zip_with(F.split(whole, REFERENCE, -1), pieces, lambda gap, piece: F.concat(gap, F.coalesce(piece, F.lit("")))), "")
+
+    return F.when(F.contains(text, F.lit("&")), let(text, decoded)).otherwise(text)
 
 
 def stripped(text: Column) -> Column:

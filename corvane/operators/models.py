@@ -100,9 +100,8 @@ def encoder(load: Callable[[], Encode], dimensions: int = DIMENSIONS) -> Callabl
         encode = load()
         for texts in batches:
             known = texts.notna()
-            out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
-            out[known] = list(encode_batch(encode, texts[known].tolist(), dimensions))
-            yield out
+            found = iter(encode_batch(encode, texts[known].tolist(), dimensions))
+            yield pd.Series([next(found) if k else None for k in known], index=texts.index, dtype=object)
 
     return vectors
 
