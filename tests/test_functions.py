@@ -117,12 +117,26 @@ def test_formulas_like_python():
     import ast
     import math
 
-    names = {"sqrt": math.sqrt, "abs": abs, "ln": math.log, "round": round, "pi": math.pi, "e": math.e}
+    def power(a, b):
+        if max(abs(a), abs(b)) > tools.LARGEST_IN_POWER:
+            raise ValueError
+        return a**b
+
+    class Guarded(ast.NodeTransformer):
+        def visit_BinOp(self, node):
+            self.generic_visit(node)
+            return ast.Call(ast.Name("power", ast.Load()), [node.left, node.right], []) if isinstance(node.op, ast.Pow) else node
+
+        def visit_Constant(self, node):
+            return ast.Constant(float(node.value))
+
+    names = {"sqrt": math.sqrt, "abs": abs, "ln": math.log, "round": round, "pi": math.pi, "e": math.e, "power": power}
     r, found = random.Random(7), 0
     for _ in range(20000):
         text = "".join(r.choice(["1", "2.5", ".5", "3", "(", ")", "+", "-", "*", "/", "//", "%", "**", " ", "sqrt(", "abs(", "pi", "1)", ",", "007"]) for _ in range(r.randint(1, 9)))
         try:
-            got = eval(compile(ast.parse(text.strip(), mode="eval"), "", "eval"), {"__builtins__": {}}, names)  # noqa: S307
+            tree = ast.fix_missing_locations(Guarded().visit(ast.parse(text.strip(), mode="eval")))
+            got = eval(compile(tree, "", "eval"), {"__builtins__": {}}, names)  # noqa: S307
             want = None if isinstance(got, (tuple, bool)) or callable(got) else f"{round(got, 8):g}"
         except Exception:
             want = None
