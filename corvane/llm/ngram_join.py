@@ -4,7 +4,9 @@
    where k exceeds the largest symmetric difference of a linked pair.  So two
    linked documents have one part in common, and the hashes of the parts are
    keys that route documents, exactly, to the neighbourhoods they may have
-   links in.  A neighbourhood is named by the least document of a key.
+   links in.  A neighbourhood is named by the least document of a key.  Linked
+   documents share a known least number of keys, so a key that very many hold
+   (a common passage) routes only documents with as many such keys.
 2. Neighbourhoods are packed into blocks of up to BLOCK_TOKENS tokens.  In a
    block similar documents are put into groups of GROUP_SETS, and a matrix
    holds the union of the tokens of each group.  A query document's overlap
@@ -39,6 +41,8 @@ SIMILARITY = (80, 100)
 BAND_RATIO = 1.5
 #: The keys are matched in so many rounds, a range of hashes in each; what a round shuffles is gone before the next.
 ROUNDS = 4
+#: A key of more sets is hot: it routes only sets that may have links which share no other key.
+HOT_KEY = 256
 #: Most tokens of a block (but for a single longer document).
 BLOCK_TOKENS = 500_000
 #: Documents of a token group.
@@ -350,17 +354,18 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     for k in range(ROUNDS):
         keyed = searched.select("id", F.explode("keys").alias("key")).where(F.pmod("key", F.lit(ROUNDS)) == k)
         live = written(keyed.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1"), "keys")
-        rounds.append(written(join_groups(possible_matches(keyed, live, "key"), live, "key", "n").groupBy("leader", "id").agg(F.count("*").alias("common")), "near"))
-    shared = written(reduce(DataFrame.union, rounds).groupBy("leader", "id").agg(F.sum("common").alias("common")), "near")
-    # a document with fewer shared keys than a link needs has none
+        matched = join_groups(possible_matches(keyed, live, "key"), live, "key", "n")
+        rounds.append(written(matched.groupBy("leader", "id", (F.col("n") > HOT_KEY).alias("hot")).agg(F.count("*").alias("common")), "near"))
+    shared = written(reduce(DataFrame.union, rounds).groupBy("leader", "id", "hot").agg(F.sum("common").alias("common")), "near")
+    # a document with fewer shared keys than a link needs has none; one with fewer hot keys than that shares a key that isn't hot with all it links to
     need = firsts.groupBy("id").agg(F.min("need").alias("need"))
-    enough = shared.groupBy("id").agg(F.sum("common").alias("have")).join(need, "id").where("have >= need").select("id")
-    asked = written(enough, "asked")
+    have = shared.groupBy("id").agg(F.sum("common").alias("have"), F.sum(F.when(F.col("hot"), F.col("common")).otherwise(0)).alias("have_hot"))
+    asked = written(have.join(need, "id").where("have >= need").select("id", (F.col("have_hot") >= F.col("need")).alias("all_hot")), "asked")
     few = asked.count() <= BROADCAST_IDS
     some = F.broadcast(asked) if few else asked
-    left = shared.join(some, "id", "left_semi")
+    left = shared.join(some, "id").where("not hot or all_hot").select("leader", "id").distinct()
     groups = left.groupBy("leader").agg(F.min("id").alias("anchor"), F.count("*").alias("n")).where("n > 1")
-    near = written(join_groups(left.select("leader", "id"), written(groups, "groups"), "leader", "n").select("leader", "id", "anchor"), "near")
+    near = written(join_groups(left, written(groups, "groups"), "leader", "n").select("leader", "id", "anchor"), "near")
     slim_sets = written(sets.select("id", "n", "rep"), "sizes")
     discard(sets)  # the keys are matched
     tokens = written(_token_table(slim.join(some, "id", "left_semi"), width), "tokens", SPLITS_PER_FILE)
