@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,7 +79,23 @@ def written(df: DataFrame, hint: str = "table", merge: int = 1) -> DataFrame:
     spark = df.sparkSession
     if merge > 1 and "Exchange" not in df._jdf.queryExecution().executedPlan().toString():
         df = df.coalesce(max(1, -(-df.rdd.getNumPartitions() // merge)))
-    path = new_folder(spark, hint)
+    return _written_at(df, new_folder(spark, hint))
+
+
+def staged(spark: SparkSession, build: Callable[[], DataFrame], hint: str = "table") -> DataFrame:
+    """What ``build`` returns as a written table; the tables that it made on the way are removed."""
+    path, outer = new_folder(spark, hint), spark._scratch_folder
+    spark._scratch_folder = f"{path}-work"
+    try:
+        return _written_at(build(), path)
+    finally:
+        system, where = _hadoop(spark, spark._scratch_folder)
+        system.delete(where, True)
+        spark._scratch_folder = outer
+
+
+def _written_at(df: DataFrame, path: str) -> DataFrame:
+    spark = df.sparkSession
     clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # shuffle files go with the write that made them
     before = spark.conf.get(clean, "false")
     spark.conf.set(clean, "true")
@@ -91,10 +108,11 @@ def written(df: DataFrame, hint: str = "table", merge: int = 1) -> DataFrame:
     return out
 
 
-def discard(table: DataFrame) -> None:
-    """Remove the files of a written table that nothing reads any more."""
-    system, where = _hadoop(table.sparkSession, table._scratch)
-    system.delete(where, True)
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of written tables that nothing reads any more."""
+    for table in tables:
+        system, where = _hadoop(table.sparkSession, table._scratch)
+        system.delete(where, True)
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, weight: str) -> DataFrame:
