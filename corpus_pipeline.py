@@ -16,7 +16,7 @@ from corvane.llm.line_dedup import line_dedup
 from corvane.llm.mixing import mixed_documents
 from corvane.llm.ngram_join import one_of_each
 from corvane.llm.quality import quality_filter
-from corvane.scratch import written
+from corvane.scratch import discard, staged
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -64,8 +64,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; what a stage returns is written and read again."""
+    """All stages over the documents; what a stage returns is written and read again, and its own tables go."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, staged(spark, lambda: stage(spark, docs, sf_dir), name)  # noqa: B023
+        if i:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.scratch import join_groups, written
+from corvane.scratch import discard, join_groups, written
 
 
 def _smallest_neighbours(both: DataFrame) -> DataFrame:
@@ -24,10 +24,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = join_groups(both, written(_smallest_neighbours(both), "least"), "u", "degree").where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
-        down = large.where("u <> v").distinct()
-        small = join_groups(down, written(_smallest_neighbours(down), "least"), "u", "degree")
-        now = written(small.select(F.col("v").alias("u"), F.col("least").alias("v")).union(small.select("u", F.col("least").alias("v"))).where("u <> v").distinct(), "edges")
+        least = written(_smallest_neighbours(both), "least")
+        large = join_groups(both, least, "u", "degree").where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
+        down = written(large.where("u <> v").distinct(), "down")
+        lower = written(_smallest_neighbours(down), "least")
+        small = join_groups(down, lower, "u", "degree")
+        old, now = now, written(small.select(F.col("v").alias("u"), F.col("least").alias("v")).union(small.select("u", F.col("least").alias("v"))).where("u <> v").distinct(), "edges")
+        discard(old, least, down, lower)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             break

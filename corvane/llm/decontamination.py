@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from corvane.llm import words as W
 from corvane.llm.fm_index import FMIndex
-from corvane.llm.shared import bounded_batches
+from corvane.llm.shared import bounded_batches, tidy
 from corvane.scratch import unused, written
 
 WINDOW = 10
@@ -229,7 +229,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             for batch, counts, items, spans in find_in_shards(batches, at, shared.value, window):
                 yield _result(batch, at, counts, items, spans, rewrite)
 
-        return kept.mapInArrow(run, schema)
+        return kept.mapInArrow(tidy(run), schema)
     (row,) = unused(kept.columns, "_row")
     numbered = written(kept.withColumn(row, F.monotonically_increasing_id()), "numbered")
     found = []
@@ -249,7 +249,7 @@ def _hits(texts: DataFrame, shared, window: int) -> DataFrame:
             runs = [[{"first": a, "last": b} for a, b in spans[i]] for i in some]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some, pa.int64())), pa.array([items[i] for i in some], pa.list_(pa.string())), pa.array(runs, SPANS)], names=["row", "items", "spans"])
 
-    out = written(texts.mapInArrow(run, schema), "hits")
+    out = written(texts.mapInArrow(tidy(run), schema), "hits")
     shared.destroy()
     return out
 
@@ -268,4 +268,4 @@ def _merged(numbered: DataFrame, hits: DataFrame, row: str, at: int, schema: T.S
             counts = W.word_bounds(W.LOWER[data], offsets, W.ALNUM)[2]
             yield _result(batch.select(batch.schema.names[:-2]), at, counts, names, found, rewrite)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidy(run), schema)

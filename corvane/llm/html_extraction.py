@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm.html_blocks import Page, block_features, parse
-from corvane.llm.shared import bounded_batches
+from corvane.llm.shared import bounded_batches, tidy
 from corvane.scratch import unused
 
 TRAINING_PAGES = 600
@@ -298,4 +298,4 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", model: ChainMode
             texts = main_texts(shared.value, batch.column(len(others)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=[*others, "text", "n_chars"])
 
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(tidy(run), schema)

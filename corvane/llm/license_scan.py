@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm import words as W
-from corvane.llm.shared import bounded_batches
+from corvane.llm.shared import bounded_batches, tidy
 from corvane.scratch import unused
 
 WIDTHS = (1, 2, 3)
@@ -385,4 +385,4 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", model: LicenseModel |
                 found[row].append({"paragraph": paragraph, "family": CLASSES[c], "probability": p, "agreement": agree, "confirmed": c < len(FAMILIES) and agree >= CONFIRM})
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lines, pa.int64()), pa.array(found, kind)], names=[*others, "n_paragraphs", "licenses"])
 
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(tidy(run), schema)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.shared import BLANKS, Bloom, lower_ascii
-from corvane.scratch import SPLITS_PER_FILE, join_groups, unused, written
+from corvane.scratch import SPLITS_PER_FILE, discard, join_groups, unused, written
 
 LEAST_CHARS = 20
 LEAST_DOCUMENTS = 3
@@ -43,9 +43,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = slim.select("id", "tag", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= least_chars)
     lines = written(keyed.select("id", "tag", "pos", F.unhex(F.md5("key")).alias("key")), "lines", SPLITS_PER_FILE)
     common = lines.select("key", "id").distinct().groupBy("key").agg(F.count("*").alias("documents"), F.max("id").alias("last_id")).where(F.col("documents") >= least_documents)
-    dropped = join_groups(lines, written(common, "common"), "key", "documents").where(~F.col("id").eqNullSafe(F.col("last_id")))
+    common = written(common, "common")
+    dropped = join_groups(lines, common, "key", "documents").where(~F.col("id").eqNullSafe(F.col("last_id")))
     of, mark, gone, changed, whole, pieces = unused([*docs.columns, "n_lines", "n_dropped"], "_id", "_tag", "_gone", "_changed", "_whole", "_pieces")
     positions = written(dropped.groupBy(F.col("id").alias(of), F.col("tag").alias(mark)).agg(F.collect_set("pos").alias(gone)), "gone")
+    discard(lines, common)
     full = docs.withColumn(whole, F.coalesce(docs[text_col], F.lit("")))
     tag = F.xxhash64(F.col(whole))
     n_lines = F.octet_length(whole) - F.octet_length(F.replace(F.col(whole), F.lit("\n"), F.lit(""))) + 1

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from corvane.llm import words as W
 from corvane.llm.components import connected_components
-from corvane.llm.shared import bounded_batches, possible_matches
+from corvane.llm.shared import bounded_batches, possible_matches, tidy
 from corvane.scratch import SPLITS_PER_FILE, discard, join_groups, unused, written
 
 WIDTH = 5
@@ -176,7 +176,7 @@ def _sets(docs: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame
             lists = pa.ListArray.from_arrays(where, pa.array(keys.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(reps, batch.column(0).type), *[pa.array(x.view(np.int64)) for x in (one, two, need)], lists], names=["id", "n", "rep", "one", "two", "need", "keys"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def _token_table(docs: DataFrame, width: int) -> DataFrame:
@@ -199,7 +199,7 @@ def _token_table(docs: DataFrame, width: int) -> DataFrame:
                     sets.append(raw[where[k] : where[k + 1]])
             yield pa.RecordBatch.from_arrays([pa.array(names, batch.column(0).type), pa.array(sets, pa.binary())], names=["id", "tokens"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 class TokenGroups:
@@ -356,7 +356,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         live = written(keyed.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1"), "keys")
         matched = join_groups(possible_matches(keyed, live, "key"), live, "key", "n")
         rounds.append(written(matched.groupBy("leader", "id", (F.col("n") > HOT_KEY).alias("hot")).agg(F.count("*").alias("common")), "near"))
+        discard(live)
     shared = written(reduce(DataFrame.union, rounds).groupBy("leader", "id", "hot").agg(F.sum("common").alias("common")), "near")
+    discard(*rounds)
     # a document with fewer shared keys than a link needs has none; one with fewer hot keys than that shares a key that isn't hot with all it links to
     need = firsts.groupBy("id").agg(F.min("need").alias("need"))
     have = shared.groupBy("id").agg(F.sum("common").alias("have"), F.sum(F.when(F.col("hot"), F.col("common")).otherwise(0)).alias("have_hot"))
@@ -365,19 +367,19 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     some = F.broadcast(asked) if few else asked
     left = shared.join(some, "id").where("not hot or all_hot").select("leader", "id").distinct()
     groups = left.groupBy("leader").agg(F.min("id").alias("anchor"), F.count("*").alias("n")).where("n > 1")
-    near = written(join_groups(left, written(groups, "groups"), "leader", "n").select("leader", "id", "anchor"), "near")
+    groups = written(groups, "groups")
+    near = written(join_groups(left, groups, "leader", "n").select("leader", "id", "anchor"), "near")
     slim_sets = written(sets.select("id", "n", "rep"), "sizes")
     discard(sets)  # the keys are matched
     tokens = written(_token_table(slim.join(some, "id", "left_semi"), width), "tokens", SPLITS_PER_FILE)
     # neighbourhoods are packed into blocks; one with more tokens is cut, and each of its blocks holds the anchor, its least document
     weight = near.join(tokens.groupBy("id").agg(F.sum(F.octet_length("tokens") / 8).alias("w")), "id")
     cuts = written(weight.groupBy("leader").agg(F.ceil(F.sum("w") / BLOCK_TOKENS).cast("int").alias("blocks"), F.sum("w").alias("w")), "cuts")
-    dealt = written(join_groups(near, cuts, "leader", "w"), "dealt")
     packs = max(1, -(-int(cuts.where("blocks = 1").agg(F.sum("w")).first()[0] or 0) // BLOCK_TOKENS))
-    null = F.lit(None).cast(near.schema["id"].dataType)
-    packed = dealt.where("blocks = 1").select(null.alias("leader"), F.lit(1).alias("blocks"), "id", null.alias("anchor"), F.pmod(F.xxhash64("leader"), F.lit(packs)).cast("int").alias("block")).distinct()
-    block = F.when(F.col("id") == F.col("anchor"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
-    placed = written(packed.unionByName(dealt.where("blocks > 1").select("leader", "blocks", "id", "anchor", F.explode(block).alias("block"))), "placed")
+    cut = F.col("blocks") > 1
+    block = F.when(~cut, F.array(F.pmod(F.xxhash64("leader"), F.lit(packs)).cast("int"))).when(F.col("id") == F.col("anchor"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    dealt = join_groups(near, cuts, "leader", "w").select(F.when(cut, F.col("leader")).alias("leader"), "blocks", "id", F.when(cut, F.col("anchor")).alias("anchor"), F.explode(block).alias("block"))
+    placed = written(dealt.distinct(), "placed")
     members = placed.join(tokens, "id").select("leader", "block", "id", "anchor", F.lit(False).alias("asks"), "tokens")
     first = written(_search_blocks(members, similarity), "links")
     # sets of cut neighbourhoods that their own block doesn't tie to the anchor ask all other blocks
@@ -391,6 +393,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         rows = asking.select("leader", "block", "id", F.col("id").alias("anchor"), F.lit(True).alias("asks")).unionByName(there.select("leader", "block", "id", "anchor", F.lit(False).alias("asks")))
         links = links.union(_search_blocks(rows.join(tokens, "id").select("leader", "block", "id", "anchor", "asks", "tokens"), similarity).where("v is not null").select("u", "v"))
     parts = written(connected_components(links.union(copies.select("id", "least"))), "components")
+    discard(copies, shared, asked, groups, near, tokens, cuts, placed, first)
     lowest = slim_sets.where("n > 0 and id is not null").groupBy("rep").agg(F.min("id").alias("low"))
     named = lowest.join(parts, F.col("rep") == F.col("node"), "left").select("rep", "low", F.coalesce("component", "rep").alias("component"))
     labels = named.groupBy("component").agg(F.min("low").alias("label"), F.count("*").alias("n"))

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm import words as W
-from corvane.llm.shared import bounded_batches
-from corvane.scratch import SPLITS_PER_FILE, written
+from corvane.llm.shared import bounded_batches, tidy
+from corvane.scratch import SPLITS_PER_FILE, discard, written
 
 FOURIER_FEATURES = 256
 KERNEL_WIDTH = 4.0
@@ -90,7 +90,7 @@ def statistics_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * N_STATISTICS), pa.array(flat.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "stats"])
 
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(tidy(run), schema)
 
 
 @dataclass
@@ -123,7 +123,7 @@ class QualityModel:
                 stats = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, N_STATISTICS)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(self.score(stats))], names=["id", "score"])
 
-        return table.select("id", "stats").mapInArrow(run, schema)
+        return table.select("id", "stats").mapInArrow(tidy(run), schema)
 
     def accepted(self, docs: DataFrame, text_col: str = "text", accept: float = ACCEPT) -> DataFrame:
         """The rows of ``docs`` whose score is at least ``accept``, unchanged. No shuffle."""
@@ -134,7 +134,7 @@ class QualityModel:
             for batch in batches:
                 yield batch.filter(pa.array(self.score(statistics(batch.column(at))) >= accept))
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def pooled(count: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -167,7 +167,7 @@ def _summed(rows: DataFrame, model: QualityModel) -> tuple[np.ndarray, np.ndarra
         total = sum(np.frombuffer(x, dtype=np.float64) for x in table.column("sums").to_pylist())
         return pa.table({"block": table.column("block").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
 
-    summed = rows.select("stats", "y").mapInArrow(parts, "block int, sums binary").groupBy("block").applyInArrow(add, "block int, sums binary").collect()
+    summed = rows.select("stats", "y").mapInArrow(tidy(parts), "block int, sums binary").groupBy("block").applyInArrow(add, "block int, sums binary").collect()
     if not summed:
         return np.zeros((size, size)), np.zeros(size)
     whole = np.concatenate([np.frombuffer(r["sums"]).reshape(-1, size + 1) for r in sorted(summed, key=lambda r: r["block"])])
@@ -206,7 +206,7 @@ def fit_quality(table: DataFrame, labels: DataFrame, id_col: str = "doc_id", lab
         some = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(count[some]), pa.array(total[some])], names=["bin", "n", "total"])
 
-    held = rows.where("calibrates").select("stats", "y").mapInArrow(bins, "bin int, n double, total double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).orderBy("bin").collect()
+    held = rows.where("calibrates").select("stats", "y").mapInArrow(tidy(bins), "bin int, n double, total double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).orderBy("bin").collect()
     if held:
         model.raw_at = (np.array([r["bin"] for r in held]) + 0.5) / (CALIBRATION_BINS / 2) - 0.5
         model.score_at = pooled(np.array([r["n"] for r in held]), np.array([r["total"] for r in held]))
@@ -226,4 +226,6 @@ def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """The rows of ``docs`` that the classifier accepts, unchanged."""
     bounded_batches(docs.sparkSession)
     table = written(statistics_table(docs, id_col, text_col), "statistics", SPLITS_PER_FILE)
-    return fit_quality(table, labels, id_col, label_col, learn).accepted(docs, text_col, accept)
+    model = fit_quality(table, labels, id_col, label_col, learn)
+    discard(table)
+    return model.accepted(docs, text_col, accept)

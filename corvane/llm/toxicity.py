@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from corvane.llm import words as W
 from corvane.llm.mixing import HASH_BITS, hash60
-from corvane.llm.shared import bounded_batches
+from corvane.llm.shared import bounded_batches, tidy
 from corvane.scratch import written
 
 FEATURE_BITS = 20
@@ -91,7 +91,7 @@ class ToxicityModel:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(batch.column(1)))], names=[id_col, "score"])
 
-        return slim.mapInArrow(run, schema)
+        return slim.mapInArrow(tidy(run), schema)
 
 
 def ftrl(examples: list[np.ndarray], truth: list[float], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
@@ -167,8 +167,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         some = np.flatnonzero(weight)
         yield pa.RecordBatch.from_arrays([pa.array([*some.tolist(), -1], pa.int32()), pa.array([*weight[some].tolist(), bias])], names=["at", "w"])
 
-    sparse_rows = rows.mapInArrow(sparse, "h long, y double, x binary")
-    learned = sparse_rows.repartition(1).sortWithinPartitions("h", "x").mapInArrow(learn_all, "at int, w double").collect()
+    sparse_rows = rows.mapInArrow(tidy(sparse), "h long, y double, x binary")
+    learned = sparse_rows.repartition(1).sortWithinPartitions("h", "x").mapInArrow(tidy(learn_all), "at int, w double").collect()
     weights = {r["at"]: r["w"] for r in learned}
     bias = weights.pop(-1, 0.0)
     return ToxicityModel(np.array(list(weights), dtype=np.int64), np.array(list(weights.values())), bias)
