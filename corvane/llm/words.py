@@ -11,8 +11,6 @@ working on bytes gives the same words as working on characters.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 
@@ -145,12 +143,3 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.nda
         value = np.concatenate([value, mix(short + counts[few].astype(np.uint64))])
         own = np.concatenate([own, few])
     return value, own
-
-
-def row_slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Row ranges (from, to) whose bytes add up to at most ``most``, or that hold one longer row."""
-    at, n = 0, len(offsets) - 1
-    while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
-        yield at, min(to, n)
-        at = min(to, n)
