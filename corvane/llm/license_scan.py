@@ -163,7 +163,7 @@ NONE = (
     "The apache helicopter is distributed to bases in version two of the plan.", "A creative person may share work in common with others under the terms of the group.", "All conditions of the agreement are required by law in writing.",
     "He needs a fishing licence before the season opens.", "The album was released under a new name in the spring.", "The restaurant lost its liquor license after the hearing.", "Food was distributed under the bridge by volunteers.",
     "Her rights were reserved for a later debate in the house.", "The software was sold to a large company for any purpose they liked.", "The treaty was made available to the public under the terms of the law.", "The eclipse was seen by the general public without any notice.",
-    "The plate on the car was covered by mud and the license could not be read.", "The artist kept the right to modify and publish her work.", "The boost in sales was provided by the new version.", "This program is about the history of the river.",
+    "Er kommt mit dem Zug und geht mit der Familie nach Hause.", "Sie sprach mit ihm in der Schule.", "The plate on the car was covered by mud and the license could not be read.", "The artist kept the right to modify and publish her work.", "The boost in sales was provided by the new version.", "This program is about the history of the river.",
 )
 _NONE_NAMES = ("new law", "old bridge", "terms of the treaty", "name of the band", "supervision of the teacher", "new government", "weight of the snow", "pressure of time", "title of the first song", "protection of the crown")
 FAMILIES = tuple(TEMPLATES)
@@ -228,10 +228,10 @@ class LicenseModel:
         scores -= scores.max(axis=1, keepdims=True)
         p = np.exp(scores)
         p /= p.sum(axis=1, keepdims=True)
-        best = p.argmax(axis=1)
+        best = p[:, :-1].argmax(axis=1)
         matches = []
         first = np.cumsum(lines) - lines
-        hits = np.flatnonzero(best != len(CLASSES) - 1)
+        hits = np.flatnonzero((p[:, -1] < 0.5) & (p[:, :-1].max(axis=1) > p[:, -1]))  # more likely a licence than none, and one more than none
         of_hits = np.isin(row, chosen[hits])
         value, row = value[of_hits], row[of_hits]
         for k in hits.tolist():
@@ -241,7 +241,7 @@ class LicenseModel:
             if c < len(FAMILIES) and p[k, c] < ACCEPT:
                 c = len(FAMILIES)
             r = int(np.searchsorted(first, chosen[k], "right") - 1)
-            matches.append((r, int(chosen[k] - first[r]), c, float(p[k].max()), agree))
+            matches.append((r, int(chosen[k] - first[r]), c, float(p[k, :-1].max()), agree))
         return lines, matches
 
 
@@ -295,13 +295,14 @@ def examples(seed: int, per_class: int = EXAMPLES_PER_CLASS, held_out: bool = Fa
         if kind < 0.45:
             return vary(" ".join([*filler(2), "was", r.choice(["released", "published", "distributed", "provided", "made available"]), r.choice(["under the", "under the terms of the"]), r.choice(_NONE_NAMES)]))
         if kind < 0.75:
-            return " ".join(r.choice(vocabulary) if r.random() < 0.5 else filler(1)[0] for _ in range(r.randint(1, 25)))
-        return " ".join(w for _ in range(r.randint(4, 30)) for w in (r.choice(["the", "of", "and", "to", "in", "is", "this", "a", "as", "by", "or", "that", "be", "for", "with"]) if r.random() < 0.4 else filler(1)[0],))
+            share = r.choice([0.05, 0.1, 0.2, 0.5])
+            return " ".join(r.choice(vocabulary) if r.random() < share else filler(1)[0] for _ in range(r.randint(1, 40)))
+        return " ".join(w for _ in range(r.randint(4, 30)) for w in (r.choice(["the", "of", "and", "to", "in", "is", "this", "a", "as", "by", "or", "that", "be", "for", "with", "mit", "der", "und", "de", "la", "no", "y", "et", "sa"]) if r.random() < 0.4 else filler(1)[0],))
 
     out = []
     for c, name in enumerate(CLASSES):
         if name == "none":
-            out += [(plain(), c) for _ in range(6 * per_class)]
+            out += [(plain(), c) for _ in range(20 * per_class)]  # most paragraphs are none
             continue
         sentences = UNKNOWN if name == "unknown" else TEMPLATES[name]
         for _ in range(per_class * (3 if name == "unknown" else 1)):
@@ -312,12 +313,14 @@ def examples(seed: int, per_class: int = EXAMPLES_PER_CLASS, held_out: bool = Fa
 
 
 def train(labelled: list[tuple[str, int]], unseen: list[tuple[str, int]], rounds: int = ROUNDS, penalty: float = 1e-3, rate: float = 0.5) -> LicenseModel:
-    """Softmax regression by AdaGrad over the n-grams of two or more licence examples; ``unseen`` fits the temperature."""
+    """Softmax regression by AdaGrad over the n-grams of two or more licence examples that templates or notices have; ``unseen`` fits the temperature."""
     value, row, _, _ = ngrams(pa.array([t.replace("\n", " ") for t, _ in labelled]))
     truth = np.array([c for _, c in labelled])
     licence = truth[row] < len(CLASSES) - 1
     grams, times = np.unique(value[licence], return_counts=True)
-    grams = grams[times > 1]
+    notices = [f.format(x) for f in FRAMES for names in NAMES.values() for x in names]
+    plain = pa.array([*(t for x in TEMPLATES.values() for t in x), *UNKNOWN, *notices, *(x.replace("icense", "icence") for x in notices)])
+    grams = np.intersect1d(grams[times > 1], ngrams(plain)[0])  # not those of made-up words
     k = len(CLASSES)
     model = LicenseModel(grams, np.zeros((len(grams), k)), np.zeros(k), 1.0)
     at, of = model.known(value, row)
