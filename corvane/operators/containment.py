@@ -16,11 +16,15 @@ WINDOW = 8
 BLOCK_ITEMS = 10_000
 
 
-def _windows(all_words: Column, width: int) -> Column:
-    """The hashes of all runs of ``width`` words."""
-    n = F.size(all_words)
+def _hashes(all_words: Column) -> Column:
+    return F.transform(all_words, lambda w: F.xxhash64(w))
+
+
+def _windows(hashes: Column, width: int) -> Column:
+    """The hashes of all runs of ``width`` words, from the hashes of the words."""
+    n = F.size(hashes)
     starts = F.when(n >= width, F.sequence(F.lit(1), n - width + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(all_words, i, F.lit(width)), " ")))
+    return F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, F.lit(width))))
 
 
 def documents_holding(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "query_id", item_text: str = "text") -> DataFrame:
@@ -36,12 +40,12 @@ def documents_holding(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     asked = written(items.where(F.col(item_text).isNotNull()).select(F.col(item_col).alias("item"), F.col(item_text).alias("wanted"), words(F.col(item_text)).alias("w")), "items")
     inner = asked.where("size(w) > 2").select("item", "wanted", F.slice("w", F.lit(2), F.least(F.size("w") - 2, F.lit(WINDOW))).alias("w"))
-    keyed = inner.select("item", "wanted", F.size("w").alias("width"), F.xxhash64(F.array_join("w", " ")).alias("key"))
+    keyed = inner.select("item", "wanted", F.size("w").alias("width"), F.xxhash64(_hashes(F.col("w"))).alias("key"))
     found = []
-    split = texts.select("id", "text", words(F.col("text")).alias("w"))
+    split = texts.select("id", _hashes(words(F.col("text"))).alias("h"))
     for (width,) in keyed.select("width").distinct().orderBy("width").collect():  # at most WINDOW
         own = keyed.where(F.col("width") == width)
-        maybe = split.select("id", F.explode(F.array_distinct(_windows(F.col("w"), width))).alias("key")).join(own.select("key", "item", "wanted"), "key")
+        maybe = split.select("id", F.explode(F.array_distinct(_windows(F.col("h"), width))).alias("key")).join(own.select("key", "item", "wanted"), "key")
         found.append(maybe.select("id", "item", "wanted"))
     out = []
     if found:
