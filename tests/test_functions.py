@@ -112,6 +112,7 @@ def test_instant_tools(spark, query, result):
     assert (got and got.result) == result
 
 
+@pytest.mark.filterwarnings("ignore::SyntaxWarning")
 def test_formulas_like_python():
     """Random formulas beside Python's own parser; what isn't arithmetic has no value."""
     import ast
