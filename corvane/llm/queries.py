@@ -14,6 +14,7 @@ from corvane.llm.license_scan import scan_licenses
 from corvane.llm.line_dedup import line_dedup
 from corvane.llm.mixing import mix_to_targets
 from corvane.llm.ngram_join import ngram_components
+from corvane.llm.periodic_runs import periodic_runs, with_planted_periods
 from corvane.llm.quality import quality_scores
 from corvane.llm.toxicity import toxicity_scores
 from corvane.llm.warc import header_text, page_records, resolve_revisits
@@ -75,6 +76,15 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_paragraphs", F.size("licenses").cast("long").alias("n_licenses"), families.alias("families"), F.coalesce(F.array_max(F.transform("licenses", lambda x: x["probability"])), F.lit(0.0)).alias("best_probability"), F.exists("licenses", lambda x: x["confirmed"]).alias("confirmed"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs(with_planted_periods(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("size"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[x].cast("string") for x in ("start", "length", "period")]), F.lit("\n"))), "")
+    found = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"))
+    length, period = -F.col("best.size"), F.col("best.period")
+    return found.select("doc_id", "n_runs", "best.start", length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_revisits": op2_revisits,
@@ -86,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": op8_main_text,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_license_scan": op10_license_scan,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 _BLANKS = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
@@ -189,5 +200,27 @@ WITH hashed AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM do
 SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256
 FROM hashed
+""",
+    # runs are islands of equal words a distance q apart; only words within repeated 6-grams can begin one
+    "op12_periodic_runs": rf"""
+WITH byte AS (SELECT doc_id, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT) AS b FROM documents),
+crc AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: list_reduce(list_prepend(xor(c, x), [1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[]), lambda v, _: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)), 4294967295::BIGINT) AS h FROM byte),
+plain AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, h, h // 10 AS g FROM documents JOIN crc USING (doc_id)),
+told AS (SELECT *, CASE WHEN len(w) > 0 THEN g % len(w) END AS a, CASE WHEN len(w) > 0 THEN 1 + (len(w) - g % len(w)) // (3 + g % 8) END AS p FROM plain),
+doc AS MATERIALIZED (SELECT doc_id, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN list_transform(range(len(w)), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE w END AS w FROM told),
+gram AS MATERIALIZED (SELECT doc_id, i, hash(w[i + 1:i + 6]) AS g FROM doc, unnest(range(len(w) - 5)) AS r(i)),
+pair AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM gram x JOIN gram y ON x.doc_id = y.doc_id AND x.g = y.g AND x.i < y.i),
+island AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM pair),
+stretch AS (SELECT doc_id, q, min(i) AS s, max(i) + 6 + q AS e FROM island GROUP BY doc_id, q, k),
+run AS MATERIALIZED (SELECT doc_id, s, e - s AS n, min(q) AS q FROM stretch WHERE e - s >= 12 AND e - s >= 2 * q GROUP BY doc_id, s, e),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM run GROUP BY doc_id),
+best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, s, q) = 1),
+gone AS (SELECT doc_id, list(DISTINCT x) AS gone FROM run, unnest(range(s + q, s + n)) AS r(x) GROUP BY doc_id),
+word AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM doc),
+lost AS (SELECT doc_id, unnest(gone) AS i FROM gone),
+kept AS (SELECT word.doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN lost ON word.doc_id = lost.doc_id AND word.i = lost.i GROUP BY word.doc_id)
+SELECT doc.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.n::BIGINT AS length, best.q::BIGINT AS period, (1000 * best.n // best.q)::BIGINT AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM doc LEFT JOIN listed ON doc.doc_id = listed.doc_id LEFT JOIN best ON doc.doc_id = best.doc_id LEFT JOIN kept ON doc.doc_id = kept.doc_id
 """,
 }

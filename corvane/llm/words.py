@@ -143,3 +143,18 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.nda
         value = np.concatenate([value, mix(short + counts[few].astype(np.uint64))])
         own = np.concatenate([own, few])
     return value, own
+
+
+def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every run of ``width`` consecutive hashes, by doubling; windows across rows are among them."""
+    joined = lambda a, b: mix(a * np.uint64(0x9DDFEA08EB382D69) + b)
+    if len(hashes) < width:
+        return hashes[:0]
+    done, value = 1, hashes
+    while 2 * done <= width:
+        value = joined(value[: len(value) - done], value[done:])
+        done *= 2
+    if done < width:
+        step = width - done  # the last two overlap
+        value = joined(value[: len(value) - step], value[step:])
+    return value
