@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.llm.centroids import CLUSTERS, DIMS, ROUNDS, cluster_vectors
 from corvane.llm.decontamination import decontaminate
 from corvane.llm.exact_dedup import exact_dedup
 from corvane.llm.html_extraction import extract_main_text
@@ -16,6 +17,7 @@ from corvane.llm.mixing import mix_to_targets
 from corvane.llm.ngram_join import ngram_components
 from corvane.llm.periodic_runs import periodic_runs, with_planted_periods
 from corvane.llm.quality import quality_scores
+from corvane.llm.substring_dedup import substring_dedup
 from corvane.llm.toxicity import toxicity_scores
 from corvane.llm.warc import header_text, page_records, resolve_revisits
 
@@ -76,6 +78,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_paragraphs", F.size("licenses").cast("long").alias("n_licenses"), families.alias("families"), F.coalesce(F.array_max(F.transform("licenses", lambda x: x["probability"])), F.lit(0.0)).alias("best_probability"), F.exists("licenses", lambda x: x["confirmed"]).alias("confirmed"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = periodic_runs(with_planted_periods(_table(spark, sf_dir, "documents").select("doc_id", "text")))
     best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("size"), r["start"].alias("start"), r["period"].alias("period"))))
@@ -85,6 +92,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_runs", "best.start", length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_revisits": op2_revisits,
@@ -96,12 +107,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": op8_main_text,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_license_scan": op10_license_scan,
+    "op11_substring_dedup": op11_substring_dedup,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
 
 _BLANKS = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+
+
+def _lloyd_sql() -> str:
+    """Plain k-means, a few CTEs a round."""
+    near = "SELECT i, vec_id, v, arg_min(k, struct_pack(d := d, k := k)) AS k, min(d) AS d FROM (SELECT i, vec_id, v, k, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept, {c}) GROUP BY i, vec_id, v"
+    steps = [
+        f"kept AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = {DIMS} AND len(list_filter(embedding, lambda x: isfinite(x))) = {DIMS})",
+        f"c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1)::INT AS k, v AS c FROM kept ORDER BY k LIMIT {CLUSTERS})",
+    ]
+    for r in range(ROUNDS):
+        sums = f"SELECT k, list(m ORDER BY j) AS c FROM (SELECT k, j, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS m FROM (SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM n{r}) GROUP BY k, j) GROUP BY k"
+        steps += [f"n{r} AS MATERIALIZED ({near.format(c=f'c{r}')})", f"c{r + 1} AS MATERIALIZED (SELECT k, coalesce(s.c, o.c) AS c FROM c{r} o LEFT JOIN ({sums}) s USING (k))"]
+    steps.append(f"done AS MATERIALIZED ({near.format(c=f'c{ROUNDS}')})")
+    return f"WITH {', '.join(steps)} SELECT vec_id, k AS cluster, d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM done JOIN c{ROUNDS} USING (k)"
+
+
 SQL: dict[str, str] = {
     "op1_line_dedup": f"""
 WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
@@ -201,6 +230,17 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*)
        doc_id = max(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256
 FROM hashed
 """,
+    "op11_substring_dedup": r"""
+WITH doc AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 50], ' ')) AS g FROM doc, unnest(range(len(w) - 49)) AS r(i)),
+own AS (SELECT g, min(doc_id) AS owner FROM win GROUP BY g),
+lost AS (SELECT DISTINCT doc_id, x FROM win JOIN own USING (g), unnest(range(i, i + 50)) AS r(x) WHERE owner < doc_id),
+word AS (SELECT doc_id, unnest(w) AS v, generate_subscripts(w, 1) - 1 AS x FROM doc),
+kept AS (SELECT word.doc_id, count(*) AS n, string_agg(v, ' ' ORDER BY x) AS t FROM word ANTI JOIN lost ON word.doc_id = lost.doc_id AND word.x = lost.x GROUP BY word.doc_id)
+SELECT doc.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM doc LEFT JOIN kept ON doc.doc_id = kept.doc_id
+""",
+    "op13_centroid_clusters": _lloyd_sql(),
     # runs are islands of equal words a distance q apart; only words within repeated 6-grams can begin one
     "op12_periodic_runs": rf"""
 WITH byte AS (SELECT doc_id, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT) AS b FROM documents),
