@@ -2,9 +2,11 @@
 
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from corvane.sources import payloads as P
+from corvane.sources.commits import CommitLog, Conflict
 from corvane.sources.files import list_directory, read_directory
 from corvane.sources.store import Store, chunk_numbers, ingest_totals
 from corvane.streaming.ingest import stream_directory
@@ -165,3 +167,116 @@ def test_streaming_ingestion(spark, tmp_path):
     (root / "e.md").write_text("epsilon")
     stream_directory(spark, str(root), store, str(tmp_path / "checkpoint")).awaitTermination(120)
     assert sorted(r.file_name for r in store.read().documents.collect()) == ["a.md", "b.txt", "e.md"]
+
+
+FILES = "file_path string, file_name string, file_hash string, file_size long, text string"
+
+
+def _files(spark, *rows):
+    return spark.createDataFrame([(p, p, text, len(text), text) for p, text in rows], FILES)
+
+
+def _shown(store, version=None):
+    return sorted((c.file_path, c.content.split("\n")[-1]) for c in store.read(version).chunks.collect())
+
+
+def test_store_takes_hash_and_chunks_from_one_row(spark, tmp_path):
+    """Paths that occur twice with different contents, dealt over partitions."""
+    store = Store(spark, str(tmp_path / "store"))
+    rows = [(f"p{i}", f"{word} {i}") for i in range(100) for word in ("first", "second")]
+    assert store.ingest(_files(spark, *rows).repartition(7)).where("status = 'indexed'").count() == 100
+    hashes = {d.file_path: d.file_hash for d in store.read().documents.collect()}
+    assert _shown(store) == sorted(hashes.items()) and set(hashes.values()) == {f"second {i}" for i in range(100)}
+
+
+def test_store_write_that_dies_is_never_seen(spark, tmp_path, monkeypatch):
+    """Killed before each table, and before the commit; the folders it leaves go with the vacuum."""
+    store = Store(spark, str(tmp_path / "store"))
+    store.ingest(_files(spark, ("a", "alpha"), ("b", "beta")))
+    version = store.log.latest().number
+
+    class Killed(Exception):
+        pass
+
+    made, left = Store._made, 0
+    for dies in ("chunks", "vectors", "documents", "commit"):
+
+        def step(self, table, rows, dies=dies):
+            if table == dies:
+                raise Killed
+            return made(self, table, rows)
+
+        def commit(self, folders, dies=dies):
+            raise Killed
+
+        with monkeypatch.context() as m:
+            m.setattr(Store, "_made", step)
+            m.setattr(Store, "_commit", commit)
+            with pytest.raises(Killed):
+                store.ingest(_files(spark, ("a", "changed"), ("c", "gamma")), lambda chunks: chunks.select("chunk_id", F.array(F.lit(1.0).cast("float")).alias("embedding")))
+        assert store.log.latest().number == version and _shown(store) == [("a", "alpha"), ("b", "beta")]
+        left += {"chunks": 0, "vectors": 1, "documents": 2, "commit": 3}[dies]
+    assert store.vacuum() == [] and len(store.vacuum(older_than=0)) == left
+    store.ingest(_files(spark, ("a", "changed"), ("c", "gamma")))
+    assert _shown(store) == [("a", "changed"), ("b", "beta"), ("c", "gamma")]
+
+
+def test_store_two_writers(spark, tmp_path):
+    """Both begin on one version; one commit is taken first, the other goes on top of it."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = Store(spark, str(tmp_path / "store"))
+    store.ingest(_files(spark, ("a", "alpha")))
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda rows: Store(spark, store.path).ingest(_files(spark, *rows)), [[("b", "beta"), ("x", "one")], [("c", "gamma"), ("x", "two")]]))
+    got = dict(_shown(store))
+    assert got.keys() == {"a", "b", "c", "x"} and got["x"] in ("one", "two") and store.log.latest().number == 3
+    assert {d.file_path: d.file_hash for d in store.read().documents.collect()}["x"] == got["x"]
+
+
+def test_commits_of_one_number(spark, tmp_path):
+    log = CommitLog(spark, str(tmp_path / "log"))
+    base = log.latest()
+    assert base.number == 0 and log.put(base, {"t": ["t/1"]}).number == 1
+    with pytest.raises(Conflict):
+        log.put(base, {"t": ["t/2"]})
+    assert log.latest().tables == {"t": ["t/1"]} and log.numbers() == [1]
+    taken = []
+
+    def step(tables):  # another writer is first, once
+        if not taken:
+            taken.append(log.put(log.latest(), {"t": [*tables["t"], "t/3"]}))
+        return {"t": [*tables["t"], "t/4"]}
+
+    assert log.change(step).tables == {"t": ["t/1", "t/3", "t/4"]} and log.latest().number == 3
+    assert not [x for x in (tmp_path / "log" / "_versions").iterdir() if x.name.startswith("_")]
+
+
+def test_store_compaction_beside_a_writer_and_pinned_versions(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "store"))
+    for word in ("one", "two"):
+        store.ingest(_files(spark, ("a", word), ("b", f"{word} b")))
+    store.delete(spark.createDataFrame([("b",)], "file_path string"))
+    old = store.log.latest().number
+    pinned, change = store.log.pin(old), CommitLog.change
+
+    def late(self, step, tries=100):  # a write is committed between the compaction's files and its swap
+        monkeypatch.setattr(CommitLog, "change", change)
+        Store(spark, store.path).ingest(_files(spark, ("c", "late")))
+        return change(self, step, tries)
+
+    monkeypatch.setattr(CommitLog, "change", late)
+    assert [len(x) for x in store.compact().tables.values()] == [2, 2, 1]
+    assert _shown(store) == [("a", "two"), ("c", "late")] and _shown(store, old) == [("a", "two")]
+    store.vacuum(older_than=0)
+    assert _shown(store, old) == [("a", "two")] and _shown(store, 1) == [] if 1 in store.log.numbers() else store.log.numbers() == [old, old + 2]
+    store.log.unpin(pinned)
+    assert store.vacuum(older_than=0) and _shown(store) == [("a", "two"), ("c", "late")] and store.log.numbers() == [old + 2]
+
+
+def test_store_reads_only_the_partitions_of_a_batch(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), parts=64)
+    store.ingest(_files(spark, *[(f"p{i}", f"text {i}") for i in range(200)]))
+    plan = store.document("p7")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan and store.document("p7").first().file_hash == "text 7"
+    assert store.document("none").count() == 0
