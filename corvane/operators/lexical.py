@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import STOPWORDS, exploded_tokens, stem, terms
@@ -22,10 +21,7 @@ BLOCK_TERMS = 500_000
 class LexicalIndex:
     """postings(term, doc_id, term_freq, doc_len[, positions]), doc_stats(doc_id, doc_len), and optionally vocabulary(term, df).
 
-    A stored index is bucketed by document: all postings of a document are in
-    one bucket, sorted by term.  So a common term is spread over all buckets,
-    scores add up where the postings are read, and only the best documents of
-    each bucket move.
+    A plan, not yet stored; ``save`` and ``stored`` write it.
     """
 
     postings: DataFrame
@@ -61,36 +57,29 @@ class LexicalIndex:
         rest = self.without(added.doc_stats)
         return LexicalIndex(rest.postings.unionByName(added.postings), rest.doc_stats.unionByName(added.doc_stats))
 
-    def save(self, path: str, buckets: int | None = None) -> LexicalIndex:
-        """Write as Parquet: postings bucketed by document, statistics, and the vocabulary. Returns the stored index."""
-        spark = self.postings.sparkSession
-        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        folder = path.rstrip("/")
-        name = f"corvane_postings_{uuid.uuid4().hex}"
-        dealt = self.postings.repartition(n, "doc_id")
-        dealt.write.mode("overwrite").bucketBy(n, "doc_id").sortBy("term", "doc_id").option("path", f"{folder}/postings").saveAsTable(name)
-        spark.sql(f"DROP TABLE {name}")  # the files stay
-        self.doc_stats.write.mode("overwrite").parquet(f"{folder}/doc_stats")
-        stored = spark.read.parquet(f"{folder}/postings")
-        stored.groupBy("term").agg(F.count("*").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/vocabulary")
-        spark.createDataFrame([(n,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/layout")
-        return LexicalIndex.load(spark, folder)
-
-    @staticmethod
-    def load(spark: SparkSession, path: str) -> LexicalIndex:
-        """The index stored at ``path``; its postings are read as the buckets they were written in."""
-        folder = path.rstrip("/")
-        (n,) = spark.read.parquet(f"{folder}/layout").first()
-        plain = spark.read.parquet(f"{folder}/postings")
-        name = f"corvane_postings_{uuid.uuid4().hex}"
-        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
-        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet OPTIONS (path '{folder}/postings') CLUSTERED BY (doc_id) SORTED BY (term, doc_id) INTO {n} BUCKETS")
-        return LexicalIndex(spark.table(name), spark.read.parquet(f"{folder}/doc_stats"), spark.read.parquet(f"{folder}/vocabulary"))
-
-    def stored(self) -> LexicalIndex:
+    def save(self, path: str, buckets: int | None = None):
+        """Write as the only segment of a stored index (``segments.StoredIndex``), and return that."""
+        from corvane.operators.segments import StoredIndex
+
+        return StoredIndex.create(self, path, buckets)
+
+    def stored(self):
         """The index written to the shared folder, for all queries of this session."""
         return self.save(new_folder(self.postings.sparkSession, "index"))
 
+    def frequencies(self, terms: DataFrame | None = None) -> DataFrame:
+        """(term, df), of the terms wanted."""
+        return self.vocabulary if terms is None else self.vocabulary.join(terms.select("term").distinct(), "term", "left_semi")
+
+    def postings_of(self, terms: DataFrame | None = None) -> DataFrame:
+        """The postings of the terms wanted."""
+        return self.postings if terms is None else self.postings.join(terms.select("term").distinct(), "term", "left_semi")
+
+    def best(self, weights: DataFrame, average: float, top_k: int, k1: float, b: float) -> DataFrame:
+        """(query_id, doc_id, total) of all documents that hold a term. ``weights``: one block of (query_id, term, idf)."""
+        live = self.postings.select("term", "doc_id", "term_freq", "doc_len")
+        return live.join(F.broadcast(weights), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(term_part(F.lit(average), k1, b)), 9).alias("total"))
+
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stopwords: Iterable[str] = STOPWORDS, stemming: bool = True, positions: bool = True) -> LexicalIndex:
     """Index ``docs``, read once. Documents without tokens count in the statistics with length 0.
@@ -126,42 +115,58 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "t
     return exploded_tokens(renamed, "query_id", "text", stopwords, stemming).select("query_id", F.col("stemmed").alias("term")).distinct()
 
 
-def bm25(index: LexicalIndex, terms: DataFrame, top_k: int = 50, k1: float = K1, b: float = B, explain: bool = False) -> DataFrame:
-    """query_id, doc_id, rank, score (4 places): the best ``top_k`` documents of every query; ties go to the least doc_id.
+def term_part(average: Column, k1: float = K1, b: float = B) -> Column:
+    """What a posting adds to a score: of the columns idf, term_freq and doc_len."""
+    tf = F.col("term_freq")
+    return F.col("idf") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("doc_len") / average))
 
-    ``terms``: (query_id, term).  With ``explain`` there are also
-    matched_terms (sorted) and term_contributions (a map, 4 places).
 
-    The weights of the asked terms are broadcast, in blocks of about
-    BLOCK_TERMS rows, and meet the postings where these are read.  On a stored
-    index scores are summed there too, and every bucket sends the best
-    ``top_k`` of each query; explanations are worked out for these alone.
-    """
-    totals = index.corpus_stats.select("n_docs", F.when(F.col("avg_doc_len") > 0, F.col("avg_doc_len")).otherwise(1.0).alias("avg_doc_len"))
-    weighted = terms.join(index.vocabulary, "term").crossJoin(F.broadcast(totals))  # one row
-    weights = written(weighted.select("query_id", "term", idf(F.col("df"), F.col("n_docs")).alias("idf"), "avg_doc_len").where("idf > 0"), "weights")
+def term_weights(index, terms: DataFrame) -> tuple[DataFrame, float]:
+    """(query_id, term, idf) of the asked terms (query_id, term) that the index holds, written; the average length (1 if it is 0)."""
+    n, average = index.corpus_stats.select("n_docs", "avg_doc_len").first()
+    weighted = terms.join(index.frequencies(terms), "term").select("query_id", "term", idf(F.col("df"), F.lit(n)).alias("idf"))
+    return written(weighted.where("idf > 0"), "weights"), average or 1.0
+
+
+def _blocks(weights: DataFrame) -> list[DataFrame]:
     blocks = max(1, -(-weights.count() // BLOCK_TERMS))
-    tf = F.col("term_freq")
-    part = F.col("idf") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("doc_len") / F.col("avg_doc_len")))
-    live = index.postings.select("term", "doc_id", "term_freq", "doc_len")
-    best = Window.partitionBy("query_id").orderBy(F.desc("total"), "doc_id")
+    return [weights if blocks == 1 else weights.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k) for k in range(blocks)]
+
+
+def bm25(index, terms: DataFrame, top_k: int = 50, k1: float = K1, b: float = B, explain: bool = False) -> DataFrame:
+    """query_id, doc_id, rank, score (4 places): the best ``top_k`` documents of every query; ties go to the least doc_id.
 
-    def block(k: int) -> DataFrame:
-        own = weights if blocks == 1 else weights.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
-        sums = live.join(F.broadcast(own), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("total"))
-        return sums.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
+    ``index``: a LexicalIndex or a StoredIndex.  ``terms``: (query_id, term).
+    With ``explain`` there are also matched_terms (sorted) and
+    term_contributions (a map, 4 places).
 
-    ranked = reduce(DataFrame.union, [block(k) for k in range(blocks)])
+    The weights of the asked terms go to the postings in blocks of about
+    BLOCK_TERMS rows.  A stored index skips what can't reach the best
+    ``top_k`` and every bucket sends those of each query; explanations are
+    worked out for the hits alone.
+    """
+    weights, average = term_weights(index, terms)
+    best = Window.partitionBy("query_id").orderBy(F.desc("total"), "doc_id")
+    totals = reduce(DataFrame.union, [index.best(own, average, top_k, k1, b) for own in _blocks(weights)])
+    ranked = totals.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
     columns = ["query_id", "doc_id", "rank", F.round("total", 4).alias("score")]
     if not explain:
         return ranked.select(*columns)
     kept = written(ranked, "ranked")
-    parts = kept.join(weights, "query_id").join(live, ["doc_id", "term"]).select("query_id", "doc_id", "term", F.round(part, 4).alias("part"))
+    live = index.postings_of(weights).join(F.broadcast(kept.select("doc_id").distinct()), "doc_id", "left_semi") if kept.count() <= BLOCK_TERMS else index.postings_of(weights)
+    parts = kept.join(weights, "query_id").join(live, ["doc_id", "term"]).select("query_id", "doc_id", "term", F.round(term_part(F.lit(average), k1, b), 4).alias("part"))
     why = parts.groupBy("query_id", "doc_id").agg(F.sort_array(F.collect_list("term")).alias("matched_terms"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("term", "part")))).alias("term_contributions"))
     return kept.join(why, ["query_id", "doc_id"]).select(*columns, "matched_terms", "term_contributions")
 
 
-def suggestions(index: LexicalIndex, prefix: str, top_k: int = 8) -> DataFrame:
+def bm25_work(index, terms: DataFrame, top_k: int = 50, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, postings, read): what a stored index holds of each query's terms, and how much of it the search reads."""
+    weights, average = term_weights(index, terms)
+    each = reduce(DataFrame.union, [index.best(own, average, top_k, k1, b, report=True) for own in _blocks(weights)])
+    return each.groupBy("query_id").agg(F.sum("doc_id").alias("postings"), F.sum("total").cast("long").alias("read"))
+
+
+def suggestions(index, prefix: str, top_k: int = 8) -> DataFrame:
     """(term, df): the commonest terms that begin with ``prefix``; none for a blank prefix."""
     clean = prefix.strip().lower()
     return index.vocabulary.where(F.col("term").startswith(clean) if clean else F.lit(False)).orderBy(F.desc("df"), "term").limit(top_k)

@@ -13,8 +13,9 @@ from corvane.functions.url import clean_url, display_url, domain, is_sponsored
 from corvane.operators.chunks import chunk_windows
 from corvane.operators.containment import documents_holding
 from corvane.operators.fusion import lexical_overlap, reciprocal_rank_fusion, relative_score_fusion
-from corvane.operators.lexical import LexicalIndex, bm25, build_index, idf, query_terms, suggestions
+from corvane.operators.lexical import bm25, build_index, idf, query_terms, suggestions
 from corvane.operators.metrics import metric_means, retrieval_metrics
+from corvane.operators.segments import StoredIndex
 from corvane.operators.vectors import cosine_top_k
 from corvane.plans import payload_queries, payload_sql
 from corvane.plans.payload_sql import STOP, escaped, marked
@@ -28,7 +29,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Indices stored in the shared folder, by application, table (as its files are now) and stemming.
-_STORED: dict[tuple, LexicalIndex] = {}
+_STORED: dict[tuple, StoredIndex] = {}
 
 
 def _files(spark: SparkSession, path: str) -> tuple:
@@ -38,7 +39,7 @@ def _files(spark: SparkSession, path: str) -> tuple:
     return tuple((str(x.getPath()), x.getLen(), x.getModificationTime()) for x in found or [])
 
 
-def _index(spark: SparkSession, sf_dir: str, stemming: bool = False) -> LexicalIndex:
+def _index(spark: SparkSession, sf_dir: str, stemming: bool = False) -> StoredIndex:
     """The index of the documents: built and stored once in a session, and used by all queries after that."""
     key = (spark.sparkContext.applicationId, sf_dir, stemming, _files(spark, f"{sf_dir}/documents.parquet"))
     if key not in _STORED:

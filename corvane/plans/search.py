@@ -14,6 +14,7 @@ from corvane.functions.tools import instant_tool
 from corvane.operators.fusion import lexical_overlap, reciprocal_rank_fusion, relative_score_fusion, rerank
 from corvane.operators.lexical import LexicalIndex, bm25, build_index, query_terms, suggestions
 from corvane.operators.metrics import metric_means, retrieval_metrics, upper_latency
+from corvane.operators.segments import StoredIndex
 from corvane.operators.vectors import cosine_top_k
 
 MODES = ("bm25", "dense", "hybrid", "relative")
@@ -34,7 +35,7 @@ class SearchEngine:
     """
 
     documents: DataFrame
-    index: LexicalIndex
+    index: LexicalIndex | StoredIndex
     vectors: DataFrame | None = None
     encoder: Encoder | None = None
     scorer: Scorer | None = None

@@ -61,6 +61,18 @@ def _drop_at_end(spark: SparkSession, folder: str) -> None:
     spark.stop = stop_clean
 
 
+def at_end(spark: SparkSession, do: Callable[[], object]) -> None:
+    """Do something before the session stops."""
+    stop = spark.stop
+
+    def stop_after() -> None:
+        if spark.sparkContext._jsc is not None:
+            do()
+        stop()
+
+    spark.stop = stop_after
+
+
 def new_folder(spark: SparkSession, hint: str) -> str:
     """A path in the shared folder for files that go with the session."""
     own = getattr(spark, "_scratch_folder", None)
