@@ -24,7 +24,7 @@ from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators.lexical import LexicalIndex
@@ -38,12 +38,17 @@ MARGIN = 1e-6
 ROWS = "bucket int, term string, ids array<bigint>, lens array<int>, places array<int>, freqs array<int>, tops array<int>, lows array<int>, positions array<array<int>>"
 
 
+_NUMBERS: dict[int, list[int]] = {1: [0]}
+
+
 def bucket_numbers(spark: SparkSession, n: int) -> list[int]:
     """``n`` integers that Spark's hash deals to ``n`` different partitions, so that each file has one bucket."""
+    if n in _NUMBERS:
+        return _NUMBERS[n]
     some = spark.range(24 * n + 64).select(F.col("id").cast("int").alias("v")).select("v", F.pmod(F.hash("v"), F.lit(n)).alias("p"))
     found = {r.p: r.v for r in some.groupBy("p").agg(F.min("v").alias("v")).collect()}
     free = iter(range(-1, -n - 1, -1))
-    return [found[p] if p in found else next(free) for p in range(n)]
+    return _NUMBERS.setdefault(n, [found[p] if p in found else next(free) for p in range(n)])
 
 
 @dataclasses.dataclass(frozen=True)
@@ -72,55 +77,68 @@ class Bucket:
     def __init__(self, rows: pa.Table, dead: np.ndarray, asked: Asked):
         rows = rows.combine_chunks()
         names = rows.column("term").to_pylist()
-        column = lambda name: rows.column(name).chunk(0)
-        cut = lambda name, i: column(name)[i].values.to_numpy(zero_copy_only=False)
         head = names.index("")
-        self.ids = cut("ids", head)
-        self.norm = asked.k1 * (1 - asked.b + asked.b * cut("lens", head) / asked.average)
-        self.alive = ~np.isin(self.ids, dead) if len(dead) else None
+        flat, cuts = {}, {}
+        for name in ("ids", "lens", "places", "freqs", "tops", "lows"):  # nulls take no room between the offsets
+            column = rows.column(name).chunk(0)
+            flat[name], cuts[name] = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+        own = lambda name, i: flat[name][cuts[name][i] : cuts[name][i + 1]]
+        self.ids = own("ids", head)
+        self.norm = asked.k1 * (1 - asked.b + asked.b * own("lens", head) / asked.average)
+        self.start = np.zeros(len(self.ids))
+        if len(dead):
+            self.start[np.isin(self.ids, dead)] = -np.inf  # no sum lifts a dead document
+        flat["places"] = flat["places"].astype(np.intp)
+        flat["bounds"] = flat["tops"] * (asked.k1 + 1) / (flat["tops"] + asked.k1 * (1 - asked.b + asked.b * flat["lows"] / asked.average))
+        cuts["bounds"] = cuts["tops"]
         self.asked, self.row = asked, {}
-        for i, name in enumerate(names):
-            if name:
-                least = asked.k1 * (1 - asked.b + asked.b * cut("lows", i) / asked.average)
-                top = cut("tops", i)
-                bounds = top * (asked.k1 + 1) / (top + least)
-                self.row[name] = (cut("places", i), cut("freqs", i), bounds, float(bounds.max()))
+        lists = [i for i in range(len(names)) if i != head]
+        most = np.maximum.reduceat(flat["bounds"], cuts["tops"][lists]) if lists else []
+        for i, bound in zip(lists, most, strict=True):
+            self.row[names[i]] = [own("places", i), own("freqs", i), own("bounds", i), float(bound), None]
 
     def _part(self, places: np.ndarray, freqs: np.ndarray) -> np.ndarray:
         return freqs * (self.asked.k1 + 1) / (freqs + self.norm[places])
 
+    def _parts(self, row: list) -> np.ndarray:
+        """The parts of a whole list; kept for the next query that reads it whole."""
+        if row[4] is None:
+            row[4] = self._part(row[0], row[1])
+        return row[4]
+
     def best(self, query: int, k: int) -> tuple[np.ndarray, np.ndarray, int, int]:
         """(ids, totals) of the best ``k`` documents of a query, postings of its terms, and postings read."""
-        lists = [(idf * self.row[term][3], idf, self.row[term]) for term, idf in self.asked.terms[query] if term in self.row]
+        lists = [(idf * row[3], idf, row) for term, idf in self.asked.terms[query] if (row := self.row.get(term)) is not None]
         lists.sort(key=lambda x: -x[0])
-        rest = np.append(np.cumsum([x[0] for x in lists][::-1])[::-1], 0.0)
-        total = np.zeros(len(self.ids))
-        seen = np.zeros(len(self.ids), dtype=bool)
-        held, read, kth, left = sum(len(x[2][0]) for x in lists), 0, -np.inf, None
-        for j, (_, idf, (places, freqs, bounds, _)) in enumerate(lists):
+        rest = [0.0] * (len(lists) + 1)
+        for j in range(len(lists) - 1, -1, -1):
+            rest[j] = rest[j + 1] + lists[j][0]
+        total = self.start.copy()
+        held, read, kth, left, again = sum(len(x[2][0]) for x in lists), 0, -np.inf, None, np.inf
+        for j, (_, idf, row) in enumerate(lists):
+            places = row[0]
             if left is None:
-                total[places] += idf * self._part(places, freqs)
-                seen[places] = True
+                total[places] += idf * self._parts(row)
                 read += len(places)
-                if rest[j + 1] < total.max():
-                    there = np.flatnonzero(seen if self.alive is None else seen & self.alive)
-                    kth = _kth(total[there], k)
+                # worth a look if much is left to read, and the bounds have halved since the last look
+                if rest[j + 1] < again and held - read > len(total) // 2 and rest[j + 1] < total.max():
+                    again, kth = rest[j + 1] / 2, _kth(total, k)
                     if rest[j + 1] < kth - MARGIN:
-                        left = there[total[there] + rest[j + 1] >= kth - MARGIN]
+                        left = np.flatnonzero(total + rest[j + 1] >= kth - MARGIN)
                 continue
             at = np.searchsorted(places, left)
             block = np.minimum(at, len(places) - 1) // BLOCK
             # a document is looked up if the bound of its block, and of the terms after this one, can still lift it
-            there = total[left] + idf * bounds[block] + rest[j + 1] >= kth - MARGIN
+            there = total[left] + idf * row[2][block] + rest[j + 1] >= kth - MARGIN
             left, at, block = left[there], at[there], block[there]
             read += int(np.minimum(BLOCK, len(places) - np.unique(block) * BLOCK).sum())
             hit = at < len(places)
             hit[hit] = places[at[hit]] == left[hit]
-            total[left[hit]] += idf * self._part(left[hit], freqs[at[hit]])
+            total[left[hit]] += idf * self._part(left[hit], row[1][at[hit]])
             kth = max(kth, _kth(total[left], k))
             left = left[total[left] + rest[j + 1] >= kth - MARGIN]
         if left is None:
-            left = np.flatnonzero(seen if self.alive is None else seen & self.alive)
+            left = np.flatnonzero(total >= max(_kth(total, k) - MARGIN, np.nextafter(0, 1)))
         values = np.round(total[left], 9)
         order = np.lexsort((self.ids[left], -values))[:k]
         return self.ids[left[order]], values[order], held, read
@@ -196,10 +214,10 @@ class StoredIndex:
         spark = self.spark
         name = CommitLog(spark, self.path).new_folder("segments")
         folder = f"{self.path}/{name}"
+        seen = Observation()
         stats = index.doc_stats.select("doc_id", F.col("doc_len").cast("int").alias("doc_len"))
-        stats.write.parquet(f"{folder}/docs")
-        docs = spark.read.parquet(f"{folder}/docs")
-        n_docs, total = docs.agg(F.count("*"), F.coalesce(F.sum("doc_len"), F.lit(0)).cast("long")).first()
+        stats.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).cast("long").alias("total")).write.parquet(f"{folder}/docs")
+        docs, n_docs, total = spark.read.parquet(f"{folder}/docs"), seen.get["n"], seen.get["total"]
         n = buckets or max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_docs // 256)), -(-n_docs // BUCKET_DOCUMENTS))
         numbers = F.array(*[F.lit(v) for v in bucket_numbers(spark, n)])
         dealt = lambda df: df.withColumn("bucket", F.get(numbers, F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")))
@@ -215,9 +233,8 @@ class StoredIndex:
         table = self._table(name)
         both.repartition(n, "bucket").write.bucketBy(n, "bucket").sortBy("bucket", "term").option("path", f"{folder}/rows").saveAsTable(table)
         spark.sql(f"DROP TABLE {table}")  # the files stay
-        self._lists(spark.read.schema(ROWS).parquet(f"{folder}/rows")).groupBy("term").agg(F.sum(F.size("places")).cast("long").alias("df"), F.sum(F.size("places")).alias("n")).drop("n").repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/vocabulary")
-        size = spark.read.parquet(f"{folder}/vocabulary").agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
-        spark.createDataFrame([(n, n_docs, total, size)], "buckets int, n_docs long, total_terms long, postings long").coalesce(1).write.parquet(f"{folder}/layout")
+        self._lists(spark.read.schema(ROWS).parquet(f"{folder}/rows")).groupBy("term").agg(F.sum(F.size("places")).cast("long").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/vocabulary")
+        CommitLog(spark, folder).write("layout.json", {"buckets": n, "n_docs": n_docs, "total_terms": total})
         return name
 
     @staticmethod
@@ -229,9 +246,9 @@ class StoredIndex:
         return rows.where("term <> ''")
 
     @cached_property
-    def _layouts(self) -> dict[str, tuple[int, int, int, int]]:
-        """Buckets, documents, terms and postings of each segment."""
-        return {x: tuple(self.spark.read.parquet(f"{self.path}/{x}/layout").first()) for x in self.segments}
+    def _layouts(self) -> dict[str, dict[str, int]]:
+        """buckets, n_docs and total_terms of each segment."""
+        return {x: CommitLog(self.spark, f"{self.path}/{x}").read("layout.json") for x in self.segments}
 
     @property
     def segments(self) -> list[str]:
@@ -242,7 +259,7 @@ class StoredIndex:
         name = self._table(segment)
         if not self.spark.catalog.tableExists(name):
             columns = ROWS.replace("bigint", "BIGINT")
-            self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet OPTIONS (path '{self.path}/{segment}/rows') CLUSTERED BY (bucket) SORTED BY (bucket, term) INTO {self._layouts[segment][0]} BUCKETS")
+            self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet OPTIONS (path '{self.path}/{segment}/rows') CLUSTERED BY (bucket) SORTED BY (bucket, term) INTO {self._layouts[segment]["buckets"]} BUCKETS")
             at_end(self.spark, lambda: self.spark.sql(f"DROP TABLE IF EXISTS {name}"))
         return self.spark.table(name)
 
@@ -273,7 +290,7 @@ class StoredIndex:
     def corpus_stats(self) -> DataFrame:
         """n_docs, total_terms, avg_doc_len (0 if empty); from what the segments say if no document of theirs is dead."""
         if len(self.parts) == len(self.segments) <= 1:
-            n, total = next(iter(self._layouts.values()))[1:3] if self.segments else (0, 0)
+            n, total = ((x := self._layouts[self.segments[0]])["n_docs"], x["total_terms"]) if self.segments else (0, 0)
             return self.spark.createDataFrame([(n, total, total / n if n else 0.0)], "n_docs long, total_terms long, avg_doc_len double")
         return LexicalIndex.corpus_stats.fget(self)
 
@@ -284,8 +301,10 @@ class StoredIndex:
             rows, dead = self._rows(segment), self._dead(segment)
             heads = rows.where("term = ''").select("bucket", F.col("ids").alias("of"), F.col("lens").alias("sizes"))
             lists = self._lists(rows) if terms is None else self._lists(rows).join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
-            each = lists.join(heads, "bucket").select("term", "of", "sizes", F.explode(F.arrays_zip("places", "freqs", F.coalesce("positions", F.transform("places", lambda _: F.lit(None).cast("array<int>"))).alias("positions"))).alias("p"))
-            out = each.select("term", F.get("of", F.col("p.places")).alias("doc_id"), F.col("p.freqs").alias("term_freq"), F.get("sizes", F.col("p.places")).cast("long").alias("doc_len"), F.col("p.positions").alias("positions"))
+            # ids and lengths are looked up before rows multiply, so the bucket's arrays aren't copied for each posting
+            own = lambda column: F.transform("places", lambda p: F.get(F.col(column), p))
+            zipped = F.arrays_zip(own("of").alias("doc_id"), F.col("freqs").alias("term_freq"), own("sizes").alias("doc_len"), F.coalesce("positions", F.transform("places", lambda _: F.lit(None).cast("array<int>"))).alias("positions"))
+            out = lists.join(heads, "bucket").select("term", F.inline(zipped)).withColumn("doc_len", F.col("doc_len").cast("long"))
             return out if dead is None else out.join(dead, "doc_id", "left_anti").select(out.columns)
 
         return self._union(live, "term string, doc_id long, term_freq int, doc_len long, positions array<int>")
@@ -306,16 +325,14 @@ class StoredIndex:
             if self._dead(segment) is None:
                 known = self.spark.read.parquet(f"{self.path}/{segment}/vocabulary")
                 return known if terms is None else known.join(terms.select("term").distinct(), "term", "left_semi")
-            return self._only(segment).postings_of(terms).groupBy("term").agg(F.count("*").alias("df"))
+            rows = self._rows(segment)
+            dead = rows.where("term = ''").select("bucket", F.posexplode("ids").alias("place", "doc_id")).join(self._dead(segment), "doc_id", "left_semi").select("bucket", "place")
+            lists = self._lists(rows) if terms is None else self._lists(rows).join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+            return lists.select("bucket", "term", F.explode("places").alias("place")).join(dead, ["bucket", "place"], "left_anti").groupBy("term").agg(F.count("*").alias("df"))
 
         every = self._union(of, "term string, df long")
         return every if len(self.segments) < 2 else every.groupBy("term").agg(F.sum("df").alias("df"))
 
-    def _only(self, segment: str) -> StoredIndex:
-        """One segment, and of the later ones the ids alone."""
-        at = self.parts.index(segment)
-        return _Alone(self.spark, self.path, self.parts[at:], self.base)
-
     def cleared(self) -> StoredIndex:
         """The index without any document."""
         return dataclasses.replace(self, parts=())
@@ -334,12 +351,12 @@ class StoredIndex:
         """The newest segments as one, from the oldest on that is at most ``factor`` times as large as all after it.
 
         So sizes fall geometrically from one segment to the next, and their
-        number stays below the logarithm of the postings.
+        number stays below the logarithm of the index.
         """
-        sizes = [self._layouts[x][3] for x in self.segments]
+        sizes = [self._layouts[x]["total_terms"] for x in self.segments]
         first = next((i for i in range(len(sizes)) if i + 1 < len(sizes) and sizes[i] <= factor * sum(sizes[i + 1 :])), None)
         if first is None:
-            if len(self.segments) == 1 and len(self.parts) > 1 and self.doc_ids.count() * factor < self._layouts[self.segments[0]][1]:
+            if len(self.segments) == 1 and len(self.parts) > 1 and self.doc_ids.count() * factor < self._layouts[self.segments[0]]["n_docs"]:
                 first = 0  # most of it is dead
             else:
                 return self
@@ -366,16 +383,8 @@ class StoredIndex:
             if dead is None:
                 search = _searched(shared, top_k, report)
                 return rows.applyInArrow(lambda table: search(table), schema)
-            n = self._layouts[segment][0]
+            n = self._layouts[segment]["buckets"]
             dealt = dead.withColumn("bucket", F.get(F.array(*[F.lit(v) for v in bucket_numbers(self.spark, n)]), F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")))
             return rows.cogroup(dealt.groupBy("bucket")).applyInArrow(_searched(shared, top_k, report), schema)
 
         return self._union(of, schema)
-
-
-class _Alone(StoredIndex):
-    """The first segment of its parts; the others only take documents from it."""
-
-    @property
-    def segments(self) -> list[str]:
-        return [self.parts[0]]

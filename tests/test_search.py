@@ -16,8 +16,9 @@ from corvane.operators import models as M
 from corvane.operators import vectors as V
 from corvane.operators.chunks import chunk_documents, chunk_windows, sections
 from corvane.operators.fusion import lexical_overlap, reciprocal_rank_fusion, relative_score_fusion, rerank
-from corvane.operators.lexical import LexicalIndex, bm25, build_index, query_terms, suggestions
+from corvane.operators.lexical import bm25, build_index, query_terms, suggestions
 from corvane.operators.metrics import markdown_table, metric_means, retrieval_metrics, upper_latency
+from corvane.operators.segments import StoredIndex
 from corvane.operators.vectors import cosine, cosine_top_k, mean_pooled, normalised
 from corvane.plans.responses import respond, route
 from corvane.plans.search import SearchEngine, evaluate, instant_answers, rank_web, with_snippets
@@ -69,7 +70,7 @@ def test_index_positions_save_and_suggest(spark, docs, tmp_path):
     row = index.postings.where("term = 'solar'").first()
     assert (row.term_freq, row.positions, row.doc_len) == (2, [0, 6], 8)
     index.save(str(tmp_path / "index"), buckets=3)
-    again = LexicalIndex.load(spark, str(tmp_path / "index"))
+    again = StoredIndex.load(spark, str(tmp_path / "index"))
     assert sorted(r.doc_id for r in again.doc_ids.collect()) == [1, 2, 3, 4] and again.cleared().postings.count() == again.cleared().doc_ids.count() == 0
     assert [h.doc_id for h in hits(again, spark, "fox")] == [1]
     assert [r.term for r in suggestions(again, "so").collect()] == ["solar"] and suggestions(again, " ").count() == 0
