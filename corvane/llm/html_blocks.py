@@ -203,8 +203,8 @@ def block_features(block: Block) -> list[str]:
     link = 0 if block.link_share == 0 else 1 if block.link_share < 0.5 else 2
     end = block.text[-1] in ".!?\"'”…;:"
     out = ["bias", f"b:{block.tag}", f"size:{size}", f"link:{link}", f"end:{end}", f"size:{size},link:{link},end:{end}"]
-    if "©" in block.text:
-        out.append("copyright")
+    if words <= _LENGTHS[2] and block.text.lower().removeprefix("copyright").lstrip().startswith("©"):
+        out.append("copyright")  # a short line that begins with the sign, not a text that has it somewhere
     if 10 * sum(map(str.isdigit, block.text)) > len(block.text):
         out.append("digits")
     return out

@@ -56,6 +56,11 @@ class _Maker:
         made = ["".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(r.randint(1, 4))) for _ in range(r.randint(low, high))]
         return " ".join(made)
 
+    def figures(self) -> str:
+        """What articles have besides words: years, numbers, marks."""
+        r = self.rng
+        return " ".join(r.choice([str(r.randint(1, 2030)), f"{r.randint(1, 99)}.{r.randint(0, 9)}%", "©", f"©{r.randint(1990, 2030)}", f"© {self.words(1, 2)}", "€5", "(c)"]) for _ in range(r.randint(1, 5)))
+
     def sentence(self, low: int = 5, high: int = 60) -> str:
         return self.words(low, high).capitalize() + self.rng.choice("....!?")
 
@@ -101,6 +106,11 @@ class _Maker:
         kind = r.random()
         if kind < 0.66:
             text = self.sentence(1 if r.random() < 0.2 else 8, 90)
+            if r.random() < 0.15:
+                at = r.choice([0, len(text) // 2, len(text)])
+                text = f"{text[:at]} {self.figures()} {text[at:]}"
+            elif r.random() < 0.04:
+                text = self.figures()
             if r.random() < 0.2:
                 text = f"{text[: len(text) // 2]}<b>{text[len(text) // 2 :]}</b>"
             if r.random() < 0.15:
@@ -110,7 +120,7 @@ class _Maker:
             level = r.randint(2, 4)
             return f"<h{level}>{self.words(1, 8)}</h{level}>"
         if kind < 0.86:
-            return "<ul>" + "".join(f"<li>{self.words(2, 14)}{r.choice(['.', ''])}</li>" for _ in range(r.randint(2, 5))) + "</ul>"
+            return "<ul>" + "".join(f"<li>{self.words(2, 14)}{r.choice(['.', ''])}</li>" if r.random() < 0.85 else f'<li><a href="/x">{self.words(1, 5)}</a></li>' for _ in range(r.randint(1, 5))) + "</ul>"
         if kind < 0.9:
             return f"<blockquote>{r.choice(['', '<p>'])}{self.sentence(6, 40)}</blockquote>"
         if kind < 0.94:
@@ -122,6 +132,9 @@ class _Maker:
     def page(self) -> list[tuple[str, int]]:
         """Pieces of markup in order, each with the label of the blocks in it."""
         r = self.rng
+        if r.random() < 0.12:  # nothing but a text
+            some = r.choice([1, 1, 2, 4])
+            return [(r.choice(["", "<html><body>", "<body>", "<div>"]), 0), *[(r.choice([self.article_part(), self.article_part(), self.sentence(1, 12), f"<p>{self.words(1, 6)}</p>"]), 1) for _ in range(some)]]
         out: list[tuple[str, int]] = [(f"<html><head><title>{self.words(2, 6)}</title></head><body>", 0)]
         wraps = r.randint(0, 2)
         out += [(f"<div{self.plain()}>", 0) for _ in range(wraps)]
@@ -140,10 +153,11 @@ class _Maker:
         else:
             opening, closing = f"<div{self.plain()}>", "</div>"
         out.append((opening, 1))
-        if r.random() < 0.85:
+        if r.random() < 0.8:
             out.append((f"<h1>{self.words(2, 10)}{r.choice(['', '.'])}</h1>", 1))
-        for _ in range(r.randint(1, 14)):
-            out.append((self.article_part(), 1))
+        brief = r.random() < 0.12
+        for _ in range(r.randint(1, 2) if brief else r.randint(1, 14)):
+            out.append((f"<p>{self.sentence(1, 6)}</p>" if brief else self.article_part(), 1))
             if r.random() < 0.08:
                 out.append((self.other(r.choice(["ad", "side", "share", "form", "notice"])), 0))
         if r.random() < 0.12:

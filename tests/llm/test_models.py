@@ -278,3 +278,21 @@ def test_paragraphs_of_a_column_are_those_of_its_rows():
     lines, found = model.classify(pa.array(texts))
     assert lines.tolist() == [len((t or "").split("\n")) for t in texts]
     assert [(row, p) for row, p, *_ in found] == [(4, 0)]
+
+
+ARTICLES = [
+    ("<article><h1>T</h1><p>Text of ours: © mark. The river runs past the town and on to the sea, where it ends.</p></article>", "T Text of ours: © mark. The river runs past the town and on to the sea, where it ends."),
+    ("<article><p>In 2020 25 30 people came, 45% of 100 in 1999.</p><p>©2020</p><p>Short</p><ul><li><a>linked item</a></li></ul></article>", "In 2020 25 30 people came, 45% of 100 in 1999. ©2020 Short linked item"),
+    ("<p>Just text &eacute;</p>", "Just text é"),
+    ("Bare words only", "Bare words only"),
+    ("<html><body><nav><a href=x>Home</a></nav><article><p>Short one.</p></article><footer>© 2020 Us. All rights reserved.</footer></body></html>", "Short one."),
+    ("<body><div class='content'><p>Copyright law says © is a sign.</p><p>© 2021 is how notices begin, and this paragraph goes on about them for quite a while, since it is part of the article and no notice at all.</p></div><div class=footer>&copy; Someone 2020</div></body>", "Copyright law says © is a sign. © 2021 is how notices begin, and this paragraph goes on about them for quite a while, since it is part of the article and no notice at all."),
+    ("<div class='ad'>Buy now</div>", ""),
+    ("<nav><ul><li><a>Home</a></li></ul></nav>", ""),
+]
+
+
+@pytest.mark.parametrize(("source", "text"), ARTICLES)
+def test_articles_stay_whole(source, text):
+    """Signs, figures, short lines and links in an article, and pages that are nothing but a text."""
+    assert H.main_texts(H.trained_model(), [source]) == [text]
