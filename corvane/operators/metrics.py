@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.scratch import join_groups, unused, written
+
 
 def gain(grade: Column, rank: Column) -> Column:
     """(2^grade - 1) / log2(rank + 1) for positive grades, else 0."""
@@ -46,19 +48,46 @@ def metric_means(per_query: DataFrame) -> DataFrame:
     return per_query.agg(F.count("*").alias("queries"), *[F.round(F.avg(c), 4).alias(c) for c in ("ndcg", "reciprocal_rank", "precision", "recall")])
 
 
-def upper_latency(rows: DataFrame, value_col: str, by: list[str] | None = None, share: float = 0.95) -> DataFrame:
+#: Values of a group that may meet in one window, and shares at which a round of a selection cuts a group.
+WINDOW_VALUES, CUTS = 10_000, 200
+
+
+def upper_latency(rows: DataFrame, value_col: str, by: list[str] | None = None, share: float = 0.95, window_values: int = WINDOW_VALUES) -> DataFrame:
     """(by..., value): element int(n x share) of the sorted values of each group, counted from 0: the p95 of the evaluation tables.
 
-    Values are counted before they are ordered, so what meets in a window is
-    one row for each distinct value.  Nulls are left out.
+    A selection: a group of more than ``window_values`` values is cut at
+    quantiles that the tasks sketch and merge, what lies below the cut is
+    counted exactly, and only what lies between the cuts beside the wanted
+    rank stays for the next round, about a sixtieth.  Values are counted
+    before they are ordered, so at most ``window_values`` distinct ones of a
+    group meet in one task.  Nulls and NaN are left out.
     """
     keys = by or []
-    counted = rows.where(F.col(value_col).isNotNull()).groupBy(*keys, value_col).agg(F.count("*").alias("n"))
-    order = Window.partitionBy(*keys).orderBy(value_col) if keys else Window.orderBy(value_col)
-    every = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    upto = counted.withColumns({"upto": F.sum("n").over(order), "all": F.sum("n").over(every)})
-    at = F.least(F.col("all") - 1, F.floor(F.col("all") * share))
-    return upto.where((F.col("upto") > at) & (F.col("upto") - F.col("n") <= at)).select(*keys, value_col)
+    key, at, low, high, before, n, cuts, lower, upper, less, held, many, upto = unused([*rows.columns], *"_key _at _low _high _before _n _cuts _lower _upper _less _held _many _upto".split())
+    v, col = F.col(value_col), F.col
+    named = rows.where(v.isNotNull() & ~F.isnan(v.cast("double"))).select(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias(key) if keys else F.lit("").alias(key), *keys, value_col)
+    values = named.select(key, value_col)
+    first = named.groupBy(key).agg(*[F.first(k).alias(k) for k in keys], F.count("*").alias(n), F.min(value_col).alias(low), F.max(value_col).alias(high))
+    state = written(first.withColumns({before: F.lit(0).cast("long"), at: F.least(col(n) - 1, F.floor(col(n) * share))}), "ranks")
+    inside = (v >= col(low)) & (v <= col(high))
+    wide = (col(n) > window_values) & (col(low) < col(high))
+    while state.where(wide).limit(1).count():
+        spans = state.where(wide)
+        left = join_groups(values, spans.select(key, low, high, n), key, n).where(inside)
+        sketched = left.groupBy(key).agg(F.percentile_approx(value_col, [i / CUTS for i in range(CUTS + 1)], 10_000).alias(cuts))
+        place = F.floor((col(at) - col(before)) * CUTS / col(n)).cast("int")
+        bounds = {lower: F.when(place > 1, F.get(cuts, place - 1)).otherwise(col(low)), upper: F.when(place + 2 < CUTS, F.get(cuts, place + 2)).otherwise(col(high))}
+        cut = written(spans.join(sketched, key).withColumns(bounds).drop(cuts), "cuts")
+        inner = (v >= col(lower)) & (v <= col(upper))
+        counted = join_groups(values, cut.select(key, low, high, n, lower, upper), key, n).where(inside).groupBy(key).agg(F.sum((v < col(lower)).cast("long")).alias(less), F.sum(inner.cast("long")).alias(held))
+        # where the sketch missed the rank or cut nothing off, the group goes to the last step as it is
+        sure = (col(before) + col(less) <= col(at)) & (col(at) < col(before) + col(less) + col(held)) & (col(held) < col(n))
+        narrowed = cut.join(counted, key).select(key, *keys, F.when(sure, col(held)).otherwise(0).alias(n), F.when(sure, col(lower)).otherwise(col(low)).alias(low), F.when(sure, col(upper)).otherwise(col(high)).alias(high), F.when(sure, col(before) + col(less)).otherwise(col(before)).alias(before), at)
+        state = written(state.where(~wide).select(narrowed.columns).unionByName(narrowed), "ranks")
+    last = join_groups(values, state.drop(*keys), key, n).where(inside).groupBy(key, value_col, before, at).agg(F.count("*").alias(many))
+    ordered = last.withColumn(upto, col(before) + F.sum(many).over(Window.partitionBy(key).orderBy(value_col)))
+    hit = ordered.where((col(upto) > col(at)) & (col(upto) - col(many) <= col(at))).select(key, value_col)
+    return hit.join(state.select(key, *keys), key).select(*keys, value_col)
 
 
 def markdown_table(rows: DataFrame, columns: list[str]) -> DataFrame:

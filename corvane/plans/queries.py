@@ -356,11 +356,11 @@ _M1 = "'^(?:[aeiou]|[^aeiou][^aeiouy]*[aeiouy])[aeiou]*[^aeiou][^aeiouy]*[aeiouy
 _ONE = "'^(?:[aeiou]|[^aeiou][^aeiouy]*[aeiouy])[aeiou]*[^aeiou][^aeiouy]*(?:[aeiouy][aeiou]*)?$'"
 _CVC = "'^(?:[aeiou]+[^aeiou][^aeiouy]*|[^aeiou][^aeiouy]*)(?:[aeiouy][aeiou]*[^aeiou][^aeiouy]*)*[aeiouy][^aeiouwxy]$'"
 _STEMS = f"""
-one AS (SELECT word, CASE WHEN word LIKE '%sses' OR word LIKE '%ies' THEN word[:-3] WHEN word LIKE '%s' AND word NOT LIKE '%ss' THEN word[:-2] ELSE word END AS s FROM vocabulary WHERE length(word) > 2),
-cut AS (
+one AS MATERIALIZED (SELECT word, CASE WHEN word LIKE '%sses' OR word LIKE '%ies' THEN word[:-3] WHEN word LIKE '%s' AND word NOT LIKE '%ss' THEN word[:-2] ELSE word END AS s FROM vocabulary WHERE length(word) > 2),
+cut AS MATERIALIZED (
   SELECT word, s, CASE WHEN s LIKE '%eed' THEN NULL WHEN s LIKE '%ed' AND regexp_matches(s[:-3], {_V}) THEN s[:-3]
                        WHEN s LIKE '%ing' AND s NOT LIKE '%ed' AND regexp_matches(s[:-4], {_V}) THEN s[:-4] END AS t FROM one),
-two AS (
+two AS MATERIALIZED (
   SELECT word, CASE
     WHEN s LIKE '%eed' THEN CASE WHEN regexp_matches(s[:-4], {_M0}) THEN s[:-2] ELSE s END
     WHEN t IS NULL THEN s
@@ -368,24 +368,27 @@ two AS (
     WHEN length(t) > 1 AND t[-1] = t[-2] AND t[-1] NOT IN ('a', 'e', 'i', 'o', 'u', 'y', 'l', 's', 'z') THEN t[:-2]
     WHEN regexp_matches(t, {_ONE}) AND regexp_matches(t, {_CVC}) THEN t || 'e'
     ELSE t END AS s FROM cut),
-three AS (SELECT word, CASE WHEN s LIKE '%y' AND regexp_matches(s[:-2], {_V}) THEN s[:-2] || 'i' ELSE s END AS s FROM two),
-rule(step, ord, suffix, new) AS (VALUES
+three AS MATERIALIZED (SELECT word, CASE WHEN s LIKE '%y' AND regexp_matches(s[:-2], {_V}) THEN s[:-2] || 'i' ELSE s END AS s FROM two),
+rule(step, ord, suffix, new) AS MATERIALIZED (VALUES
   (2, 1, 'ational', 'ate'), (2, 2, 'tional', 'tion'), (2, 3, 'enci', 'ence'), (2, 4, 'anci', 'ance'), (2, 5, 'izer', 'ize'), (2, 6, 'abli', 'able'), (2, 7, 'alli', 'al'),
   (2, 8, 'entli', 'ent'), (2, 9, 'eli', 'e'), (2, 10, 'ousli', 'ous'), (2, 11, 'ization', 'ize'), (2, 12, 'ation', 'ate'), (2, 13, 'ator', 'ate'), (2, 14, 'alism', 'al'),
   (2, 15, 'iveness', 'ive'), (2, 16, 'fulness', 'ful'), (2, 17, 'ousness', 'ous'), (2, 18, 'aliti', 'al'), (2, 19, 'iviti', 'ive'), (2, 20, 'biliti', 'ble'),
   (3, 1, 'icate', 'ic'), (3, 2, 'ative', ''), (3, 3, 'alize', 'al'), (3, 4, 'iciti', 'ic'), (3, 5, 'ical', 'ic'), (3, 6, 'ful', ''), (3, 7, 'ness', ''),
   (4, 1, 'al', ''), (4, 2, 'ance', ''), (4, 3, 'ence', ''), (4, 4, 'er', ''), (4, 5, 'ic', ''), (4, 6, 'able', ''), (4, 7, 'ible', ''), (4, 8, 'ant', ''), (4, 9, 'ement', ''),
   (4, 10, 'ment', ''), (4, 11, 'ent', ''), (4, 12, 'ou', ''), (4, 13, 'ism', ''), (4, 14, 'ate', ''), (4, 15, 'iti', ''), (4, 16, 'ous', ''), (4, 17, 'ive', ''), (4, 18, 'ize', ''), (4, 19, 'ion', '')),
-hit2 AS (SELECT word, s, arg_min(suffix, ord) AS x, arg_min(new, ord) AS new FROM three LEFT JOIN rule ON step = 2 AND ends_with(s, suffix) GROUP BY word, s),
-four AS (SELECT word, CASE WHEN x IS NOT NULL AND regexp_matches(left(s, length(s) - length(x)), {_M0}) THEN left(s, length(s) - length(x)) || new ELSE s END AS s FROM hit2),
-hit3 AS (SELECT word, s, arg_min(suffix, ord) AS x, arg_min(new, ord) AS new FROM four LEFT JOIN rule ON step = 3 AND ends_with(s, suffix) GROUP BY word, s),
-five AS (SELECT word, CASE WHEN x IS NOT NULL AND regexp_matches(left(s, length(s) - length(x)), {_M0}) THEN left(s, length(s) - length(x)) || new ELSE s END AS s FROM hit3),
-hit4 AS (SELECT word, s, arg_min(suffix, ord) AS x FROM five LEFT JOIN rule ON step = 4 AND ends_with(s, suffix) GROUP BY word, s),
-six AS (
+fit2 AS MATERIALIZED (SELECT word, arg_min(suffix, ord) AS x, arg_min(new, ord) AS new FROM (SELECT word, right(s, k) AS suffix FROM three, range(1, 8) AS size(k)) JOIN rule USING (suffix) WHERE step = 2 GROUP BY word),
+hit2 AS MATERIALIZED (SELECT word, s, x, new FROM three LEFT JOIN fit2 USING (word)),
+four AS MATERIALIZED (SELECT word, CASE WHEN x IS NOT NULL AND regexp_matches(left(s, length(s) - length(x)), {_M0}) THEN left(s, length(s) - length(x)) || new ELSE s END AS s FROM hit2),
+fit3 AS MATERIALIZED (SELECT word, arg_min(suffix, ord) AS x, arg_min(new, ord) AS new FROM (SELECT word, right(s, k) AS suffix FROM four, range(1, 8) AS size(k)) JOIN rule USING (suffix) WHERE step = 3 GROUP BY word),
+hit3 AS MATERIALIZED (SELECT word, s, x, new FROM four LEFT JOIN fit3 USING (word)),
+five AS MATERIALIZED (SELECT word, CASE WHEN x IS NOT NULL AND regexp_matches(left(s, length(s) - length(x)), {_M0}) THEN left(s, length(s) - length(x)) || new ELSE s END AS s FROM hit3),
+fit4 AS MATERIALIZED (SELECT word, arg_min(suffix, ord) AS x FROM (SELECT word, right(s, k) AS suffix FROM five, range(1, 8) AS size(k)) JOIN rule USING (suffix) WHERE step = 4 GROUP BY word),
+hit4 AS MATERIALIZED (SELECT word, s, x FROM five LEFT JOIN fit4 USING (word)),
+six AS MATERIALIZED (
   SELECT word, CASE WHEN x IS NOT NULL AND regexp_matches(left(s, length(s) - length(x)), {_M1}) AND (x <> 'ion' OR s LIKE '%sion' OR s LIKE '%tion')
                     THEN left(s, length(s) - length(x)) ELSE s END AS s FROM hit4),
-seven AS (SELECT word, CASE WHEN s LIKE '%e' AND (regexp_matches(s[:-2], {_M1}) OR (regexp_matches(s[:-2], {_ONE}) AND NOT regexp_matches(s[:-2], {_CVC}))) THEN s[:-2] ELSE s END AS s FROM six),
-stemmed AS (
+seven AS MATERIALIZED (SELECT word, CASE WHEN s LIKE '%e' AND (regexp_matches(s[:-2], {_M1}) OR (regexp_matches(s[:-2], {_ONE}) AND NOT regexp_matches(s[:-2], {_CVC}))) THEN s[:-2] ELSE s END AS s FROM six),
+stemmed AS MATERIALIZED (
   SELECT word, CASE WHEN s LIKE '%ll' AND regexp_matches(s, {_M1}) THEN s[:-2] ELSE s END AS stem FROM seven
   UNION ALL SELECT word, word FROM vocabulary WHERE length(word) <= 2)"""
 _HOST = "CASE WHEN u.host = '' THEN 'web' ELSE u.host END"
@@ -425,13 +428,13 @@ SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 4) AS idf FROM df, (
     "bm25_top10": f"{_SEARCH} SELECT query_id, doc_id, rank, round(total, 4) AS score FROM lexical WHERE rank <= 10",
     "bm25_stemmed_top10": f"""
 WITH {_tokens('doc_word', 'documents', 'doc_id')}, {_tokens('query_word', 'benchmark', 'item_id')},
-vocabulary AS (SELECT DISTINCT term AS word FROM (SELECT term FROM doc_word UNION ALL SELECT term FROM query_word)),{_STEMS},
+vocabulary AS MATERIALIZED (SELECT DISTINCT term AS word FROM (SELECT term FROM doc_word UNION ALL SELECT term FROM query_word)),{_STEMS},
 doc_tok AS (SELECT id, stem AS term FROM doc_word JOIN stemmed ON word = term), query_tok AS (SELECT id, stem AS term FROM query_word JOIN stemmed ON word = term),{_BM25}
 SELECT query_id, doc_id, rank, round(total, 4) AS score FROM lexical WHERE rank <= 10""",
     "bm25_explained": f"""{_SEARCH}
 SELECT query_id, doc_id, rank, string_agg(term, ' ' ORDER BY term) AS matched, string_agg(term || '=' || printf('%.4f', round(part, 4)), ' ' ORDER BY term) AS contributions
 FROM lexical JOIN part USING (query_id, doc_id) WHERE rank <= 3 GROUP BY query_id, doc_id, rank""",
-    "stems": f"WITH {_tokens('tok', 'documents', 'doc_id')}, vocabulary AS (SELECT DISTINCT term AS word FROM tok),{_STEMS} SELECT word, stem FROM stemmed",
+    "stems": f"WITH {_tokens('tok', 'documents', 'doc_id')}, vocabulary AS MATERIALIZED (SELECT DISTINCT term AS word FROM tok),{_STEMS} SELECT word, stem FROM stemmed",
     "conversation_search": f"""
 WITH {_tokens('doc_tok', 'documents', 'doc_id')}, {_tokens('query_tok', 'conversations', "conv_id || ':' || turn", "role = 'user'")},{_BM25}
 SELECT query_id, doc_id, rank, round(total, 4) AS score FROM lexical WHERE rank <= 3""",
@@ -490,7 +493,7 @@ SELECT conv_id, turn, sha256 FROM (SELECT conv_id, turn, sha256(coalesce(text, '
     "percentages": "SELECT o_orderkey, format('{:g}', 0.15::DOUBLE * printf('%.2f', o_totalprice)::DOUBLE) AS result FROM orders",
     "formulas": "SELECT p_partkey, format('{:g}', round(4 * (p_size + 8) / 7.0::DOUBLE, 8)) AS result FROM part",
     "prefix_suggestions": f"WITH {_tokens('tok', 'documents', 'doc_id')} SELECT term, count(DISTINCT id) AS df FROM tok WHERE starts_with(term, 'th') GROUP BY term ORDER BY df DESC, term LIMIT 8",
-    "conversation_stems": f"WITH vocabulary AS (SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce(text, '')), {_PATTERN})) AS word FROM conversations),{_STEMS} SELECT word, stem FROM stemmed",
+    "conversation_stems": f"WITH vocabulary AS MATERIALIZED (SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce(text, '')), {_PATTERN})) AS word FROM conversations),{_STEMS} SELECT word, stem FROM stemmed",
     "unfiltered_terms": f"""
 SELECT term, count(*) AS df FROM (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(coalesce(text, '')), {_PATTERN})) AS term FROM conversations) GROUP BY term""",
     "term_positions": f"""

@@ -353,3 +353,17 @@ def test_web_ranking_pins_the_direct_card(spark):
     assert [g.url for g in rank_web(results, ask(spark, "fox"), scorer=None).orderBy("rank").collect()] == ["u", "u2"]
     answers = {r.query_id: r for r in instant_answers(ask(spark, "2+2", "fox"), direct.withColumn("query_id", F.lit(1))).collect()}
     assert answers[0].title == "4" and answers[0].source == "Instant Math" and answers[1].kind == "website"
+
+
+def test_upper_latency_narrows_large_groups(spark):
+    """Groups over the window's size, with ties, one value, nulls, and a null key."""
+    rng = random.Random(3)
+    rows = [("many", rng.random() ** 9 * 1e6) for _ in range(6000)] + [("ties", float(rng.randint(0, 3))) for _ in range(3000)] + [("one", 5.0)] * 2000 + [(None, float(i)) for i in range(1500)] + [("few", 1.0), ("few", None), ("few", float("nan"))]
+    frame = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    for share in (0.0, 0.5, 0.95, 1.0):
+        want = {}
+        for k in {k for k, _ in rows}:
+            own = sorted(v for q, v in rows if q == k and v is not None and v == v)
+            want[k] = own[min(len(own) - 1, int(len(own) * share))]
+        assert {r.k: r.v for r in upper_latency(frame, "v", ["k"], share, window_values=100).collect()} == want
+    assert upper_latency(frame.limit(0), "v", ["k"]).count() == 0
