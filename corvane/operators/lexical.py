@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import STOPWORDS, exploded_tokens, stem, terms
-from corvane.scratch import join_groups, new_folder, written
+from corvane.scratch import join_groups, new_folder, unused, written
 
 K1, B = 1.5, 0.75
 #: Rows (query, term) that are broadcast at once; more queries are answered in blocks.
@@ -170,3 +170,45 @@ def suggestions(index, prefix: str, top_k: int = 8) -> DataFrame:
     """(term, df): the commonest terms that begin with ``prefix``; none for a blank prefix."""
     clean = prefix.strip().lower()
     return index.vocabulary.where(F.col("term").startswith(clean) if clean else F.lit(False)).orderBy(F.desc("df"), "term").limit(top_k)
+
+
+#: Letters of the longest prefixes that a table of completions lists.
+LONGEST = 8
+
+
+def completions(vocabulary: DataFrame, top_k: int = 8, longest: int = LONGEST) -> DataFrame:
+    """(prefix, rank, term, df): the commonest ``top_k`` terms of every prefix of up to ``longest`` letters, ties in the order of terms.
+
+    The best of a prefix are among the best of the prefixes one letter longer
+    and the term that it is itself, so each level is made of the one before:
+    what moves is ``top_k`` rows of a prefix, not all terms.
+    """
+    best = Window.partitionBy("prefix").orderBy(F.desc("df"), "term")
+    top = lambda rows: rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
+    terms = vocabulary.select("term", "df").where("term <> ''")
+    levels = [written(top(terms.where(F.char_length("term") >= longest).select(F.left("term", F.lit(longest)).alias("prefix"), "term", "df")), "completions")]
+    for n in range(longest - 1, 0, -1):
+        own = terms.where(F.char_length("term") == n).select(F.col("term").alias("prefix"), "term", "df")
+        shorter = levels[-1].select(F.left("prefix", F.lit(n)).alias("prefix"), "term", "df")
+        levels.append(written(top(shorter.unionByName(own)), "completions"))
+    return reduce(DataFrame.unionByName, levels).select("prefix", "rank", "term", "df")
+
+
+def completed(table: DataFrame, asked: DataFrame, vocabulary: DataFrame, prefix_col: str = "prefix", top_k: int = 8, longest: int = LONGEST) -> DataFrame:
+    """The columns of ``asked`` with rank, term and df: completions of many prefixes at once, none for blank ones.
+
+    ``table``: completions of ``vocabulary`` with the same settings.  Prefixes
+    are trimmed and lower-cased.  An equi-join answers those of up to
+    ``longest`` letters; longer ones meet the terms that share their beginning.
+    """
+    clean, begin, term, df = unused([*asked.columns, "rank", "term", "df"], "_clean", "_begin", "_term", "_df")
+    named = asked.withColumn(clean, F.lower(F.trim(F.col(prefix_col)))).where(F.length(clean) > 0)
+    short = named.where(F.char_length(clean) <= longest).join(table.withColumnRenamed("prefix", begin), F.col(clean) == F.col(begin))
+    terms = vocabulary.where(F.char_length("term") > longest).select(F.left("term", F.lit(longest)).alias(begin), F.col("term").alias(term), F.col("df").alias(df))
+    wanted = named.where(F.char_length(clean) > longest).select(clean).distinct()
+    met = wanted.join(terms, (F.left(clean, F.lit(longest)) == F.col(begin)) & F.startswith(F.col(term), F.col(clean)))
+    best = Window.partitionBy(clean).orderBy(F.desc(df), term)
+    ranked = met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k).select(F.col(clean).alias(begin), "rank", F.col(term).alias("term"), F.col(df).alias("df"))
+    long = named.where(F.char_length(clean) > longest).join(ranked, F.col(clean) == F.col(begin))
+    columns = [*asked.columns, "rank", "term", "df"]
+    return short.select(columns).unionByName(long.select(columns))

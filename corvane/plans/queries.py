@@ -13,13 +13,14 @@ from corvane.functions.url import clean_url, display_url, domain, is_sponsored
 from corvane.operators.chunks import chunk_windows
 from corvane.operators.containment import documents_holding
 from corvane.operators.fusion import lexical_overlap, reciprocal_rank_fusion, relative_score_fusion
-from corvane.operators.lexical import bm25, build_index, idf, query_terms, suggestions
+from corvane.operators.lexical import bm25, bm25_work, build_index, completed, completions, idf, query_terms, suggestions
 from corvane.operators.metrics import metric_means, retrieval_metrics
+from corvane.operators.pivots import PivotIndex
 from corvane.operators.segments import StoredIndex
 from corvane.operators.vectors import cosine_top_k
 from corvane.plans import payload_queries, payload_sql
 from corvane.plans.payload_sql import STOP, escaped, marked
-from corvane.plans.search import SearchEngine
+from corvane.plans.search import SearchEngine, Telemetry
 from corvane.sources import evaluation
 from corvane.sources.payloads import page_card
 
@@ -107,6 +108,13 @@ def cosine_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cosine_top_k(asked, vectors, 5)
 
 
+def pivot_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What cosine_top5 finds, by an index that skips clusters."""
+    vectors = _vectors(spark, sf_dir)
+    asked = vectors.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), "embedding")
+    return PivotIndex.build(vectors).search(asked, 5)
+
+
 def neighbour_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of the nearest ten vectors (itself among them) share a query vector's label."""
     vectors = _vectors(spark, sf_dir)
@@ -217,6 +225,28 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _engine(spark, sf_dir).search(asked, "hybrid", 3).select("query_id", "rank", "doc_id", "score", "title", F.col("provenance.first_score").alias("fused_score"))
 
 
+def search_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that each stage of hybrid_search hands on, as noted while it ran."""
+    asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    noted = Telemetry()
+    _engine(spark, sf_dir).search(asked, "hybrid", 3, telemetry=noted).write.format("noop").mode("overwrite").save()
+    return noted.table(spark).select("stage", "rows")
+
+
+def completion_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completions of the first three letters of all part names, and of their first words and what follows them."""
+    names = _table(spark, sf_dir, "part").select("p_name")
+    asked = names.select(F.explode(F.array(F.left("p_name", F.lit(3)), F.split("p_name", " ")[0])).alias("prefix")).distinct()
+    known = _index(spark, sf_dir).vocabulary
+    return completed(completions(known), asked, known)
+
+
+def search_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The postings that the index holds of each item's terms, and whether the search for the best ten reads no more than these."""
+    work = bm25_work(_index(spark, sf_dir), _items(spark, sf_dir), 10)
+    return work.select("query_id", "postings", (F.col("read") <= F.col("postings")).alias("within"))
+
+
 def index_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vocabulary after every seventh document has gone and every fifth has been replaced."""
     docs = _table(spark, sf_dir, "documents")
@@ -274,6 +304,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stems": stems,
     "conversation_search": conversation_search,
     "cosine_top5": cosine_top5,
+    "pivot_top5": pivot_top5,
     "neighbour_labels": neighbour_labels,
     "hybrid_rrf": hybrid_rrf,
     "hybrid_rsf": hybrid_rsf,
@@ -292,6 +323,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "formulas": formulas,
     "prefix_suggestions": prefix_suggestions,
     "latest_events": event_sources,
+    "search_stages": search_stages,
+    "completion_lists": completion_lists,
+    "search_work": search_work,
     "index_updates": index_updates,
     "evaluation_metrics": evaluation_metrics,
     "unfiltered_terms": unfiltered_terms,
@@ -502,6 +536,16 @@ kept AS (SELECT item_id, lower(raw) AS term, row_number() OVER (PARTITION BY ite
 SELECT term, item_id, count(*) AS term_freq, max(doc_len) AS doc_len, string_agg(position::VARCHAR, ' ' ORDER BY position) AS positions FROM kept GROUP BY term, item_id""",
     "engine_without_vectors": f"""{_SEARCH}
 SELECT query_id, rank, l.doc_id, round(total, 4) AS score, 'Doc ' || l.doc_id AS title, md5(coalesce(text, '')) AS content_md5 FROM lexical l JOIN documents d ON d.doc_id = l.doc_id WHERE rank <= 3""",
+    "search_stages": f"""{_SEARCH}{_DENSE}{_RRF}
+SELECT 'lexical' AS stage, count(*) AS rows FROM lexical WHERE rank <= 30 UNION ALL SELECT 'dense', count(*) FROM dense WHERE rank <= 30
+UNION ALL SELECT 'fusion', count(*) FROM best WHERE rank <= 30 UNION ALL SELECT 'reranking', count(*) FROM best WHERE rank <= 3""",
+    "completion_lists": f"""
+WITH {_tokens('tok', 'documents', 'doc_id')}, df AS (SELECT term, count(DISTINCT id) AS df FROM tok GROUP BY term),
+asked AS (SELECT p_name[:3] AS prefix FROM part UNION SELECT string_split(p_name, ' ')[1] FROM part),
+met AS (SELECT prefix, term, df, row_number() OVER (PARTITION BY prefix ORDER BY df DESC, term) AS rank FROM asked JOIN df ON starts_with(term, lower(trim(prefix))) WHERE trim(prefix) <> '')
+SELECT prefix, rank, term, df FROM met WHERE rank <= 8""",
+    "search_work": f"""{_SEARCH}
+SELECT query_id, sum(df)::BIGINT AS postings, true AS within FROM (SELECT DISTINCT id AS query_id, term FROM query_tok) JOIN df USING (term) GROUP BY query_id""",
     "index_updates": f"""
 WITH now AS (SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN 'Replaced ' || lang || ' ' || source ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0), {_tokens('tok', 'now', 'doc_id')}
 SELECT term, count(DISTINCT id) AS df FROM tok GROUP BY term""",
@@ -514,4 +558,5 @@ FROM benchmark LEFT JOIN found ON item_id = query_id""",
     **payload_sql.SQL,
 }
 
+SQL["pivot_top5"] = SQL["cosine_top5"]  # skipping loses nothing
 SQL["engine_relative"] = SQL["hybrid_rsf"]  # the engine must give what the operator gives

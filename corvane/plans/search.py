@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import snippet, terms
@@ -16,6 +17,7 @@ from corvane.operators.lexical import LexicalIndex, bm25, build_index, query_ter
 from corvane.operators.metrics import metric_means, retrieval_metrics, upper_latency
 from corvane.operators.segments import StoredIndex
 from corvane.operators.vectors import cosine_top_k
+from corvane.scratch import unused
 
 MODES = ("bm25", "dense", "hybrid", "relative")
 POOL = 30
@@ -26,6 +28,36 @@ Encoder = Callable[[DataFrame], DataFrame]
 Scorer = Callable[[Column, Column], Column]
 
 
+class Telemetry:
+    """Rows and times of the stages of a search, noted while it runs: no job of their own.
+
+    Every stage counts the rows that it hands on, and when the first and the
+    last of them did so; what is noted is there once the hits have been written
+    or collected.
+    """
+
+    def __init__(self) -> None:
+        self.stages: dict[str, Observation] = {}
+
+    def noted(self, stage: str, rows: DataFrame) -> DataFrame:
+        """``rows``, which the stage of this name gives."""
+        (now,) = unused(rows.columns, "_now")
+        self.stages[stage] = Observation(f"{stage} {uuid.uuid4().hex}")
+        timed = rows.withColumn(now, F.reflect(F.lit("java.lang.System"), F.lit("currentTimeMillis")).cast("long"))
+        return timed.observe(self.stages[stage], F.count(F.lit(1)).alias("rows"), F.min(now).alias("first"), F.max(now).alias("last")).drop(now)
+
+    def provenance(self) -> dict[str, dict[str, float]]:
+        """For each stage the rows, and milliseconds from the first row of all to its first and last (None without rows)."""
+        seen = {stage: o.get for stage, o in self.stages.items()}
+        began = min((x["first"] for x in seen.values() if x["first"] is not None), default=0)
+        since = lambda t: None if t is None else t - began
+        return {stage: {"rows": x["rows"], "first_ms": since(x["first"]), "last_ms": since(x["last"])} for stage, x in seen.items()}
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(stage, rows, first_ms, last_ms)."""
+        return spark.createDataFrame([(stage, x["rows"], x["first_ms"], x["last_ms"]) for stage, x in self.provenance().items()], "stage string, rows long, first_ms long, last_ms long")
+
+
 @dataclass(frozen=True)
 class SearchEngine:
     """documents(doc_id, title, content), their index, and optionally vectors(doc_id, embedding), an encoder and a scorer.
@@ -61,30 +93,34 @@ class SearchEngine:
         vectors = self.vectors.join(removed.select("doc_id"), "doc_id", "left_anti") if self.vectors is not None else None
         return SearchEngine(self.documents.join(removed.select("doc_id"), "doc_id", "left_anti"), self.index.without(removed), vectors, self.encoder, self.scorer, self.stemming)
 
-    def ranked(self, queries: DataFrame, mode: str = "hybrid", pool: int = POOL) -> DataFrame:
+    def ranked(self, queries: DataFrame, mode: str = "hybrid", pool: int = POOL, telemetry: Telemetry | None = None) -> DataFrame:
         """query_id, doc_id, rank, score and the scores and ranks of both lists, where the mode has them."""
+        noted = telemetry.noted if telemetry is not None else lambda _, rows: rows
         if mode not in MODES:
             raise ValueError(f"mode must be one of {', '.join(MODES)}")
         lexical = dense = None
         if mode != "dense":
-            lexical = bm25(self.index, query_terms(queries, "query_id", "query", stemming=self.stemming), pool)
+            lexical = noted("lexical", bm25(self.index, query_terms(queries, "query_id", "query", stemming=self.stemming), pool))
         if mode != "bm25" and self.encoder is not None and self.vectors is not None:
-            dense = cosine_top_k(self.encoder(queries.select("query_id", "query")), self.vectors, pool)
+            dense = noted("dense", cosine_top_k(self.encoder(queries.select("query_id", "query")), self.vectors, pool))
         if lexical is None and dense is None:
             raise ValueError("dense search needs vectors and an encoder")
         if lexical is not None and dense is not None:
-            return (relative_score_fusion if mode == "relative" else reciprocal_rank_fusion)(lexical, dense, top_k=pool)
+            return noted("fusion", (relative_score_fusion if mode == "relative" else reciprocal_rank_fusion)(lexical, dense, top_k=pool))
         return lexical if lexical is not None else dense
 
-    def search(self, queries: DataFrame, mode: str = "hybrid", top_k: int = 10, pool: int = POOL, reranked: bool = True) -> DataFrame:
+    def search(self, queries: DataFrame, mode: str = "hybrid", top_k: int = 10, pool: int = POOL, reranked: bool = True, telemetry: Telemetry | None = None) -> DataFrame:
         """query_id, rank, doc_id, score, title, content, provenance for the queries (query_id, query).
 
         Only the pool is reranked, and only then cut to ``top_k``.
+        ``telemetry`` notes what each stage hands on, and when.
         """
-        ranked = self.ranked(queries, mode, max(pool, top_k))
+        ranked = self.ranked(queries, mode, max(pool, top_k), telemetry)
         kept = self.documents.select("doc_id", F.coalesce("title", F.concat(F.lit("Doc "), F.col("doc_id").cast("string"))).alias("title"), F.coalesce("content", F.lit("")).alias("content"))
         hits = ranked.join(kept, "doc_id", "left").join(queries.select("query_id", "query"), "query_id")
         again = rerank(hits, self.scorer if reranked else None, top_k=top_k)
+        if telemetry is not None:
+            again = telemetry.noted("hits" if self.scorer is None or not reranked else "reranking", again)
         extra = [c for c in ("bm25_score", "bm25_rank", "dense_score", "dense_rank", "rerank_score") if c in again.columns]
         score = F.col("rerank_score") if "rerank_score" in again.columns else F.col("score")
         return again.select("query_id", "rank", "doc_id", score.alias("score"), "title", "content", F.struct(F.lit(mode).alias("mode"), F.col("score").alias("first_score"), *extra).alias("provenance"), "query")

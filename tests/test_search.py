@@ -18,10 +18,11 @@ from corvane.operators.chunks import chunk_documents, chunk_windows, sections
 from corvane.operators.fusion import lexical_overlap, reciprocal_rank_fusion, relative_score_fusion, rerank
 from corvane.operators.lexical import bm25, build_index, query_terms, suggestions
 from corvane.operators.metrics import markdown_table, metric_means, retrieval_metrics, upper_latency
+from corvane.operators.pivots import PivotIndex
 from corvane.operators.segments import StoredIndex
 from corvane.operators.vectors import cosine, cosine_top_k, mean_pooled, normalised
 from corvane.plans.responses import respond, route
-from corvane.plans.search import SearchEngine, evaluate, instant_answers, rank_web, with_snippets
+from corvane.plans.search import SearchEngine, Telemetry, evaluate, instant_answers, rank_web, with_snippets
 from corvane.sources.evaluation import evaluation_set
 
 CORPUS = [(1, "The quick brown fox jumps over the lazy dog", "fox"), (2, "Solar panel fields use mirror arrays for solar heating", "solar"), (3, "Cooking pasta takes boiling water", "pasta"), (4, "", None)]
@@ -127,7 +128,11 @@ def test_bm25_in_blocks_and_from_buckets(spark, monkeypatch, tmp_path):
     assert sorted(map(tuple, bm25(stored, terms, 7).collect())) == plain
 
 
-def test_documents_holding(spark, monkeypatch):
+@pytest.mark.parametrize(("phrase_bytes", "scans"), [(1 << 20, 4), (100, 1000), (1, 0)])
+def test_documents_holding(spark, monkeypatch, phrase_bytes, scans):
+    """One automaton, many, and joins of windows."""
+    monkeypatch.setattr(C, "PHRASE_BYTES", phrase_bytes)
+    monkeypatch.setattr(C, "MOST_SCANS", scans)
     r = random.Random(5)
     texts = [" ".join(r.choice("ab") * r.randint(1, 2) for _ in range(r.randint(0, 40))) + r.choice(["", "\n", " é"]) for _ in range(60)] + [None, "", "ab"]
     items = [t[a : a + n] for t in texts[:40] for a, n in [(r.randint(0, 10), r.randint(0, 30))]] + ["", "a", "b a", None, "no such text at all, ever, in any of them"]
@@ -367,3 +372,55 @@ def test_upper_latency_narrows_large_groups(spark):
             want[k] = own[min(len(own) - 1, int(len(own) * share))]
         assert {r.k: r.v for r in upper_latency(frame, "v", ["k"], share, window_values=100).collect()} == want
     assert upper_latency(frame.limit(0), "v", ["k"]).count() == 0
+
+
+def test_pivots_skip_and_lose_nothing(spark):
+    """Clustered vectors with a hot cluster, ties, zero and null vectors; a zero query: the rows of a full scan, most pairs skipped."""
+    r = np.random.RandomState(7)
+    middle = r.randn(30, 16) * 3
+    rows = [(i, (middle[i % 30 if i % 3 else 0] + 0.25 * r.randn(16)).tolist()) for i in range(3000)]
+    rows += [(3000 + i, rows[i][1]) for i in range(20)] + [(4000, [0.0] * 16), (4001, None)]
+    vectors = spark.createDataFrame(rows, "doc_id long, embedding array<double>").repartition(4)
+    queries = spark.createDataFrame([(i, rows[i * 37][1]) for i in range(40)] + [(50, [0.0] * 16), (51, None), (52, (-middle[3]).tolist())], "query_id long, embedding array<double>")
+    report = {}
+    index = PivotIndex.build(vectors)
+    order = lambda df: sorted(map(tuple, df.select("query_id", "doc_id", "rank", "score").collect()))
+    assert order(index.search(queries, 5, report=report)) == order(cosine_top_k(queries, vectors, 5))
+    assert report["pairs"] < 0.25 * report["all"]
+    assert order(index.search(queries, 4000)) == order(cosine_top_k(queries, vectors, 4000))
+    assert index.search(queries.limit(0), 5).count() == 0 and PivotIndex.build(vectors.limit(0)).search(queries, 5).count() == 0
+    assert PivotIndex.build(vectors.where("doc_id = 4000")).search(queries, 5).count() == 42
+
+
+def test_completions_of_many_prefixes(spark):
+    r = random.Random(11)
+    vocabulary = [("".join(r.choice("abé") for _ in range(r.randint(1, 12))), r.randint(1, 5)) for _ in range(800)]
+    vocabulary = list(dict(vocabulary).items())
+    known = spark.createDataFrame(vocabulary, "term string, df long")
+    asked = ["a", "ab", "AB ", "b" * 5, "abab", "é", "zz", "", " ", None, "aabbaabbab", *[t for t, _ in vocabulary[:30]], *[t + "a" for t, _ in vocabulary[:10]]]
+    frame = spark.createDataFrame(list(enumerate(asked)), "rank long, prefix string").withColumnRenamed("rank", "id")
+    table = X.completions(known, 3, 6)
+    assert table.groupBy("prefix").count().where("count > 3").count() == 0
+    got = sorted((g.id, g["rank"], g.term, g.df) for g in X.completed(table, frame, known, top_k=3, longest=6).collect())
+    want = []
+    for i, prefix in enumerate(asked):
+        clean = (prefix or "").strip(" ").lower()
+        own = sorted(((-n, t) for t, n in vocabulary if clean and t.startswith(clean)))[:3]
+        want += [(i, k + 1, t, -n) for k, (n, t) in enumerate(own)]
+    assert got == sorted(want)
+
+
+def test_telemetry_of_the_stages(spark, docs):
+    """Rows and times of every stage, noted by the one action; the same hits as without."""
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.6, 0.8])], "doc_id long, embedding array<double>")
+    engine = SearchEngine.of(docs, vectors, lambda asked: asked.select("query_id", F.array(F.lit(0.0), F.lit(1.0)).alias("embedding")), lexical_overlap)
+    noted = Telemetry()
+    asked = ask(spark, "solar panel", "fox")
+    plain = sorted(map(str, engine.search(asked, "hybrid", 2).collect()))
+    assert sorted(map(str, engine.search(asked, "hybrid", 2, telemetry=noted).collect())) == plain
+    seen = noted.provenance()
+    assert {k: v["rows"] for k, v in seen.items()} == {"lexical": 2, "dense": 6, "fusion": 6, "reranking": 4}
+    assert all(0 <= v["first_ms"] <= v["last_ms"] for v in seen.values()) and seen["lexical"]["first_ms"] <= seen["reranking"]["last_ms"]
+    assert {r.stage for r in noted.table(spark).collect()} == set(seen)
+    empty = Telemetry()
+    assert engine.search(asked.limit(0), "bm25", 2, reranked=False, telemetry=empty).count() == 0
