@@ -134,6 +134,20 @@ def image_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.image_results(pages, top_k=5).withColumn("width", F.coalesce("width", F.lit(0)))  # null is no width
 
 
+def media_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of pages in fives, three or four of each with an address, and those of a media library where there are three."""
+    page, table = F.col("page_id"), _table(spark, sf_dir, "pages")
+    address = F.when(page % 4 == 3, "ftp://no.example").otherwise(_text("https://img.example/", page, ".png"))
+    item = _text('<a m="{&quot;murl&quot;:&quot;', address, "&quot;,&quot;t&quot;:&quot;Image ", page, "&quot;,&quot;w&quot;:1,&quot;h&quot;:2}\"></a>")
+    pages = _grouped(table, F.floor(page / 5), "page_id", item, "html").withColumn("query", F.lit("q"))
+    file = lambda n, info: _text('"', n, '":{"title":"File:Media ', n, " of ", F.col("query_id"), '.jpg"', info, "}")
+    info = _text(',"imageinfo":[{"url":"https://media.example/', F.col("query_id"), '.jpg","descriptionurl":"https://media.example/about/', F.col("query_id"), '","width":640,"height":', F.col("query_id"), "}]")
+    media = pages.select("query_id", _text('{"query":{"pages":{', file("9", info), ",", file("5", F.lit("")), ",", file("7", F.lit(',"imageinfo":[{}]')), "}}}").alias("json"))
+    found = P.with_fallback(P.image_results(pages), P.media_results(media), 4)
+    none = {c: F.coalesce(c, F.lit(0)) for c in ("width", "height")}
+    return found.withColumns(none).select("query_id", "title", "image_url", "thumb_url", "source_url", "domain", "width", "height")
+
+
 def video_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Videos, those of a plain page where there are fewer than four."""
     page = F.col("page_id")
@@ -336,6 +350,25 @@ def store_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest_totals(statuses).crossJoin(store.stats())  # one row each
 
 
+def stored_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents looked up by their paths: one that has changed, one deleted, one never stored."""
+    store, _ = _ingested(spark, sf_dir)
+    docs = _table(spark, sf_dir, "documents")
+    paths = [r.path for r in docs.where(F.col("doc_id").isin(20, 34, 7)).select(_text("corpus/", F.col("source"), "/", F.col("doc_id"), ".md").alias("path")).orderBy("path").collect()]
+    found = [store.document(path) for path in [*paths, "corpus/none.md"]]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.select("file_path", "file_hash", "file_size")
+
+
+def image_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many parts share each sample hash of an image made of their brand and type."""
+    content = F.concat(F.lit(b"\x89PNG"), F.col("p_brand").cast("binary"), F.col("p_type").cast("binary"))
+    images = P.image_info(_table(spark, sf_dir, "part").select("p_brand", "p_type", content.alias("content")))
+    return images.groupBy("sample_hash").agg(F.count("*").alias("parts"), F.min("p_brand").alias("brand"), F.min("p_type").alias("type")).drop("sample_hash")
+
+
 # --- numbers ----------------------------------------------------------------------------------------------------
 def value_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upper_latency(_table(spark, sf_dir, "events"), "value", ["event_type"])
@@ -381,8 +414,8 @@ def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "url_hops": url_hops, "address_queries": address_queries, "serp_results": serp_results, "serp_counts": serp_counts, "serp_with_fallback": serp_with_fallback, "web_ranking": web_ranking,
-    "record_results": record_results, "image_cards": image_cards, "video_cards": video_cards, "news_items": news_items, "json_responses": json_responses, "web_responses": web_responses, "shopping": shopping,
+    "record_results": record_results, "image_cards": image_cards, "media_images": media_images, "video_cards": video_cards, "news_items": news_items, "json_responses": json_responses, "web_responses": web_responses, "shopping": shopping,
     "suggestion_lists": suggestion_lists, "summary_cards": summary_cards, "visual_matches": visual_matches, "card_descriptions": card_descriptions, "image_bytes": image_bytes,
     "tool_answers": tool_answers, "unit_table": unit_table, "unescaped_titles": unescaped_titles, "marked_texts": marked_texts, "token_places": token_places, "conversation_stems": stems, "heading_chunks": heading_chunks,
-    "file_scan": file_scan, "store_chunks": store_chunks, "store_totals": store_totals, "chunk_ids": chunk_ids, "encoded_texts": encoded_texts, "pair_scores": pair_scores, "value_p95": value_p95, "nation_table": nation_table, "pooled_labels": pooled_labels,
+    "file_scan": file_scan, "store_chunks": store_chunks, "store_totals": store_totals, "chunk_ids": chunk_ids, "stored_document": stored_document, "image_samples": image_samples, "encoded_texts": encoded_texts, "pair_scores": pair_scores, "value_p95": value_p95, "nation_table": nation_table, "pooled_labels": pooled_labels,
 }

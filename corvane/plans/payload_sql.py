@@ -121,6 +121,15 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY page_id) - 1
        CASE WHEN page_id % 3 > 0 THEN 'Image ' || page_id || ' <x>' WHEN page_id % 6 = 0 THEN 'described' ELSE 'q' || query_id || ' image' END AS title,
        'https://img.example/' || page_id || '.png' AS image_url, 'https://img.example/' || page_id || '.png' AS thumb_url, clean AS source_url, host AS domain, (page_id % 5 * 100)::INT AS width, (page_id + 1)::INT AS height
 FROM cl QUALIFY position < 5""",
+    "media_images": """
+WITH own AS (SELECT page_id, page_id // 5 AS query_id FROM pages), asked AS (SELECT query_id, count(*) FILTER (page_id % 4 <> 3) AS n FROM own GROUP BY query_id)
+SELECT query_id, 'Image ' || page_id AS title, 'https://img.example/' || page_id || '.png' AS image_url, image_url AS thumb_url, image_url AS source_url, 'web' AS domain, 1 AS width, 2 AS height FROM own WHERE page_id % 4 <> 3
+UNION ALL SELECT query_id, 'Media 9 of ' || query_id || '.jpg', 'https://media.example/' || query_id || '.jpg', 'https://media.example/' || query_id || '.jpg', 'https://media.example/about/' || query_id, 'commons.wikimedia.org', 640, query_id::INT FROM asked WHERE n < 4
+UNION ALL SELECT query_id, 'Media 7 of ' || query_id || '.jpg', '', '', 'https://commons.wikimedia.org', 'commons.wikimedia.org', 0, 0 FROM asked WHERE n < 4""",
+    "stored_document": """
+WITH now AS (SELECT doc_id, 'corpus/' || source || '/' || doc_id || '.md' AS file_path, coalesce(text, '') || CASE WHEN doc_id % 10 = 0 THEN ' and more words' ELSE '' END AS t FROM documents WHERE doc_id IN (20, 34, 7) AND doc_id % 17 <> 0)
+SELECT file_path, sha256(t) AS file_hash, strlen(t)::BIGINT AS file_size FROM now""",
+    "image_samples": "SELECT count(*) AS parts, p_brand AS brand, p_type AS type FROM part GROUP BY p_brand, p_type",
     "video_cards": f"""
 WITH one AS (SELECT page_id, page_id // 10 AS query_id, substr(md5((page_id - (page_id % 4 = 1)::INT)::VARCHAR), 1, 11) AS id FROM pages WHERE page_id % 20 <= 13),
 firsts AS (SELECT query_id, id, min(page_id) AS page_id FROM one GROUP BY ALL),

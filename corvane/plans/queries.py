@@ -255,6 +255,13 @@ def index_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return less.plus(build_index(new, stemming=False, positions=False)).vocabulary
 
 
+def indexed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids that the index has, after some have gone and all of another index have been cleared."""
+    index = _index(spark, sf_dir)
+    less = index.without(_table(spark, sf_dir, "documents").where(F.col("doc_id") % 3 == 0))
+    return less.doc_ids.unionByName(index.cleared().doc_ids)
+
+
 def unfiltered_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vocabulary of the conversations with stopwords, unstemmed."""
     turns = _table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
@@ -326,6 +333,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_stages": search_stages,
     "completion_lists": completion_lists,
     "search_work": search_work,
+    "indexed_ids": indexed_ids,
     "index_updates": index_updates,
     "evaluation_metrics": evaluation_metrics,
     "unfiltered_terms": unfiltered_terms,
@@ -546,6 +554,7 @@ met AS (SELECT prefix, term, df, row_number() OVER (PARTITION BY prefix ORDER BY
 SELECT prefix, rank, term, df FROM met WHERE rank <= 8""",
     "search_work": f"""{_SEARCH}
 SELECT query_id, sum(df)::BIGINT AS postings, true AS within FROM (SELECT DISTINCT id AS query_id, term FROM query_tok) JOIN df USING (term) GROUP BY query_id""",
+    "indexed_ids": "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0",
     "index_updates": f"""
 WITH now AS (SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN 'Replaced ' || lang || ' ' || source ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0), {_tokens('tok', 'now', 'doc_id')}
 SELECT term, count(DISTINCT id) AS df FROM tok GROUP BY term""",

@@ -14,7 +14,7 @@ from corvane.sources import payloads as P
 
 PAYLOAD_CATEGORIES = ("images", "videos", "news", "shopping")
 #: Results below which a fallback is asked, and how many of it are taken.
-LEAST_WEB, LEAST_VIDEOS, FALLBACK_WEB = 3, 4, 5
+LEAST_WEB, LEAST_VIDEOS, LEAST_IMAGES, FALLBACK_WEB = 3, 4, 4, 5
 
 
 def route(category: str = "all", mode: str = "web") -> str:
@@ -34,6 +34,9 @@ def _packed(hits: DataFrame, kind: str, order: str, fields: list[Column | str])
 def _payload_hits(category: str, sources: Mapping[str, DataFrame], top_k: int) -> DataFrame:
     if category == "images":
         found = P.image_results(sources["images"], top_k=2 * top_k)
+        if "media" in sources:
+            found = P.with_fallback(found, P.media_results(sources["media"]), LEAST_IMAGES)
+            found = found.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("position"))).where(F.col("n") <= 2 * top_k)
         return _packed(found, "image", "position", ["title", "image_url", "thumb_url", "source_url", "domain", "width", "height"])
     if category == "videos":
         found = P.video_results(sources["videos"], top_k=top_k)
@@ -51,7 +54,7 @@ def respond(queries: DataFrame, category: str = "all", mode: str = "web", top_k:
     """(query_id, response): the JSON answer of every query (query_id, query).
 
     ``sources``: the payloads that the caller has fetched, by name: images
-    (query_id, query, html), videos and video_titles (html), news (xml),
+    (query_id, query, html), media (json), videos and video_titles (html), news (xml),
     catalog (json), shops (html), web (html), encyclopedia (json), and for
     instant answers direct (cards of page_card by query_id) and summaries
     (summary_card).  ``engine`` answers local requests.  A blank query has no
