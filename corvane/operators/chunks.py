@@ -26,29 +26,64 @@ def chunk_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return cut.select(id_col, "chunk_index", F.array_join("w", " ").alias("content"), F.size("w").alias("token_count"))
 
 
+#: Lines that may be headings or code fences.
+MARKER = r"(?U)^\s*(?:#{1,6}\s|```)"
+BREAKS = r"\r\n?|[\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def _lines(text: Column) -> Column:
+    """The lines of a text; no empty one after a last line break."""
+    parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), BREAKS, "\n"), "\n", -1)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+
+def _headed(docs: DataFrame) -> DataFrame:
+    """(id, heads): of documents (id, title, lines) with headings, where these stand and which headings count there, in order.
+
+    Only lines that may be headings or fences leave their documents, so what
+    is sorted is few rows of a document, without its text.
+    """
+    found = docs.select("id", "title", F.explode(F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("i"), x.alias("line"))), lambda m: m["line"].rlike(MARKER))).alias("m"))
+    each = found.select("id", "title", "m.i", _stripped(F.col("m.line")).alias("bare"))
+    marked = each.withColumn("fence", F.startswith("bare", F.lit("```")))
+    inside = F.sum(F.col("fence").cast("int")).over(Window.partitionBy("id").orderBy("i")) % 2 == 1
+    heads = marked.withColumn("open", inside).where((F.col("i") > 0) & ~F.col("fence") & ~F.col("open") & F.col("bare").rlike(HEADING))
+    named = heads.select("id", "title", F.col("i").alias("section"), F.char_length(F.regexp_extract("bare", HEADING, 1)).alias("level"), _stripped(F.regexp_extract("bare", HEADING, 2)).alias("name"))
+    return _stacked(named, "id").groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.col("section").alias("i"), "headings"))).alias("heads"))
+
+
+def _sectioned(docs: DataFrame, id_col: str, text_col: str, title_col: str | None) -> DataFrame:
+    """(id, sections): of every document its sections in order, as structs of start_line, end_line, headings and text.
+
+    Documents without a line that may be a heading stay where they are; the
+    others meet their headings in one shuffle.
+    """
+    title = F.col(title_col).cast("string") if title_col else F.lit(None).cast("string")
+    whole = docs.select(F.col(id_col).alias("id"), title.alias("title"), _lines(F.col(text_col)).alias("lines"))
+    some = F.exists("lines", lambda x: x.rlike(MARKER))
+    none = F.array().cast("array<struct<i: int, headings: array<string>>>")
+    joined = whole.where(some).alias("d").join(_headed(whole).withColumnRenamed("id", "of"), F.col("id").eqNullSafe(F.col("of")), "left").drop("of")
+    every = joined.withColumn("heads", F.coalesce("heads", none)).unionByName(whole.where(~some).withColumn("heads", none))
+    above = F.when(F.coalesce(F.col("title") != "", F.lit(False)), F.array("title")).otherwise(F.array().cast("array<string>"))
+    starts = F.concat(F.array(F.struct(F.lit(0).alias("i"), above.alias("headings"))), "heads")
+    ends = F.concat(F.transform("heads", lambda h: h["i"]), F.array(F.size("lines")))
+    cut = F.zip_with(starts, ends, lambda h, end: F.struct((h["i"] + 1).alias("start_line"), end.alias("end_line"), h["headings"].alias("headings"), _stripped(F.array_join(F.slice("lines", h["i"] + 1, end - h["i"]), "\n")).alias("text")))
+    return every.select("id", F.filter(cut, lambda x: x["text"] != "").alias("sections"))
+
+
 def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None) -> DataFrame:
     """(id, start_line, end_line, headings, text): runs of lines under their headings.
 
     Headings are lines of one to six # outside code fences; the first line of
     a document opens a section but no heading of its own.  A heading of level
-    n keeps the first n - 1 headings above it (n without a title).
+    n keeps the first n - 1 headings above it (n without a title).  Ids are
+    unique.
     """
-    text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\r\n?|[\x0B\x0C\x1C-\x1E\x85  ]", "\n")
-    parts = F.split(text, "\n", -1)
-    whole = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    title = F.col(title_col) if title_col else F.lit(None).cast("string")
-    each = docs.select(F.col(id_col), title.alias("title"), F.posexplode(whole).alias("i", "line"))
-    bare = F.regexp_replace("line", r"(?U)^\s+|\s+$", "")
-    up_to = Window.partitionBy(id_col).orderBy("i")
-    marked = each.withColumns({"bare": bare, "fence": F.startswith(bare, F.lit("```"))}).withColumn("open", F.sum(F.col("fence").cast("int")).over(up_to) % 2 == 1)
-    opens = marked.withColumn("head", (F.col("i") > 0) & ~F.col("fence") & ~F.col("open") & F.col("bare").rlike(HEADING))
-    named = opens.withColumns({"section": F.sum(F.col("head").cast("int")).over(up_to), "level": F.when(F.col("head"), F.char_length(F.regexp_extract("bare", HEADING, 1))), "name": F.when(F.col("head"), F.regexp_replace(F.regexp_extract("bare", HEADING, 2), r"(?U)^\s+|\s+$", ""))})
-    joined = named.groupBy(id_col, "title", "section").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("text"),
-        (F.min("i") + 1).alias("start_line"), (F.max("i") + 1).alias("end_line"), F.max("level").alias("level"), F.max("name").alias("name"),
-    )
-    stripped_sections = joined.withColumn("text", F.regexp_replace("text", r"(?U)^\s+|\s+$", ""))
-    return _stacked(stripped_sections, id_col).where("text <> ''").select(id_col, "start_line", "end_line", "headings", "text")
+    return _sectioned(docs, id_col, text_col, title_col).select(F.col("id").alias(id_col), F.inline("sections"))
 
 
 def _stacked(parts: DataFrame, id_col: str) -> DataFrame:
@@ -77,10 +112,12 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A section that fits stays as it is; a longer one becomes windows of words.
     The headings, joined by ' > ', stand above the content and don't count.
     """
-    parts = sections(docs, id_col, text_col, title_col).withColumn("w", words(F.col("text")))
-    pieces = F.when(F.size("w") <= most, F.array(F.struct(F.col("text").alias("body"), F.size("w").alias("n")))).otherwise(F.transform(windows(F.col("w"), most, least, overlap), lambda x: F.struct(F.array_join(x, " ").alias("body"), F.size(x).alias("n"))))
-    each = parts.select(id_col, "start_line", "end_line", "headings", F.posexplode(pieces).alias("k", "p"))
-    order = Window.partitionBy(id_col).orderBy("start_line", "k")
-    prefix = F.when(F.size("headings") > 0, F.concat(F.array_join("headings", " > "), F.lit("\n\n"))).otherwise("")
-    content = F.regexp_replace(F.concat(prefix, F.col("p.body")), r"(?U)^\s+|\s+$", "")
-    return each.select(id_col, (F.row_number().over(order) - 1).alias("chunk_index"), content.alias("content"), "headings", "start_line", "end_line", F.col("p.n").alias("token_count"))
+    split = F.transform("sections", lambda x: F.struct(x["start_line"].alias("start_line"), x["end_line"].alias("end_line"), x["headings"].alias("headings"), x["text"].alias("text"), words(x["text"]).alias("w")))
+
+    def pieces(x: Column) -> Column:
+        row = lambda body, n: F.struct(x["headings"].alias("headings"), x["start_line"].alias("start_line"), x["end_line"].alias("end_line"), body.alias("body"), n.alias("n"))
+        return F.when(F.size(x["w"]) <= most, F.array(row(x["text"], F.size(x["w"])))).otherwise(F.transform(windows(x["w"], most, least, overlap), lambda y: row(F.array_join(y, " "), F.size(y))))
+
+    each = _sectioned(docs, id_col, text_col, title_col).select(F.col("id").alias(id_col), split.alias("s")).select(id_col, F.posexplode(F.flatten(F.transform("s", pieces))).alias("chunk_index", "p"))
+    prefix = F.when(F.size("p.headings") > 0, F.concat(F.array_join("p.headings", " > "), F.lit("\n\n"))).otherwise("")
+    return each.select(id_col, "chunk_index", _stripped(F.concat(prefix, F.col("p.body"))).alias("content"), "p.headings", "p.start_line", "p.end_line", F.col("p.n").alias("token_count"))

@@ -21,7 +21,7 @@ from corvane.operators.models import pooled, scorer, with_vectors
 from corvane.operators.vectors import mean_pooled
 from corvane.plans.responses import respond
 from corvane.plans.search import instant_answers, rank_web
-from corvane.scratch import new_folder
+from corvane.scratch import files_of, new_folder
 from corvane.sources import payloads as P
 from corvane.sources.files import read_directory
 from corvane.sources.store import Store, chunk_numbers, ingest_totals
@@ -314,8 +314,19 @@ def file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_directory(spark, root).select("file_hash", "file_size", F.regexp_replace("text", "\n$", "").alias("text"))
 
 
+#: Stores in the shared folder, by application and tables, and the statuses of their second round.
+_STORES: dict[tuple, tuple[Store, DataFrame]] = {}
+
+
 def _ingested(spark: SparkSession, sf_dir: str) -> tuple[Store, DataFrame]:
-    """A store after two rounds: all documents, then those of which some have changed, one path that can't be read, and some deleted."""
+    """A store after two rounds: all documents, then those of which some have changed, one path that can't be read, and some deleted. Made once a session."""
+    key = (spark.sparkContext.applicationId, files_of(spark, f"{sf_dir}/documents.parquet"))
+    if key not in _STORES:
+        _STORES[key] = _two_rounds(spark, sf_dir)
+    return _STORES[key]
+
+
+def _two_rounds(spark: SparkSession, sf_dir: str) -> tuple[Store, DataFrame]:
     store = Store(spark, new_folder(spark, "store"))
     docs = _table(spark, sf_dir, "documents")
     path = _text("corpus/", F.col("source"), "/", F.col("doc_id"), ".md")

@@ -21,6 +21,7 @@ from corvane.operators.vectors import cosine_top_k
 from corvane.plans import payload_queries, payload_sql
 from corvane.plans.payload_sql import STOP, escaped, marked
 from corvane.plans.search import SearchEngine, Telemetry
+from corvane.scratch import files_of
 from corvane.sources import evaluation
 from corvane.sources.payloads import page_card
 
@@ -33,16 +34,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _STORED: dict[tuple, StoredIndex] = {}
 
 
-def _files(spark: SparkSession, path: str) -> tuple:
-    """Names, sizes and times of the files of a table: what tells whether it has changed."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}*"))
-    return tuple((str(x.getPath()), x.getLen(), x.getModificationTime()) for x in found or [])
-
-
 def _index(spark: SparkSession, sf_dir: str, stemming: bool = False) -> StoredIndex:
     """The index of the documents: built and stored once in a session, and used by all queries after that."""
-    key = (spark.sparkContext.applicationId, sf_dir, stemming, _files(spark, f"{sf_dir}/documents.parquet"))
+    key = (spark.sparkContext.applicationId, sf_dir, stemming, files_of(spark, f"{sf_dir}/documents.parquet"))
     if key not in _STORED:
         _STORED[key] = build_index(_table(spark, sf_dir, "documents"), stemming=stemming, positions=False).stored()
     return _STORED[key]

@@ -82,6 +82,13 @@ def new_folder(spark: SparkSession, hint: str) -> str:
     return f"{own}/{hint}-{uuid.uuid4().hex}"
 
 
+def files_of(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files of a table: what tells whether it has changed."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}*"))
+    return tuple((str(x.getPath()), x.getLen(), x.getModificationTime()) for x in found or [])
+
+
 def written(df: DataFrame, hint: str = "table", merge: int = 1) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, and outlives executors. Removed with the session.
 
