@@ -241,7 +241,9 @@ class LicenseModel:
             if c < len(FAMILIES) and p[k, c] < ACCEPT:
                 c = len(FAMILIES)
             r = int(np.searchsorted(first, chosen[k], "right") - 1)
-            matches.append((r, int(chosen[k] - first[r]), c, float(p[k, :-1].max()), agree))
+            # of a family its own probability; of unknown that the paragraph is a licence at all
+            likely = p[k, c] if c < len(FAMILIES) else 1 - p[k, -1]
+            matches.append((r, int(chosen[k] - first[r]), c, float(likely), agree))
         return lines, matches
 
 
