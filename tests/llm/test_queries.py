@@ -4,6 +4,7 @@ import math
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -17,7 +18,7 @@ pytestmark = pytest.mark.skipif(not SMALL.exists(), reason="no test tables here"
 
 
 def plain(x):
-    if x is None or (isinstance(x, float) and math.isnan(x)):
+    if x is None or x is pd.NA or (isinstance(x, float) and math.isnan(x)):
         return None
     return round(float(x), 6) if isinstance(x, (int, float, np.number)) and not isinstance(x, (bool, np.bool_)) else str(x)
 
