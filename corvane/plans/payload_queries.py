@@ -9,13 +9,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.functions.text import TOKEN, highlight, stem, token_offsets, unescape_html
 from corvane.functions.tools import DATA, LENGTH, WEIGHT, conversion
 from corvane.functions.url import clean_url, display_url, domain, is_address
 from corvane.operators.chunks import chunk_documents
+from corvane.operators.images import image_neighbours as neighbours
+from corvane.operators.images import png
 from corvane.operators.metrics import markdown_table, upper_latency
 from corvane.operators.models import pooled, scorer, with_vectors
 from corvane.operators.vectors import mean_pooled
@@ -380,6 +384,26 @@ def image_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.groupBy("sample_hash").agg(F.count("*").alias("parts"), F.min("p_brand").alias("brand"), F.min("p_type").alias("type")).drop("sample_hash")
 
 
+@F.pandas_udf(T.BinaryType())
+def _picture(levels: pd.Series, scale: pd.Series) -> pd.Series:
+    """A PNG file of 9 x 8 levels, each ``scale`` pixels wide and high; filter and colours go by the scale."""
+    out = []
+    for some, k in zip(levels, scale, strict=True):
+        big = np.kron(np.asarray(some).reshape(8, 9), np.ones((k, k), dtype=int))
+        out.append(png(np.repeat(big[:, :, None], 3, axis=2) if k == 2 else big, k % 3))
+    return pd.Series(out, index=levels.index, dtype=object)
+
+
+def image_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of all vectors, and each again in another size and with one area inverted: equal and near hashes."""
+    whole = _table(spark, sf_dir, "embeddings").where((F.size("embedding") == 64) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x)))
+    level = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.floor(128 + 512 * x.cast("double")).cast("double"))).cast("int")
+    first = whole.select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: level(F.get("embedding", i % 64))).alias("p"))
+    inverted = F.transform("p", lambda x, i: F.when(i == F.col("vec_id") % 72, 255 - x).otherwise(x))
+    both = first.select((2 * F.col("vec_id")).alias("image_id"), "p", F.lit(1).alias("scale")).unionByName(first.select((2 * F.col("vec_id") + 1).alias("image_id"), inverted.alias("p"), (2 + F.col("vec_id") % 3).cast("int").alias("scale")))
+    return neighbours(both.select("image_id", _picture(F.col("p"), F.col("scale")).alias("content")), 4)
+
+
 # --- numbers ----------------------------------------------------------------------------------------------------
 def value_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upper_latency(_table(spark, sf_dir, "events"), "value", ["event_type"])
@@ -428,5 +452,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "record_results": record_results, "image_cards": image_cards, "media_images": media_images, "video_cards": video_cards, "news_items": news_items, "json_responses": json_responses, "web_responses": web_responses, "shopping": shopping,
     "suggestion_lists": suggestion_lists, "summary_cards": summary_cards, "visual_matches": visual_matches, "card_descriptions": card_descriptions, "image_bytes": image_bytes,
     "tool_answers": tool_answers, "unit_table": unit_table, "unescaped_titles": unescaped_titles, "marked_texts": marked_texts, "token_places": token_places, "conversation_stems": stems, "heading_chunks": heading_chunks,
-    "file_scan": file_scan, "store_chunks": store_chunks, "store_totals": store_totals, "chunk_ids": chunk_ids, "stored_document": stored_document, "image_samples": image_samples, "encoded_texts": encoded_texts, "pair_scores": pair_scores, "value_p95": value_p95, "nation_table": nation_table, "pooled_labels": pooled_labels,
+    "file_scan": file_scan, "store_chunks": store_chunks, "store_totals": store_totals, "chunk_ids": chunk_ids, "stored_document": stored_document, "image_samples": image_samples, "image_neighbours": image_neighbours, "encoded_texts": encoded_texts, "pair_scores": pair_scores, "value_p95": value_p95, "nation_table": nation_table, "pooled_labels": pooled_labels,
 }

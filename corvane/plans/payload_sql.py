@@ -129,6 +129,21 @@ UNION ALL SELECT query_id, 'Media 7 of ' || query_id || '.jpg', '', '', 'https:/
     "stored_document": """
 WITH now AS (SELECT doc_id, 'corpus/' || source || '/' || doc_id || '.md' AS file_path, coalesce(text, '') || CASE WHEN doc_id % 10 = 0 THEN ' and more words' ELSE '' END AS t FROM documents WHERE doc_id IN (20, 34, 7) AND doc_id % 17 <> 0)
 SELECT file_path, sha256(t) AS file_hash, strlen(t)::BIGINT AS file_size FROM now""",
+    "image_neighbours": """
+WITH levels AS (
+  SELECT vec_id, list_transform(range(72), lambda i: greatest(0, least(255, floor(128 + 512 * embedding[i % 64 + 1]::DOUBLE)))::INT) AS p
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0
+), images AS (
+  SELECT 2 * vec_id AS image_id, p FROM levels
+  UNION ALL SELECT 2 * vec_id + 1, list_transform(range(72), lambda i: CASE WHEN i = vec_id % 72 THEN 255 - p[i + 1] ELSE p[i + 1] END) FROM levels
+), hashed AS MATERIALIZED (
+  SELECT image_id, array_to_string(list_transform(range(64), lambda k: CASE WHEN p[k // 8 * 9 + k % 8 + 1] < p[k // 8 * 9 + k % 8 + 2] THEN '1' ELSE '0' END), '') AS bits FROM images
+), hashes AS MATERIALIZED (SELECT bits, bits::BIT AS b, min(image_id) AS same FROM hashed GROUP BY bits),
+near AS (SELECT x.bits, count(*) AS n FROM hashes x JOIN hashes y ON x.bits <> y.bits AND bit_count(xor(x.b, y.b)) <= 4 GROUP BY x.bits)
+SELECT image_id,
+       array_to_string(list_transform(range(16), lambda k: substr('0123456789abcdef', 1 + 8 * substr(bits, 4 * k + 1, 1)::INT + 4 * substr(bits, 4 * k + 2, 1)::INT + 2 * substr(bits, 4 * k + 3, 1)::INT + substr(bits, 4 * k + 4, 1)::INT, 1)), '') AS hash,
+       same, coalesce(n, 0) AS n_near
+FROM hashed JOIN hashes USING (bits) LEFT JOIN near USING (bits)""",
     "image_samples": "SELECT count(*) AS parts, p_brand AS brand, p_type AS type FROM part GROUP BY p_brand, p_type",
     "video_cards": f"""
 WITH one AS (SELECT page_id, page_id // 10 AS query_id, substr(md5((page_id - (page_id % 4 = 1)::INT)::VARCHAR), 1, 11) AS id FROM pages WHERE page_id % 20 <= 13),
