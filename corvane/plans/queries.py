@@ -17,11 +17,12 @@ from corvane.operators.lexical import bm25, bm25_work, build_index, completed, c
 from corvane.operators.metrics import metric_means, retrieval_metrics
 from corvane.operators.pivots import PivotIndex
 from corvane.operators.segments import StoredIndex
+from corvane.operators.trained import PairRanker, WordVectors, pair_features
 from corvane.operators.vectors import cosine_top_k
 from corvane.plans import payload_queries, payload_sql
 from corvane.plans.payload_sql import STOP, escaped, marked
 from corvane.plans.search import SearchEngine, Telemetry
-from corvane.scratch import files_of
+from corvane.scratch import files_of, written
 from corvane.sources import evaluation
 from corvane.sources.payloads import page_card
 
@@ -281,6 +282,49 @@ def engine_without_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SearchEngine(docs, _index(spark, sf_dir), stemming=False).search(asked, "hybrid", 3).select("query_id", "rank", "doc_id", "score", "title", F.md5("content").alias("content_md5"))
 
 
+#: Word vectors of the documents, by application and table (as its files are now).
+_VECTORS: dict[tuple, WordVectors] = {}
+
+
+def _word_vectors(spark: SparkSession, sf_dir: str) -> WordVectors:
+    """The word vectors of the documents: fitted once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, files_of(spark, f"{sf_dir}/documents.parquet"))
+    if key not in _VECTORS:
+        _VECTORS[key] = WordVectors.fit(_table(spark, sf_dir, "documents"))
+    return _VECTORS[key]
+
+
+def learned_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of BM25 and of a ranker, for five words from the middle of each item, on items that the ranker hasn't learned from.
+
+    It learns from those whose CRC-32 of the id is even, and is judged on the others.
+    """
+    pieces = F.split("text", " ")
+    five = F.array_join(F.slice(pieces, F.greatest(F.lit(1), F.floor(F.size(pieces) / 2).cast("int") - 1), F.lit(5)), " ")
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), five.alias("query"))
+    model, docs = _word_vectors(spark, sf_dir), _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    hits = written(bm25(_index(spark, sf_dir), query_terms(items, "query_id", "query", stemming=False), 20), "hits")
+    asked = model.vector(items, "query", "query_vector")
+    found = model.vector(hits.join(docs, "doc_id"), "content", "doc_vector").join(asked, "query_id")
+    features = written(pair_features(found), "features")
+    judged = written(_judgements(spark, sf_dir), "judged")
+    learned = F.crc32(F.col("query_id").cast("string").cast("binary")) % 2 == 0
+    ranker = PairRanker.fit(features.where(learned), judged.where(learned))
+    means = lambda name, ranked: metric_means(retrieval_metrics(ranked.where(~learned), judged.where(~learned), 10)).select(F.lit(name).alias("ranking"), "*")
+    return means("bm25", hits).unionByName(means("learned", ranker.ranked(features.where(~learned))))
+
+
+def text_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every hundredth document beside that of its nearest other document, by trained vectors of whole texts."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    vectors = written(_word_vectors(spark, sf_dir).vector(docs).select("doc_id", "lang", "embedding"), "vectors")
+    asked = vectors.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), "embedding")
+    near = cosine_top_k(asked, vectors, 2).where(F.col("query_id") != F.col("doc_id"))
+    first = near.groupBy("query_id").agg(F.min(F.struct("rank", "doc_id", "score")).alias("n")).select("query_id", "n.doc_id", "n.score")
+    own = vectors.select(F.col("doc_id").alias("query_id"), F.col("lang").alias("own"))
+    return first.join(vectors.select("doc_id", "lang"), "doc_id").join(own, "query_id").select("query_id", "doc_id", "score", "own", "lang")
+
+
 def evaluation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evaluation set of six documents and six queries, ranked by BM25."""
     docs, queries, judged = evaluation.evaluation_set(spark)
@@ -323,6 +367,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "percentages": percentages,
     "formulas": formulas,
     "prefix_suggestions": prefix_suggestions,
+    "learned_ranking": learned_ranking,
+    "text_neighbours": text_neighbours,
     "latest_events": event_sources,
     "search_stages": search_stages,
     "completion_lists": completion_lists,
