@@ -10,11 +10,14 @@ merged into spans of words.
 The benchmark is broadcast in blocks.  Up to PASS_BYTES of it take one pass
 over the documents.  A larger one takes several: each broadcasts its blocks,
 writes the few documents it hits with their spans, and frees the blocks; in
-the end the spans of each document are merged and cut.
+the end the spans of each document are merged and cut.  Documents that no
+pass hits aren't shuffled: a Bloom filter of the rows that are hit keeps them
+out of the join.  Items larger than a block are cut into pieces that overlap.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -26,12 +29,14 @@ from pyspark.sql import types as T
 
 from corvane.llm import words as W
 from corvane.llm.fm_index import FMIndex
-from corvane.llm.shared import bounded_batches, tidy
+from corvane.llm.shared import Bloom, bounded_batches, tidy
 from corvane.scratch import unused, written
 
 WINDOW = 10
 SHARD_BYTES = 8 << 20
 SHARD_WORDS = 2_000_000
+#: A word of a text before A-Z are lower-cased.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Benchmark text of one block, and of one pass: what is broadcast at once. A block takes about 5 bytes for each byte of text.
 BLOCK_BYTES = 4 << 20
 PASS_BYTES = 16 << 20
@@ -57,6 +62,23 @@ class Block:
         self.by_length = {int(x): (at[length[item] == x].astype(np.int32), item[length[item] == x]) for x in np.unique(length[n > 0])}
 
 
+def item_pieces(text: str, window: int) -> Iterator[str]:
+    """The text, or pieces of less than a block's size that share ``window`` - 1 words with the next: all its windows, each in one piece."""
+    if len(text.encode()) < BLOCK_BYTES:
+        yield text
+        return
+    words, begin = WORD.findall(text), 0
+    while begin < len(words):
+        end, size = begin, 0
+        while end < len(words) and (size < BLOCK_BYTES // 2 or end - begin < window):
+            size += len(words[end].encode()) + 1
+            end += 1
+        yield " ".join(words[begin:end])
+        if end == len(words):
+            return
+        begin = end - window + 1
+
+
 def benchmark_passes(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> Iterator[list[Block]]:
     """The blocks of each pass, of bounded size together, read partition by partition. Items without id or text are left out."""
     blocks: list[Block] = []
@@ -64,15 +86,16 @@ def benchmark_passes(benchmark: DataFrame, id_col: str, text_col: str, window: i
     texts: list[str] = []
     size = taken = 0
     for item, text in benchmark.select(F.col(id_col).cast("string"), F.col(text_col)).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).toLocalIterator():
-        ids.append(item)
-        texts.append(text)
-        size += len(text)
-        if size >= BLOCK_BYTES:
-            blocks.append(Block(ids, texts, window))
-            taken, size, ids, texts = taken + size, 0, [], []
-            if taken >= PASS_BYTES:
-                yield blocks
-                blocks, taken = [], 0
+        for piece in item_pieces(text, window):
+            ids.append(item)
+            texts.append(piece)
+            size += len(piece.encode())
+            if size >= BLOCK_BYTES:
+                blocks.append(Block(ids, texts, window))
+                taken, size, ids, texts = taken + size, 0, [], []
+                if taken >= PASS_BYTES:
+                    yield blocks
+                    blocks, taken = [], 0
     if ids:
         blocks.append(Block(ids, texts, window))
     if blocks:
@@ -254,18 +277,34 @@ def _hits(texts: DataFrame, shared, window: int) -> DataFrame:
     return out
 
 
+def _split(numbered: DataFrame, every: DataFrame, row: str, one: str, maybe: str) -> tuple[DataFrame, DataFrame]:
+    """The documents that may be among the hit ones, and those that are not."""
+    tested = Bloom(every, one).flagged(numbered, F.col(row), maybe)
+    return tested.where(maybe).drop(maybe), tested.where(~F.col(maybe)).drop(maybe)
+
+
 def _merged(numbered: DataFrame, hits: DataFrame, row: str, at: int, schema: T.StructType, rewrite: bool) -> DataFrame:
-    """The numbered documents with what all passes found in them."""
-    one, items, spans = unused(numbered.columns, "_one", "_items", "_spans")
+    """The numbered documents with what all passes found in them. Only those that a Bloom filter of the hit rows holds are joined; the rest pass straight through."""
+    one, items, spans, maybe = unused(numbered.columns, "_one", "_items", "_spans", "_maybe")
     every = hits.groupBy(F.col("row").alias(one)).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias(items), F.flatten(F.collect_list("spans")).alias(spans))
-    joined = numbered.join(every, F.col(row) == F.col(one), "left").drop(row, one)
+    every = written(every, "merged")
+    few, clean = _split(numbered, every, row, one, maybe)
+    joined = few.join(every, F.col(row) == F.col(one), "left").drop(row, one)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [merged_spans([(s["first"], s["last"]) for s in x or ()]) for x in batch.column(len(batch.columns) - 1).to_pylist()]
             names = [x or [] for x in batch.column(len(batch.columns) - 2).to_pylist()]
-            data, offsets = W.text_bytes(batch.column(at))
-            counts = W.word_bounds(W.LOWER[data], offsets, W.ALNUM)[2]
-            yield _result(batch.select(batch.schema.names[:-2]), at, counts, names, found, rewrite)
+            yield _result(batch.select(batch.schema.names[:-2]), at, _counts(batch, at), names, found, rewrite)
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _result(batch, at, _counts(batch, at), [[]] * len(batch), [[]] * len(batch), rewrite)
+
+    return joined.mapInArrow(tidy(run), schema).union(clean.drop(row).mapInArrow(tidy(untouched), schema))
+
 
-    return joined.mapInArrow(tidy(run), schema)
+def _counts(batch: pa.RecordBatch, at: int) -> np.ndarray:
+    """The words of each text."""
+    data, offsets = W.text_bytes(batch.column(at))
+    return W.word_bounds(W.LOWER[data], offsets, W.ALNUM)[2]

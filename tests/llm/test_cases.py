@@ -144,6 +144,25 @@ def test_decontamination_in_several_passes(spark, monkeypatch):
     assert result() == once and sum(x[3] for x in once) > 100
 
 
+def test_passes_shuffle_only_what_they_hit(spark, monkeypatch):
+    """Few of many documents are hit: the join gets these, and hardly any others. Long items are cut, short ones aren't."""
+    monkeypatch.setattr(D, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(D, "PASS_BYTES", 400)
+    long_item = " ".join(f"É{i}x" for i in range(300))
+    pieces = list(D.item_pieces(long_item, 10))
+    windows = lambda text: [tuple(text.split()[i : i + 10]) for i in range(len(text.split()) - 9)]
+    assert max(len(x.encode()) for x in pieces) < 200 and [w for x in pieces for w in windows(x)] == windows(long_item)
+    assert list(D.item_pieces("short one", 10)) == ["short one"] and list(D.item_pieces("-" * 500, 10)) == []
+    docs = spark.createDataFrame([(i, f"own words {i} " + (" ".join(long_item.split()[i % 280 : i % 280 + 15]) if i % 100 == 7 else "and no others")) for i in range(2000)], "doc_id long, text string")
+    asked, seen, split = spark.createDataFrame([(1, long_item)], "item_id long, text string"), [], D._split
+    monkeypatch.setattr(D, "_split", lambda *x: seen.append(split(*x)) or seen[-1])
+    got = D.decontaminate(docs, asked).collect()
+    assert len(got) == 2000 and {r.doc_id for r in got if r.n_hit} == set(range(7, 2000, 100)) and all(r["items"] == (["1"] if r.doc_id % 100 == 7 else []) for r in got)
+    assert all(r.n_words == (18 if r.doc_id % 100 == 7 else 6) for r in got)
+    few, clean = seen[0]
+    assert 20 <= few.count() < 40 and few.count() + clean.count() == 2000
+
+
 def test_token_groups_are_opened_only_if_their_bound_reaches():
     """Forty clusters of near copies in one block: all links are found, and most groups stay shut."""
     r = np.random.RandomState(3)
