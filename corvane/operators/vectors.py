@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corvane.scratch import written
 
@@ -47,7 +48,7 @@ def _best(ids: np.ndarray, scores: np.ndarray, top_k: int) -> tuple[np.ndarray,
 
 def _near(vectors: DataFrame, asked: list, top_k: int, schema: T.StructType) -> DataFrame:
     """(query_id, doc_id, total): of every partition of ``vectors`` (doc_id, v) the best of each query (query_id, q)."""
-    names = pa.array([r["query_id"] for r in asked])
+    names = pa.array([r["query_id"] for r in asked], to_arrow_type(schema["query_id"].dataType))
     rows = np.array([r["q"] for r in asked], dtype=np.float64)
     length = np.linalg.norm(rows, axis=1, keepdims=True)
     shared = vectors.sparkSession.sparkContext.broadcast(np.divide(rows, length, out=rows, where=length > SMALL_NORM))
