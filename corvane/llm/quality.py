@@ -223,7 +223,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn: Column | None = None, accept: float = ACCEPT) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, unchanged."""
+    """The rows of ``docs`` that the classifier accepts, unchanged.
+
+    Null and empty texts are scored like any other; texts of any length are
+    read whole.  Repeated rows share their fate, and so do rows of equal texts:
+    the id is no input of a score.  All columns pass through, whatever their
+    names.  An empty table gives an empty result.
+    """
     bounded_batches(docs.sparkSession)
     table = written(statistics_table(docs, id_col, text_col), "statistics", SPLITS_PER_FILE)
     model = fit_quality(table, labels, id_col, label_col, learn)

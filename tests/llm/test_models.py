@@ -296,3 +296,18 @@ ARTICLES = [
 def test_articles_stay_whole(source, text):
     """Signs, figures, short lines and links in an article, and pages that are nothing but a text."""
     assert H.main_texts(H.trained_model(), [source]) == [text]
+
+
+def test_the_quality_filter_keeps_rows_as_they_are(spark):
+    """Null, empty and very long texts, repeated rows, clashing names, and no rows at all."""
+    good, bad = "The old river ran past the town, and people walked beside it in the evening. ", "click here $$$ !!! buy now "
+    rows = [(i, good * (1 + i % 4) if i % 2 else bad * (1 + i % 4), "a", 1) for i in range(120)]
+    rows += [(200, good * 4000, "b", 2), (201, good * 3, "c", 3), (201, good * 3, "c", 3), (202, bad * 3, None, None), (202, bad * 3, None, None), (203, None, "d", 4), (204, "", "d", 4), (None, good * 3, "e", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string, stats int").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    got = [tuple(r) for r in quality_filter(docs, labels).collect()]
+    assert set(got) <= set(rows) and quality_filter(docs.limit(0), labels).count() == 0
+    for row in set(got):
+        assert got.count(row) == rows.count(row)
+    assert got.count(rows[121]) == 2 and got.count(rows[123]) == 0 and rows[-1] in got
+    assert (rows[125] in got) == (rows[126] in got)
