@@ -1,9 +1,11 @@
 """Trained models: counts and products beside brute force, the decomposition beside numpy's, rankings on rows held out."""
 
+import tracemalloc
 from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,6 +29,22 @@ def test_cooccurrences_are_those_of_brute_force(spark):
     assert {(x.a, x.b): x.n for x in L.cooccurrences(rows, words, 3).collect()} == dict(want)
 
 
+def test_tasks_of_many_tokens_bound_their_memory():
+    r = np.random.RandomState(5)
+    words = [f"w{i}" for i in range(20_000)]
+    one = pa.array([words[i] for i in r.randint(0, 20_000, 1_500_000)])  # a long text and short ones
+    lists = pa.ListArray.from_arrays(pa.array([0, 600_000, *range(600_300, 1_500_001, 300)], pa.int32()), one)
+    tracemalloc.start()
+    try:
+        total = sum(sum(x.column(2).to_pylist()) for x in L.near_pairs(iter([pa.RecordBatch.from_arrays([lists], names=["t"])]), words, 5))
+        vectors = L.text_vectors(lists, pa.array(words), r.rand(20_000, 64).astype(np.float32))
+        assert tracemalloc.get_traced_memory()[1] < 350e6
+    finally:
+        tracemalloc.stop()
+    assert total == sum((len(x) - d) * (6 - d) for x in lists for d in range(1, 6))
+    assert np.allclose(np.linalg.norm(vectors.flatten().to_numpy().reshape(-1, 64), axis=1), 1, atol=1e-5)
+
+
 def test_products_and_vectors_are_those_of_the_whole_matrix(spark):
     r = np.random.RandomState(4)
     m = np.triu((r.rand(40, 40) < 0.2) * r.rand(40, 40))
