@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -20,7 +21,7 @@ from corvane.operators.lexical import bm25, build_index, query_terms, suggestion
 from corvane.operators.metrics import markdown_table, metric_means, retrieval_metrics, upper_latency
 from corvane.operators.pivots import PivotIndex
 from corvane.operators.segments import StoredIndex
-from corvane.operators.vectors import cosine, cosine_top_k, mean_pooled, normalised
+from corvane.operators.vectors import best_pairs, cosine, cosine_top_k, mean_pooled, normalised
 from corvane.plans.responses import respond, route
 from corvane.plans.search import SearchEngine, Telemetry, evaluate, instant_answers, rank_web, with_snippets
 from corvane.sources.evaluation import evaluation_set
@@ -94,6 +95,23 @@ def test_cosine(spark):
     assert pooled.select(mean_pooled(F.col("t"), F.col("m")).alias("p")).first().p == pytest.approx([0.6, 0.8])
 
 
+def test_cosine_tasks_of_many_queries_bound_their_memory():
+    r = np.random.RandomState(8)
+    rows, q = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (r.standard_normal((10_000, 16)), r.standard_normal((3000, 16))))
+    rows[5000:5050] = rows[:50]  # ties
+    tracemalloc.start()
+    try:
+        query, ids, scores = best_pairs(iter([(np.arange(7000), rows[:7000]), (np.arange(7000, 10_000), rows[7000:])]), q, 3)
+        assert tracemalloc.get_traced_memory()[1] < 100e6
+    finally:
+        tracemalloc.stop()
+    assert len(query) == 9000
+    for i in (0, 7, 2999):
+        exact = np.round(rows @ q[i], 9)
+        want = np.lexsort((np.arange(10_000), -exact))[:3]
+        assert ids[query == i].tolist() == want.tolist() and np.array_equal(scores[query == i], exact[want])
+
+
 def test_cosine_in_blocks_and_batches(spark, monkeypatch):
     """Many query blocks, many Arrow batches in a task, and ties: the same as one multiplication."""
     r = np.random.RandomState(4)
