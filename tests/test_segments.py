@@ -133,3 +133,16 @@ def test_two_writers_and_segments_that_were_merged(spark, tmp_path):
     with pytest.raises(RuntimeError, match="no longer there"):
         y.commit()
     assert len(StoredIndex.load(spark, path).parts) == 1
+
+
+def test_an_index_is_made_of_one_row_of_each_document(spark):
+    rows = [(1, "connect connected; connecting wires"), (2, None), (3, ""), (1, "wired connections wire"), (4, "the of"), (5, "Wires wires lone")]
+    index = build_index(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted((r.doc_id, r.doc_len) for r in index.words.collect()) == [(1, 7), (2, 0), (3, 0), (4, 0), (5, 3)]
+    stored = index.stored()
+    want = {("connect", 1, 4, 7), ("wire", 1, 3, 7), ("wire", 5, 2, 3), ("lone", 5, 1, 3)}
+    for made in (index, stored):
+        got = made.postings.collect()
+        assert {(r.term, r.doc_id, r.term_freq, r.doc_len) for r in got} == want
+        assert sorted((r.term, r.positions) for r in got if r.doc_id == 5) == [("lone", [2]), ("wire", [0, 1])]
+        assert sorted((r.doc_id, r.doc_len) for r in made.doc_stats.collect()) == [(1, 7), (2, 0), (3, 0), (4, 0), (5, 3)]
