@@ -2,11 +2,12 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators import segments as S
-from corvane.operators.lexical import bm25, bm25_work, build_index, query_terms
+from corvane.operators.lexical import bm25, bm25_work, build_index, idf, query_terms
 from corvane.operators.segments import StoredIndex
 
 
@@ -146,3 +147,43 @@ def test_an_index_is_made_of_one_row_of_each_document(spark):
         assert {(r.term, r.doc_id, r.term_freq, r.doc_len) for r in got} == want
         assert sorted((r.term, r.positions) for r in got if r.doc_id == 5) == [("lone", [2]), ("wire", [0, 1])]
         assert sorted((r.doc_id, r.doc_len) for r in made.doc_stats.collect()) == [(1, 7), (2, 0), (3, 0), (4, 0), (5, 3)]
+
+
+@pytest.mark.parametrize("k", [1, 3, 64])
+@pytest.mark.parametrize("tiles", [(1024, 4096, 1 << 20), (7, 128, 50)])
+def test_many_queries_are_answered_together(spark, tmp_path, monkeypatch, k, tiles):
+    """A bucket with copies, removed and empty documents: the hits of every query alone, without a call for each."""
+    for name, value in zip(("TILE_QUERIES", "TILE_DOCUMENTS", "ADDED"), tiles, strict=True):
+        monkeypatch.setattr(S, name, value)
+    rng = random.Random(6)
+    rows = _rows(3, 500)
+    rows += [(500 + i, text) for i, (_, text) in enumerate(rows[:90])] + [(600 + i, rows[7][1]) for i in range(100)] + [(800, "")]
+    index = _index(spark, rows).save(str(tmp_path / "index"), buckets=1)
+    texts = [" ".join(f"w{min(int(rng.expovariate(0.02)), 420)}" for _ in range(rng.randint(1, 8))) + (" everywhere" if i % 2 else "") for i in range(97)]
+    terms = query_terms(spark.createDataFrame([*enumerate(texts), (97, "everywhere"), (98, "nowhere"), (99, rows[7][1])], "query_id long, text string"), stemming=False)
+    n, average = index.corpus_stats.select("n_docs", "avg_doc_len").first()
+    weights = terms.join(index.vocabulary, "term").select("query_id", "term", idf(F.col("df"), F.lit(n)).alias("idf")).where("idf > 0").toArrow()
+    asked, held = S.Asked.of(weights, average, 1.5, 0.75), index._rows(index.segments[0])
+    bucket_rows = held.where(F.col("term").isin("", *weights.column("term").to_pylist())).toArrow()
+    dead = pa.table({"doc_id": pa.array([7, 11, 603], pa.int64())})
+    bucket = S.Bucket(bucket_rows, dead.column("doc_id").to_numpy(), asked)
+    alone = [(asked.ids[q].as_py(), d, v) for q in range(len(asked.ids)) for d, v in zip(*bucket.best(q, k)[:2], strict=True)]
+    calls = []
+    monkeypatch.setattr(S.Bucket, "best", lambda *_: calls.append(1))
+    shared = type("Shared", (), {"value": asked})
+    found = S._searched(shared, k, False)(bucket_rows, dead).to_pylist()
+    assert not calls
+    totals = {(r["query_id"], r["doc_id"]): r["total"] for r in found}
+    assert len(found) == len(totals) and totals == pytest.approx({(q, d): v for q, d, v in alone}, abs=2e-9)
+    assert not {7, 11, 603} & {r["doc_id"] for r in found}
+
+
+def test_a_bucket_for_each_core_is_enough(spark, tmp_path):
+    """What every query costs in a bucket, however small it is, doesn't grow with the shuffle partitions."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        index = _index(spark, [(i, "one word") for i in range(64 * 256)]).save(str(tmp_path / "index"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert index._layouts[index.segments[0]]["buckets"] <= 2 * spark.sparkContext.defaultParallelism
